@@ -161,10 +161,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, beginning: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of texts laid end to end, and where each text's words begin (len(offsets) entries).
 
-    ``data`` holds UTF-8 bytes, ``offsets`` the texts' borders in it. A word never crosses a border.
+    ``data`` holds UTF-8 bytes, ``offsets`` the texts' borders in it. A word never crosses a border. With ``beginning``,
+    the first so many bytes of the words that are longer are hashed, and the others are left out.
     """
     n = len(data)
     borders = offsets - offsets[0]
@@ -181,6 +182,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     after[-1] = True
     after[:-1] = space[1:]
     ends = np.flatnonzero(~space & (after | cut[1:])) + 1
+    if beginning:
+        starts = starts[ends - starts > beginning]
+        ends = starts + beginning
     power, inverse = _tables(_R, n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
