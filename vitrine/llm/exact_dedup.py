@@ -70,8 +70,16 @@ def exact_duplicates(docs: DataFrame, digest: Column | None = None, locator: Col
 
     whole = table.join(state.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size")), "digest")
     name = F.coalesce("text_sha256", F.lower(F.hex("digest"))) if digest is None else F.col("text_sha256")
-    out = ["doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), name.alias("text_sha256")]
+    out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), name.alias("text_sha256")]
     if torn.isEmpty():
         return whole.select(*out)
     again = checked.join(torn, "digest", "left_semi").select(sha.alias("text_sha256"), "digest", "keep_id", "group_size")
     return whole.join(torn, "digest", "left_anti").select(*out).unionByName(table.join(again, ["digest", "text_sha256"]).select(*out))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of equal texts the row with the smallest doc_id (null before all), once."""
+    stays = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    own = docs.withColumn("__own", F.sha2(normalised(F.col("text").cast("string")), 256))
+    both = own.join(stays, (F.col("__own") == F.col("__sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    return both.dropDuplicates(["__sha"]).select(*docs.columns)
