@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,24 +17,52 @@ def _box(prefix: str = ""):
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+def _taken_by_group(rows: DataFrame, key: str, order: list, take: Callable[[pd.DataFrame, int, int], list[int]]) -> DataFrame:
+    """The rows that ``take(frame, from, to)`` picks from each run of equal keys, rows in the given order.
+
+    Groups are dealt by key and met in sorted order, so a task holds one batch and the group that it is in, and no
+    frame is made for each group.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def done(frame: pd.DataFrame) -> pd.DataFrame:
+            keys = frame[key].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            return frame.iloc[[i for x, y in zip(cuts[:-1], cuts[1:]) for i in take(frame, x, y)]]
+
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            keys = frame[key].to_numpy()
+            last = len(keys) - int(np.argmax((keys != keys[-1])[::-1])) if keys[0] != keys[-1] else 0
+            held = frame.iloc[last:]
+            if last:
+                yield done(frame.iloc[:last])
+        if held is not None and len(held):
+            yield done(held)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, rows.schema)
+
+
 def suppress(boxes: DataFrame, threshold: float) -> DataFrame:
     """Boxes ``(image, id, x1, y1, x2, y2, score)`` that stay: best score first, none may overlap a kept one by more than
-    the threshold (IoU with a pixel added to each side). Order dependent, so one Arrow group per image.
+    the threshold (IoU with a pixel added to each side). Order dependent, so it runs in Arrow batches, image by image.
     """
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        x1, y1, x2, y2, score, ids = (group[c].to_numpy() for c in ("x1", "y1", "x2", "y2", "score", "id"))
+    def keep(frame: pd.DataFrame, a: int, b: int) -> list[int]:
+        x1, y1, x2, y2 = (frame[c].to_numpy()[a:b] for c in ("x1", "y1", "x2", "y2"))
         size = (x2 - x1 + 1) * (y2 - y1 + 1)
-        alive, out = np.lexsort((ids, -score)), []
+        alive, out = np.arange(b - a), []
         while len(alive):
             top, rest = alive[0], alive[1:]
-            out.append(top)
+            out.append(a + int(top))
             w = np.maximum(0, np.minimum(x2[rest], x2[top]) - np.maximum(x1[rest], x1[top]) + 1)
             h = np.maximum(0, np.minimum(y2[rest], y2[top]) - np.maximum(y1[rest], y1[top]) + 1)
             alive = rest[~(w * h / (size[top] + size[rest] - w * h) > threshold)]
-        return group.iloc[out]
+        return out
 
-    return boxes.groupBy("image").applyInPandas(keep, boxes.schema)
+    return _taken_by_group(boxes, "image", [F.desc("score"), F.asc("id")], keep)
 
 
 def greedy_match(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
@@ -40,17 +70,17 @@ def greedy_match(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
     pairs = old.select("image", F.col("id").alias("old_id"), _box().alias("a")).join(new.select("image", F.col("id").alias("new_id"), _box().alias("b")), "image")
     pairs = pairs.select("image", "old_id", "new_id", S.iou(F.col("a"), F.col("b")).alias("iou")).where(F.col("iou") >= threshold)
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        old_ids, new_ids = group["old_id"].to_numpy(), group["new_id"].to_numpy()
+    def take(frame: pd.DataFrame, a: int, b: int) -> list[int]:
+        old_ids, new_ids = frame["old_id"].to_numpy(), frame["new_id"].to_numpy()
         used_old, used_new, out = set(), set(), []
-        for i in np.lexsort((new_ids, old_ids, -group["iou"].to_numpy())):
+        for i in range(a, b):
             if old_ids[i] not in used_old and new_ids[i] not in used_new:
                 used_old.add(old_ids[i])
                 used_new.add(new_ids[i])
                 out.append(i)
-        return group.iloc[out]
+        return out
 
-    return pairs.groupBy("image").applyInPandas(take, pairs.schema)
+    return _taken_by_group(pairs, "image", [F.desc("iou"), F.asc("old_id"), F.asc("new_id")], take)
 
 
 def roles(boxes: DataFrame, least_share: float = 0.3) -> DataFrame:
@@ -62,5 +92,5 @@ def roles(boxes: DataFrame, least_share: float = 0.3) -> DataFrame:
 
 def orientation(votes: DataFrame) -> DataFrame:
     """The orientation of the largest sum of weights per image, its share, and whether all votes agree."""
-    s = votes.groupBy("image", "angle").agg(F.sum("weight").alias("w"))
+    s = votes.groupBy("image", "angle").agg(F.round(F.sum("weight"), 9).alias("w"))
     return s.groupBy("image").agg(F.max_by("angle", F.struct("w", -F.col("angle"))).alias("angle"), (F.max("w") / F.sum("w")).alias("share"), (F.count("*") == 1).alias("unanimous"))
