@@ -136,8 +136,7 @@ def near_duplicates(
     bands: int = 48,
     rows: int = 5,
     seed: int = 7,
-    star_rounds: int = 3,
-    pairs_at_once: int = 2_000_000,
+    star_rounds: int = 4,
 ) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``: one row per document with ``doc_id, n_shingles,
     component_id, kept``.
@@ -151,11 +150,11 @@ def near_duplicates(
     2. Circulant MinHash: two permutations give all bands * rows coordinates. With 48 bands of 5 rows a pair at 0.75
        shares no band with a probability of 3e-6, and one at 0.8 of 1e-8.
     3. In every band bucket all members are compared with the bucket's smallest id (a star, linear in the bucket), on
-       the full sets. Linked documents form components; buckets within one component are done. Mixed buckets are
-       compared again with other centres, up to ``star_rounds`` times while more than ``pairs_at_once`` pairs are left;
-       then all pairs across components in the mixed buckets are compared, but for those that the triangle inequality
-       of the Jaccard distance to a shared centre, or their sizes, rule out. So no link within a bucket is lost, while
-       a large group of copies costs as many comparisons as it has members.
+       the full sets. Linked documents form components; buckets within one component are done. Members of the mixed
+       buckets are compared with further centres, ever more and each time others, but only across components, until
+       few pairs across components are left (or ``star_rounds`` are over). Then all those pairs are compared, but for
+       the ones that the triangle inequality of the Jaccard distance to the first centre, or their sizes, rule out. So no
+       link within a bucket is lost, while a large group of copies costs about as many comparisons as it has members.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -172,21 +171,28 @@ def near_duplicates(
 
     measured = spark.createDataFrame([], "a long, b long, inter long, total long")
     labels = spark.createDataFrame([], "id long, component long")
-    centre_of = None
+    centres_of = (1, 2, 4, 8)
     for turn in range(star_rounds):
         if turn == 0:
-            mine = shared
+            mine = shared.withColumn("component", F.col("cid"))
         else:
-            mine = _mixed(shared, labels)
-            left = mine.groupBy("bucket").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0
-            if left <= pairs_at_once:
+            mine = materialise(_mixed(shared, labels), "near-mixed")
+            own = mine.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("squares"))
+            left, members = own.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.sum("n")).first()
+            if (left or 0) <= 2 * (members or 0):
                 break
-        by = F.col("cid") if turn == 0 else F.xxhash64("cid", F.lit(turn))
-        centre_of = mine.groupBy("bucket").agg(F.min_by(F.struct("cid", "n_shingles"), by).alias("c"))
+        picks = [F.min_by(F.struct("cid", "n_shingles"), F.col("cid") if turn == 0 else F.xxhash64("cid", "bucket", F.lit(turn), F.lit(k))) for k in range(centres_of[min(turn, 3)])]
+        if turn == 0:  # nothing is linked yet: one centre for all
+            centres = mine.groupBy("bucket").agg(F.array(*picks).alias("c"), F.lit(None).cast("long").alias("main"))
+        else:  # centres from the largest component, for the members that are outside it
+            each = mine.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.array_distinct(F.array(*picks)).alias("c"))
+            centres = each.groupBy("bucket").agg(F.max_by(F.struct("c", "component"), F.struct("n", "component")).alias("m")).select("bucket", "m.c", F.col("m.component").alias("main"))
         star = (
-            mine.join(centre_of, "bucket")
+            mine.join(centres, "bucket")
+            .where(~F.col("main").eqNullSafe(F.col("component")))
+            .withColumn("c", F.explode("c"))
+            .where(F.col("c.cid") != F.col("cid"))
             .select(F.col("c.cid").alias("x"), "cid", F.col("c.n_shingles").alias("n_a"), F.col("n_shingles").alias("n_b"))
-            .where(F.col("x") != F.col("cid"))
             .where(same_size)
             .select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
             .distinct()
