@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, materialise, maybe_in, scratch_path
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, in RocksDB. Without preallocation, as each state partition would take several MB from its start.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -24,15 +27,17 @@ def keep_state(spark: SparkSession, staged: str, schema, checkpoint: str, files_
     rows of a digest in each task before the shuffle, so a hot digest sends one row per task. Calling this again
     with the same checkpoint takes in only newly staged files.
     """
-    old = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(staged)
         state = stream.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("n"))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.format("statestore").load(checkpoint)
     names = [f.name for f in rows.schema["value"].dataType.fields]
     return rows.select(F.col("key.digest").alias("digest"), F.col(f"value.`{names[0]}`").alias("keep"), F.col(f"value.`{names[1]}`").alias("n"))
