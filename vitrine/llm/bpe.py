@@ -23,7 +23,7 @@ _L, _N, _S = r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r \x85\xa0
 LATIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 #: Distinct pieces that a Python worker remembers at most; beyond, it forgets all and goes on.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def byte_signs() -> dict[int, str]:
