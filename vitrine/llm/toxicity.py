@@ -141,7 +141,7 @@ def train(labelled: DataFrame, most_features: int = 4096, least_documents: int =
             yield pa.record_batch([batch.column(1), pa.array(lists[0], pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["label", "own", "other"])
 
     some = rows.orderBy(F.xxhash64("text"), "label").limit(sample) if n0 + n1 > sample else rows
-    fit = some.mapInArrow(pick, "label int, own array<int>, other array<int>").collect()
+    fit = some.repartition(16).mapInArrow(pick, "label int, own array<int>, other array<int>").collect()
     weights, bias = _fit(fit, len(selected), counterfactual_weight, decay, steps)
     return Classifier(selected, weights, bias)
 
