@@ -22,7 +22,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(v):
     if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
-    return float(v) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iufb" else str(v)
+    return float(v) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in tuple("iufb") else str(v)
 
 
 def rows(df):
