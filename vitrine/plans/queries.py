@@ -385,10 +385,10 @@ def g4(spark, d):
     return G.greedy_match(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 0.1)
 
 
-@query("a33_orientation_votes", "s as (select image, cast(id % 4 as int) * 90 as angle, cast(sum(cast(round((score + 1) * 100) as bigint)) as double) as w from boxes group by all) select image, arg_max(angle, (w, -angle)) as angle, round(max(w) / sum(w), 6) as share, count(*) = 1 as unanimous from s group by image", ("boxes",))
+@query("a33_orientation_votes", "s as (select image, cast(id % 4 as int) * 90 as angle, cast(sum(cast(round((score + 1) * 100) as bigint)) as double) as w from boxes group by all) select image, arg_max(angle, (w, -angle)) as angle, max(w) / sum(w) as share, count(*) = 1 as unanimous from s group by image", ("boxes",))
 def a33(spark, d):
     v = view(spark, d, "boxes").select("image", ((F.col("id") % 4).cast("int") * 90).alias("angle"), F.round((F.col("score") + 1) * 100).cast("long").cast("double").alias("weight"))
-    return G.orientation(v).select("image", "angle", F.round("share", 6).alias("share"), "unanimous")
+    return G.orientation(v).select("image", "angle", "share", "unanimous")
 
 
 @query("t7_sliding_mean", "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 14 preceding and current row), 6) as mean from events")
