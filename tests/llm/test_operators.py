@@ -168,3 +168,23 @@ def test_empty_tables(spark):
     d = documents(spark, ["x"]).where("doc_id < 0")
     for df in (substring.remove_repeats(d), exact_dedup.exact_duplicates(d), bpe.encode(d, tokenizer_path()), minhash.near_duplicates(d), mixing.mix_plan(d), licenses.scan(d), sharding.shard(d)):
         assert df.count() == 0
+
+
+def test_minhash_finds_links_across_components(spark):
+    """Copies with edits: many are linked to each other but not to the first, so differences decide."""
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rnd.choice([1, 3, 4, 5])):
+            w[rnd.randrange(120)] = rnd.choice(["x", "y", f"z{k}"])
+        texts.append(" ".join(w[rnd.choice([0, 0, 10]) :]))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    linked = {(a, b) for a in range(70) for b in range(a + 1, 70) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    d = documents(spark, texts)
+    mixed = d.select(F.lit(0).alias("bucket"), F.col("doc_id").alias("cid"), F.col("doc_id").alias("component"))
+    found = {(r["a"], r["b"]) for r in minhash.cross_pairs(mixed, d, 5, 75).collect()}
+    to_first = {b for a, b in linked if a == 0}
+    assert {(a, b) for a, b in linked if not (a == 0 or {a, b} <= to_first)} | {(0, b) for b in to_first} <= found
+    assert len(found) < 70 * 69 // 2

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bitmap, components, materialise, maybe_in, mix, ngram_hashes, slices, text_buffers, word_hashes
@@ -94,21 +95,23 @@ def _sketches(shingle: int, bands: int, rows: int, seed: int):
     return run
 
 
-def jaccard_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Adds ``inter`` and ``total`` (sizes of intersection and union of the full shingle sets) to ``pairs(a, b)``.
-
-    ``texts(doc_id, text)`` may hold more rows than the pairs name: a bitmap of bounded size prunes them before the
-    two joins.
-    """
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with both texts; a bitmap of bounded size prunes ``texts`` before the two joins."""
     bits = 1 << 25
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     t = materialise(maybe_in(texts, "doc_id", bitmap(ids, "doc_id", bits), bits), "near-texts")
-    both = (
+    return (
         pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
 
+
+def jaccard_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Adds ``inter`` and ``total`` (sizes of intersection and union of the full shingle sets) to ``pairs(a, b)``.
+
+    ``texts(doc_id, text)`` may hold more rows than the pairs name.
+    """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def full(text) -> set:
             w = (text or "").encode().lower().split()
@@ -126,7 +129,65 @@ def jaccard_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
                 total.append(len(mine) + len(other) - n)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"])
 
-    return both.mapInArrow(measure, "a long, b long, inter long, total long")
+    return _with_texts(pairs, texts).mapInArrow(measure, "a long, b long, inter long, total long")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """What parts the shingles of b from those of a: ``a, b, n_a, n_b, missing`` (how many of a's are not in b) and
+    ``differ`` (hashes of the shingles that only one of the two has)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full(text) -> np.ndarray:
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            words, first = word_hashes(raw, np.array([0, len(raw)]), lower=True)
+            return np.unique(shingles_of(words, first, shingle)[0])
+
+        at, centre = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            rows = []
+            for a, b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if a != at:
+                    at, centre = a, full(text_a)
+                own = full(text_b)
+                differ = np.setxor1d(centre, own, assume_unique=True)
+                rows.append((a, b, len(centre), len(own), (len(differ) + len(centre) - len(own)) // 2, differ.view(np.int64)))
+            yield pa.record_batch([pa.array(x, pa.list_(pa.int64()) if i == 5 else pa.int64()) for i, x in enumerate(list(zip(*rows)) or [()] * 6)], ["a", "b", "n_a", "n_b", "missing", "differ"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, n_a long, n_b long, missing long, differ array<long>")
+
+
+def cross_pairs(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Every pair ``a, b`` across components that can be linked among ``mixed(bucket, cid, component)``, by an exact
+    join on differences to a common centre c.
+
+    Let D(x) be the shingles that only one of c and x has, and t = percent / (100 + percent). x and y are linked if
+    |x & y| >= t (|x| + |y|); as |x & y| = |c| - |c - x| - |c - y| + |D(x) & D(y)|, they must share at least
+    need(x) + (1 - t) |c - y| + t |y - c| differences, with need(x) = t (|x| + |c|) - |c & x|, which is above 0 just if
+    x is not linked to c. Of two documents in different components one at least is not linked to c (a link to c is
+    returned itself), so it is enough to join those with all others on a prefix of the differences, rarest first. Copies of one
+    text differ from it in a few places of their own, so a large group makes few candidates.
+    """
+    low = mixed.join(mixed.groupBy("bucket").agg(F.min("cid").alias("low")), "bucket").groupBy("cid").agg(F.min("low").alias("low"))
+    centre = mixed.join(low, "cid").groupBy("bucket").agg(F.min("low").alias("c"))  # two steps towards one centre for all
+    groups = mixed.join(centre, "bucket").select("c", "cid", "component").distinct()
+    t = percent / (100 + percent)
+    diff = materialise(differences(groups.where("c <> cid").select(F.col("c").alias("a"), F.col("cid").alias("b")), texts, shingle), "near-differences")
+    size, missing = F.size("differ"), F.col("missing")
+    need = t * (F.col("n_a") + F.col("n_b")) + missing - F.col("n_a")
+    outside = (F.col("n_a") - missing) * 100 < (F.col("n_b") + missing) * percent
+    shared = F.when(outside, F.ceil(need / (1 - t) - 1e-6)).otherwise(F.floor((1 - t) * missing + t * (size - missing) - 1e-6) + 1)
+    each = diff.select("a", "b", F.col("n_b").alias("n"), outside.alias("outside"), (size - F.greatest(shared, F.lit(1)) + 1).alias("prefix"), "differ")
+    each = each.join(groups.select(F.col("c").alias("a"), F.col("cid").alias("b"), "component"), ["a", "b"]).where("prefix > 0")
+    each = each.withColumn("e", F.explode("differ")).drop("differ")
+    often = each.groupBy("a", "e").agg(F.count("*").alias("often"), F.max("outside").alias("any_outside"))
+    ranked = each.join(often, ["a", "e"]).withColumn("at", F.row_number().over(W.partitionBy("a", "b").orderBy("often", "e")))
+    keys = materialise(ranked.where("at <= prefix and often > 1 and any_outside").select("a", "e", "b", "n", "component", "outside"), "near-keys")
+    x = keys.where("outside").select("a", "e", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
+    y = keys.select("a", "e", F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), "outside")
+    close = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    across = x.join(y, ["a", "e"]).where("c_x <> c_y and (x < y or not outside)").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    own = diff.where(~outside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return across.unionByName(own).distinct()
 
 
 def near_duplicates(
@@ -136,7 +197,7 @@ def near_duplicates(
     bands: int = 48,
     rows: int = 5,
     seed: int = 7,
-    star_rounds: int = 4,
+    star_rounds: int = 2,
 ) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``: one row per document with ``doc_id, n_shingles,
     component_id, kept``.
@@ -151,10 +212,10 @@ def near_duplicates(
        shares no band with a probability of 3e-6, and one at 0.8 of 1e-8.
     3. In every band bucket all members are compared with the bucket's smallest id (a star, linear in the bucket), on
        the full sets. Linked documents form components; buckets within one component are done. Members of the mixed
-       buckets are compared with further centres, ever more and each time others, but only across components, until
-       few pairs across components are left (or ``star_rounds`` are over). Then all those pairs are compared, but for
-       the ones that the triangle inequality of the Jaccard distance to the first centre, or their sizes, rule out. So no
-       link within a bucket is lost, while a large group of copies costs about as many comparisons as it has members.
+       buckets that are outside a bucket's largest component are compared with further centres of that component
+       (until few pairs across components are left, or ``star_rounds`` are over). ``cross_pairs`` then finds all pairs
+       across components that can be linked at all, and they are compared. So no link within a bucket is lost, while a
+       large group of copies costs about as many comparisons as it has members.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -204,27 +265,7 @@ def near_duplicates(
 
     rest = _mixed(shared, labels)
     if not rest.isEmpty():
-        distance = 1 - F.col("inter") / F.col("total")
-        known = measured.select("a", "b", distance.alias("d"))
-        known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-        centres = shared.groupBy("bucket").agg(F.min("cid").alias("centre"))
-        rest = materialise(
-            rest.join(centres, "bucket")
-            .join(known.select(F.col("a").alias("centre"), F.col("b").alias("cid"), "d"), ["centre", "cid"], "left")
-            .select("bucket", "cid", "n_shingles", "component", F.when(F.col("centre") == F.col("cid"), F.lit(0.0)).otherwise(F.col("d")).alias("d")),
-            "near-rest",
-        )
-        a = rest.select("bucket", F.col("cid").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("d").alias("d_a"))
-        b = rest.select("bucket", F.col("cid").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("d").alias("d_b"))
-        pairs = (
-            a.join(b, "bucket")
-            .where("a < b and c_a <> c_b")
-            .where(same_size)
-            .where(F.coalesce(F.abs(F.col("d_a") - F.col("d_b")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
-            .select("a", "b")
-            .distinct()
-            .join(measured, ["a", "b"], "left_anti")
-        )
+        pairs = cross_pairs(materialise(rest, "near-rest"), texts, shingle, percent).join(measured, ["a", "b"], "left_anti")
         new = materialise(jaccard_pairs(pairs, texts, shingle), "near-pairs")
         links = measured.unionByName(new).where(linked)
         labels = materialise(components(links.select("a", "b"), "near-cc"), "near-labels")
