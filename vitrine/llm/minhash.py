@@ -164,7 +164,8 @@ def cross_pairs(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int)
     |x & y| >= t (|x| + |y|); as |x & y| = |c| - |c - x| - |c - y| + |D(x) & D(y)|, they must share at least
     need(x) + (1 - t) |c - y| + t |y - c| differences, with need(x) = t (|x| + |c|) - |c & x|, which is above 0 just if
     x is not linked to c. Of two documents in different components one at least is not linked to c (a link to c is
-    returned itself), so it is enough to join those with all others on a prefix of the differences, rarest first. Copies of one
+    returned itself), so it is enough to join those with all others on a prefix of the differences, rarest first, where enough
+    differences are left from the shared one on. Copies of one
     text differ from it in a few places of their own, so a large group makes few candidates.
     """
     low = mixed.join(mixed.groupBy("bucket").agg(F.min("cid").alias("low")), "bucket").groupBy("cid").agg(F.min("low").alias("low"))
@@ -176,16 +177,17 @@ def cross_pairs(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int)
     need = t * (F.col("n_a") + F.col("n_b")) + missing - F.col("n_a")
     outside = (F.col("n_a") - missing) * 100 < (F.col("n_b") + missing) * percent
     shared = F.when(outside, F.ceil(need / (1 - t) - 1e-6)).otherwise(F.floor((1 - t) * missing + t * (size - missing) - 1e-6) + 1)
-    each = diff.select("a", "b", F.col("n_b").alias("n"), outside.alias("outside"), (size - F.greatest(shared, F.lit(1)) + 1).alias("prefix"), "differ")
+    each = diff.select("a", "b", F.col("n_a").alias("n_c"), F.col("n_b").alias("n"), "missing", size.alias("size"), outside.alias("outside"), (size - F.greatest(shared, F.lit(1)) + 1).alias("prefix"), "differ")
     each = each.join(groups.select(F.col("c").alias("a"), F.col("cid").alias("b"), "component"), ["a", "b"]).where("prefix > 0")
     each = each.withColumn("e", F.explode("differ")).drop("differ")
     often = each.groupBy("a", "e").agg(F.count("*").alias("often"), F.max("outside").alias("any_outside"))
     ranked = each.join(often, ["a", "e"]).withColumn("at", F.row_number().over(W.partitionBy("a", "b").orderBy("often", "e")))
-    keys = materialise(ranked.where("at <= prefix and often > 1 and any_outside").select("a", "e", "b", "n", "component", "outside"), "near-keys")
-    x = keys.where("outside").select("a", "e", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    y = keys.select("a", "e", F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"), "outside")
+    keys = materialise(ranked.where("at <= prefix and often > 1 and any_outside").select("a", "e", "b", "n_c", "n", "missing", (F.col("size") - F.col("at") + 1).alias("left"), "component", "outside"), "near-keys")
+    x = keys.where("outside").select("a", "e", F.col("b").alias("x"), "n_c", F.col("n").alias("n_x"), F.col("missing").alias("m_x"), F.col("left").alias("left_x"), F.col("component").alias("c_x"))
+    y = keys.select("a", "e", F.col("b").alias("y"), F.col("n").alias("n_y"), F.col("missing").alias("m_y"), F.col("left").alias("left_y"), F.col("component").alias("c_y"), "outside")
     close = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    across = x.join(y, ["a", "e"]).where("c_x <> c_y and (x < y or not outside)").where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    enough = F.least("left_x", "left_y") >= t * (F.col("n_x") + F.col("n_y")) + F.col("m_x") + F.col("m_y") - F.col("n_c") - 1e-6
+    across = x.join(y, ["a", "e"]).where("c_x <> c_y and (x < y or not outside)").where(close & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     own = diff.where(~outside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return across.unionByName(own).distinct()
 
