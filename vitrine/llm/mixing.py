@@ -130,7 +130,7 @@ def taken(plan: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a text is taken whole, and one row with the
     words of the selected blocks, joined by one space, where only a part is taken once more (``n_chars``, if there,
-    is set anew). Documents of which nothing is taken have no row. Rows that share a doc_id share one plan.
+    is set anew). Documents of which nothing is taken, null and empty texts among them, have no row. Rows that share a doc_id share one plan.
     """
     plan = mix_plan(docs, **options).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("whole").alias("__whole"), F.col("spans").alias("__spans"))
     cols = docs.columns
@@ -138,7 +138,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(f"({WORD_SQL})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("__words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
     all_of_it = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"]) == F.col("__size")
-    wholes = F.array_repeat("text", (F.col("__whole") + (all_of_it & (F.col("__size") > 0)).cast("long")).cast("int"))
+    times = F.when(F.col("__size") > 0, F.col("__whole") + all_of_it.cast("long")).otherwise(0)
+    wholes = F.array_repeat("text", times.cast("int"))
     pieces = F.when((F.size("__spans") > 0) & ~all_of_it, F.concat(wholes, F.array(part))).otherwise(wholes)
     out = both.withColumn("__words", F.when(F.size("__spans") > 0, words)).withColumn("__piece", F.explode(pieces))
     text = {"text": F.col("__piece")} | ({"n_chars": F.length("__piece").cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})

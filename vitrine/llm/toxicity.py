@@ -171,20 +171,20 @@ def _fit(rows, n: int, pull: float, decay: float, steps: int) -> tuple[np.ndarra
     return w[:n], float(w[n])
 
 
-def score(docs: DataFrame, model: Classifier, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``score`` (0 to 1, higher: more toxic) from the whole ``text`` alone.
+def score(docs: DataFrame, model: Classifier, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score ``name`` (0 to 1, higher: more toxic) from the whole ``text`` alone.
 
     Null and empty texts get the score of a text without features. Rows are independent; an empty table gives no rows.
     """
     picked = docs.select(F.col(text).cast("string").alias("__text"), *keep)
-    schema = ", ".join([*(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    schema = ", ".join([*(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffers(batch.column(0))
             for i, j in slices(off):
                 s = model.scores(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.record_batch([*(batch.column(1 + k).slice(i, j - i) for k in range(len(keep))), pa.array(s)], [*keep, "score"])
+                yield pa.record_batch([*(batch.column(1 + k).slice(i, j - i) for k in range(len(keep))), pa.array(s)], [*keep, name])
 
     return picked.mapInArrow(run, schema)
 
