@@ -67,6 +67,8 @@ def test_bpe_equals_the_library(spark, texts):
     for r in bpe.decode(bpe.encode(documents(spark, every), tokenizer_path()), tokenizer_path()).collect():
         ids = t.encode(every[r["doc_id"]] or "", add_special_tokens=False).ids
         assert list(r["ids"]) == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
+    both = bpe.round_trip(documents(spark, every), tokenizer_path()).orderBy("doc_id").collect()
+    assert both == bpe.decode(bpe.encode(documents(spark, every), tokenizer_path()), tokenizer_path()).orderBy("doc_id").collect()
 
 
 def test_toxicity_learns_and_is_fair(spark):

@@ -97,8 +97,8 @@ class Vocabulary:
         if len(self.known) > REMEMBERED:
             self.forget()
         new = list({p for own in cut for p in own} - self.known.keys())
-        for i in range(0, len(new), 100_000):
-            self.add(new[i : i + 100_000], self.merged([p.encode() for p in new[i : i + 100_000]]))
+        for i in range(0, len(new), 50_000):
+            self.add(new[i : i + 50_000], self.merged([p.encode() for p in new[i : i + 50_000]]))
         number = self.known.__getitem__
         piece = np.fromiter((n for own in cut for n in map(number, own)), np.int64)
         sizes = self.begin[piece + 1] - self.begin[piece]
@@ -175,39 +175,21 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``ids`` (array of int), the token ids of the whole ``text``.
-
-    Ids are those of the tokenizers library for the file at ``path`` (on the driver; its content is broadcast)
-    without special tokens added; a special token's string in a text becomes that token. A null or empty text has no
-    ids. Rows are independent: ties, repeated rows and other columns don't matter, an empty table gives no rows.
-    Pieces that a task hasn't met are encoded together through the pair occurrence index.
-    """
-    raw = _shared(docs, path)
-    picked = docs.select(F.col(text).cast("string").alias("__text"), *keep)
-    schema = ", ".join([*(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>"])
-
+def _encoder(raw, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(raw.value)
         for batch in batches:
             texts = batch.column(0)
             _, off = text_buffers(texts)
-            for i, j in slices(off, 4 << 20):
+            for i, j in slices(off, 2 << 20):
                 values, ends = v.encode(texts.slice(i, j - i).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
                 yield pa.record_batch([*(batch.column(1 + k).slice(i, j - i) for k in range(len(keep))), ids], [*keep, "ids"])
 
-    return picked.mapInArrow(run, schema)
-
+    return run
 
-def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``tokens`` with ``decoded``, the text that the ids stand for; special tokens are kept, bytes that are no UTF-8
-    become U+FFFD. No ids (or null) give the empty text; an id outside the vocabulary is an error.
-    """
-    raw = _shared(tokens, path)
-    cols = tokens.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema), "decoded string"])
 
+def _decoder(raw, cols: list[str], ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(raw.value).bytes
         for batch in batches:
@@ -216,4 +198,38 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             out = [b"".join([table[t] for t in values[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:])]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [*cols, "decoded"])
 
-    return tokens.mapInArrow(run, schema)
+    return run
+
+
+def _picked(docs: DataFrame, text: str, keep: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """The columns that the encoder takes, and the schema of what it gives."""
+    picked = docs.select(F.col(text).cast("string").alias("__text"), *keep)
+    return picked, ", ".join([*(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>"])
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``ids`` (array of int), the token ids of the whole ``text``.
+
+    Ids are those of the tokenizers library for the file at ``path`` (on the driver; its content is broadcast)
+    without special tokens added; a special token's string in a text becomes that token. A null or empty text has no
+    ids. Rows are independent: ties, repeated rows and other columns don't matter, an empty table gives no rows.
+    Pieces that a task hasn't met are encoded together through the pair occurrence index.
+    """
+    picked, schema = _picked(docs, text, keep)
+    return picked.mapInArrow(_encoder(_shared(docs, path), keep), schema)
+
+
+def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``tokens`` with ``decoded``, the text that the ids stand for; special tokens are kept, bytes that are no UTF-8
+    become U+FFFD. No ids (or null) give the empty text; an id outside the vocabulary is an error.
+    """
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema), "decoded string"])
+    return tokens.mapInArrow(_decoder(_shared(tokens, path), tokens.columns, ids), schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids, in one pass: a task needs one Python worker and one vocabulary."""
+    raw = _shared(docs, path)
+    picked, schema = _picked(docs, text, keep)
+    coded, back = _encoder(raw, keep), _decoder(raw, [*keep, "ids"], "ids")
+    return picked.mapInArrow(lambda batches: back(coded(batches)), f"{schema}, decoded string")

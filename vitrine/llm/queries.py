@@ -34,7 +34,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents") if docs is None else docs
-    coded = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    coded = bpe.round_trip(docs, tokenizer_path())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
