@@ -190,3 +190,14 @@ def test_minhash_finds_links_across_components(spark):
     to_first = {b for a, b in linked if a == 0}
     assert {(a, b) for a, b in linked if not (a == 0 or {a, b} <= to_first)} | {(0, b) for b in to_first} <= found
     assert len(found) < 70 * 69 // 2
+
+
+def test_sharding_gathers_large_groups(spark):
+    """A group of a third of the rows fills as few shards as can hold it; pairs without a free place swap."""
+    hot = documents(spark, ["hot" if i % 3 == 0 else f"t{i}" for i in range(2400)])
+    out = sharding.shard(hot, shards=8).collect()
+    largest = Counter(r["group"] for r in out).most_common(1)[0][0]
+    assert len({r["shard"] for r in out if r["group"] == largest}) <= 4
+    out = sharding.shard(documents(spark, [f"pair {i // 2}" for i in range(1200)]), shards=4).collect()
+    assert Counter(r["shard"] for r in out) == {s: 300 for s in range(4)}
+    assert sum(k == 2 for k in Counter((r["group"], r["shard"]) for r in out).values()) >= 540

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,46 +14,108 @@ from .common import drop_scratch, materialise
 #: Rows in a cell that gets its own place in a shard's order, about; and members from which a group has cells of its own.
 CELL, LARGE = 20_000, 20_000
 
+#: Groups move in levels, the larger first: groups of one level are at most so many times as large as each other.
+STEP = 8
+
 
 def _pick(values: list[int], index: Column) -> Column:
     """The value at ``index`` (from 0) of a list as long as there are shards."""
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), index.cast("int") + 1)
 
 
-def propagate(linked: DataFrame, free: list[int], shards: int, rounds: int, seed: int) -> DataFrame:
+def _list(values: list, kind: str) -> Column:
+    """An array of numbers as one literal."""
+    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast(f"array<{kind}>")
+
+
+def admitted(wishes: dict[tuple[int, int], int], free: list[int]) -> list[float]:
+    """The share of each move (from ``i`` to ``j`` at ``i * shards + j``) that is let in.
+
+    A label takes in what it has room for and what leaves it in the same round, so full labels can swap rows. The
+    wishes into a label with too many are scaled down until this holds for all of them.
+    """
+    n = len(free)
+    asked = np.zeros((n, n))
+    for (i, j), count in wishes.items():
+        asked[i, j] = count
+    flow = asked.copy()
+    while True:
+        comes, room = flow.sum(axis=0), np.maximum(0, np.array(free) + flow.sum(axis=1))
+        if (comes <= room + 0.5).all():
+            return np.divide(flow, asked, out=np.zeros((n, n)), where=asked > 0).ravel().tolist()
+        flow *= np.where(comes > room, room / np.maximum(comes, 1e-9), 1.0)
+
+
+def propagate(linked: DataFrame, most: list[int], share_of: int, shards: int, rounds: int | None, seed: int) -> DataFrame:
     """New labels of ``linked(g, u, label)`` (rows linked through their group ``g``): moves that cut fewer links.
 
-    In each round a group's rows are counted by label (pre-aggregated), and each row looks at the label that most of
-    its group has, then at the next, ties to the smaller; it wants the first that still has room or is its own. The
-    rows that want a label are let in by a hash against the share that its quota has room for; what leaves makes room
-    in the next round. One number per label comes to the driver.
+    In each round a group's rows are counted by label (pre-aggregated). A label can hold what the group has there and
+    what room there is: free places (``most`` less its rows) and rows whose group has its majority elsewhere; where
+    ``most`` is exceeded, a hash tells the groups that can't stay. The group's aims are the fewest labels that can hold
+    it, those first that can hold most of it, then those that do, ties by a hash. Its rows elsewhere wish for the aims
+    in proportion to their room, by a hash, and are let in by a hash against the share that there is room for (see
+    ``admitted``). Rounds end when no row wishes to move or the number of cut links, and of those that rows beyond
+    ``most`` stand for, no longer falls (that round is taken back); ``rounds`` can end them earlier. A group has its
+    majority in one label for each ``share_of`` members. Some numbers per pair of labels come to the driver.
     """
     spark = linked.sparkSession
-    now = linked
-    for turn in range(rounds):
-        open_labels = F.array(*[F.lit(j) for j in range(shards) if free[j] > 0])
-        order = F.struct((-F.col("n")).alias("less"), F.col("label"))
-        ranks = now.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.array_sort(F.collect_list(order)).alias("at"))
-        wishes = now.join(ranks, "g").withColumn("wish", F.coalesce(F.try_element_at(F.filter("at", lambda s: (s["label"] == F.col("label")) | F.array_contains(open_labels, s["label"])), F.lit(1))["label"], F.col("label")))
-        wishes = materialise(wishes.select("g", "u", "label", "wish"), "shard-wishes")
-        asked = {r["wish"]: r["n"] for r in wishes.where("wish <> label").groupBy("wish").agg(F.count("*").alias("n")).collect()}
+    now, before, written, best, turn = linked, None, [], None, 0
+    while rounds is None or turn <= rounds:
+        held = F.struct((-F.col("n")).alias("less"), F.xxhash64("g", "label", F.lit(seed + turn)).alias("tie"), F.col("label"))
+        ranks = now.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("m"), F.array_sort(F.collect_list(held)).alias("at"))
+        ranks = materialise(ranks.withColumn("homes", F.ceil(F.col("m") / share_of).cast("int")), "shard-ranks")
+        together = F.aggregate("at", F.lit(0).cast("long"), lambda x, s: x + s["less"] * (s["less"] + 1))
+        sums = {r["label"]: r for r in ranks.select("homes", F.posexplode("at").alias("k", "s")).groupBy("s.label").agg(F.sum(-F.col("s.less")).alias("n"), F.sum(F.when(F.col("k") >= F.col("homes"), -F.col("s.less")).otherwise(0)).alias("leave")).collect()}
+        n = [sums[j]["n"] if j in sums else 0 for j in range(shards)]
+        free = [most[j] - n[j] for j in range(shards)]
+        links, cut = ranks.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1)), F.lit(0)), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) - together), F.lit(0))).first()
+        cut += sum(max(0, -x) for x in free) * links / max(1, sum(n))
+        if best is not None and cut >= best:
+            now = before
+            drop_scratch(spark, ranks)
+            break
+        for old in written[:-1]:
+            drop_scratch(spark, old)
+        best, before, written = cut, now, written[-1:]
+        if turn == rounds or not cut:
+            drop_scratch(spark, ranks)
+            break
+        stay = _list([min(1.0, most[j] / n[j]) if n[j] else 1.0 for j in range(shards)], "double")
+        room = _list([max(0, free[j] + (sums[j]["leave"] if j in sums else 0)) for j in range(shards)], "bigint")
+
+        plan = ranks.where((F.size("at") > 1) | F.lit(min(free) < 0)).withColumn("own", F.map_from_entries(F.transform("at", lambda s: F.struct(s["label"], -s["less"])))).withColumn("home", F.transform(F.slice("at", F.lit(1), F.col("homes")), lambda s: s["label"]))
+        have = lambda j: F.coalesce(F.try_element_at(F.col("own"), j), F.lit(0).cast("long"))
+        hashed = lambda *by: F.pmod(F.xxhash64(*by, F.lit(seed + turn)), F.lit(1 << 30)) / float(1 << 30)
+        own = lambda j: F.when(hashed("g", j, F.lit(1)) < F.element_at(stay, j + 1), have(j)).otherwise(0)
+        can = lambda j: F.greatest(own(j), F.element_at(room, j + 1) + F.when(F.array_contains("home", j), own(j)).otherwise(0))
+        every = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.struct(own(j).alias("n"), can(j).alias("can"), j.alias("label")))
+        order = F.transform("every", lambda s: F.struct((-2 * F.least(s["can"], F.col("m")) - s["n"]).alias("less"), F.xxhash64("g", s["label"], F.lit(seed + turn)).alias("tie"), s["label"].alias("label"), s["can"].alias("can"), s["n"].alias("n")))
+        none = F.struct(F.lit(0).cast("long").alias("can"), F.lit(0).cast("long").alias("room"), F.array().cast("array<int>").alias("labels"), F.array().cast("array<bigint>").alias("ends"))
+        add = lambda x, s: F.when(x["can"] >= F.col("m"), x).otherwise(F.struct((x["can"] + s["can"]).alias("can"), (x["room"] + s["can"] - s["n"]).alias("room"), F.array_append(x["labels"], s["label"]).alias("labels"), F.array_append(x["ends"], x["room"] + s["can"] - s["n"]).alias("ends")))
+        plan = plan.withColumn("every", every).withColumn("order", F.array_sort(order)).select("g", "m", F.aggregate("order", none, add).alias("aims"))
+        aimed = F.element_at("aims.labels", F.size(F.filter("aims.ends", lambda e: e <= F.floor(hashed("u", F.lit(2)) * F.col("aims.room")))) + 1)
+        wish = F.when(F.col("aims").isNull() | (F.col("aims.room") <= 0) | F.array_contains("aims.labels", F.col("label")), F.col("label")).otherwise(aimed)
+        large = plan.where(F.col("m") >= LARGE)
+        hot = [r["g"] for r in large.select("g").collect()]
+        is_hot = F.col("g").isin(hot) if hot else F.lit(False)
+        joined = now.where(~is_hot).join(plan.where(F.col("m") < LARGE), "g", "left")
+        if hot:
+            joined = joined.unionByName(now.where(is_hot).join(F.broadcast(large), "g"))
+        wishes = materialise(joined.select("g", "u", "label", "m", wish.alias("wish")), "shard-wishes")
+        asked = {(r["label"], r["wish"]): r["n"] for r in wishes.where("wish <> label").groupBy("label", "wish").agg(F.count("*").alias("n")).collect()}
+        drop_scratch(spark, ranks)
         if not asked:
             drop_scratch(spark, wishes)
             break
-        share = [min(1.0, max(0, free[j]) / asked[j]) if asked.get(j) else 0.0 for j in range(shards)]
-        chance = F.pmod(F.xxhash64("u", F.lit(seed + turn)), F.lit(1 << 20)) / float(1 << 20)
-        limit = F.element_at(F.array(*[F.lit(float(s)) for s in share]), F.col("wish") + 1)
-        moved = wishes.withColumn("new", F.when((F.col("wish") != F.col("label")) & (chance < limit), F.col("wish")).otherwise(F.col("label")))
-        new = materialise(moved.select("g", "u", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed"), F.col("label").alias("old")), "shard-labels")
-        flow = new.where("changed").select(F.explode(F.array(F.struct(F.col("label").alias("l"), F.lit(-1).alias("d")), F.struct(F.col("old").alias("l"), F.lit(1).alias("d")))).alias("x")).groupBy("x.l").agg(F.sum("x.d").alias("d"))
-        for r in flow.collect():
-            free[r["l"]] += r["d"]
-        drop_scratch(spark, wishes)
-        now = new.select("g", "u", "label")
+        shares = _list(admitted(asked, free), "double")
+        chance = F.when(F.col("m") * 100 <= share_of, hashed("g", "wish", F.lit(3))).otherwise(hashed("u", F.lit(3)))
+        goes = (F.col("wish") != F.col("label")) & (chance < F.element_at(shares, F.col("label") * shards + F.col("wish") + 1))
+        now = wishes.select("g", "u", F.when(goes, F.col("wish")).otherwise(F.col("label")).alias("label"))
+        written, turn = [*written, wishes], turn + 1
     return now
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, slack_percent: int = 0, seed: int = 17) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, rounds: int | None = None, slack_percent: int = 0, seed: int = 17) -> DataFrame:
     """A shard for each row of ``docs(doc_id, text)``: ``doc_id, size, text_crc32, group, shard, slot``.
 
     Row counts of the shards differ by one at most. ``size`` is the UTF-8 bytes of the text plus 16, ``group`` a hash of
@@ -59,9 +124,10 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, slack_percent: int
     doc_id may be null, other columns are ignored, an empty table gives no rows.
 
     All rows start at a shard by a hash of their own. Rows of groups with several members then move by label
-    propagation (see ``propagate``), each label taking in ``slack_percent`` above its quota at most; alone standing rows
-    yield. At last each label keeps its exact quota, linked rows first, and the rows beyond it fill the gaps of the
-    others. Places in a label come from counts of small cells, never from one task per label.
+    propagation (see ``propagate``), the levels of larger groups first and each in the room that those left: a smaller
+    group can still move as a whole. A label takes in ``slack_percent`` above its quota, and alone standing rows yield.
+    At last each label keeps its exact quota, larger groups first, and the rows beyond it fill the gaps of the others.
+    Places in a label come from counts of small cells, never from one task per label.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"))
@@ -70,18 +136,28 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 4, slack_percent: int
     start = F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int")
     t = materialise(table.join(several, "g", "left").withColumn("members", F.coalesce("members", F.lit(1))).withColumn("label", start), "shard-start")
     total = t.count()
+    size = F.floor(F.log(F.lit(max(1, total // shards)) / F.col("members")) / math.log(STEP)) + 1
+    t = t.withColumn("level", F.when(F.col("members") == 1, F.lit(1 << 30)).otherwise(F.greatest(F.lit(0), size)).cast("int"))
     quota = [total // shards + (j < total % shards) for j in range(shards)]
-    linked = t.where("members > 1").select("g", "u", "label")
-    have = {r["label"]: r["n"] for r in linked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    free = [quota[j] * (100 + slack_percent) // 100 - have.get(j, 0) for j in range(shards)]
-    moved = propagate(linked, free, shards, rounds, seed).withColumnRenamed("label", "new")
+    share_of = max(1, total // shards)
+    most = [quota[j] * (100 + slack_percent) // 100 for j in range(shards)]
+    parts = []
+    for r in t.where("members > 1").select("level").distinct().orderBy("level").collect():
+        linked = t.where((F.col("members") > 1) & (F.col("level") == r["level"])).select("g", "u", "label")
+        parts.append(materialise(propagate(linked, most, share_of, shards, rounds, seed), "shard-moved"))
+        have = {x["label"]: x["n"] for x in parts[-1].groupBy("label").agg(F.count("*").alias("n")).collect()}
+        most = [max(0, most[j] - have.get(j, 0)) for j in range(shards)]
+    moved = t.where("false").select("g", "u", "label")
+    for part in parts:
+        moved = moved.unionByName(part)
+    moved = moved.withColumnRenamed("label", "new")
     t = t.join(moved, ["g", "u"], "left").withColumn("label", F.coalesce("new", "label")).drop("new")
     cells = max(1, total // (shards * CELL))
     alone, large = F.col("members") == 1, F.col("members") >= LARGE
     t = t.withColumn(
         "cell",
         F.struct(
-            alone.cast("int").alias("late"),
+            F.col("level").alias("late"),
             F.when(alone, F.pmod(F.xxhash64("u", F.lit(1)), F.lit(cells))).otherwise(F.pmod(F.xxhash64("g"), F.lit(cells))).alias("part"),
             F.when(large, F.col("g")).otherwise(0).alias("own"),
             F.when(large, F.pmod(F.xxhash64("u", F.lit(1)), F.floor(F.col("members") / LARGE) + 1)).otherwise(0).alias("sub"),
