@@ -201,3 +201,12 @@ def test_sharding_gathers_large_groups(spark):
     out = sharding.shard(documents(spark, [f"pair {i // 2}" for i in range(1200)]), shards=4).collect()
     assert Counter(r["shard"] for r in out) == {s: 300 for s in range(4)}
     assert sum(k == 2 for k in Counter((r["group"], r["shard"]) for r in out).values()) >= 540
+
+
+def test_licenses_wrapped_over_lines(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the"
+    gpl = "x y\n\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public\n * License as published by the Free Software\n * Foundation, either"
+    bsd = "word " * 70 + "\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    apart = "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software and associated documentation files"
+    out = licenses.scan(documents(spark, [mit, gpl, bsd, apart])).orderBy("doc_id").collect()
+    assert [",".join(r["labels"]) for r in out] == ["mit", "gpl", "bsd", ""] and [r["score"] for r in out] == [1.0, 1.0, 1.0, 0.0]

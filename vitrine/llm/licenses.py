@@ -8,10 +8,14 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: What stands between paragraphs: lines without words.
+PARAGRAPHS = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases whose words stand consecutively, and their labels.
@@ -59,11 +63,14 @@ def _all(conditions: list[Column]) -> Column:
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 90, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` and, from the whole ``text``: ``n_words, n_base, first_word, last_word``,
     ``base_labels, labels`` (arrays, distinct and sorted), ``blocks`` (array of label, line and containment for every
-    line that meets a template) and ``score``.
+    line or run of words that meets a template) and ``score``.
 
     A word is a run of digits, ASCII letters and non-ASCII characters, lower-cased. Base labels come from the places
-    where a phrase's words stand consecutively. A block is a line; it meets a template if it holds at least ``percent``
-    of the template's distinct words. ``score`` is 1 with a base label, else the largest containment that was met,
+    where a phrase's words stand consecutively. A block is a line or a run of words; it meets a template if it holds at least ``percent``
+    of the template's distinct words. So that notices wrapped over lines are met, runs of words inside a paragraph are
+    blocks as well: twice as many words as the longest template has, each run starting halfway into the one before, so
+    that one of them holds any notice in full. Their ``line`` is -1, -2 and so on; they are left out of ``blocks`` where
+    a line of the text meets the same template at least as well. ``score`` is 1 with a base label, else the largest containment that was met,
     else 0. Null and empty texts have no words, no labels and score 0; repeated rows give repeated results; an empty
     table gives no rows.
 
@@ -78,6 +85,13 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
     least = min(needed(len(s), percent) for s in sets)
     ws = F.transform(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
     d = docs.select(*keep, F.col("text").cast("string").alias("__text"), ws.alias("__ws"))
+    longest = max(len(re.findall(WORD, t.lower())) for t, _ in templates)
+    has = lambda w: F.array_intersect(w, F.array(*[F.lit(x) for x in vocabulary]))
+    enough = lambda w: F.exists(F.array(*[F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in s]))) >= needed(len(s), percent) for s in sets]), lambda x: x)
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(longest)), lambda p: has(F.slice(w, p, 2 * longest)))
+    paragraphs = F.filter(F.transform(F.split(F.lower("__text"), PARAGRAPHS), lambda t: F.when(t.contains("\n"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))), lambda w: F.size(w) > 0)
+    windows = F.transform(F.flatten(F.transform(paragraphs, runs)), lambda w, i: F.struct((-1 - i).alias("line"), w.alias("words")))
+    wrapped = F.when(enough(has(F.flatten("__ws"))), F.filter(windows, lambda b: enough(b["words"])))
     may = F.lower("__text").rlike("|".join("[^a-z0-9]+".join(p.split()) for p, _ in phrases))
     d = d.select(
         *keep,
@@ -87,7 +101,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
             F.transform("__ws", lambda x, i: F.struct(i.alias("line"), F.array_intersect(x, F.array(*[F.lit(w) for w in vocabulary])).alias("words"))),
             lambda b: F.size(b["words"]) >= least,
         ).alias("__blocks"),
-    )
+        F.coalesce(wrapped, F.array().cast("array<struct<line:int,words:array<string>>>")).alias("__wrapped"),
+    ).withColumn("__blocks", F.concat("__blocks", "__wrapped")).drop("__wrapped")
     d = d.select("*", *[_starts(F.col("__flat"), p).alias(f"__p{k}") for k, (p, _) in enumerate(phrases)]).drop("__flat")
     table = materialise(d.withColumn("__row", F.monotonically_increasing_id()), "license-blocks")
 
@@ -107,6 +122,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
         .dropDuplicates(["__row", "line", "template"])
         .withColumn("shared", F.size(F.array_intersect("words", "t_words")))
         .where("shared >= need")
+        .withColumn("by_line", F.max(F.when(F.col("line") >= 0, F.col("shared"))).over(W.partitionBy("__row", "template")))
+        .where("line >= 0 or by_line is null or shared > by_line")
         .groupBy("__row")
         .agg(F.array_sort(F.collect_list(F.struct("label", "line", (F.col("shared") / F.col("t_size")).alias("containment")))).alias("blocks"))
     )
