@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist inputs)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +18,46 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a
+    temporary folder; on a cluster that is an error, as executors couldn't read it."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='vitrine-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+#: Scratch folders that this process made and has not deleted, in order.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vitrine-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/vitrine-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def scratch_mark() -> int:
+    """How many scratch folders there are now, for ``clear_scratch``."""
+    return len(_made)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch folders made after the mark, but those that the DataFrames ``keep`` read. Results that are not
+    written yet must be among these."""
+    held = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+    for path in _made[since:]:
+        if path.rsplit("/", 1)[-1] not in held:
+            _delete(spark, path)
+            _made.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -43,11 +70,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a materialised table once nothing reads it any more."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/vitrine-" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    for name in {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}:
+        for path in [p for p in _made if p.endswith("/" + name)]:
+            _delete(spark, path)
+            _made.remove(path)
 
 
 # --------------------------------------------------------------------------- bounded bitmaps
@@ -67,6 +93,11 @@ def bitmap(keys: DataFrame, column: str, bits: int) -> DataFrame:
     )
 
 
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap over so many keys: 16 for each, 2**20 to 2**27 in all (16 MB); beyond, it prunes less."""
+    return 1 << min(27, max(20, (16 * keys).bit_length()))
+
+
 def maybe_in(df: DataFrame, column: str, bm: DataFrame, bits: int, keep: bool = True) -> DataFrame:
     """Rows of ``df`` whose key may be in the bitmap (``keep=False``: those whose key is certainly not in it)."""
     slot = F.pmod(F.xxhash64(column), F.lit(bits))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, text_buffers, word_hashes
+from .common import drop_scratch, materialise, slices, text_buffers, word_hashes
 
 #: Identity terms by kind; a counterfactual puts the next term of the kind in a term's place.
 IDENTITY_TERMS = (
@@ -30,6 +30,8 @@ IDENTITY_TERMS = (
 )
 _NEXT = {kind[i]: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i in range(len(kind))}
 _IDENTITY = re.compile(r"(?<!\w)(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
+#: Signs that IGNORECASE takes for i and s, and that ``lower`` leaves: dotless i, the dot of a capital dotted i, long s.
+_FOLD = str.maketrans({"\u0131": "i", "\u0307": None, "\u017f": "s"})
 
 DIMENSIONS = 1 << 20
 #: Lengths in bytes of the word beginnings that are features of their own.
@@ -40,7 +42,7 @@ def counterfactual(text: str) -> str:
     """The text with every identity term replaced by the next one of its kind; the same text if it has none."""
 
     def swap(m: re.Match) -> str:
-        new = _NEXT[m[0].lower()]
+        new = _NEXT[m[0].lower().translate(_FOLD)]
         return new.upper() if m[0].isupper() else new.capitalize() if m[0][0].isupper() else new
 
     return _IDENTITY.sub(swap, text)
@@ -89,16 +91,16 @@ def in_fold(doc_id: Column, fold: int = 0, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def train(labelled: DataFrame, most_features: int = 4096, least_documents: int = 4, sample: int = 8_000, counterfactual_weight: float = 1.0, decay: float = 3e-3, steps: int = 120) -> Classifier:
+def train(labelled: DataFrame, most_features: int = 4096, least_documents: int = 4, counterfactual_weight: float = 1.0, decay: float = 3e-3, steps: int = 120) -> Classifier:
     """A classifier from ``labelled(text, label)``; rows with a null label take no part, a null text is empty.
 
-    Document counts of all features by label come from all labelled rows, per task and then summed. The
-    ``most_features`` features of the largest chi-square are selected. The weights are fitted on at most ``sample``
-    rows, the first in the order of a hash of the text (a documented bound: what comes to the driver is at most
-    ``sample`` lists of selected features). The loss is the logistic loss, ``decay`` times the squared weights, and
+    Documents are counted by feature and label, per task and then summed, and the ``most_features`` features of the
+    largest chi-square are selected. Only lists of selected features come to the driver, one for each row, so callers bound
+    the rows (see ``learnt_from``). The loss is the logistic loss, ``decay`` times the squared weights, and
     ``counterfactual_weight`` times the squared change of the score (as log odds) between a text and its counterfactual,
     so that identity terms by themselves move no score. Without labelled rows, all scores are 0.5.
     """
+    spark = labelled.sparkSession
     rows = materialise(labelled.where("label is not null").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label")), "tox-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +121,7 @@ def train(labelled: DataFrame, most_features: int = 4096, least_documents: int =
     sizes = {r["y"]: r["n"] for r in rows.groupBy((F.col("label") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(False, 0), sizes.get(True, 0)
     if not n0 or not n1:
+        drop_scratch(spark, rows)
         return Classifier(np.zeros(0, np.int64), np.zeros(0), 0.0 if n0 == n1 else 5.0 if n1 else -5.0)
     counted = rows.mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     a, b = F.col("toxic"), F.col("clean")
@@ -133,15 +136,16 @@ def train(labelled: DataFrame, most_features: int = 4096, least_documents: int =
         for batch in batches:
             texts = batch.column(0).to_pylist()
             lists = []
-            for own in (texts, [counterfactual(t) for t in texts]):
+            swapped = [counterfactual(t) for t in texts]
+            for own in (texts, swapped):
                 data, off = text_buffers(pa.array(own, pa.large_string()))
                 found, begin = features(data[off[0] : off[-1]], off - off[0])
                 lists.append([p[p >= 0] for p in (place[found[x:y]] for x, y in zip(begin[:-1], begin[1:]))])
-            other = [None if t == u else v for t, u, v in zip(texts, map(counterfactual, texts), lists[1])]
+            other = [None if t == u else v for t, u, v in zip(texts, swapped, lists[1])]
             yield pa.record_batch([batch.column(1), pa.array(lists[0], pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["label", "own", "other"])
 
-    some = rows.orderBy(F.xxhash64("text"), "label").limit(sample) if n0 + n1 > sample else rows
-    fit = some.repartition(16).mapInArrow(pick, "label int, own array<int>, other array<int>").collect()
+    fit = rows.mapInArrow(pick, "label int, own array<int>, other array<int>").collect()
+    drop_scratch(spark, rows)
     weights, bias = _fit(fit, len(selected), counterfactual_weight, decay, steps)
     return Classifier(selected, weights, bias)
 
@@ -189,10 +193,24 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", keep: tuple[st
     return picked.mapInArrow(run, schema)
 
 
-def learnt_from(docs: DataFrame, labels: DataFrame, **options) -> Classifier:
-    """A classifier from the labelled documents outside fold 0; ``labels(doc_id, toxic)`` may name other documents too.
+def fitting_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """``text, label`` of at most ``sample`` labelled documents outside fold 0.
 
-    Documents without label, and labels without document, take no part.
+    They are chosen from ``labels(doc_id, toxic)`` alone: labels whose hash of doc_id is below what leaves about ``sample`` of
+    them, the least hashes first. A doc_id that is labelled several times is toxic if one label says so. The chosen ids,
+    at most ``sample`` of 16 bytes, are broadcast, so no text is shuffled but those chosen; of rows that share a doc_id the
+    smallest text is taken. Documents without label, and labels without document, take no part.
     """
-    known = labels.where("toxic is not null and doc_id is not null").where(~in_fold(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
-    return train(docs.select("doc_id", "text").join(known, "doc_id").select("text", "label"), **options)
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(~in_fold(F.col("doc_id")))
+    n = known.count()
+    at = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30))
+    below = (1 << 30) if n <= sample else int((sample + 4 * sample**0.5) / n * (1 << 30)) + 1
+    chosen = known.where(at < below).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(at, "doc_id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+
+
+def learnt_from(docs: DataFrame, labels: DataFrame, sample: int = 12_000, **options) -> Classifier:
+    """A classifier from at most ``sample`` (a documented bound) labelled documents outside fold 0, see ``fitting_rows``
+    and ``train``."""
+    return train(fitting_rows(docs, labels, sample), **options)
