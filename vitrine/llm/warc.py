@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import drop_scratch, materialise, scratch_path
 
 END = "\r\n\r\n"
 INDEX = "urlkey string, captured string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, offset long, length long"
@@ -30,8 +31,22 @@ def url_key(url: Column) -> Column:
     return F.when(url.isNull(), F.lit("")).when(~url.rlike(parts), url).otherwise(F.concat(host, F.lit(")"), F.regexp_extract(url, parts, 2)))
 
 
+#: The last byte of a gzip member is the highest of its content's length: 0 for less than 16 MiB.
+_LAST = "\0"
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member of its own, without the last byte, which is 0: the text sink writes it as the end of
+    a line. A record of 16 MiB or more is followed by an empty member."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            part = batch.column(0).slice(i, 64).to_pylist()
+            out = [gzip.compress(r, 6, mtime=0) + (b"" if len(r) < 1 << 24 else gzip.compress(b"", mtime=0)) for r in part]
+            yield pa.record_batch([pa.array([m[:-1] for m in out], pa.binary())], ["value"])
+
+
 def write(pages: DataFrame, path: str, captured: Column, least_bytes: int = 0, file_bytes: int = 8 << 20) -> None:
-    """Write ``pages(page_id, url, html)`` as gzipped WARC 1.1 files into the folder ``path``.
+    """Write ``pages(page_id, url, html)`` as WARC 1.1 files, a gzip member for each record, into the folder ``path``.
 
     The payload is the html in UTF-8, a null html an empty payload. Of the records whose payloads are equal and have at
     least ``least_bytes`` bytes, the one with the largest page_id is a response and the others revisit it; smaller
@@ -39,22 +54,23 @@ def write(pages: DataFrame, path: str, captured: Column, least_bytes: int = 0, f
     gets no record, as nothing could name it; repeated rows give repeated records; an empty table gives no records.
     Control characters in a URL are percent-encoded, a null URL gives no target.
 
-    Only digests are grouped (pre-aggregated); the payloads are dealt once, by page_id, into files of about
-    ``file_bytes``.
+    Digests are grouped (pre-aggregated), and the payloads meet what was decided for them in one join, their only
+    shuffle. A file holds so many records as have about ``file_bytes`` of payload at their mean size.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     d = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), captured.alias("captured"))
-    digests = materialise(d.select("page_id", F.sha1(html.cast("binary")).alias("sha"), F.unhex(F.sha2(html.cast("binary"), 256)).alias("same"), F.octet_length("html").cast("long").alias("n")).distinct(), "warc-digests")
-    groups = digests.where(F.col("n") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("first"))
-    plan = digests.join(groups, "same", "left").select(F.col("page_id").alias("__id"), "sha", "n", F.coalesce("first", "page_id").alias("first"))
-    total = digests.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    files = max(1, -(-total // file_bytes))
+    sha1 = F.unhex(F.sha1(F.col("html").cast("binary")))
+    digests = materialise(d.select("page_id", sha1.alias("sha"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("same"), F.octet_length("html").cast("long").alias("n")), "warc-digests")
+    groups = digests.where(F.col("n") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("members")).where("members > 1").select("same", "first")
+    plan = digests.distinct().join(groups, "same", "left").select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), F.col("n").alias("__n"), F.coalesce("first", "page_id").alias("first"))
+    total, count = digests.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    most = max(1, int(file_bytes * count // max(1, total))) if count else 1
     clean_url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     name = lambda c: F.concat(F.lit("<urn:x-page:"), c.cast("string"), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
     revisit = F.col("first") != F.col("page_id")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("__n").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -62,38 +78,66 @@ def write(pages: DataFrame, path: str, captured: Column, least_bytes: int = 0, f
         line("WARC-Record-ID", name(F.col("page_id"))),
         line("WARC-Date", F.date_format(F.coalesce("captured", F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.when(F.col("url").isNull(), F.lit("")).otherwise(line("WARC-Target-URI", clean_url)),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha")))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.hex("__sha")))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", name(F.col("first"))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"),
         F.col("block"),
+        F.lit(END),
     )
-    dealt = d.join(plan, (F.col("page_id") == F.col("__id")) & (F.sha1(F.col("html").cast("binary")) == F.col("sha"))).repartition(int(files), "page_id")
-    dealt.withColumn("block", block).select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    dealt = d.withColumn("sha", sha1).join(plan, (F.col("page_id") == F.col("__id")) & (F.col("sha") == F.col("__sha")))
+    members = dealt.withColumn("block", block).select(record.cast("binary").alias("value")).mapInArrow(_members, "value binary")
+    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", _LAST).option("compression", "none").option("maxRecordsPerFile", most).text(path)
+    drop_scratch(spark, digests)
+
+
+def _inflated(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, data) of every gzip member."""
+    at, view = 0, memoryview(content)
+    while at < len(content):
+        d, data, fed = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if fed >= len(content):
+                raise ValueError(f"the gzip member at {at} is cut off")
+            data.append(d.decompress(view[fed : fed + (1 << 14)]))
+            fed += 1 << 14
+        end = min(fed, len(content)) - len(d.unused_data)
+        yield at, end - at, b"".join(data)
+        at = end
+
+
+def _record(data: bytes, at: int) -> tuple[dict[str, str], int, int]:
+    """Headers of the record at ``at``, and where its block begins and ends; a wrong length or end is an error."""
+    stop = data.find(END.encode(), at)
+    head = data[at:stop].decode().split("\r\n") if stop >= 0 else [""]
+    if not head[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record at {at}")
+    headers = {k.lower(): v for k, v in (h.split(": ", 1) for h in head[1:])}
+    finish = stop + 4 + int(headers["content-length"])
+    if data[finish : finish + 4] != END.encode():
+        raise ValueError(f"the record at {at} doesn't end where its length says")
+    return headers, stop + 4, finish
 
 
 def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of every record in a file's content, gzipped or not; offsets are those of the
-    uncompressed file. A record whose length or end is wrong is an error.
+    """(offset, length, headers, block) of every record in a file's content.
+
+    In a gzipped file a record is a member, and offset and length are those of the member in the file itself: what lies
+    there can be read and inflated alone. A plain file holds its records one after the other.
     """
-    data = content if not content.startswith(b"\x1f\x8b") else b""
-    while content.startswith(b"\x1f\x8b"):  # one member or many
-        d = zlib.decompressobj(31)
-        data += d.decompress(content)
-        content = d.unused_data
-    at, end = 0, END.encode()
-    while at < len(data):
-        stop = data.find(end, at)
-        head = data[at:stop].decode().split("\r\n") if stop >= 0 else [""]
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        headers = {k.lower(): v for k, v in (h.split(": ", 1) for h in head[1:])}
-        begin = stop + 4
-        finish = begin + int(headers["content-length"])
-        if data[finish : finish + 4] != end:
-            raise ValueError(f"the record at {at} doesn't end where its length says")
-        yield at, finish + 4 - at, headers, data[begin:finish]
+    if content.startswith(b"\x1f\x8b"):
+        for at, length, data in _inflated(content):
+            if data:
+                headers, begin, finish = _record(data, 0)
+                if finish + 4 != len(data):
+                    raise ValueError(f"the member at {at} is not one record")
+                yield at, length, headers, data[begin:finish]
+        return
+    at = 0
+    while at < len(content):
+        headers, begin, finish = _record(content, at)
+        yield at, finish + 4 - at, headers, content[begin:finish]
         at = finish + 4
 
 
@@ -121,7 +165,7 @@ def read_runs(spark, path: str) -> DataFrame:
                 names = [f.split()[0] for f in INDEX.split(", ")][1:]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], _arrow(INDEX.split(", ")[1:]))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
     found = files.mapInArrow(run, ", ".join(INDEX.split(", ")[1:])).withColumn("urlkey", url_key(F.col("url")))
     names = [f.split()[0] for f in INDEX.split(", ")]
     return found.select(*names).sortWithinPartitions("file", "urlkey", "captured", "page_id")
