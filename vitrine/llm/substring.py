@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_scratch, materialise, ngram_hashes, slices, text_buffers, word_hashes
 
-PLACES = "doc_id long, start int, windows int, anchor long, content long"
+#: A place is named by what its row's result depends on: the identifier (0 for null) and a hash of the text.
+KEY = ["k", "h"]
+PLACES = "k long, h long, start int, windows int, anchor long, content long"
 
 
 class SuffixAutomaton:
@@ -95,8 +97,7 @@ def _anchored(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, off = text_buffers(batch.column(1))
+            data, off = text_buffers(batch.column(2))
             for i, j in slices(off):
                 words, first = word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 grams = ngram_hashes(words, gram)
@@ -121,9 +122,10 @@ def _anchored(window: int, gram: int):
                 for length in np.unique(size):
                     own = size == length
                     text[own] = ngram_hashes(words, window + int(length) - 1)[begin[own]]
+                rows = pa.array(i + doc[begin])
                 yield pa.record_batch(
-                    [pa.array(ids[i:j][doc[begin]]), pa.array((begin - first[doc[begin]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(grams[at[begin]].view(np.int64)), pa.array(text.view(np.int64))],
-                    ["doc_id", "start", "windows", "anchor", "content"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((begin - first[doc[begin]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(grams[at[begin]].view(np.int64)), pa.array(text.view(np.int64))],
+                    ["k", "h", "start", "windows", "anchor", "content"],
                 )
 
     return run
@@ -218,9 +220,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, shard_words
     A window is ``window`` consecutive words of one document. Every word goes that is covered by a window whose words
     also stand at another place, in the same document or elsewhere; so the first of several copies goes too. Windows
     are judged on the input. ``spans`` are the removed runs (from, to, in words), ``kept_text`` the other words joined
-    by one space. Null and empty texts have no words. Rows that repeat a doc_id are documents of their own for the
-    counts, and each loses what any of them would lose. Rows without doc_id keep their words, but still count as
-    other places. Other columns are ignored; an empty table gives no rows.
+    by one space. Null and empty texts have no words. Rows without doc_id, and rows that share one, are documents of
+    their own: a row's result depends on the words that stand in it and on nothing else of it. Other columns are
+    ignored; an empty table gives no rows.
 
     1. Documents are cut into passages by the anchors of their windows (see ``_anchored``), so that equal windows meet
        under one anchor. Passages that occur as a whole more than once are repeated at once, by count; anchors that
@@ -230,21 +232,26 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, shard_words
        shard's passages through it for matching statistics. A window whose state occurs more than once is repeated.
     3. An anchor with more than ``most_variants`` different passages (a common line between ever other neighbours) is
        dealt out further: its passages are split into single windows, each its own anchor, and go through step 1 again.
+
+    Passages count as equal if anchor and content, two 64-bit hashes, both are; single windows by md5.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = materialise(d.where("text is not null").mapInArrow(_anchored(window, gram), PLACES), "sub-places")
+    text = F.col("text").cast("string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(text).alias("h"))
+    texts = d.where("text is not null").select(*KEY, "text")
+    places = materialise(texts.mapInArrow(_anchored(window, gram), PLACES), "sub-places")
     seen = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
     again = materialise(places.join(seen.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "anchor"), "sub-again")
     drop_scratch(spark, places)
-    spans = again.where("same and doc_id is not null").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("windows") + window - 1).alias("to"))
+    spans = again.where("same").select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("windows") + window - 1).alias("to"))
 
     mixed = again.where("not same")
-    kinds = materialise(mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "windows")).alias("p")), "sub-kinds")
+    kinds = materialise(mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start", "windows")).alias("p")), "sub-kinds")
     wide = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).select("anchor", (F.col("kinds") > most_variants).alias("wide"))
-    asked = kinds.where("p.doc_id is not null").groupBy("p.doc_id").agg(F.collect_list(F.struct("anchor", "content", "n", "p.start", "p.windows")).alias("passages"))
-    texts = d.where("text is not null").join(asked, "doc_id").select("text", "passages")
-    passages = materialise(texts.mapInArrow(_words(window), "anchor long, content long, n long, windows int, words binary").dropDuplicates(["anchor", "content"]).join(wide, "anchor"), "sub-passages")
+    asked = kinds.groupBy("p.k", "p.h").agg(F.collect_list(F.struct("anchor", "content", "n", "p.start", "p.windows")).alias("passages"))
+    worded = texts.join(asked, KEY).select("text", "passages").mapInArrow(_words(window), "anchor long, content long, n long, windows int, words binary")
+    passages = materialise(worded.dropDuplicates(["anchor", "content"]).join(wide, "anchor"), "sub-passages")
+    drop_scratch(spark, kinds)
     ordered = passages.where("not wide").select("anchor", "content", "n", "words").repartition("anchor").sortWithinPartitions("anchor", "content")
     one = "anchor long, content long, spans array<struct<from:int,to:int>>"
     found = ordered.mapInArrow(_matched(window, shard_words), one)
@@ -255,7 +262,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, shard_words
     twice = single.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
     repeated = single.join(twice, "key").groupBy("anchor", "content").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + window).alias("to"))).alias("spans"))
     found = materialise(found.unionByName(repeated.select("anchor", "content", F.col("spans").cast("array<struct<from:int,to:int>>").alias("spans"))), "sub-found")
-    parts = mixed.where("doc_id is not null").join(found, ["anchor", "content"]).select("doc_id", "start", F.explode("spans").alias("s")).select("doc_id", (F.col("start") + F.col("s.from")).alias("from"), (F.col("start") + F.col("s.to")).alias("to"))
-    by_doc = spans.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("from").cast("int").alias("from"), F.col("to").cast("int").alias("to"))).alias("spans"))
+    drop_scratch(spark, passages)
+    drop_scratch(spark, single)
+    parts = mixed.join(found, ["anchor", "content"]).select(*KEY, "start", F.explode("spans").alias("s")).select(*KEY, (F.col("start") + F.col("s.from")).alias("from"), (F.col("start") + F.col("s.to")).alias("to"))
+    by_doc = spans.unionByName(parts).groupBy(*KEY).agg(F.collect_set(F.struct(F.col("from").cast("int").alias("from"), F.col("to").cast("int").alias("to"))).alias("spans"))
     out = "doc_id long, n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept_text string"
-    return d.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_removed, out)
+    return d.join(by_doc, KEY, "left").select("doc_id", "text", "spans").mapInArrow(_removed, out)
