@@ -186,7 +186,7 @@ def test_minhash_finds_links_across_components(spark):
     linked = {(a, b) for a in range(70) for b in range(a + 1, 70) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     d = documents(spark, texts)
     mixed = d.select(F.lit(0).alias("bucket"), F.col("doc_id").alias("cid"), F.col("doc_id").alias("component"))
-    found = {(r["a"], r["b"]) for r in minhash.cross_pairs(mixed, d, 5, 75).collect()}
+    found = {(r["a"], r["b"]) for r in minhash.cross_pairs(mixed, d.select(F.col("doc_id").alias("cid"), "text"), 5, 75).collect()}
     to_first = {b for a, b in linked if a == 0}
     assert {(a, b) for a, b in linked if not (a == 0 or {a, b} <= to_first)} | {(0, b) for b in to_first} <= found
     assert len(found) < 70 * 69 // 2

@@ -10,26 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, materialise, maybe_in, mix, ngram_hashes, slices, text_buffers, word_hashes
+from .common import bitmap, bits_for, components, drop_scratch, materialise, maybe_in, mix, ngram_hashes, slices, text_buffers, word_hashes
 
 UNIVERSE = 1 << 20
 
 
-def circulant_table(coordinates: int, seed: int) -> np.ndarray:
-    """The second permutation of the universe, its beginning repeated at its end, so that every shift is a slice."""
-    pi = np.random.RandomState(seed).permutation(UNIVERSE).astype(np.int32)
-    return np.concatenate([pi, pi[:coordinates]])
+def permutations(coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two permutations of the universe; the beginning of the second is repeated at its end, so that every shift is
+    a slice."""
+    random = np.random.RandomState(seed)
+    sigma, pi = (random.permutation(UNIVERSE).astype(np.int32) for _ in range(2))
+    return sigma, np.concatenate([pi, pi[:coordinates]])
 
 
-def signatures(shingles: np.ndarray, starts: np.ndarray, table: np.ndarray, coordinates: int, seed: int) -> np.ndarray:
+def signatures(shingles: np.ndarray, starts: np.ndarray, tables: tuple[np.ndarray, np.ndarray], coordinates: int) -> np.ndarray:
     """One row of ``coordinates`` minima per text; texts are runs of ``shingles`` beginning at ``starts`` (none empty).
 
-    Coordinate k of a set is the least pi(sigma(x) + k). The first permutation, sigma, is a seeded mix of the shingle's
-    hash onto the universe; all coordinates of one shingle are then a contiguous slice of the table.
+    A shingle's hash gives its element x of the universe. Coordinate k of a set is the least pi(sigma(x) + k), so all
+    coordinates of one shingle are a contiguous slice of the second table.
     """
-    with np.errstate(over="ignore"):
-        at = (mix(shingles ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(UNIVERSE - 1)).astype(np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(table, coordinates)
+    sigma, pi = tables
+    at = sigma[(shingles & np.uint64(UNIVERSE - 1)).astype(np.int64)]
+    rows = np.lib.stride_tricks.sliding_window_view(pi, coordinates)
     out = np.full((len(starts), coordinates), np.iinfo(np.int32).max, np.int32)
     for i in range(0, len(at), 4096):
         j = min(i + 4096, len(at))
@@ -65,10 +67,10 @@ def _sketches(shingle: int, bands: int, rows: int, seed: int):
         import hashlib
 
         k = bands * rows
-        table = circulant_table(k, seed)
+        tables = permutations(k, seed)
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            data, off = text_buffers(batch.column(1))
+            data, off = text_buffers(batch.column(2))
             for i, j in slices(off):
                 part = data[off[i] : off[j]]
                 words, first = word_hashes(part, off[i : j + 1], lower=True)
@@ -76,7 +78,7 @@ def _sketches(shingle: int, bands: int, rows: int, seed: int):
                 texts = np.flatnonzero(np.diff(begin))
                 keys: list = [[]] * (j - i)
                 if len(texts):
-                    sig = signatures(grams, begin[:-1][texts], table, k, seed).astype(np.uint64).reshape(len(texts), bands, rows)
+                    sig = signatures(grams, begin[:-1][texts], tables, k).astype(np.uint64).reshape(len(texts), bands, rows)
                     key = np.broadcast_to(salt, sig.shape[:2])
                     with np.errstate(over="ignore"):
                         for r in range(rows):
@@ -88,8 +90,8 @@ def _sketches(shingle: int, bands: int, rows: int, seed: int):
                 norm = [hashlib.blake2b(b" ".join(raw[x:y].lower().split()), digest_size=16).digest() for x, y in zip(b[:-1], b[1:])]
                 sizes = [len(np.unique(grams[x:y])) for x, y in zip(begin[:-1], begin[1:])]
                 yield pa.record_batch(
-                    [batch.column(0).slice(i, j - i), pa.array(norm, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "same", "n_shingles", "bands"],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(norm, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "same", "n_shingles", "bands"],
                 )
 
     return run
@@ -97,12 +99,12 @@ def _sketches(shingle: int, bands: int, rows: int, seed: int):
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs(a, b)`` with both texts; a bitmap of bounded size prunes ``texts`` before the two joins."""
-    bits = 1 << 25
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    t = materialise(maybe_in(texts, "doc_id", bitmap(ids, "doc_id", bits), bits), "near-texts")
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "near-asked")
+    bits = bits_for(ids.count())
+    t = materialise(maybe_in(texts, "cid", bitmap(ids, "cid", bits), bits), "near-texts")
     return (
-        pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs.join(t.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(t.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
     )
 
@@ -110,7 +112,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def jaccard_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Adds ``inter`` and ``total`` (sizes of intersection and union of the full shingle sets) to ``pairs(a, b)``.
 
-    ``texts(doc_id, text)`` may hold more rows than the pairs name.
+    ``texts(cid, text)`` may hold more rows than the pairs name.
     """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def full(text) -> set:
@@ -202,12 +204,14 @@ def near_duplicates(
     star_rounds: int = 2,
 ) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``: one row per document with ``doc_id, n_shingles,
-    component_id, kept``.
+    component_id, kept, text_hash`` (xxhash64 of the text).
 
     Texts are lower-cased (A-Z) and cut into words; the set of a document is its distinct ``shingle``-word shingles
     (fewer words: the whole sequence is one). Two documents are linked if 100 * |A & B| >= percent * |A | B|. A
-    document with no word, an empty or a null text has an empty set and is linked with nothing. Repeated rows of one
-    doc_id give repeated result rows. Other columns are ignored.
+    document with no word, an empty or a null text has an empty set and is linked with nothing. Repeated rows give
+    repeated result rows. Rows that share a doc_id and differ in text are documents of their own: each has the smallest
+    doc_id that its own text reaches. Rows without doc_id take part too; where only such rows are linked, component_id is
+    null and one of them is kept. Other columns are ignored.
 
     1. Equal word sequences form classes (a pre-aggregated ``min``); the smallest id stands for its class from here on.
     2. Circulant MinHash: two permutations give all bands * rows coordinates. With 48 bands of 5 rows a pair at 0.75
@@ -219,16 +223,34 @@ def near_duplicates(
        across components that can be linked at all, and they are compared. So no link within a bucket is lost, while a
        large group of copies costs about as many comparisons as it has members.
     """
+    options = {"shingle": shingle, "percent": percent, "star_rounds": star_rounds}
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    schema = "doc_id long, text_hash long, same binary, n_shingles long, bands array<long>"
+    sketch = lambda df: materialise(df.mapInArrow(_sketches(shingle, bands, rows, seed), schema), "near-sketches")
+    sk = sketch(docs)
+    several = sk.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.max("n_shingles").alias("words")).where("if(doc_id is null, words > 0, lo <> hi)")
+    if several.isEmpty():
+        return _by_identifier(sk, docs.select("doc_id", "text"), **options)
+    drop_scratch(docs.sparkSession, sk)
+    numbered = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    own = numbered.select(F.col("row").alias("doc_id"), "text_hash", "text")
+    found = _by_identifier(sketch(own), own.select("doc_id", "text"), **options).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("c"))
+    found = materialise(numbered.drop("text").join(found, "row"), "near-found")
+    least = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row") == F.col("c")))
+    return found.join(least, "c").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
+
+
+def _by_identifier(sk: DataFrame, docs: DataFrame, shingle: int, percent: int, star_rounds: int) -> DataFrame:
+    """``near_duplicates`` of rows whose doc_id tells their texts apart, from their sketches."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, same binary, n_shingles long, bands array<long>"
-    sk = materialise(docs.mapInArrow(_sketches(shingle, bands, rows, seed), schema), "near-sketches")
     classes = sk.where("n_shingles > 0").groupBy("same").agg(F.min("doc_id").alias("cid"))
     reps = sk.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
     members = reps.select(F.col("doc_id").alias("cid"), "n_shingles", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("cid").alias("centre")).where("n > 1")
     shared = materialise(members.join(buckets.select("bucket"), "bucket"), "near-members")
-    texts = docs.where(F.col("text").isNotNull())
+    texts = docs.where("text is not null").select(F.col("doc_id").alias("cid"), "text")
     same_size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     linked = F.col("inter") * 100 >= F.col("total") * percent
 
@@ -274,10 +296,10 @@ def near_duplicates(
 
     cid = classes.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").select("same", F.coalesce("component", "cid").alias("cid"))
     return (
-        sk.select("doc_id", "same", "n_shingles")
+        sk.select("doc_id", "text_hash", "same", "n_shingles")
         .join(cid, "same", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cid")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
     )
 
 
