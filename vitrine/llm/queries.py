@@ -29,7 +29,7 @@ def op2_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("locator")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
