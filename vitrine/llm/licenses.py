@@ -21,7 +21,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose words stand consecutively, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Statements and opening sentences of public licenses, and their labels.
+#: Public license texts, statements and notices, and their labels.
 TEMPLATES = (
     ("Released under the MIT License.", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
@@ -33,7 +33,72 @@ TEMPLATES = (
     ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
-)
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+        "to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS "
+        "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+        "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF "
+        "SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "bsd",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "isc",
+    ),
+    (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission "
+        "is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The "
+        "origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This "
+        "notice may not be removed or altered from any source distribution.",
+        "zlib",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "unlicense",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
+        "gpl",
+    ),
+    (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "lgpl",
+    ),
+    (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "mpl",
+    ),
+)
+
+#: Templates of at most so many words are met in shorter runs of words than the others.
+SHORT = 40
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def template_words(text: str) -> list[str]:
@@ -67,9 +132,10 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
 
     A word is a run of digits, ASCII letters and non-ASCII characters, lower-cased. Base labels come from the places
     where a phrase's words stand consecutively. A block is a line or a run of words; it meets a template if it holds at least ``percent``
-    of the template's distinct words. So that notices wrapped over lines are met, runs of words inside a paragraph are
-    blocks as well: twice as many words as the longest template has, each run starting halfway into the one before, so
-    that one of them holds any notice in full. Their ``line`` is -1, -2 and so on; they are left out of ``blocks`` where
+    of the template's distinct words. So that notices wrapped over lines are met, runs of words are blocks as well, each
+    starting halfway into the one before: for templates of at most ``SHORT`` words inside a paragraph, for longer ones,
+    which have paragraphs of their own, in the whole text. A run is twice as long as the longest of its templates, so that
+    one of them holds any notice in full. Their ``line`` is -1, -2 and so on; they are left out of ``blocks`` where
     a line of the text meets the same template at least as well. ``score`` is 1 with a base label, else the largest containment that was met,
     else 0. Null and empty texts have no words, no labels and score 0; repeated rows give repeated results; an empty
     table gives no rows.
@@ -83,42 +149,50 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
     sets = [template_words(t) for t, _ in templates]
     vocabulary = sorted({w for s in sets for w in s})
     least = min(needed(len(s), percent) for s in sets)
-    ws = F.transform(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
+    low = lambda c: F.translate(c, CAPITALS, SMALL)
+    ws = F.transform(F.split(low(F.coalesce(F.col("text").cast("string"), F.lit(""))), "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
     d = docs.select(*keep, F.col("text").cast("string").alias("__text"), ws.alias("__ws"))
-    longest = max(len(re.findall(WORD, t.lower())) for t, _ in templates)
+    lengths = [len(re.findall(WORD, t.lower())) for t, _ in templates]
+    runs_of = [max([n for n in lengths if n <= SHORT], default=1), max(lengths)]
     has = lambda w: F.array_intersect(w, F.array(*[F.lit(x) for x in vocabulary]))
     enough = lambda w: F.exists(F.array(*[F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in s]))) >= needed(len(s), percent) for s in sets]), lambda x: x)
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(longest)), lambda p: has(F.slice(w, p, 2 * longest)))
-    paragraphs = F.filter(F.transform(F.split(F.lower("__text"), PARAGRAPHS), lambda t: F.when(t.contains("\n"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))), lambda w: F.size(w) > 0)
-    windows = F.transform(F.flatten(F.transform(paragraphs, runs)), lambda w, i: F.struct((-1 - i).alias("line"), w.alias("words")))
+    def runs(w: Column, kind: int) -> Column:
+        span = F.lit(runs_of[kind])
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), span)
+        return F.transform(starts, lambda p: F.struct(has(F.slice(w, p, 2 * span)).alias("words"), F.lit(kind).alias("kind")))
+
+    paragraphs = F.transform(F.split(low(F.col("__text")), PARAGRAPHS), lambda t: F.when(t.contains("\n"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    short = F.flatten(F.transform(F.filter(paragraphs, lambda w: F.size(w) > 0), lambda w: runs(w, 0)))
+    long = F.when(F.col("__text").contains("\n"), runs(F.flatten("__ws"), 1)).otherwise(F.array().cast("array<struct<words:array<string>,kind:int>>"))
+    windows = F.transform(F.concat(short, long), lambda w, i: F.struct((-1 - i).alias("line"), w["words"].alias("words"), w["kind"].alias("kind")))
     wrapped = F.when(enough(has(F.flatten("__ws"))), F.filter(windows, lambda b: enough(b["words"])))
-    may = F.lower("__text").rlike("|".join("[^a-z0-9]+".join(p.split()) for p, _ in phrases))
+    may = low(F.col("__text")).rlike("|".join("[^a-z0-9]+".join(p.split()) for p, _ in phrases))
     d = d.select(
         *keep,
         F.aggregate("__ws", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_words"),
         F.when(may, F.flatten("__ws")).otherwise(F.array().cast("array<string>")).alias("__flat"),
         F.filter(
-            F.transform("__ws", lambda x, i: F.struct(i.alias("line"), F.array_intersect(x, F.array(*[F.lit(w) for w in vocabulary])).alias("words"))),
+            F.transform("__ws", lambda x, i: F.struct(i.alias("line"), has(x).alias("words"), F.lit(0).alias("kind"))),
             lambda b: F.size(b["words"]) >= least,
         ).alias("__blocks"),
-        F.coalesce(wrapped, F.array().cast("array<struct<line:int,words:array<string>>>")).alias("__wrapped"),
+        F.coalesce(wrapped, F.array().cast("array<struct<line:int,words:array<string>,kind:int>>")).alias("__wrapped"),
     ).withColumn("__blocks", F.concat("__blocks", "__wrapped")).drop("__wrapped")
     d = d.select("*", *[_starts(F.col("__flat"), p).alias(f"__p{k}") for k, (p, _) in enumerate(phrases)]).drop("__flat")
     table = materialise(d.withColumn("__row", F.monotonically_increasing_id()), "license-blocks")
 
-    blocks = table.select("__row", F.explode("__blocks").alias("b")).select("__row", "b.line", "b.words")
+    blocks = table.select("__row", F.explode("__blocks").alias("b")).select("__row", "b.line", "b.words", "b.kind")
     counts = {r["w"]: r["n"] for r in blocks.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     spark = docs.sparkSession
     ranked = [sorted(order[w] for w in s) for s in sets]
-    t = [(k, label, r, needed(len(r), percent)) for k, ((_, label), r) in enumerate(zip(templates, ranked))]
-    prefixes = spark.createDataFrame([(word, i, len(r), n, k, label, r) for k, label, r, n in t for i, word in enumerate(r) if i + n <= len(r)], "word int, i int, t_size int, need int, template int, label string, t_words array<int>")
+    t = [(k, label, r, needed(len(r), percent), int(n > SHORT)) for k, ((_, label), r, n) in enumerate(zip(templates, ranked, lengths))]
+    prefixes = spark.createDataFrame([(word, i, len(r), n, k, label, r, kind) for k, label, r, n, kind in t for i, word in enumerate(r) if i + n <= len(r)], "word int, i int, t_size int, need int, template int, label string, t_words array<int>, t_kind int")
     place = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
-    r = blocks.select("__row", "line", F.array_sort(F.transform("words", lambda w: place[w])).alias("words"))
-    entry = r.select("__row", "line", "words", F.size("words").alias("size"), F.posexplode(F.slice("words", F.lit(1), F.greatest(F.size("words") - least + 1, F.lit(0)))).alias("j", "word"))
+    r = blocks.select("__row", "line", "kind", F.array_sort(F.transform("words", lambda w: place[w])).alias("words"))
+    entry = r.select("__row", "line", "kind", "words", F.size("words").alias("size"), F.posexplode(F.slice("words", F.lit(1), F.greatest(F.size("words") - least + 1, F.lit(0)))).alias("j", "word"))
     met = (
         entry.join(F.broadcast(prefixes), "word")
-        .where("size >= need and j + need <= size and 1 + least(t_size - i - 1, size - j - 1) >= need")
+        .where("(line >= 0 or kind = t_kind) and size >= need and j + need <= size and 1 + least(t_size - i - 1, size - j - 1) >= need")
         .dropDuplicates(["__row", "line", "template"])
         .withColumn("shared", F.size(F.array_intersect("words", "t_words")))
         .where("shared >= need")
