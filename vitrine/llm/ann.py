@@ -87,15 +87,15 @@ def nearest(
     Returns ``query_id, rank, vec_id, score``, nearest first, ties to the smaller vec_id; ``score`` is the inner product
     of the original vectors in double precision. A row is no candidate for a query of its own vec_id. Rows without
     vec_id, vectors that are null, zero, hold null or non-finite components, or have another length than most, take no
-    part. Repeated rows count once. Other columns are ignored; an empty table gives no rows.
+    part. Repeated rows count once. Vectors are kept and scored in double precision. Other columns are ignored; an empty table gives no rows.
 
-    Codebooks are fitted on at most ``sample`` vectors, the first by a hash (the documented bound of what comes to the
-    driver); every row is indexed. Equal vectors share one entry with their k + 1 smallest ids, which is all that
+    Codebooks are fitted on at most ``sample`` vectors, those of the least hashes of their ids (the documented bound of
+    what comes to the driver, and no task sorts more); every row is indexed. Equal vectors share one entry with their k + 1 smallest ids, which is all that
     any query can return of them. Entries are packed into blocks; every block of queries meets every block of entries
     once, scores it by lookup tables of inner products with all codewords, and reranks the best ``rerank`` exactly.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), is_query.alias("query"))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("query"))
     v = v.where("vec_id is not null").where(usable(F.col("embedding")))
     usual = v.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double"
@@ -106,7 +106,10 @@ def nearest(
     place = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
     few = v.select("vec_id", "embedding").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
     entries = materialise(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-entries")
-    some = entries.select("embedding").orderBy(F.xxhash64(F.col("embedding").cast("string"))).limit(sample)
+    count = entries.count()
+    at = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(29)), F.lit(1 << 30))
+    below = (1 << 30) if count <= sample else int((sample + 4 * sample**0.5) / count * (1 << 30)) + 1
+    some = entries.where(at < below).select("embedding", F.col("ids")[0].alias("first"), at.alias("at")).orderBy("at", "first").limit(sample)
     fit = np.array([r[0] for r in some.collect()], np.float64)
     fit /= np.linalg.norm(fit, axis=1)[:, None]
     shared = spark.sparkContext.broadcast(train_codebooks(fit, books, words))
@@ -115,7 +118,7 @@ def nearest(
         for batch in batches:
             for a in range(0, batch.num_rows, block):
                 part = batch.slice(a, block)
-                x = _matrix(part.column(0), dims).astype(np.float32)
+                x = _matrix(part.column(0), dims)
                 codes, scale = encode(x, shared.value, beam)
                 ids = part.column(1)
                 row = {"codes": codes.tobytes(), "scales": scale.tobytes(), "vectors": x.tobytes(), "ids": ids.flatten().to_numpy().astype(np.int64).tobytes(), "sizes": np.diff(ids.offsets.to_numpy()).astype(np.int32).tobytes()}
@@ -125,11 +128,13 @@ def nearest(
         for batch in batches:
             for a in range(0, batch.num_rows, query_block):
                 part = batch.slice(a, query_block)
-                yield pa.RecordBatch.from_pylist([{"q_ids": part.column(0).to_numpy().tobytes(), "q_vectors": _matrix(part.column(1), dims).astype(np.float32).tobytes()}])
+                yield pa.RecordBatch.from_pylist([{"q_ids": part.column(0).to_numpy().tobytes(), "q_vectors": _matrix(part.column(1), dims).tobytes()}])
 
-    tasks = int(max(1, -(-entries.count() // block)))
-    indexed = materialise(entries.repartition(tasks).mapInArrow(index, "codes binary, scales binary, vectors binary, ids binary, sizes binary").withColumn("block", F.monotonically_increasing_id()), "ann-index")
-    numbers = [r[0] for r in indexed.select("block").collect()]
+    tasks = int(max(1, -(-count // block)))
+    indexed = materialise(entries.repartition(tasks).mapInArrow(index, "codes binary, scales binary, vectors binary, ids binary, sizes binary").withColumn("id", F.monotonically_increasing_id()), "ann-index")
+    order = materialise(indexed.select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("block")), "ann-blocks")  # a row for each block
+    blocks = order.count()
+    indexed = indexed.join(F.broadcast(order), "id")
     asked = v.where("query").select("vec_id", "embedding").distinct()
     queries = materialise(asked.repartition(max(1, tasks // 4)).mapInArrow(pack, "q_ids binary, q_vectors binary"), "ann-queries")
 
@@ -138,11 +143,11 @@ def nearest(
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_py(), kind)  # noqa: E731, B023
-                q_ids, q = get("q_ids", np.int64), get("q_vectors", np.float32).reshape(-1, dims)
+                q_ids, q = get("q_ids", np.int64), get("q_vectors", np.float64).reshape(-1, dims)
                 codes = np.ascontiguousarray(get("codes", np.uint8).reshape(-1, len(books_)).T)
-                x, sizes = get("vectors", np.float32).reshape(-1, dims), get("sizes", np.int32)
+                x, sizes = get("vectors", np.float64).reshape(-1, dims), get("sizes", np.int32)
                 ids, begin = get("ids", np.int64), np.concatenate([[0], np.cumsum(sizes)])
-                tables = np.einsum("qd,mwd->qmw", q, books_, optimize=True)
+                tables = np.einsum("qd,mwd->qmw", q.astype(np.float32), books_, optimize=True)
                 scale = get("scales", np.float32)
                 out_q, out_v, out_s = [], [], []
                 for i in range(len(q_ids)):
@@ -151,7 +156,7 @@ def nearest(
                         s += tables[i, m][codes[m]]
                     s *= scale
                     short = np.argpartition(-s, rerank)[:rerank] if len(s) > rerank else np.arange(len(s))
-                    exact = x[short].astype(np.float64) @ q[i].astype(np.float64)
+                    exact = x[short] @ q[i]
                     if len(exact) > k + 1:
                         good = exact >= np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]
                         short, exact = short[good], exact[good]
@@ -165,7 +170,7 @@ def nearest(
                     out_s.append(val[top])
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
 
-    pairs = queries.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in numbers]))).join(indexed, "block")
+    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(indexed, "block")
     found = pairs.select("q_ids", "q_vectors", "codes", "scales", "vectors", "ids", "sizes").mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
