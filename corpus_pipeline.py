@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import exact_dedup, minhash, mixing, toxicity
-from vitrine.llm.common import materialise
+from vitrine.llm.common import clear_scratch, materialise, scratch_mark
 from vitrine.llm.queries import op4_bpe
 
 
@@ -24,9 +24,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the smallest doc_id. Rows without doc_id stay."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate component: that with the smallest doc_id (see ``minhash.near_duplicates``)."""
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        mark = scratch_mark()
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        clear_scratch(spark, mark, keep=(docs,))
     return docs
