@@ -60,8 +60,8 @@ def sainte_lague(rows: DataFrame, group: list[str], key: str, seats: Column) ->
     )
     ranked = (
         r.where("__hi > __lo")
-        .select(*group, key, "__open", F.explode(F.sequence("__lo", F.col("__hi") - 1)).alias("k"), "votes")
-        .withColumn("__rank", F.row_number().over(g.orderBy((F.col("votes") / (2 * F.col("k") + 1)).desc(), F.col(key).asc(), F.col("k").asc())))
+        .select(*group, key, "__open", F.explode(F.sequence("__lo", F.col("__hi") - 1)).alias("__k"), "votes")
+        .withColumn("__rank", F.row_number().over(g.orderBy((F.col("votes") / (2 * F.col("__k") + 1)).desc(), F.col(key).asc(), F.col("__k").asc())))
         .where("__rank <= __open")
     )
     more = ranked.groupBy(*group, key).agg(F.count("*").alias("__more"))
