@@ -119,18 +119,25 @@ def maybe_in(df: DataFrame, column: str, bm: DataFrame, bits: int, keep: bool =
 # --------------------------------------------------------------------------- connected components
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: every u has one edge, and no v is a u."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("centre")), F.struct(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("centre")))).alias("p"))
+    n = ends.select("p.*").groupBy("id").agg(F.sum("out").alias("out"), F.max("centre").alias("centre"))
+    return n.where("out > 1 or (out = 1 and centre = 1)").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as ``(id, component)`` with the smallest reachable id.
 
-    Alternating large-star and small-star rounds: every round is two shuffles of at most as many rows as there are
-    edges; the rounds grow with the logarithm of the longest path. Each round is written to the shared folder, and
-    only a count comes to the driver. A hub's edges are pre-aggregated (``min``) before the shuffle.
+    Alternating large-star and small-star rounds until only stars are left: every round is two shuffles of at most as
+    many rows as there are edges; the rounds grow with the logarithm of the longest path. Each round is written to the
+    shared folder, and no row comes to the driver. A hub's edges are pre-aggregated (``min``) before the shuffle.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = materialise(e, name)
-    mark = lambda t: tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    seen = mark(e)
     for _ in range(max_rounds):
+        if _settled(e):
+            break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -144,12 +151,10 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 40) -> Data
         )
         new = materialise(small, name)
         drop_scratch(e.sparkSession, e)
-        e, before, seen = new, seen, mark(new)
-        if seen == before:
-            break
+        e = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
