@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, licenses, minhash, mixing, sharding, substring, toxicity, warc
+from . import ann, bpe, exact_dedup, licenses, minhash, mixing, sharding, substring, toxicity, twins, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,5 +79,8 @@ ORACLE_SQL: dict[str, str] = {
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = min(doc_id) over g as kept, sha256(t) as text_sha256
 from d window g as (partition by t)""",
+    "op2_suffix_automata": twins.REPEATS,
+    "op6_minhash": twins.NEAR,
     "op8_licenses": licenses.oracle(),
+    "op10_warc": twins.ARCHIVES,
 }
