@@ -7,13 +7,20 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.functions import dates as D
+from vitrine.functions import metadata as M
 from vitrine.functions import paths as P
+from vitrine.functions import predicates as PR
 from vitrine.functions import scalars as S
+from vitrine.functions import stems as ST
 from vitrine.functions import vectors as V
 from vitrine.operators import catalogue as C
+from vitrine.operators import coverage as COV
 from vitrine.operators import geometry as G
+from vitrine.operators import ingest as I
+from vitrine.operators import people as PPL
 from vitrine.operators import search as Q
-from vitrine.plans import queries as plans
+from vitrine import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,18 +44,28 @@ def test_query_equals_its_sql(spark, name):
     assert rows(plans.QUERIES[name](spark, SF).toPandas()) == rows(c.execute(plans.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize(
-    "segment, start, end, precision",
-    [
-        ("2009-02-07 trip", "2009-02-07", None, "day"), ("IMG_20200306_185130", "2020-03-06", None, "day"), ("summer 1999 best", "1999", None, "year"),
-        ("1994-09 lake", "1994-09", None, "month"), ("1992-1998", "1992", "1998", "year"), ("1992 - 1998", "1992", "1998", "year"), ("1982--91", "1982", "1991", "year"),
-        ("1982 -- 91", "1982", "1991", "year"), ("1997-01-15 -- 18", "1997-01-15", "1997-01-18", "day"), ("2009-02-07 -- 03-14", "2009-02-07", "2009-03-14", "day"),
-        ("2009-02-07 -- 2009-03-01", "2009-02-07", "2009-03-01", "day"), ("no date", None, None, None), ("", None, None, None),
-    ],
-)
-def test_path_dates(spark, segment, start, end, precision):
-    r = spark.range(1).select(P.path_date(F.lit(segment)).alias("p")).first()["p"]
-    assert (r and (r["start"], r["end"], r["precision"])) == ((start, end, precision) if start else None)
+DATES = [
+    ("2009-02-07 trip", "2009-02-07", None, "day"), ("IMG_20200306_185130", "2020-03-06", None, "day"), ("summer 1999 best", "1999", None, "year"),
+    ("1994-09 lake", "1994-09", None, "month"), ("1992-1998", "1992", "1998", "year"), ("1992 - 1998", "1992", "1998", "year"), ("1982--91", "1982", "1991", "year"),
+    ("1982 -- 91", "1982", "1991", "year"), ("1997-01-15 -- 18", "1997-01-15", "1997-01-18", "day"), ("2009-02-07 -- 03-14", "2009-02-07", "2009-03-14", "day"),
+    ("2009-02-07 -- 2009-03-01", "2009-02-07", "2009-03-01", "day"), ("2009-02-07 - 2009-03-01", "2009-02-07", "2009-03-01", "day"), ("1998--03", "1998", "2003", "year"),
+    ("1998-1992", None, None, None), ("2009-02-07 -- 9", "2009-02-07", "2009-02-09", "day"), ("2009-02-07 -- 2009-13-01", "2009-02-07", None, "day"), ("no date", None, None, None), ("", None, None, None),
+]
+
+
+def test_dates_in_names(spark):
+    d = spark.createDataFrame([(i, r[0]) for i, r in enumerate(DATES)], "id int, name string")
+    for r in d.select("id", D.date_in(F.col("name")).alias("p")).collect():
+        _, start, end, precision = DATES[r["id"]]
+        assert (r["p"] and (r["p"]["start"], r["p"]["end"], r["p"]["precision"])) == ((start, end, precision) if start else None)
+
+
+def test_titles(spark):
+    want = {"IMG_1234.jpg": None, "3 cats.jpg": "3 cats", "garden 1.png": "garden", "scan 12.tif": None, "sea_side.jpg": "sea_side", "DSC_0001 harbour.jpg": "harbour", "a.b.c": "a.b", ".hidden": "hidden", "1999": None}
+    d = spark.createDataFrame([(k,) for k in want], "name string")
+    assert {r[0]: r[1] for r in d.select("name", P.display_title(F.col("name"))).collect()} == want
+    only = {r[0] for r in d.where(P.only_camera_id(F.col("name"))).collect()}
+    assert only == {"IMG_1234.jpg", "scan 12.tif"}
 
 
 def test_fusion(spark):
@@ -64,12 +81,134 @@ def test_cosine_of_a_zero_vector_and_other_lengths(spark):
     assert [r[0] for r in d.select(V.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, None, None]
 
 
+def test_stems_are_porters():
+    want = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre motoring:motor sing:sing conflated:conflat hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit digitizer:digit vietnamization:vietnam hopefulness:hope sensibiliti:sensibl triplicate:triplic formalize:formal electrical:electr goodness:good revival:reviv adjustable:adjust replacement:replac adoption:adopt homologous:homolog probate:probat rate:rate cease:ceas controll:control roll:roll licenses:licens licensed:licens"
+    for pair in want.split():
+        word, stem = pair.split(":")
+        assert ST.stem(word) == stem
+
+
+def test_text_index(spark):
+    docs = spark.createDataFrame([(1, "Licenses for the café"), (2, "licensed, licensed"), (3, "the CAFE"), (4, None), (5, "")], "id long, text string")
+    plain, stems = Q.postings(docs), Q.postings(docs, stem=True)
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(Q.keyword_search(plain, ["cafe"])) == [1, 3] and ids(Q.keyword_search(plain, ["license"])) == []
+    assert ids(Q.keyword_search(stems, [ST.stem("license")])) == [1, 2]
+    assert ids(Q.keyword_search(plain, ["the", "cafe"])) == [1, 3] and ids(Q.keyword_search(plain, ["the", "licensed"], every=False)) == [1, 2, 3]
+    assert ids(Q.keyword_search(plain, [])) == []
+    # three of five documents: idf is floored, so the score is tiny but not negative
+    n, df, f, size, mean = 5, 1, 2, 2, 8 / 5
+    idf = math.log((n - df + 0.5) / (df + 0.5))
+    assert math.isclose(Q.keyword_search(plain, ["licensed"]).first()["score"], idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean)))
+    new = Q.updated_postings(plain, spark.createDataFrame([(3, "no more")], "id long, text string"), spark.createDataFrame([(1,)], "id long"))
+    assert ids(Q.keyword_search(new, ["cafe"])) == [] and ids(new.where("term is null")) == [2, 3, 4, 5]
+
+
+def test_similar_pairs_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.RandomState(1).randn(70, 5)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, [0.0] * 5), (101, None)], "id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i in range(70) for j in range(i + 1, 70) if u[i] @ u[j] >= 0.5}
+    assert {(r["a"], r["b"]) for r in Q.similar_pairs(d, 0.5, rows=9).collect()} == want
+    assert {(r["a"], r["b"]) for r in Q.similar_across(d.where("id < 20"), d.where("id >= 20"), 0.5, rows=9).collect()} == {(i, j) for i, j in want if i < 20 <= j}
+    assert Q.similar_pairs(d.where("id < 0"), 0.5).count() == 0
+
+
+def test_metadata_keeps_what_it_does_not_know():
+    old = {"title": "T", "number_of_people": 2, "unknown": {"a": [1]}, "photo_estetic_quality": 7, "star_rating_1_5": 3}
+    n = M.normal(old)
+    assert n["image_analysis"]["title"] == "T" and n["people"]["vlm_analysis"]["number_of_people"] == 2 and n["unknown"] == {"a": [1]} and "star_rating_1_5" not in n
+    m = M.merge(n, {"image_analysis": {"title": "U"}, "people": {"vlm_analysis": {"has_children": True}}, "unknown": 5})
+    assert m["image_analysis"]["title"] == "U" and m["image_analysis"]["photo_estetic_quality"] == 7 and m["people"]["vlm_analysis"]["number_of_people"] == 2 and m["unknown"] == 5
+    assert M.normal(None) == {"schema_version": "2.0"} and M.normal(n) == n
+    assert M.normal({"schema_version": "2.0", "provenance": {"metadata_version": "m"}})["metadata_version"] == "m"
+
+
+def test_quick_filter_edges():
+    f = PR.QuickFilter(people="none", years=(None, 1999), location="  Rome ")
+    assert f.active() == 3 and f.search_range() == {"event_date_end": "1999-12-31", "location_query": "Rome"}
+    assert D.month_bound("2024-02", True) == "2024-02-29T23:59:59.999Z" and D.month_bound("2024-13", True) is None and D.month_bound("2024", False) == "2024-01-01"
+    assert D.day_bound("2023-02", True) == "2023-02-28" and D.day_bound("2023-02-05", True) == "2023-02-05" and D.day_bound("x", False) is None
+
+
+def test_stale_rules(spark):
+    side = "content_hash string, width int, height int, orientation int, byte_size long, mtime long"
+    cases = [((None, 1, 1, 1, 5, 5), ("h", 2, 1, 1, 6, 6), False), (("h", 1, 1, 1, 5, 5), (None, 1, 1, 1, 5, 5), True), (("h", 1, 1, 1, 5, 5), ("g", 1, 1, 1, 9, 9), False), (("h", 1, 1, 1, 5, 5), ("g", 1, 2, 1, 5, 5), True), ((None, 1, 1, 1, 5, 5), (None, 1, 1, 1, 6, 5), True), ((None, 1, None, 1, 5, 5), (None, 1, None, 1, 5, 5), False)]
+    for a, b, want in cases:
+        old, new = spark.createDataFrame([a], side).alias("old"), spark.createDataFrame([b], side).alias("new")
+        assert old.crossJoin(new).select(I.stale("old", "new")).first()[0] == want
+
+
+def test_albums_keep_positions_and_move(spark):
+    m = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 12, 2)], "album_id long, item_id long, position int")
+    added = spark.createDataFrame([(1, 11, 1), (1, 13, 2), (1, 14, 1), (2, 5, 1)], "album_id long, item_id long, nth int")
+    got = {(r["album_id"], r["item_id"]): r["position"] for r in I.album_with(m, added).collect()}
+    assert got == {(1, 10): 0, (1, 11): 1, (1, 12): 2, (1, 14): 3, (1, 13): 4, (2, 5): 0}
+    moved = I.album_moved(m, spark.createDataFrame([(1, 12, 10)], "album_id long, item_id long, before_id long"))
+    assert [r["item_id"] for r in moved.orderBy("position").collect()] == [12, 10, 11]
+
+
+def test_faces_keep_their_tags(spark):
+    box = "image long, id long, tag_id long, x1 double, y1 double, x2 double, y2 double"
+    old = spark.createDataFrame([(1, 1, 7, 0.0, 0.0, 10.0, 10.0), (1, 2, None, 50.0, 50.0, 60.0, 60.0), (1, 3, 8, 80.0, 80.0, 90.0, 90.0)], box)
+    new = spark.createDataFrame([(1, 101, 1.0, 0.0, 11.0, 10.0), (1, 102, 20.0, 20.0, 30.0, 30.0)], "image long, id long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["id"], r["new_id"], r["tag_id"], r["state"]) for r in I.redetected_faces(old, new).collect()}
+    assert got == {(1, 101, 7, "updated"), (2, None, None, "deleted"), (3, None, 8, "kept"), (None, 102, None, "new")}
+
+
+def test_nearest_city_over_the_date_line_and_far_away(spark):
+    cities = spark.createDataFrame([("a", 0.0, 179.9), ("b", 0.0, 170.0), ("c", 60.0, 0.0)], "city string, latitude double, longitude double")
+    points = spark.createDataFrame([(1, 0.0, -179.9), (2, -80.0, 10.0), (3, 60.1, 0.1), (4, None, 1.0)], "id long, latitude double, longitude double")
+    got = {r["id"]: r["city"] for r in COV.nearest_city(points, cities).collect()}
+    far = lambda lat, lon, la, lo: math.acos(max(-1, min(1, math.sin(math.radians(lat)) * math.sin(math.radians(la)) + math.cos(math.radians(lat)) * math.cos(math.radians(la)) * math.cos(math.radians(lon - lo)))))
+    assert got == {1: "a", 2: min("abc", key=lambda c: far(-80.0, 10.0, *{"a": (0.0, 179.9), "b": (0.0, 170.0), "c": (60.0, 0.0)}[c])), 3: "c"}
+
+
+def test_turns_undo_each_other(spark):
+    d = spark.createDataFrame([(a,) for a in (90, 180, 270)], "a int")
+    box = F.struct(F.lit(10.0).alias("x"), F.lit(20.0).alias("y"), F.lit(5.0).alias("width"), F.lit(7.0).alias("height"))
+    w, h = F.lit(100.0), F.lit(60.0)
+    size = G.turned_size(w, h, F.col("a"))
+    back = G.turned(G.turned(box, w, h, F.col("a")), size["width"], size["height"], 360 - F.col("a"))
+    assert {tuple(r[0]) for r in d.select(back).collect()} == {(10.0, 20.0, 5.0, 7.0)}
+    points = F.array(F.array(F.lit(3.0), F.lit(4.0)))
+    there = G.turned_points(points, w, h, F.col("a"))
+    assert {tuple(r[0][0]) for r in d.select(G.turned_points(there, w, h, F.col("a"), back=True)).collect()} == {(3.0, 4.0)}
+
+
+def test_five_points_of_98_and_decoded_boxes(spark):
+    flat = [float(v) for p in range(98) for v in (p, 2 * p)]
+    r = spark.createDataFrame([(flat,), (flat[:10],)], "p array<double>").select(G.five_of_98(F.col("p"))).collect()
+    assert r[0][0] == [[63.5, 127.0], [71.5, 143.0], [54.0, 108.0], [76.0, 152.0], [82.0, 164.0]] and r[1][0] is None
+    d = spark.createDataFrame([(0.5, 0.5, 0.2, 0.4, [1.0, 0.0, 0.0, 0.0], [0.0] * 10)], "cx double, cy double, w double, h double, d array<double>, p array<double>")
+    out = d.select(G.decoded_box(F.col("d")).alias("b"), G.decoded_points(F.col("p")).alias("p")).first()
+    assert [round(v, 6) for v in out["b"]] == [0.42, 0.3, 0.62, 0.7] and out["p"] == [[0.5, 0.5]] * 5
+
+
+def test_marks_and_tags(spark):
+    tags = spark.createDataFrame([(1, "bea", False), (2, "Al", False), (3, "cy", True)], "tag_id long, name string, pinned boolean")
+    faces = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 2, 2)], "id long, item_id long, tag_id long")
+    c = PPL.tag_counts(tags, faces)
+    assert [r["tag_id"] for r in PPL.tag_options(c, 3, 2).orderBy("place").collect()] == [3, 1]
+    assert [r["name"] for r in PPL.tag_search(c, " A ").collect()] == ["Al", "bea"]
+    assert {r["tag_id"] for r in PPL.visible_tags(c.withColumn("pinned", F.lit(False)), [], [2], top=1).collect()} == {1, 2}
+
+
 def test_moves_pair_by_name_and_size(spark):
     old = spark.createDataFrame([("/a/x.jpg", 100)], "path string, size long")
     assert C.moves(old, spark.createDataFrame([("/b/X.jpg", 100)], "path string, size long")).collect()[0]["new_path"] == "/b/X.jpg"
     assert C.moves(old, spark.createDataFrame([("/b/x.jpg", 200)], "path string, size long")).count() == 0
 
 
+def test_moves_by_hash_look_at_the_first_candidate_only(spark):
+    rows = "path string, size long, strong_hash string"
+    old = spark.createDataFrame([("/a/x", 1, "h1"), ("/b/x", 1, "h2"), ("/c/x", 1, "h3"), ("/a/y", None, "h")], rows)
+    new = spark.createDataFrame([("/n/X", 1, "h2"), ("/o/x", 1, "h1"), ("/p/x", 1, "h3"), ("/n/y", None, "h")], rows)
+    assert {(r[0], r[1]) for r in C.moves_by_hash(old, new).collect()} == {("/b/x", "/n/X")}
+
+
 def test_suppression_is_strict_and_keeps_the_best(spark):
     boxes = [(1, 1, 0.0, 0.0, 9.0, 9.0, 0.9), (1, 2, 0.0, 0.0, 9.0, 9.0, 0.8), (1, 3, 50.0, 50.0, 59.0, 59.0, 0.1), (2, 1, 0.0, 0.0, 9.0, 9.0, 0.5)]
     d = spark.createDataFrame(boxes, "image long, id long, x1 double, y1 double, x2 double, y2 double, score double")

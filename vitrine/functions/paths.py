@@ -1,15 +1,10 @@
-"""Paths: comparable forms, parents, ancestors, folder scopes, and dates and titles read from names."""
+"""Paths: comparable forms, parents, ancestors, folder scopes, and titles read from names."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 1800, 2100
-
-
 def comparable(path: Column) -> Column:
     """``\\`` as ``/``, runs of ``/`` as one, no ``/`` at the end."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/"), "(?<=.)/$", "")
@@ -41,50 +36,51 @@ def contains(column: Column, text: str) -> Column:
     return F.lower(column).contains(text.lower())
 
 
-def _valid(y: Column, m: Column | None = None, d: Column | None = None) -> Column:
-    conditions = [y.cast("int").between(FIRST_YEAR, LAST_YEAR)]
-    conditions += [m.cast("int").between(1, 12)] if m is not None else []
-    conditions += [d.cast("int").between(1, 31)] if d is not None else []
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def path_date(segment: Column) -> Column:
-    """struct(start, end, precision) from the first rule that fits a path segment, else null.
-
-    Ranges before single dates, days before months before years. A range rule that matches but has an impossible month
-    or day keeps the shorter range rules out.
-    """
-    g = lambda pattern, i: F.regexp_extract(segment, pattern, i)
-    out = lambda start, end, precision: F.struct(start.alias("start"), end.alias("end"), F.lit(precision).alias("precision"))
-    none, day = F.lit(None).cast("string"), r"(?<!\d)(\d{4})-(\d{2})-(\d{2})"
-    dash = r"\s*--\s*"
-    full, month_day, only_day = rf"{day}{dash}(\d{{4}})-(\d{{2}})-(\d{{2}})(?!\d)", rf"{day}{dash}(\d{{2}})-(\d{{2}})(?!\d)", rf"{day}{dash}(\d{{2}})(?![\d-])"
-    years, short = r"(?<!\d)(\d{4})\s*--?\s*(\d{4})(?!\d)", r"(?<!\d)(\d{4})\s*--\s*(\d{2})(?![\d-])"
-    compact, single, month, year = r"(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)", rf"{day}(?!\d)", r"(?<!\d)(\d{4})-(\d{2})(?![\d-])", r"(?<!\d)(\d{4})(?!\d)"
-    date = lambda p, i=1: F.concat_ws("-", g(p, i), g(p, i + 1), g(p, i + 2))
-    ok = lambda p: _valid(g(p, 1), g(p, 2), g(p, 3))
-    null = F.lit(None).cast("struct<start:string,end:string,precision:string>")
-    ranges = (
-        F.when(segment.rlike(full), F.when(ok(full) & _valid(g(full, 4), g(full, 5), g(full, 6)), out(date(full), date(full, 4), "day")))
-        .when(segment.rlike(month_day), F.when(ok(month_day) & _valid(g(month_day, 1), g(month_day, 4), g(month_day, 5)), out(date(month_day), F.concat_ws("-", g(month_day, 1), g(month_day, 4), g(month_day, 5)), "day")))
-        .when(segment.rlike(only_day), F.when(ok(only_day) & _valid(g(only_day, 1), g(only_day, 2), g(only_day, 4)), out(date(only_day), F.concat_ws("-", g(only_day, 1), g(only_day, 2), g(only_day, 4)), "day")))
-        .when(segment.rlike(years), F.when(_valid(g(years, 1)) & _valid(g(years, 2)), out(g(years, 1), g(years, 2), "year")))
-        .when(segment.rlike(short), F.when(_valid(g(short, 1)), out(g(short, 1), F.concat(F.substring(g(short, 1), 1, 2), g(short, 2)), "year")))
-    )
-    singles = (
-        F.when(segment.rlike(single) & ok(single), out(date(single), none, "day"))
-        .when(segment.rlike(compact) & ok(compact), out(date(compact), none, "day"))
-        .when(segment.rlike(month) & _valid(g(month, 1), g(month, 2)), out(F.concat_ws("-", g(month, 1), g(month, 2)), none, "month"))
-        .when(segment.rlike(year) & _valid(g(year, 1)), out(g(year, 1), none, "year"))
-    )
-    return F.coalesce(ranges, singles, null)
+#: What cameras and scanners put at the beginning and the end of a name.
+LEADING = (r"^(?:IMG|DSC[NF]?|DSCN|IMGP|SAM|MVI|MOV|VID|WP|PANO)[-_]?\d+(?:[-_]\d+)*", r"^scan\s*\d*", r"^(?:image|photo|pic|picture|img)\s*\d*", r"^P\d{4,}")
+TRAILING = (r"\s+scan\s*\d+$", r"\s+(?:IMG|DSC[NF]?|DSCN)[-_]?\d+$", r"[\s_\-]+\d{1,4}$")
+
+
+def stem(name: Column) -> Column:
+    """A file name without its extension; a dot at the beginning starts none."""
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
 def display_title(name: Column) -> Column:
-    """A file name without extension, camera ids, lone digits and signs at its edges; null if nothing is left."""
-    t = F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}$", "")
-    t = F.regexp_replace(t, r"(?i)^(img|dsc|dscn|dscf|pxl|mvi|vid|p)[_-]?\d{3,}[_ -]*", "")
-    t = F.regexp_replace(t, r"[_ -]*\d{8}[_-]?\d{0,6}$", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[_]+", " "), r"\s+", " ")
-    t = F.regexp_replace(t, r"^[\s\d.,;:_-]+|[\s.,;:_-]+$", "")
-    return F.nullif(F.trim(t), F.lit(""))
+    """A file name without extension, camera ids at either end, a lone number at the end and signs at the edges; null
+    if nothing but a number or the word scan is left."""
+    t = stem(name)
+    for pattern in (*LEADING, *TRAILING):
+        t = F.regexp_replace(t, "(?i)" + pattern, "")
+    t = F.regexp_replace(F.regexp_replace(t, r"^[\s,.\-_]+", ""), r"[\s,.\-_]+$", "")
+    return F.when((t != "") & ~t.rlike(r"(?i)^(\d+|scan)$"), t)
+
+
+def only_camera_id(name: Column) -> Column:
+    """Whether a file name is a camera's or scanner's id and nothing else."""
+    known = F.trim(stem(name)).rlike("(?i)" + "|".join(f"(?:{p})" for p in LEADING))
+    return known & display_title(name).isNull()
+
+
+def file_url(path: Column) -> Column:
+    """The ``file://`` URL of an absolute path, percent-encoded as paths are."""
+    plain = F.replace(F.replace(F.url_encode(F.regexp_replace(path, r"\\", "/")), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+    return F.concat(F.when(path.startswith("/"), "file://").otherwise("file:///"), plain)
+
+
+def relative_folder(path: Column, root: str) -> Column:
+    """The folder of a path below ``root``; empty for files directly in it."""
+    return F.regexp_replace(F.substring(parent(comparable(path)), len(root.rstrip("/")) + 1, 1 << 30), "^/", "")
+
+
+def match_form(path: Column) -> Column:
+    """The comparable form under which stored paths match; Windows paths (a drive or a backslash) in lower case."""
+    t = F.trim(path)
+    form = comparable(t)
+    return F.when(t.rlike(r"^[A-Za-z]:|\\"), F.lower(form)).otherwise(form)
+
+
+def covered(folder: Column, scope: Column, recursive: Column) -> Column:
+    """Whether a folder is the scope's own, or lies below it if the scope is recursive; blank ones never are."""
+    a, b = match_form(folder), match_form(scope)
+    return (a != "") & (b != "") & ((a == b) | (recursive & a.startswith(F.concat(b, F.lit("/")))))

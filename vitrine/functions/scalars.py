@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def coverage_label(done: Column, failed: Column, total: Column) -> Column:
     """``empty``, ``done``, ``not_done`` or ``partial``; failures count as processed."""
     return F.when(total == 0, "empty").when(done + failed >= total, "done").when(done + failed == 0, "not_done").otherwise("partial")
@@ -56,14 +61,26 @@ def not_blank(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def vat_mismatch(total: Column, percent: Column, vat: Column, tolerance: float = 0.05) -> Column:
-    """Whether the VAT differs from what its percentage of the gross total gives, beyond the tolerance."""
-    return F.abs(total * percent / (100 + percent) - vat) > tolerance
+def vat_mismatch(total: Column, percent: Column, vat: Column) -> Column:
+    """Whether a bill's VAT fits its percentage neither as part of the total nor on top of it.
+
+    It fits within two cents or a ten-thousandth of the total, within 0.35 points of the percentage that it makes of the rest,
+    or within a tenth of either amount. Nulls, and a total of 0, never are a mismatch.
+    """
+    within, above = total * percent / (100 + percent), total * percent / 100
+    near = F.greatest(F.lit(0.02), F.abs(total) * 1e-4)
+    rest = total - vat
+    tenth = lambda a: F.abs(a - vat) / F.greatest(F.abs(a), F.abs(vat), F.lit(1e-9)) <= 0.1
+    implied = (rest > near) & (F.abs(F.try_divide(100 * vat, rest) - percent) <= 0.35)
+    fits = (F.abs(within - vat) <= near) | (F.abs(above - vat) <= near) | F.coalesce(implied, F.lit(False)) | tenth(within) | tenth(above)
+    return F.coalesce((total != 0) & ~fits, F.lit(False))
+
+
+def many_digits(amount: Column) -> Column:
+    """Whether an amount has three decimal places or more."""
+    return F.coalesce(F.round(amount, 2) != amount, F.lit(False))
 
 
-def excluded(category: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether a category matches one of the patterns (``*`` stands for anything, letters in either case)."""
-    c = F.lit(False)
-    for p in patterns:
-        c = c | F.coalesce(F.lower(category).like(p.lower().replace("*", "%")), F.lit(False))
-    return c
+def similarity_of_distance(distance: Column) -> Column:
+    """Cosine similarity of a cosine distance, -1 to 1."""
+    return F.when(distance.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - distance)))

@@ -105,12 +105,35 @@ def snapshot_diff(disk: DataFrame, known: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", state.alias("state"), "size_a", "size_b")
 
 
-def moves(deleted: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs of a deleted and a new file of equal lower-case name and size, the first with the first and so on."""
-    numbered = lambda df, as_: df.select(F.col("path").alias(as_), F.lower(P.file_name(F.col("path"))).alias("name"), "size").withColumn("nth", F.row_number().over(W.partitionBy("name", "size").orderBy(as_)))
+def moves(deleted: DataFrame, new: DataFrame, order: str = "path") -> DataFrame:
+    """Pairs of a deleted and a new file of equal lower-case name and size, the first with the first and so on in the lists'
+    ``order`` (a column of both). Files of unknown size pair with none."""
+    key = lambda df: [F.lower(P.file_name(F.col("path"))).alias("name"), "size", F.col(order).alias("__at")]
+    numbered = lambda df, as_: df.select(F.col("path").alias(as_), *key(df)).withColumn("nth", F.row_number().over(W.partitionBy("name", "size").orderBy("__at", as_))).drop("__at")
     return numbered(deleted, "old_path").join(numbered(new, "new_path"), ["name", "size", "nth"]).select("old_path", "new_path", "size")
 
 
+def moves_by_hash(deleted: DataFrame, new: DataFrame, order: str = "path") -> DataFrame:
+    """Pairs like those of ``moves``, of files whose content is equal as well (column ``strong_hash``, null over 128 MiB).
+
+    Deleted files take their turns in order, and each looks only at the first new file of its name and size that is left: it
+    takes it if the hashes are equal, else it pairs with none. A name and size with n deleted files is one array of n entries.
+    """
+    entry = lambda c: F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "path", "strong_hash"))).alias(c)
+    named = lambda df: df.where("size is not null").withColumn("name", F.lower(P.file_name(F.col("path")))).groupBy("name", "size")
+    both = named(deleted).agg(entry("old")).join(named(new).agg(entry("new")), ["name", "size"])
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<old_path:string,new_path:string>>").alias("pairs"))
+
+    def turn(state, d):
+        first = F.try_element_at("new", state["next"])
+        same = F.coalesce(first["strong_hash"] == d["strong_hash"], F.lit(False))
+        pair = F.struct(d["path"].alias("old_path"), first["path"].alias("new_path"))
+        return F.when(same, F.struct((state["next"] + 1).alias("next"), F.array_append(state["pairs"], pair).alias("pairs"))).otherwise(state)
+
+    found = both.select("size", F.explode(F.aggregate("old", start, turn)["pairs"]).alias("p"))
+    return found.select("p.old_path", "p.new_path", "size")
+
+
 def reconcile(known: DataFrame, disk: DataFrame, now: str) -> DataFrame:
     """``known`` with missing files soft-deleted at ``now`` and files that are there again restored."""
     present = disk.select("path", F.lit(True).alias("present")).distinct()

@@ -1,17 +1,30 @@
-"""Search: exact vector search, BM25, rank fusion, keyword re-ranking; people: centroids, matches, clusters."""
+"""Search: exact vector search, text index and BM25, rank fusion, keyword re-ranking; people: centroids, matches, clusters."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stems as ST
 from ..functions import vectors as V
+from .store import written
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int, least: float | None = None) -> DataFrame:
-    """``vectors(id, embedding)`` most similar to the query by cosine; ties to the smaller id."""
-    s = vectors.withColumn("similarity", V.cosine(F.col("embedding"), V.literal(query))).where("similarity is not null")
+    """``vectors(id, embedding)`` most similar to the query by cosine; ties to the smaller id. Other columns stay.
+
+    The query is a literal at length 1, so a row costs one product and its own norm. A zero vector's similarity is 0,
+    vectors of another length take no part.
+    """
+    e, q = F.col("embedding"), np.array(query, float)
+    size = float(np.linalg.norm(q))
+    s = F.lit(0.0) if size == 0 else F.coalesce(F.try_divide(V.dot(e, V.literal((q / size).tolist())), V.norm(e)), F.lit(0.0))
+    s = vectors.where(F.size("embedding") == len(query)).withColumn("similarity", s).where("similarity is not null")
     s = s if least is None else s.where(F.col("similarity") >= least)
     s = s.orderBy(F.desc("similarity"), "id")
     return s.limit(limit) if limit > 0 else s
@@ -22,24 +35,57 @@ def vector_of(vectors: DataFrame, id_: int) -> list[float]:
     return list(vectors.where(F.col("id") == id_).select("embedding").first()[0])
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def similar_images(items: DataFrame, vectors: DataFrame, path: str, least: float, most: int = 99) -> DataFrame:
+    """``id, score``: the item at a path with score 1, and its at most ``most`` neighbours of similarity ``least`` or more.
 
-
-def bm25(docs: DataFrame, query: list[str], every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of ``docs(id, text)`` for the query's terms: ``id, score``; with ``every`` only documents that have all terms.
-
-    Only query terms are counted (per document, in one pass); corpus statistics are one row.
+    ``least`` must be above 0 and at most 1. ``items(id, source_path)`` are the ones to search, ``vectors(id, embedding)`` theirs;
+    a source without vector gives no rows.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the similarity must be above 0 and at most 1")
+    have = items.select("id", "source_path").join(vectors.select("id", "embedding"), "id")
+    source = have.where(F.col("source_path") == path).select("id", "embedding").first()
+    if source is None:
+        return have.select("id", F.lit(1.0).alias("score")).limit(0)
+    near = nearest(have.where(F.col("id") != source["id"]).select("id", "embedding"), list(source["embedding"]), most, least)
+    own = have.where(F.col("id") == source["id"]).select("id", F.lit(1.0).alias("score"))
+    return own.unionByName(near.select("id", F.col("similarity").alias("score")))
+
+
+def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
+    """The text index of ``docs(id, text)``: ``term, id, f, length`` for every term of every document, and a row with a null
+    term for each document, so that those without terms count too. With ``stem``, terms are English stems; the different
+    terms are stemmed, not the running text."""
+    d = docs.select("id", ST.terms(F.col("text")).alias("t")).select("id", F.size("t").alias("length"), "t")
+    found = d.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("f"))
+    if stem:
+        stems = found.select("term").distinct().withColumn("stem", ST.stemmed("term"))
+        found = found.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "length").agg(F.sum("f").alias("f"))
+    every = d.select(F.lit(None).cast("string").alias("term"), "id", "length", F.lit(0).cast("long").alias("f"))
+    return found.select("term", "id", "length", "f").unionByName(every)
+
+
+def updated_postings(index: DataFrame, changed: DataFrame, gone: DataFrame, stem: bool = False) -> DataFrame:
+    """The index without the documents ``gone(id)``, and with those of ``changed(id, text)`` read anew."""
+    away = gone.select("id").unionByName(changed.select("id")).distinct()
+    return index.join(away, "id", "left_anti").select(*index.columns).unionByName(postings(changed, stem))
+
+
+def keyword_search(index: DataFrame, words: list[str], every: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 over an index of ``postings``: ``id, score`` for documents with all of the words (``every`` off: with any of them).
+
+    Only the words' postings are read; their document counts and the corpus' number and mean length are one small row each.
+    No words find nothing.
     """
-    wanted = F.array(*[F.lit(t) for t in sorted(set(query))])
-    d = docs.select("id", terms(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.filter("t", lambda x: F.array_contains(wanted, x)).alias("hit"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = d.where(F.size("hit") > 0).select("id", "len", F.explode("hit").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = sorted(set(words))
+    hit = index.where(F.col("term").isin(wanted)) if wanted else index.where(F.lit(False))
+    stats = index.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    score = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(score).alias("score"), F.count("*").alias("n_terms"))
-    return (scored.where(F.col("n_terms") == len(set(query))) if every else scored).select("id", "score")
+    score = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    small = df.join(stats, F.lit(True))  # a row per word with the one row of the corpus
+    scored = hit.join(F.broadcast(small), "term").groupBy("id").agg(F.sum(score).alias("score"), F.count("*").alias("n_terms"))
+    return (scored.where(F.col("n_terms") == len(wanted)) if every else scored).select("id", "score")
 
 
 def ranked(df: DataFrame, score: str, limit: int) -> DataFrame:
@@ -55,12 +101,38 @@ def fuse(lists: list[DataFrame], k: int = 60, limit: int = 50) -> DataFrame:
     return both.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def keyword_rerank(ranked_: DataFrame, vectors: DataFrame, keywords: DataFrame, threshold: float) -> DataFrame:
-    """Ranked ``(id, score)`` by the number of keywords whose similarity reaches the threshold, then by score."""
-    v = ranked_.join(vectors, "id")
-    hits = v.crossJoin(F.broadcast(keywords.limit(64).select(F.col("embedding").alias("k")))).withColumn("s", V.cosine(F.col("embedding"), F.col("k")))
-    n = hits.groupBy("id").agg(F.count_if(F.col("s") >= threshold).alias("hits"))
-    return ranked_.join(n, "id", "left").select("id", F.coalesce("hits", F.lit(0)).alias("hits"), "score")
+def keyword_rerank(ranked_: DataFrame, vectors: DataFrame, keywords: list[list[float]], threshold: float, texts: DataFrame | None = None, text_threshold: float = 0.0, mode: str = "hybrid") -> DataFrame:
+    """``id, score, hits, coverage`` of ranked ``(id, score)``, to be ordered by hits and then by score.
+
+    A keyword (its vector) hits an item if the similarity to the item's vector reaches the threshold, by image (``vectors``) or
+    by text (``texts``); a threshold of 0 switches that side off, and so does a ``mode`` of description-only or vlm-only. A hit
+    is credited with the larger similarity of the sides that hit, and coverage is the credit over the number of keywords. The
+    keywords are those of one query and become literals.
+    """
+    units = [(np.array(k, float) / (np.linalg.norm(k) or 1.0)).tolist() for k in keywords]
+    with_text = texts is not None and text_threshold > 0 and mode != "vlm-only"
+    with_image = threshold > 0 and mode != "description-only"
+    r = ranked_.join(vectors.select("id", F.col("embedding").alias("__image")), "id", "left")
+    r = r.join(texts.select("id", F.col("embedding").alias("__text")), "id", "left") if texts is not None else r.withColumn("__text", F.lit(None).cast("array<double>"))
+
+    def credit(column: str, unit: list[float], least: float, on: bool) -> Column:
+        s = F.coalesce(F.try_divide(V.dot(F.col(column), V.literal(unit)), V.norm(F.col(column))), F.when(F.col(column).isNotNull(), F.lit(0.0)))
+        return F.when(s >= least, s) if on else F.lit(None).cast("double")
+
+    credits = F.array(*[F.greatest(credit("__image", u, threshold, with_image), credit("__text", u, text_threshold, with_text)) for u in units]) if units else F.array().cast("array<double>")
+    r = r.withColumn("__c", F.filter(credits, lambda c: c.isNotNull()))
+    return r.select("id", "score", F.size("__c").cast("long").alias("hits"), (F.aggregate("__c", F.lit(0.0), lambda a, c: a + c) / max(1, len(units))).alias("coverage"))
+
+
+def hybrid(images: DataFrame, texts: DataFrame, query: list[float], limit: int = 100, candidates: int = 100, mode: str = "hybrid") -> DataFrame:
+    """``id, score, image_similarity, text_similarity``: the best items by image and by text, at least ``candidates`` of each, their
+    ranks fused; ``mode`` may leave one of the lists out. Similarities of both lists are attached whatever the mode."""
+    most = max(1, limit, candidates)
+    by_image, by_text = nearest(images.select("id", "embedding"), query, most), nearest(texts.select("id", "embedding"), query, most)
+    lists = {"hybrid": [by_image, by_text], "vlm-only": [by_image], "description-only": [by_text]}[mode]
+    fused = fuse([ranked(x.withColumn("similarity", F.round("similarity", 9)), "similarity", most) for x in lists], limit=max(1, limit))
+    attach = lambda x, as_: x.select("id", F.col("similarity").alias(as_))
+    return fused.join(attach(by_image, "image_similarity"), "id", "left").join(attach(by_text, "text_similarity"), "id", "left")
 
 
 def centroids(faces: DataFrame) -> DataFrame:
@@ -72,10 +144,11 @@ def centroids(faces: DataFrame) -> DataFrame:
 
 
 def matches(faces: DataFrame, people: DataFrame, least: float) -> DataFrame:
-    """Untagged faces and the persons whose centroid is similar enough; the persons' table is the small side."""
-    c = people.select("tag_id", "centroid")
-    pairs = faces.where("tag_id is null").drop("tag_id").join(c, F.lit(True))
-    return pairs.withColumn("similarity", V.cosine(F.col("embedding"), F.col("centroid"))).where(F.col("similarity") >= least).select("id", "tag_id", "similarity")
+    """``id, tag_id, similarity``: untagged faces and the persons whose centroid is similar enough, by blocks of matrices."""
+    f = faces.where("tag_id is null").select("id", "embedding")
+    p = people.select(F.col("tag_id").alias("id"), F.col("centroid").alias("embedding"))
+    found = similar_across(f, p, least)
+    return found.select(F.col("a").alias("id"), F.col("b").cast(people.schema["tag_id"].dataType).alias("tag_id"), "similarity")
 
 
 def best_per(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
@@ -85,27 +158,72 @@ def best_per(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     return top.select(key, F.col(f"m.{score}").alias(score), (-F.col("m.less")).alias(tie), *[F.col(f"m.{c}").alias(c) for c in rest])
 
 
-def similar_pairs(vectors: DataFrame, least: float, blocks: int = 8) -> DataFrame:
-    """Pairs a < b with cosine at least ``least``: rows are dealt into blocks, and every pair of blocks meets once."""
-    v = vectors.select("id", V.unit(F.col("embedding")).alias("u"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("g"))
-    span = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = v.select(F.col("id").alias("a"), F.col("u").alias("ua"), "g", F.explode(F.filter(span, lambda h: h >= F.col("g"))).alias("h"))
-    right = v.select(F.col("id").alias("b"), F.col("u").alias("ub"), F.col("g").alias("h"), F.explode(F.filter(span, lambda h: h <= F.col("g"))).alias("g"))
-    pairs = left.join(right, ["g", "h"]).where("(g < h) or (a < b)").where(V.dot(F.col("ua"), F.col("ub")) >= least)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """``g, ids, units``: unit vectors (zero vectors stay) dealt by a hash into blocks of about ``rows``, and their number.
+    Vectors that are null or hold a null take no part."""
+    v = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select(F.col("id").cast("long").alias("id"), V.unit(F.col("embedding")).alias("u"))
+    n = max(1, -(-v.count() // rows))
+    packed = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("g")).agg(F.collect_list(F.struct("id", "u")).alias("rows"))
+    return packed.select("g", F.col("rows.id").alias("ids"), F.col("rows.u").alias("units")), n
+
+
+def _products(least: float, upper: bool):
+    """Pairs of two blocks' rows whose product reaches the bound, one matrix product for each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda name: batch.column(name)[r].values  # noqa: E731, B023
+                ids_a, ids_b = get("ids_a").to_numpy(), get("ids_b").to_numpy()
+                sides = [get(u) for u in ("units_a", "units_b")]
+                flat = [x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 0)) for x in sides]
+                if flat[0].shape[1] != flat[1].shape[1]:
+                    continue
+                for i in range(0, len(ids_a), 1024):
+                    s = flat[0][i : i + 1024] @ flat[1].T
+                    x, y = np.nonzero(s >= least)
+                    a, b, value = ids_a[i:][x], ids_b[y], s[x, y]
+                    if upper:  # both sides are the same rows: each pair once, the smaller id first
+                        same = batch.column("ga")[r].as_py() == batch.column("gb")[r].as_py()
+                        keep = a < b if same else a != b
+                        a, b, value = np.minimum(a, b)[keep], np.maximum(a, b)[keep], value[keep]
+                    for k in range(0, len(a), 50_000):
+                        yield pa.record_batch([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000]), pa.array(value[k : k + 50_000])], ["a", "b", "similarity"])
+
+    return run
+
+
+def similar_across(left: DataFrame, right: DataFrame, least: float, rows: int = 2048) -> DataFrame:
+    """``a, b, similarity`` of all rows of ``left(id, embedding)`` and ``right(id, embedding)`` whose cosine is at least ``least``. Both
+    are dealt into blocks, and every pair of blocks is one row of a distributed join and one matrix product; all vectors have
+    one length."""
+    a, _ = _blocks(left, rows)
+    b, n = _blocks(right, rows)
+    pairs = a.select(F.col("g").alias("ga"), F.col("ids").alias("ids_a"), F.col("units").alias("units_a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("gb"))
+    both = pairs.join(b.select(F.col("g").alias("gb"), F.col("ids").alias("ids_b"), F.col("units").alias("units_b")), "gb")
+    return both.mapInArrow(_products(least, False), "a long, b long, similarity double")
+
+
+def similar_pairs(vectors: DataFrame, least: float, rows: int = 2048) -> DataFrame:
+    """``a, b, similarity`` of all pairs a < b with cosine at least ``least``, see ``similar_across``."""
+    v, n = _blocks(vectors, rows)
+    span = F.sequence(F.lit(0), F.lit(n - 1))
+    left = v.select(F.col("g").alias("ga"), F.col("ids").alias("ids_a"), F.col("units").alias("units_a"), F.explode(F.filter(span, lambda h: h >= F.col("g"))).alias("gb"))
+    both = left.join(v.select(F.col("g").alias("gb"), F.col("ids").alias("ids_b"), F.col("units").alias("units_b")), "gb")
+    return both.mapInArrow(_products(least, True), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``id, component`` (the smallest id reachable) of ``edges(a, b)``: minimum labels with pointer jumping.
 
-    Each round is checkpointed (in ``spark.checkpoint.dir``); it ends when no label changes.
+    Each round is written to the shared folder; it ends when no label changes.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("id"), "l").checkpoint()
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("id"), "l"), "labels")
     for _ in range(most_rounds):
         near = both.join(label.select(F.col("id").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         step = label.join(near, label["id"] == near["a"]).select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = step.join(label.select(F.col("id").alias("l"), F.col("l").alias("ll")), "l", "left").select("id", "old", F.least("l", F.coalesce("ll", "l")).alias("l")).checkpoint()
+        jump = written(step.join(label.select(F.col("id").alias("l"), F.col("l").alias("ll")), "l", "left").select("id", "old", F.least("l", F.coalesce("ll", "l")).alias("l")), "labels")
         label = jump.select("id", "l")
         if jump.where("l <> old").isEmpty():
             return label.withColumnRenamed("l", "component")

@@ -1,73 +1,41 @@
-"""Registered catalogue queries over the driver's tables, each with its SQL twin.
-
-Media tables are stood in for by projections of the given tables (``VIEWS``), whose text both engines understand.
-"""
+"""Search, people, albums, coverage, snapshots and bills: registered queries, each with its SQL twin."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import scalars as S
+from ..functions import stems as ST
 from ..functions import vectors as V
 from ..operators import catalogue as C
 from ..operators import geometry as G
 from ..operators import search as Q
+from ..operators.store import once
 from ..streaming import logs
+from .registry import VIEWS, query, table, view
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-VIEWS = {
-    "items": (
-        "documents",
-        "select doc_id as id, 'L' as library_id, '/lib/' || source || '/' || lang || '/IMG_' || cast(doc_id as string) || '.jpg' as source_path, lang as country, source as city, "
+VIEWS |= {
+    "items": ("select doc_id as id, 'L' as library_id, '/lib/' || source || '/' || lang || '/IMG_' || cast(doc_id as string) || '.jpg' as source_path, lang as country, source as city, "
         "case when doc_id % 3 = 0 then null else 'area' || cast(doc_id % 4 as string) end as area, n_chars as byte_size, "
         "case when doc_id % 7 = 0 then null else doc_id % 7 - 1 end as star_rating, case when doc_id % 5 = 0 then null else doc_id % 11 end as ai_quality, "
         "cast(2010 + doc_id % 15 as string) || '-' || lpad(cast(1 + doc_id % 12 as string), 2, '0') as taken, "
         "case when doc_id % 17 = 0 then '2026-01-' || lpad(cast(1 + doc_id % 28 as string), 2, '0') end as deleted_at, "
         "case when doc_id % 4 = 0 then null else '2026-02-0' || cast(1 + doc_id % 9 as string) end as processed_at, case when doc_id % 6 = 0 then '2026-02-05' end as failed_at, "
-        "doc_id % 6 as people, case when doc_id % 8 = 0 then 'invoice_or_receipt' when doc_id % 8 = 1 then 'Screenshot phone' else 'nature' end as category, md5(text) as strong_hash, text from documents",
+        "doc_id % 6 as people, case when doc_id % 8 = 0 then 'invoice_or_receipt' when doc_id % 8 = 1 then 'Screenshot phone' else 'nature' end as category, md5(text) as strong_hash, text from documents"
     ),
-    "faces": ("embeddings", "select vec_id as id, vec_id % 200 as item_id, case when vec_id % 2 = 0 then label end as tag_id, label as cluster_id, 0.5 + (vec_id % 50) / 100.0 as confidence, embedding from embeddings"),
-    "members": ("lineitem", "select l_orderkey as album_id, l_partkey as item_id, case when l_linenumber % 3 = 0 then null else l_linenumber end as position from lineitem"),
-    "files": ("documents", "select doc_id as id, '/lib/' || source || '/' || lang || '/' || cast(doc_id % 50 as string) || '.JPG' as path, n_chars as size, doc_id % 3 as mtime, md5(text) as strong_hash from documents"),
-    "disk": ("documents", "select '/lib/' || source || '/' || case when doc_id % 9 = 0 then 'new' else lang end || '/' || cast(doc_id as string) || '.jpg' as path, n_chars + case when doc_id % 7 = 0 then 1 else 0 end as size, doc_id % 3 as mtime from documents where doc_id % 10 <> 0"),
-    "known": ("documents", "select '/lib/' || source || '/' || lang || '/' || cast(doc_id as string) || '.jpg' as path, n_chars as size, doc_id % 3 as mtime, case when doc_id % 11 = 0 then '2025-12-01' end as deleted_at from documents where doc_id % 10 <> 1"),
-    "boxes": ("lineitem", "select l_orderkey as image, l_linenumber as id, cast(l_partkey % 40 as double) as x1, cast(l_suppkey % 40 as double) as y1, cast(l_partkey % 40 + 10 + l_linenumber as double) as x2, cast(l_suppkey % 40 + 20 as double) as y2, cast(l_discount as double) as score from lineitem"),
-    "bills": ("orders", "select o_orderkey as id, c_name as issuer, cast(o_orderdate as string) as day, cast(o_totalprice as double) as total, case when o_orderkey % 4 = 0 then null when o_orderkey % 3 = 0 then 'CHF' else 'EUR' end as currency, 24.0 as vat_percent, round(cast(o_totalprice as double) * 24 / 124, 2) + (o_orderkey % 5) / 20.0 as vat from orders join customer on o_custkey = c_custkey"),
+    "faces": ("select vec_id as id, vec_id % 200 as item_id, case when vec_id % 2 = 0 then label end as tag_id, label as cluster_id, 0.5 + (vec_id % 50) / 100.0 as confidence, embedding from embeddings"),
+    "members": ("select l_orderkey as album_id, l_partkey as item_id, case when l_linenumber % 3 = 0 then null else l_linenumber end as position from lineitem"),
+    "files": ("select doc_id as id, '/lib/' || source || '/' || lang || '/' || cast(doc_id % 50 as string) || '.JPG' as path, n_chars as size, doc_id % 3 as mtime, md5(text) as strong_hash from documents"),
+    "disk": ("select '/lib/' || source || '/' || case when doc_id % 9 = 0 then 'new' else lang end || '/' || cast(doc_id as string) || '.jpg' as path, n_chars + case when doc_id % 7 = 0 then 1 else 0 end as size, doc_id % 3 as mtime from documents where doc_id % 10 <> 0"),
+    "known": ("select '/lib/' || source || '/' || lang || '/' || cast(doc_id as string) || '.jpg' as path, n_chars as size, doc_id % 3 as mtime, case when doc_id % 11 = 0 then '2025-12-01' end as deleted_at from documents where doc_id % 10 <> 1"),
+    "boxes": ("select l_orderkey as image, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as id, cast(l_partkey % 40 as double) as x1, cast(l_suppkey % 40 as double) as y1, cast(l_partkey % 40 + 10 + l_linenumber as double) as x2, cast(l_suppkey % 40 + 20 as double) as y2, cast(l_discount as double) as score from lineitem"),
+    "bills": ("select o_orderkey as id, c_name as issuer, cast(o_orderdate as string) as day, cast(o_totalprice as double) as total, case when o_orderkey % 4 = 0 then null when o_orderkey % 3 = 0 then 'CHF' else 'EUR' end as currency, 24.0 as vat_percent, round(cast(o_totalprice as double) * 24 / 124, 2) + (o_orderkey % 5) / 20.0 as vat from orders join customer on o_custkey = c_custkey"),
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in table. The statement is run over the tables' own readers, so nothing is registered in the session."""
-    tables, text = VIEWS[name][0], VIEWS[name][1]
-    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in {tables, *(["customer"] if "customer" in text else [])}}
-    for t in read:
-        text = text.replace(f"from {t}", f"from {{{t}}}").replace(f"join {t}", f"join {{{t}}}")
-    return spark.sql(text, **read)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ctes = ", ".join(f"{v} as ({VIEWS[v][1]})" for v in views)
-            head, body = ("with recursive " if sql.lstrip().startswith("recursive ") else "with "), sql.strip().removeprefix("recursive ")
-            ORACLE_SQL[name] = (f"{head}{ctes}" + (", " if not body.startswith("select") else " ") + body) if views else (head + body if not body.startswith("select") else body)
-        return f
-
-    return add
-
-
 # ------------------------------------------------------------------ vectors, faces, people
 
 
@@ -122,22 +90,14 @@ def v8(spark, d):
 @query("a16_similarity_bands", f"{CENTROIDS}, s as (select cluster_id, list_cosine_similarity(embedding::double[], (select centroid from people where tag_id = 1)) as s from faces) select cluster_id, count(*) as members, count(*) filter (s >= 0.2) as matching, count(*) filter (s >= 0.1 and s < 0.2) as mid, count(*) filter (s < 0.1) as below from s group by cluster_id", ("faces",))
 def a16(spark, d):
     f = view(spark, d, "faces")
-    s = f.select("cluster_id", "embedding").join(Q.centroids(f.where("tag_id = 1")).select("centroid"), F.lit(True)).withColumn("s", V.cosine(F.col("embedding"), F.col("centroid")))
+    centroid = list(Q.centroids(f.where("tag_id = 1")).first()["centroid"])
+    s = f.select("cluster_id", V.cosine(F.col("embedding"), V.literal(centroid)).alias("s"))
     return s.groupBy("cluster_id").agg(F.count("*").alias("members"), F.count_if(F.col("s") >= 0.2).alias("matching"), F.count_if((F.col("s") >= 0.1) & (F.col("s") < 0.2)).alias("mid"), F.count_if(F.col("s") < 0.1).alias("below"))
 
 
 @query("j18_similar_pairs", "select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35")
 def j18(spark, d):
-    return Q.similar_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.35)
-
-
-@query("a15_face_clusters", "recursive e as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35), r(id, c) as (select distinct a, a from e union select e.b, r.c from r join e on e.a = r.id) select id, min(c) as component from r group by id")
-def a15(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='vitrine-')}")
-    return Q.components(j18(spark, d))
+    return Q.similar_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.35).select("a", "b")
 
 
 @query("w1_representatives", "select cluster_id, id, k from (select cluster_id, id, row_number() over (partition by cluster_id order by confidence desc nulls last, id) as k from faces) where k <= 16", ("faces",))
@@ -148,18 +108,28 @@ def w1(spark, d):
 
 # ------------------------------------------------------------------ text search and fusion
 
-TERMS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+TERMS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{ST.MARKED}', '{ST.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 BM25 = f"""d as (select doc_id as id, {TERMS} as t from documents),
 st as (select count(*) as n, avg(len(t)) as al from d),
 tf as (select id, len(t) as l, x as term, count(*) as f from (select id, t, unnest(t) as x from d) where x in ('the', 'license', 'version') group by all),
 df as (select term, count(*) as df from tf group by term),
-kw as (select id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / al))) as score from tf join df using (term), st group by id)"""
+kw as (select id, count(*) as n_terms, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / al))) as score from tf join df using (term), st group by id)"""
+WORDS = ["the", "license", "version"]
+
+
+def _index(spark, d, stem: bool = False):
+    """The text index of the documents, built once in an application."""
+    return once(spark, f"postings {d} {stem}", lambda: Q.postings(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), stem).repartition(8, "term").sortWithinPartitions("term"))
 
 
 @query("v9_keyword_search", f"{BM25} select id, round(score, 6) as score from kw")
 def v9(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return Q.bm25(docs, ["the", "license", "version"]).select("id", F.round("score", 6).alias("score"))
+    return Q.keyword_search(_index(spark, d), WORDS, every=False).select("id", F.round("score", 6).alias("score"))
+
+
+@query("v9_all_keywords", f"{BM25} select id, round(score, 6) as score from kw where n_terms = 3")
+def v9_all(spark, d):
+    return Q.keyword_search(_index(spark, d), WORDS).select("id", F.round("score", 6).alias("score"))
 
 
 HYBRID = f"""{BM25}, vs as (select vec_id as id, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 5)) as s from embeddings),
@@ -168,8 +138,7 @@ f as (select id, sum(1.0::double / (60 + rank)) as score from (select * from a w
 
 
 def _fused(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    kw = Q.bm25(docs, ["the", "license", "version"]).withColumn("score", F.round("score", 9))
+    kw = Q.keyword_search(_index(spark, d), WORDS, every=False).withColumn("score", F.round("score", 9))
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     vs = Q.nearest(e, Q.vector_of(e, 5), 0).withColumn("score", F.round("similarity", 9))
     return Q.fuse([Q.ranked(kw, "score", 100), Q.ranked(vs, "score", 100)], limit=1_000_000)
@@ -180,10 +149,14 @@ def v10(spark, d):
     return _fused(spark, d).select("id", F.round("score", 9).alias("score"))
 
 
-@query("v11_keyword_rerank", f"{HYBRID} select f.id, round(f.score, 9) as score, coalesce(h, 0) as hits from f left join (select f.id, count(*) filter (list_cosine_similarity(x.embedding::double[], k.embedding::double[]) >= 0.15) as h from f join embeddings x on x.vec_id = f.id, (select embedding from embeddings where vec_id in (7, 8, 9)) k group by f.id) t on t.id = f.id")
+HITS = "(select f.id, count(*) filter (c is not null) as hits, sum(coalesce(c, 0)) / 3 as coverage from (select f.id, case when s >= 0.15 then s end as c from (select f.id, list_cosine_similarity(x.embedding::double[], k.embedding::double[]) as s from f join embeddings x on x.vec_id = f.id, (select embedding from embeddings where vec_id in (7, 8, 9)) k) f) f group by f.id)"
+
+
+@query("v11_keyword_rerank", f"{HYBRID} select f.id, round(f.score, 9) as score, coalesce(hits, 0) as hits, round(coalesce(coverage, 0), 6) as coverage from f left join {HITS} h on h.id = f.id")
 def v11(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return Q.keyword_rerank(_fused(spark, d), e, e.where("id in (7, 8, 9)"), 0.15).select("id", F.round("score", 9).alias("score"), "hits")
+    keywords = [list(r[0]) for r in e.where("id in (7, 8, 9)").select("embedding").collect()]
+    return Q.keyword_rerank(_fused(spark, d), e, keywords, 0.15).select("id", F.round("score", 9).alias("score"), "hits", F.round("coverage", 6).alias("coverage"))
 
 
 # ------------------------------------------------------------------ coverage, folders, places, albums
@@ -214,19 +187,6 @@ def p2(spark, d):
     return i.where(P.in_folder(F.col("source_path"), "/lib/SRC3", True) & ~P.in_folder(F.col("source_path"), "/lib/src3", False)).select("id", "source_path")
 
 
-@query("a5_overview", "select count(*) as items, count(*) filter (star_rating >= 4) as starred, min(taken) as first, max(taken) as last, cast(sum(byte_size) as bigint) as bytes, count(*) filter (processed_at < '2026-02-04') as stale from items where deleted_at is null", ("items",))
-def a5(spark, d):
-    i = C.active(view(spark, d, "items"), "L")
-    return i.agg(F.count("*").alias("items"), F.count_if(F.col("star_rating") >= 4).alias("starred"), F.min("taken").alias("first"), F.max("taken").alias("last"), F.sum("byte_size").alias("bytes"), F.count_if(F.col("processed_at") < "2026-02-04").alias("stale"))
-
-
-@query("a7_face_summary", "t as (select item_id, count(*) as n, count(tag_id) as tagged from faces group by item_id) select count(*) as images, cast(sum(n) as bigint) as faces, cast(sum(tagged) as bigint) as tagged, count(*) filter (n = 1) as one, count(*) filter (n = 2) as two, count(*) filter (n = 3) as three, count(*) filter (n = 4) as four, count(*) filter (n >= 5) as five_plus from t", ("faces",))
-def a7(spark, d):
-    t = view(spark, d, "faces").groupBy("item_id").agg(F.count("*").alias("n"), F.count("tag_id").alias("tagged"))
-    bins = [F.count_if(F.col("n") == k).alias(name) for k, name in ((1, "one"), (2, "two"), (3, "three"), (4, "four"))]
-    return t.agg(F.count("*").alias("images"), F.sum("n").alias("faces"), F.sum("tagged").alias("tagged"), *bins, F.count_if(F.col("n") >= 5).alias("five_plus"))
-
-
 @query("a8_top_tags", "select tag_id, count(*) as faces from faces where tag_id is not null group by tag_id order by faces desc, tag_id limit 5", ("faces",))
 def a8(spark, d):
     return view(spark, d, "faces").where("tag_id is not null").groupBy("tag_id").agg(F.count("*").alias("faces")).orderBy(F.desc("faces"), "tag_id").limit(5)
@@ -263,11 +223,6 @@ def l4(spark, d):
     return C.shuffled(view(spark, d, "items"), 4242).select("id", "shuffle_key").orderBy("shuffle_key").limit(48)
 
 
-@query("p15_excluded_categories", "select id, category from items where not (lower(category) like 'invoice%' or lower(category) like '%screenshot%')", ("items",))
-def p15(spark, d):
-    return view(spark, d, "items").where(~S.excluded(F.col("category"), ("invoice*", "*screenshot*"))).select("id", "category")
-
-
 @query("p7_date_overlap", "select id, taken from items where taken is not null and taken >= '2015' and taken <= '2018-06'", ("items",))
 def p7(spark, d):
     return view(spark, d, "items").where(S.dates_overlap(F.col("taken"), F.lit(None).cast("string"), "2015", "2018-06")).select("id", "taken")
@@ -340,18 +295,6 @@ def p26(spark, d):
     return C.page(b, [F.when(S.not_blank(F.col("day")).isNull(), 1).otherwise(0), F.desc("day"), F.col("id")], 100).select("id", "issuer", "day", "total", "currency")
 
 
-@query("p36_vat_mismatch", "select id from bills where abs(total * vat_percent / (100 + vat_percent) - vat) > 0.07", ("bills",))
-def p36(spark, d):
-    return view(spark, d, "bills").where(S.vat_mismatch(F.col("total"), F.col("vat_percent"), F.col("vat"), 0.07)).select("id")
-
-
-@query("x15_path_dates", "select doc_id as id, cast(1990 + doc_id % 30 as string) || case when doc_id % 2 = 0 then '-' || lpad(cast(1 + doc_id % 12 as string), 2, '0') else '' end as start, case when doc_id % 2 = 0 then 'month' else 'year' end as precision from documents")
-def x15(spark, d):
-    name = F.concat(F.lit("Trip "), (F.lit(1990) + F.col("doc_id") % 30).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("-"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"))).otherwise(F.lit("")), F.lit(" album"))
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), P.path_date(name).alias("p"))
-    return t.select("id", "p.start", "p.precision")
-
-
 @query("x25_ages", "select id, case when '2024-06-15' >= day then cast(2024 - cast(substr(day, 1, 4) as int) - case when '06-15' < substr(day, 6, 5) then 1 else 0 end as int) end as age from bills", ("bills",))
 def x25(spark, d):
     return view(spark, d, "bills").select("id", S.age_at(F.col("day"), F.lit("2024-06-15")).alias("age"))
@@ -369,28 +312,6 @@ def g1(spark, d):
     return two.select("image", "a", "b", F.round(S.iou(F.col("ba"), F.col("bb")), 6).alias("iou")).where("iou > 0")
 
 
-@query("g9_box_roles", "select image, id, case when (x2 - x1) * (y2 - y1) >= 0.8 * max((x2 - x1) * (y2 - y1)) over (partition by image) then 'main' else 'background' end as role from boxes", ("boxes",))
-def g9(spark, d):
-    return G.roles(view(spark, d, "boxes"), 0.8).select("image", "id", "role")
-
-
-@query("g3_suppressed_boxes")
-def g3(spark, d):
-    return G.suppress(view(spark, d, "boxes"), 0.3).select("image", "id", "score")
-
-
-@query("g4_greedy_match")
-def g4(spark, d):
-    b = view(spark, d, "boxes")
-    return G.greedy_match(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 0.1)
-
-
-@query("a33_orientation_votes", "s as (select image, cast(id % 4 as int) * 90 as angle, cast(sum(cast(round((score + 1) * 100) as bigint)) as double) as w from boxes group by all) select image, arg_max(angle, (w, -angle)) as angle, max(w) / sum(w) as share, count(*) = 1 as unanimous from s group by image", ("boxes",))
-def a33(spark, d):
-    v = view(spark, d, "boxes").select("image", ((F.col("id") % 4).cast("int") * 90).alias("angle"), F.round((F.col("score") + 1) * 100).cast("long").cast("double").alias("weight"))
-    return G.orientation(v).select("image", "angle", "share", "unanimous")
-
-
 @query("t7_sliding_mean", "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 14 preceding and current row), 6) as mean from events")
 def t7(spark, d):
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-14, 0)

@@ -29,3 +29,33 @@ def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """``user_id, began, ended, events``: a user's events without a longer gap; the same on a stream and on a table."""
+    t = events.withColumn("at", F.col("ts").cast("timestamp"))
+    t = t.withWatermark("at", late) if events.isStreaming else t
+    g = t.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
+    return g.select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "events")
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """``job_id, state, done, total, at``: the latest of each job's lifecycle and progress events ``(job_id, seq, state, done, total, at)``;
+    numbers that an event lacks stay what they were. State is one row per job, on a stream as well (complete or update mode)."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    return events.groupBy("job_id").agg(*[last(c) for c in ("state", "done", "total", "at")])
+
+
+def pushed(stream: DataFrame, push, cancelled, checkpoint: str) -> int:
+    """Hands the rows of each batch of a report's stream to ``push`` (a function of a DataFrame) until all present input is read or
+    ``cancelled()`` is true; returns the number of batches pushed."""
+    done = []
+
+    def batch(df: DataFrame, number: int) -> None:
+        if not cancelled():
+            push(df)
+            done.append(number)
+
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return len(done)
