@@ -6,6 +6,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -141,7 +142,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
     table gives no rows.
 
     The exact join: each block is reduced to its words that some template has (others can't count), and blocks with
-    fewer than the smallest number needed go. The remaining words are ordered by their number over all blocks, the
+    fewer than the smallest number needed go, and texts that as a whole meet no template have no blocks at all. The remaining words are ordered by their number over all blocks, the
     rarest first. A pair that shares enough words shares one in the beginnings (prefixes) of both, whose lengths
     follow from the sizes; positions bound what may still come. What remains is counted in full. Only the templates'
     words and their numbers come to the driver: they are bounded by the templates.
@@ -154,8 +155,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
     d = docs.select(*keep, F.col("text").cast("string").alias("__text"), ws.alias("__ws"))
     lengths = [len(re.findall(WORD, t.lower())) for t, _ in templates]
     runs_of = [max([n for n in lengths if n <= SHORT], default=1), max(lengths)]
-    has = lambda w: F.array_intersect(w, F.array(*[F.lit(x) for x in vocabulary]))
-    enough = lambda w: F.exists(F.array(*[F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in s]))) >= needed(len(s), percent) for s in sets]), lambda x: x)
+    has = lambda w: F.array_distinct(F.filter(w, lambda x: x.isin(vocabulary)))
+    holds = lambda w, own: F.size(F.filter(w, lambda x: x.isin(own))) >= needed(len(own), percent)
+    enough = lambda w: reduce(lambda p, q: p | q, [holds(w, own) for own in sets])
+    # a block that lacks so many words of a template as may be lacking, and one more, doesn't meet it: the longest are asked for
+    asked = sorted({w for own in sets for w in sorted(own, key=lambda x: (-len(x), x))[: len(own) - needed(len(own), percent) + 1]})
+
     def runs(w: Column, kind: int) -> Column:
         span = F.lit(runs_of[kind])
         starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), span)
@@ -165,18 +170,17 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
     short = F.flatten(F.transform(F.filter(paragraphs, lambda w: F.size(w) > 0), lambda w: runs(w, 0)))
     long = F.when(F.col("__text").contains("\n"), runs(F.flatten("__ws"), 1)).otherwise(F.array().cast("array<struct<words:array<string>,kind:int>>"))
     windows = F.transform(F.concat(short, long), lambda w, i: F.struct((-1 - i).alias("line"), w["words"].alias("words"), w["kind"].alias("kind")))
-    wrapped = F.when(enough(has(F.flatten("__ws"))), F.filter(windows, lambda b: enough(b["words"])))
+    none = F.array().cast("array<struct<line:int,words:array<string>,kind:int>>")
+    lines = F.filter(F.transform("__ws", lambda x, i: F.struct(i.alias("line"), has(x).alias("words"), F.lit(0).alias("kind"))), lambda b: F.size(b["words"]) >= least)
+    blocks = F.concat(lines, F.filter(windows, lambda b: enough(b["words"])))
+    d = d.withColumn("__own", has(F.flatten("__ws")))
     may = low(F.col("__text")).rlike("|".join("[^a-z0-9]+".join(p.split()) for p, _ in phrases))
     d = d.select(
         *keep,
         F.aggregate("__ws", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_words"),
         F.when(may, F.flatten("__ws")).otherwise(F.array().cast("array<string>")).alias("__flat"),
-        F.filter(
-            F.transform("__ws", lambda x, i: F.struct(i.alias("line"), has(x).alias("words"), F.lit(0).alias("kind"))),
-            lambda b: F.size(b["words"]) >= least,
-        ).alias("__blocks"),
-        F.coalesce(wrapped, F.array().cast("array<struct<line:int,words:array<string>,kind:int>>")).alias("__wrapped"),
-    ).withColumn("__blocks", F.concat("__blocks", "__wrapped")).drop("__wrapped")
+        F.when(F.exists("__own", lambda x: x.isin(asked)) & enough(F.col("__own")), blocks).otherwise(none).alias("__blocks"),
+    )
     d = d.select("*", *[_starts(F.col("__flat"), p).alias(f"__p{k}") for k, (p, _) in enumerate(phrases)]).drop("__flat")
     table = materialise(d.withColumn("__row", F.monotonically_increasing_id()), "license-blocks")
 
