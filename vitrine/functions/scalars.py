@@ -81,6 +81,12 @@ def many_digits(amount: Column) -> Column:
     return F.coalesce(F.round(amount, 2) != amount, F.lit(False))
 
 
+def same_currency(c: Column, wanted: str) -> Column:
+    """Whether a currency is the wanted one, letters in either case; a wanted text that isn't three letters long doesn't filter."""
+    code = wanted.strip().upper()
+    return F.upper(F.trim(c)) == code if len(code) == 3 else F.lit(True)
+
+
 def similarity_of_distance(distance: Column) -> Column:
     """Cosine similarity of a cosine distance, -1 to 1."""
     return F.when(distance.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - distance)))

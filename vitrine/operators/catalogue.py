@@ -53,23 +53,10 @@ def direct_children(items: DataFrame, folders: DataFrame) -> DataFrame:
     return folders.join(counts, F.lower("folder") == F.col("key"), "left").select("folder", F.coalesce("n", F.lit(0)).alias("items"))
 
 
-def places(items: DataFrame) -> DataFrame:
-    """Items by country, city and area; blank places, and cities named as their country, don't count."""
-    ok = S.not_blank(F.col("country")).isNotNull() & S.not_blank(F.col("city")).isNotNull() & (F.lower("country") != F.lower("city"))
-    return items.where(ok).groupBy("country", "city", F.coalesce("area", F.lit("Unknown area")).alias("area")).agg(F.count("*").alias("items"))
-
-
 def place_tree(items: DataFrame, levels: list[str]) -> DataFrame:
     return items.rollup(*levels).agg(F.count("*").alias("items"), F.grouping_id().alias("level"))
 
 
-def years(items: DataFrame) -> DataFrame:
-    year = F.substring("taken", 1, 4)
-    return items.where(F.substring("taken", 1, 4).rlike("^[0-9]{4}$")).groupBy(year.alias("year")).agg(
-        F.count("*").alias("items"), F.count_if(F.col("star_rating") >= 1).alias("rated"), F.count_if(F.col("star_rating").isNull() & (F.col("ai_quality") >= 7)).alias("ai_rated")
-    )
-
-
 def albums(members: DataFrame, items: DataFrame) -> DataFrame:
     """Albums with the number of members, the newest date and the cover: the best placed active member."""
     live = members.join(items.select("id", "taken", "deleted_at"), members["item_id"] == F.col("id"), "left")

@@ -100,10 +100,10 @@ def j18(spark, d):
     return Q.similar_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.35).select("a", "b")
 
 
-@query("w1_representatives", "select cluster_id, id, k from (select cluster_id, id, row_number() over (partition by cluster_id order by confidence desc nulls last, id) as k from faces) where k <= 16", ("faces",))
+@query("w1_representatives", "select cluster_id, id, k from (select cluster_id, id, row_number() over (partition by cluster_id order by confidence desc nulls last, id) as k from faces) where k <= 64", ("faces",))
 def w1(spark, d):
     k = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc_nulls_last("confidence"), "id"))
-    return view(spark, d, "faces").select("cluster_id", "id", k.cast("long").alias("k")).where("k <= 16")
+    return view(spark, d, "faces").select("cluster_id", "id", k.cast("long").alias("k")).where("k <= 64")
 
 
 # ------------------------------------------------------------------ text search and fusion
@@ -192,16 +192,6 @@ def a8(spark, d):
     return view(spark, d, "faces").where("tag_id is not null").groupBy("tag_id").agg(F.count("*").alias("faces")).orderBy(F.desc("faces"), "tag_id").limit(5)
 
 
-@query("a10_places", "select country, city, coalesce(area, 'Unknown area') as area, count(*) as items from items where trim(country) <> '' and trim(city) <> '' and lower(country) <> lower(city) group by all", ("items",))
-def a10(spark, d):
-    return C.places(view(spark, d, "items"))
-
-
-@query("a11_years", "select substr(taken, 1, 4) as year, count(*) as items, count(*) filter (star_rating >= 1) as rated, count(*) filter (star_rating is null and ai_quality >= 7) as ai_rated from items group by 1", ("items",))
-def a11(spark, d):
-    return C.years(view(spark, d, "items"))
-
-
 @query("a12_albums", "select album_id, count(distinct item_id) as items, max(case when id is not null and deleted_at is null then taken end) as newest, arg_min(id, (coalesce(position, 2147483647), id)) filter (id is not null and deleted_at is null) as cover from members left join items on id = item_id group by album_id", ("members", "items"))
 def a12(spark, d):
     return C.albums(view(spark, d, "members"), view(spark, d, "items"))
@@ -289,9 +279,9 @@ def k19(spark, d):
 # ------------------------------------------------------------------ bills, dates, boxes, events
 
 
-@query("p26_bills_page", "select id, issuer, day, total, currency from bills where lower(issuer) like '%customer#00000%' and day >= '1995' and total between 1000 and 200000 order by case when day is null or day = '' then 1 else 0 end, day desc, id limit 100", ("bills",))
+@query("p26_bills_page", "select id, issuer, day, total, currency from bills where lower(issuer) like '%customer#00000%' and day >= '1995' and total between 1000 and 200000 and upper(trim(currency)) = 'EUR' order by case when day is null or day = '' then 1 else 0 end, day desc, id limit 100", ("bills",))
 def p26(spark, d):
-    b = view(spark, d, "bills").where(P.contains(F.col("issuer"), "customer#00000") & (F.col("day") >= "1995") & F.col("total").between(1000, 200000))
+    b = view(spark, d, "bills").where(P.contains(F.col("issuer"), "customer#00000") & (F.col("day") >= "1995") & F.col("total").between(1000, 200000) & S.same_currency(F.col("currency"), "eur"))
     return C.page(b, [F.when(S.not_blank(F.col("day")).isNull(), 1).otherwise(0), F.desc("day"), F.col("id")], 100).select("id", "issuer", "day", "total", "currency")
 
 
