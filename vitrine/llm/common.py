@@ -60,12 +60,25 @@ def clear_scratch(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ..
             _made.remove(path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    ``batch_rows`` bounds the rows of an Arrow batch meanwhile: batches of long texts, or of pairs of them, take memory in
+    the JVM and in the Python workers.
+    """
+    spark = df.sparkSession
+    path, schema, old = scratch_path(spark, name), df.schema, spark.conf.get(BATCH, None)
+    if batch_rows:
+        spark.conf.set(BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.unset(BATCH) if old is None else spark.conf.set(BATCH, old)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession, df: DataFrame) -> None:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import bitmap, bits_for, components, drop_scratch, materialise, maybe_in, mix, ngram_hashes, slices, text_buffers, word_hashes
 
 UNIVERSE = 1 << 20
+#: Rows of an Arrow batch of texts, and of pairs of texts.
+TEXTS, PAIRS = 2_000, 1_000
 
 
 def permutations(coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +176,7 @@ def cross_pairs(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int)
     centre = mixed.join(low, "cid").groupBy("bucket").agg(F.min("low").alias("c"))  # two steps towards one centre for all
     groups = mixed.join(centre, "bucket").select("c", "cid", "component").distinct()
     t = percent / (100 + percent)
-    diff = materialise(differences(groups.where("c <> cid").select(F.col("c").alias("a"), F.col("cid").alias("b")), texts, shingle), "near-differences")
+    diff = materialise(differences(groups.where("c <> cid").select(F.col("c").alias("a"), F.col("cid").alias("b")), texts, shingle), "near-differences", PAIRS)
     size, missing = F.size("differ"), F.col("missing")
     need = t * (F.col("n_a") + F.col("n_b")) + missing - F.col("n_a")
     outside = (F.col("n_a") - missing) * 100 < (F.col("n_b") + missing) * percent
@@ -227,7 +229,7 @@ def near_duplicates(
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     schema = "doc_id long, text_hash long, same binary, n_shingles long, bands array<long>"
-    sketch = lambda df: materialise(df.mapInArrow(_sketches(shingle, bands, rows, seed), schema), "near-sketches")
+    sketch = lambda df: materialise(df.mapInArrow(_sketches(shingle, bands, rows, seed), schema), "near-sketches", TEXTS)
     sk = sketch(docs)
     several = sk.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.max("n_shingles").alias("words")).where("if(doc_id is null, words > 0, lo <> hi)")
     if several.isEmpty():
@@ -282,7 +284,7 @@ def _by_identifier(sk: DataFrame, docs: DataFrame, shingle: int, percent: int, s
             .select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
             .distinct()
         )
-        new = materialise(jaccard_pairs(star.join(measured, ["a", "b"], "left_anti"), texts, shingle), "near-stars")
+        new = materialise(jaccard_pairs(star.join(measured, ["a", "b"], "left_anti"), texts, shingle), "near-stars", PAIRS)
         measured = measured.unionByName(new)
         links = measured.where(linked)
         labels = materialise(components(links.select("a", "b"), "near-cc"), "near-labels")
@@ -290,7 +292,7 @@ def _by_identifier(sk: DataFrame, docs: DataFrame, shingle: int, percent: int, s
     rest = _mixed(shared, labels)
     if not rest.isEmpty():
         pairs = cross_pairs(materialise(rest, "near-rest"), texts, shingle, percent).join(measured, ["a", "b"], "left_anti")
-        new = materialise(jaccard_pairs(pairs, texts, shingle), "near-pairs")
+        new = materialise(jaccard_pairs(pairs, texts, shingle), "near-pairs", PAIRS)
         links = measured.unionByName(new).where(linked)
         labels = materialise(components(links.select("a", "b"), "near-cc"), "near-labels")
 
