@@ -78,7 +78,8 @@ def mix_plan(
     rows_per_shard: int = 20_000,
     seed: int = 11,
 ) -> DataFrame:
-    """What a mix takes of each row of ``docs(doc_id, text, source)``: ``doc_id, size, source_size, target, whole, spans``.
+    """What a mix takes of each row of ``docs(doc_id, text, source)``: ``doc_id, text_hash, size, source_size, target,
+    whole, spans``.
 
     ``whole`` is how often the text is taken whole; ``spans`` (word from, word to) is what is taken once more.
     Size is the number of words, 0 for null and empty texts, which take part with nothing to take. A null source is a
@@ -88,7 +89,7 @@ def mix_plan(
     an integer quota; a seeded permutation selects the blocks. Repeated rows count each. An empty table gives no rows.
     """
     d = materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")),
         "mix-sizes",
     )
     shards = max(4, -(-d.count() // rows_per_shard))
@@ -105,7 +106,7 @@ def mix_plan(
     c = sainte_lague(c, ["nth"], "shard", F.col("quota"))
     prime = F.coalesce(*[F.when(F.col("blocks") % p != 0, F.lit(p)) for p in PRIMES], F.lit(1))
     c = c.select(F.col("source").alias("s2"), F.col("shard").alias("h2"), "source_size", "target", "words", "blocks", "won", prime.alias("prime"), F.xxhash64(F.lit(seed), "nth", "shard").alias("turn"))
-    order = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
     r = d.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(c, F.expr("source <=> s2 and shard = h2"))
     r = r.withColumn("whole", F.when(F.col("blocks") > 0, F.floor(F.col("won") / F.col("blocks"))).otherwise(0).cast("long")).withColumn("extra", F.col("won") - F.col("whole") * F.col("blocks"))
     first, last = F.expr("((at + 1) * blocks - 1) div words"), F.expr("((at + size) * blocks - 1) div words")
@@ -118,7 +119,7 @@ def mix_plan(
         ),
     )
     none = F.array().cast("array<struct<from:bigint,to:bigint>>")
-    return r.select("doc_id", "size", "source_size", "target", "whole", F.when((F.col("size") > 0) & (F.col("extra") > 0), spans).otherwise(none).alias("spans"))
+    return r.select("doc_id", "text_hash", "size", "source_size", "target", "whole", F.when((F.col("size") > 0) & (F.col("extra") > 0), spans).otherwise(none).alias("spans"))
 
 
 def taken(plan: DataFrame) -> DataFrame:
@@ -130,11 +131,13 @@ def taken(plan: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a text is taken whole, and one row with the
     words of the selected blocks, joined by one space, where only a part is taken once more (``n_chars``, if there,
-    is set anew). Documents of which nothing is taken, null and empty texts among them, have no row. Rows that share a doc_id share one plan.
+    is set anew). Documents of which nothing is taken, null and empty texts among them, have no row. Rows that share doc_id and text share
+    one of their plans.
     """
-    plan = mix_plan(docs, **options).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("whole").alias("__whole"), F.col("spans").alias("__spans"))
+    plan = mix_plan(docs, **options).groupBy("doc_id", "text_hash").agg(F.min(F.struct("whole", "spans", "size")).alias("p"))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("p.size").alias("__size"), F.col("p.whole").alias("__whole"), F.col("p.spans").alias("__spans"))
     cols = docs.columns
-    both = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    both = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD_SQL})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice("__words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
     all_of_it = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"]) == F.col("__size")
