@@ -141,6 +141,14 @@ def test_stale_rules(spark):
         assert old.crossJoin(new).select(I.stale("old", "new")).first()[0] == want
 
 
+def test_observed_files(spark):
+    columns = "id long, path string, volume_id string, file_id long, fingerprint string, strong_hash string, deleted_at string, duplicate_group string"
+    known = spark.createDataFrame([(1, "/a/x", "v", 11, "1:1", "h1", None, None), (2, "/a/y", "v", 12, "2:2", "h2", None, "dup:h2"), (3, "/b/z", "v", 13, "3:3", "h2", None, "dup:h2"), (4, "/a/old", "v", 14, "9:9", "h9", "2026-02-28", None)], columns)
+    files = spark.createDataFrame([("/a/moved", "v", 11, "1:1", "h2"), ("/a/back", "v", 99, "9:9", "h9"), ("/a/new", "v", 77, "7:7", "h7")], "path string, volume_id string, file_id long, fingerprint string, strong_hash string")
+    got = {(r["id"], r["path"]): (r["deleted_at"], r["duplicate_group"]) for r in I.observed(known, files, "/a", "2026-02-27", "now").collect()}
+    assert got == {(1, "/a/moved"): (None, "dup:h2"), (2, "/a/y"): ("now", None), (3, "/b/z"): (None, "dup:h2"), (4, "/a/back"): (None, None), (None, "/a/new"): (None, None)}
+
+
 def test_albums_keep_positions_and_move(spark):
     m = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 12, 2)], "album_id long, item_id long, position int")
     added = spark.createDataFrame([(1, 11, 1), (1, 13, 2), (1, 14, 1), (2, 5, 1)], "album_id long, item_id long, nth int")

@@ -401,3 +401,26 @@ def search_fields(doc: Column, location_name: Column) -> Column:
 def joined(separator: str, *parts: Column) -> Column:
     """The different non-blank parts, trimmed, in order."""
     return F.array_join(F.array_distinct(F.filter(F.array(*[F.trim(p) for p in parts]), lambda p: p != "")), separator)
+
+
+def analysis_patch(analysis: Column, model: str) -> Column:
+    """The JSON patch (see ``merge``) that a photo analysis writes; null without one."""
+    people = F.struct(analysis["number_of_people"].cast("long").alias("number_of_people"), analysis["has_children"].alias("has_children"))
+    seen = F.struct(analysis["image_category"].alias("image_category"), analysis["title"].alias("title"), analysis["description"].alias("description"), analysis["photo_estetic_quality"].alias("photo_estetic_quality"), F.lit(model).alias("photo_analysis_method"))
+    return F.when(analysis.isNotNull(), F.to_json(F.struct(F.struct(people.alias("vlm_analysis")).alias("people"), seen.alias("image_analysis")), {"ignoreNullFields": "false"}))
+
+
+def faces_patch(faces: Column, method: Column, width: Column, height: Column) -> Column:
+    """The JSON patch that a face detection writes: the number of faces (null for none), the method and the boxes' image size."""
+    size = F.struct(width.alias("width"), height.alias("height"))
+    found = F.struct(method.alias("face_detection_method"), size.alias("image_size_for_bounding_boxes"))
+    return F.to_json(F.struct(F.struct(F.when(faces > 0, faces).alias("face_count"), found.alias("detections")).alias("people")), {"ignoreNullFields": "false"})
+
+
+def path_patch(start: Column, end: Column, country: Column, city: Column, title: Column, stem: Column, model: str, now: str) -> Column:
+    """The JSON patch of what a model read in a path: date, place and title where there are any; a title only if it isn't the stem."""
+    date = F.when(start.isNotNull(), F.struct(start.alias("start"), end.alias("end"), date_precision(start, end).alias("precision"), F.lit("llm_path").alias("source")))
+    place = F.when(F.coalesce(country, city).isNotNull(), F.struct(country.alias("country"), city.alias("city"), F.lit("llm_path").alias("source")))
+    own = F.nullif(F.trim(title), F.lit(""))
+    read = F.struct(F.lit(now).alias("llm_extracted_at"), F.lit(model).alias("llm_model"), date.alias("date"), place.alias("location"), F.when(~own.eqNullSafe(F.trim(stem)), own).alias("display_title"))
+    return F.to_json(F.struct(read.alias("path_extraction")))

@@ -312,3 +312,22 @@ def scan_plan(diff: DataFrame, full: bool = False) -> DataFrame:
     return diff.where(F.col("state") != "deleted" if full else F.col("state").isin("new", "modified")).select("path", "state")
 
 
+
+
+def observed(objects: DataFrame, files: DataFrame, folder: str, since: str, now: str) -> DataFrame:
+    """``objects`` (see ``identity``) after a look at the files directly in a folder.
+
+    Files that are known objects take their new state, others become objects (``id`` null until one is given), active objects of
+    the folder that no file is are deleted at ``now``, and ``duplicate_group`` is set anew: active objects whose hash another has.
+    """
+    found = identity(files, objects, since).select("path", F.col("object_id").alias("id"))
+    seen = files.join(found, "path")
+    columns = [c for c in objects.columns if c not in ("id", "deleted_at", "duplicate_group")]
+    now_there = seen.select("id", *columns).withColumn("deleted_at", F.lit(None).cast("string"))
+    rest = objects.join(seen.where("id is not null").select("id"), "id", "left_anti")
+    lost = F.col("deleted_at").isNull() & (P.parent(F.col("path")) == folder.rstrip("/"))
+    rest = rest.withColumn("deleted_at", F.when(lost, F.lit(now)).otherwise(F.col("deleted_at"))).select("id", *columns, "deleted_at")
+    both = now_there.unionByName(rest)
+    again = both.where("deleted_at is null and strong_hash is not null").groupBy("strong_hash").agg(F.count("*").alias("__n")).where("__n > 1").select("strong_hash", F.lit(True).alias("__dup"))
+    group = F.when(F.col("__dup") & F.col("deleted_at").isNull(), F.concat(F.lit("dup:"), "strong_hash"))
+    return both.join(again, "strong_hash", "left").withColumn("duplicate_group", group).drop("__dup")

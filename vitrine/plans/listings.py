@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import metadata as M
 from ..functions import predicates as C
 from ..operators import coverage as COV
 from ..operators import ingest as I
 from ..operators import listings as L
 from ..operators import people as PPL
 from ..operators import search as Q
-from .media import _cat, _raw_q
+from .media import _cat, _raw_q, _title
 from .registry import VIEWS, query, table, view
 
 _excluded = f"(lower(coalesce({_cat}, '')) like 'document%' or lower(coalesce({_cat}, '')) like '%screenshot%' or lower(coalesce({_cat}, '')) in ('invoice_or_receipt', 'presentation_slide', 'diagram'))"
@@ -293,3 +294,31 @@ def k16_deleted(spark, d):
     n = view(spark, d, "names")
     docs = n.select("id", F.array(*[F.lit(x) for x in "abc"]).alias("boxes"))
     return I.face_deleted(docs, n.where("id % 2 = 0").select("id", F.lit(1).alias("nth"))).select("id", F.array_join("boxes", ",").alias("boxes"))
+
+
+# ------------------------------------------------------------------ patches
+
+
+@query("z45_analysis_patches", "select a.id, case a.id % 6 when 0 then 'T' || cast(a.id % 9 as string) when 1 then 'U' when 5 then 'V' else t end as title, case a.id % 6 when 0 then 'mx' when 1 then 'mx' when 5 then 'mx' end as method, case when a.id % 6 = 0 then cast(a.id % 4 as string) when a.id % 6 in (1, 5) then null else n end as people, case when a.id % 3 > 0 then cast(a.id % 3 as string) end as faces from answers a join (select id, " + _title + " as t, case when json_extract_string(ai_metadata, '$.schema_version') = '2.0' then json_extract_string(ai_metadata, '$.people.vlm_analysis.number_of_people') else json_extract_string(ai_metadata, '$.number_of_people') end as n from media) m on m.id = a.id", ("answers", "media"))
+def z45(spark, d):
+    a = view(spark, d, "answers").withColumn("a", M.photo_analysis(F.col("answer")))
+    m = view(spark, d, "media").select("id", "ai_metadata").join(a.select("id", "a"), "id")
+    once = m.select("id", M.merged("ai_metadata", M.analysis_patch(F.col("a"), "mx")).alias("n"))
+    twice = once.select("id", M.merged("n", M.faces_patch(F.col("id") % 3, F.lit("r"), F.lit(4), F.lit(3))).alias("n"))
+    at = lambda p: F.get_json_object("n", f"$.{p}")
+    method = F.when(F.col("id") % 6 < 2, at("image_analysis.photo_analysis_method")).when(F.col("id") % 6 == 5, at("image_analysis.photo_analysis_method"))
+    return twice.select("id", at("image_analysis.title").alias("title"), method.alias("method"), at("people.vlm_analysis.number_of_people").alias("people"), at("people.face_count").alias("faces"))
+
+
+@query("z15_path_patches", "select id, start, case when start is not null then 'year' end as precision, case when coalesce(country, city) is not null then 'llm_path' end as place, case when id % 2 = 0 then 'Trip' end as title from readings", ("readings",))
+def z15(spark, d):
+    r = view(spark, d, "readings")
+    title = F.when(F.col("id") % 2 == 0, " Trip ").otherwise("stem")
+    p = r.select("id", M.path_patch(F.col("start"), F.lit(None).cast("string"), F.col("country"), F.col("city"), title, F.lit("stem"), "m", "2026").alias("p"))
+    at = lambda x: F.get_json_object("p", f"$.path_extraction.{x}")
+    return p.select("id", at("date.start").alias("start"), at("date.precision").alias("precision"), at("location.source").alias("place"), at("display_title").alias("title"))
+
+
+@query("z47_geocoding_count", "select count(*) as items from media where latitude is not null and longitude is not null and (location_source is distinct from 'gps' or country is null or area is null or city is null)", ("media",))
+def z47(spark, d):
+    return view(spark, d, "media").where(C.needs_geocoding()).agg(F.count("*").alias("items"))
