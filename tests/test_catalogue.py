@@ -49,7 +49,7 @@ DATES = [
     ("1994-09 lake", "1994-09", None, "month"), ("1992-1998", "1992", "1998", "year"), ("1992 - 1998", "1992", "1998", "year"), ("1982--91", "1982", "1991", "year"),
     ("1982 -- 91", "1982", "1991", "year"), ("1997-01-15 -- 18", "1997-01-15", "1997-01-18", "day"), ("2009-02-07 -- 03-14", "2009-02-07", "2009-03-14", "day"),
     ("2009-02-07 -- 2009-03-01", "2009-02-07", "2009-03-01", "day"), ("2009-02-07 - 2009-03-01", "2009-02-07", "2009-03-01", "day"), ("1998--03", "1998", "2003", "year"),
-    ("1998-1992", None, None, None), ("2009-02-07 -- 9", "2009-02-07", "2009-02-09", "day"), ("2009-02-07 -- 2009-13-01", "2009-02-07", None, "day"), ("no date", None, None, None), ("", None, None, None),
+    ("1998-1992", "1998", None, "year"), ("2009-02-07 -- 9", "2009-02-07", "2009-02-09", "day"), ("2009-02-07 -- 2009-13-01", "2009-02-07", None, "day"), ("no date", None, None, None), ("", None, None, None),
 ]
 
 
@@ -126,6 +126,17 @@ def test_metadata_keeps_what_it_does_not_know():
     assert M.normal({"schema_version": "2.0", "provenance": {"metadata_version": "m"}})["metadata_version"] == "m"
 
 
+def test_small_columns(spark):
+    d = spark.createDataFrame([("[1, 2.5, 3e1]",), ('[1, "x"]',), ("[1, null]",), ("{}",), (None,)], "v string")
+    assert [r[0] for r in d.select(V.parse(F.col("v"))).collect()] == [[1.0, 2.5, 30.0], None, None, None, None]
+    docs = ['{"schema_version":"2.0","file_data":{"metadata_extracted_at":"t"},"own":1,"people":{}}', '{"title":"T","own":"x","camera":"c"}', '{"provenance":{"metadata_extracted_at":"p"}}', None, "broken"]
+    m = spark.createDataFrame([(t,) for t in docs], "d string").select(M.extracted_at(F.col("d")).alias("at"), M.extras(F.col("d")).alias("more")).collect()
+    assert [r["at"] for r in m] == ["t", None, "p", None, None]
+    assert [dict(r["more"]) if r["more"] is not None else None for r in m][:3] == [{"own": "1"}, {"own": "x", "camera": "c"}, {}]
+    a = spark.createDataFrame([(1.25,), (1.255,), (None,), (3.0,)], "a double")
+    assert [r[0] for r in a.select(S.many_digits(F.col("a"))).collect()] == [False, True, False, False]
+
+
 def test_quick_filter_edges():
     f = PR.QuickFilter(people="none", years=(None, 1999), location="  Rome ")
     assert f.active() == 3 and f.search_range() == {"event_date_end": "1999-12-31", "location_query": "Rome"}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -254,8 +253,3 @@ def added_sources(items: DataFrame, sources: DataFrame, client: str, now: str) -
     have = sources.select("library_id", "source_path").distinct()
     new = items.where("deleted_at is null").join(have, ["library_id", "source_path"], "left_anti")
     return new.select("library_id", "source_path", F.lit(client).alias("client_id"), F.col("id").alias("item_id"), F.lit(True).alias("is_primary"), F.lit("active").alias("status"), F.lit(now).alias("verified_at"))
-
-
-def nth_place(faces: DataFrame) -> DataFrame:
-    """Faces with their number (from 0) among those of their item."""
-    return faces.withColumn("nth", F.row_number().over(W.partitionBy("item_id").orderBy("id")) - 1)
