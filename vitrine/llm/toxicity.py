@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise, slices, text_buffers, word_hashes
+from .common import drop_scratch, frugal, materialise, slices, text_buffers, word_hashes
 
 #: Identity terms by kind; a counterfactual puts the next term of the kind in a term's place.
 IDENTITY_TERMS = (
@@ -123,7 +123,7 @@ def train(labelled: DataFrame, most_features: int = 4096, least_documents: int =
     if not n0 or not n1:
         drop_scratch(spark, rows)
         return Classifier(np.zeros(0, np.int64), np.zeros(0), 0.0 if n0 == n1 else 5.0 if n1 else -5.0)
-    counted = rows.mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = rows.mapInArrow(frugal(count), "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     a, b = F.col("toxic"), F.col("clean")
     c, d = F.lit(n1) - a, F.lit(n0) - b
     chi = (a * d - b * c).cast("double") ** 2 / ((a + b).cast("double") * (c + d + 1))
@@ -134,17 +134,19 @@ def train(labelled: DataFrame, most_features: int = 4096, least_documents: int =
         place = np.full(DIMENSIONS, -1, np.int32)
         place[selected] = np.arange(len(selected))
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            lists = []
-            swapped = [counterfactual(t) for t in texts]
-            for own in (texts, swapped):
-                data, off = text_buffers(pa.array(own, pa.large_string()))
-                found, begin = features(data[off[0] : off[-1]], off - off[0])
-                lists.append([p[p >= 0] for p in (place[found[x:y]] for x, y in zip(begin[:-1], begin[1:]))])
-            other = [None if t == u else v for t, u, v in zip(texts, swapped, lists[1])]
-            yield pa.record_batch([batch.column(1), pa.array(lists[0], pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["label", "own", "other"])
-
-    fit = rows.mapInArrow(pick, "label int, own array<int>, other array<int>").collect()
+            _, borders = text_buffers(batch.column(0))
+            for i, j in slices(borders):
+                texts = batch.column(0).slice(i, j - i).to_pylist()
+                swapped = [counterfactual(t) for t in texts]
+                lists = []
+                for own in (texts, swapped):
+                    data, off = text_buffers(pa.array(own, pa.large_string()))
+                    found, begin = features(data[off[0] : off[-1]], off - off[0])
+                    lists.append([p[p >= 0] for p in (place[found[x:y]] for x, y in zip(begin[:-1], begin[1:]))])
+                other = [None if t == u else v for t, u, v in zip(texts, swapped, lists[1])]
+                yield pa.record_batch([batch.column(1).slice(i, j - i), pa.array(lists[0], pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], ["label", "own", "other"])
+
+    fit = rows.mapInArrow(frugal(pick), "label int, own array<int>, other array<int>").collect()
     drop_scratch(spark, rows)
     weights, bias = _fit(fit, len(selected), counterfactual_weight, decay, steps)
     return Classifier(selected, weights, bias)
@@ -190,7 +192,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", keep: tuple[st
                 s = model.scores(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.record_batch([*(batch.column(1 + k).slice(i, j - i) for k in range(len(keep))), pa.array(s)], [*keep, name])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(frugal(run), schema)
 
 
 def fitting_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
