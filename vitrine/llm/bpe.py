@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import frugal, slices, text_buffers
 
 #: The public byte-level BPE split (contractions, letters, numbers, other signs, white space).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -23,7 +23,7 @@ _L, _N, _S = r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r \x85\xa0
 LATIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 #: Distinct pieces that a Python worker remembers at most; beyond, it forgets all and goes on.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def byte_signs() -> dict[int, str]:
@@ -232,4 +232,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
     raw = _shared(docs, path)
     picked, schema = _picked(docs, text, keep)
     coded, back = _encoder(raw, keep), _decoder(raw, [*keep, "ids"], "ids")
-    return picked.mapInArrow(lambda batches: back(coded(batches)), f"{schema}, decoded string")
+    return picked.mapInArrow(frugal(lambda batches: back(coded(batches))), f"{schema}, decoded string")

@@ -89,6 +89,30 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
             _made.remove(path)
 
 
+# --------------------------------------------------------------------------- memory of Python workers
+
+
+def frugal(run):
+    """``run`` (a function of Arrow batches), after which the worker gives its free memory back: workers stay for later
+    tasks, and what the allocators keep would add up beside the JVM's."""
+
+    def done(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no such function in this C library
+                pass
+
+    return done
+
+
 # --------------------------------------------------------------------------- bounded bitmaps
 
 
@@ -266,7 +290,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 19):
     """Runs (i, j) of texts of about ``most`` bytes together, so that work arrays stay small whatever a batch holds."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, bits_for, components, drop_scratch, materialise, maybe_in, mix, ngram_hashes, slices, text_buffers, word_hashes
+from .common import bitmap, bits_for, components, drop_scratch, frugal, materialise, maybe_in, mix, ngram_hashes, slices, text_buffers, word_hashes
 
 UNIVERSE = 1 << 20
 #: Rows of an Arrow batch of texts, and of pairs of texts.
@@ -133,7 +133,7 @@ def jaccard_pairs(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
                 total.append(len(mine) + len(other) - n)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"])
 
-    return _with_texts(pairs, texts).mapInArrow(measure, "a long, b long, inter long, total long")
+    return _with_texts(pairs, texts).mapInArrow(frugal(measure), "a long, b long, inter long, total long")
 
 
 def differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -157,7 +157,7 @@ def differences(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                 rows.append((a, b, len(centre), len(own), (len(differ) + len(centre) - len(own)) // 2, differ.view(np.int64)))
             yield pa.record_batch([pa.array(x, pa.list_(pa.int64()) if i == 5 else pa.int64()) for i, x in enumerate(list(zip(*rows)) or [()] * 6)], ["a", "b", "n_a", "n_b", "missing", "differ"])
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, n_a long, n_b long, missing long, differ array<long>")
+    return _with_texts(pairs, texts).mapInArrow(frugal(run), "a long, b long, n_a long, n_b long, missing long, differ array<long>")
 
 
 def cross_pairs(mixed: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -229,7 +229,7 @@ def near_duplicates(
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     schema = "doc_id long, text_hash long, same binary, n_shingles long, bands array<long>"
-    sketch = lambda df: materialise(df.mapInArrow(_sketches(shingle, bands, rows, seed), schema), "near-sketches", TEXTS)
+    sketch = lambda df: materialise(df.mapInArrow(frugal(_sketches(shingle, bands, rows, seed)), schema), "near-sketches", TEXTS)
     sk = sketch(docs)
     several = sk.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"), F.max("n_shingles").alias("words")).where("if(doc_id is null, words > 0, lo <> hi)")
     if several.isEmpty():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialise, ngram_hashes, slices, text_buffers, word_hashes
+from .common import drop_scratch, frugal, materialise, ngram_hashes, slices, text_buffers, word_hashes
 
 #: A place is named by what its row's result depends on: the identifier (0 for null) and a hash of the text.
 KEY = ["k", "h"]
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, shard_words
     text = F.col("text").cast("string")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(text).alias("h"))
     texts = d.where("text is not null").select(*KEY, "text")
-    places = materialise(texts.mapInArrow(_anchored(window, gram), PLACES), "sub-places")
+    places = materialise(texts.mapInArrow(frugal(_anchored(window, gram)), PLACES), "sub-places")
     seen = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
     again = materialise(places.join(seen.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "anchor"), "sub-again")
     drop_scratch(spark, places)
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, shard_words
     drop_scratch(spark, kinds)
     ordered = passages.where("not wide").select("anchor", "content", "n", "words").repartition("anchor").sortWithinPartitions("anchor", "content")
     one = "anchor long, content long, spans array<struct<from:int,to:int>>"
-    found = ordered.mapInArrow(_matched(window, shard_words), one)
+    found = ordered.mapInArrow(frugal(_matched(window, shard_words)), one)
 
     split = passages.where("wide").select("anchor", "content", "n", F.split(F.col("words").cast("string"), " ").alias("w"), "windows")
     single = split.select("anchor", "content", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.unhex(F.md5(F.array_join(F.slice("w", i, window), " ").cast("binary"))))).alias("at", "key"))
