@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, licenses, minhash, mixing, sharding, substring, toxicity, twins, warc
+from . import ann, bilinear, bpe, centroids, exact_dedup, licenses, minhash, mixing, sharding, substring, toxicity, tries, twins, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
 
 
+def op11_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))[0].drop("compared")
+
+
+def op12_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = bilinear.score(_table(spark, sf_dir, "documents"), ~toxicity.in_fold(F.col("doc_id"), folds=10))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_additive_quantisation, op2_suffix_automata, op3_exact_dedup, op4_bpe, op5_toxicity, op6_minhash, op7_mixing, op8_licenses, op9_label_propagation, op10_warc)
+    for f in (op1_additive_quantisation, op2_suffix_automata, op3_exact_dedup, op4_bpe, op5_toxicity, op6_minhash, op7_mixing, op8_licenses, op9_label_propagation, op10_warc, op11_annulus, op12_log_bilinear, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +96,6 @@ from d window g as (partition by t)""",
     "op6_minhash": twins.NEAR,
     "op8_licenses": licenses.oracle(),
     "op10_warc": twins.ARCHIVES,
+    "op11_annulus": twins.CLUSTERS,
+    "op13_prefix_trie": twins.TRIE,
 }

@@ -50,3 +50,48 @@ select page_id, payload_bytes, digest as payload_digest, case when first = page_
        case when u is null then '' when not regexp_matches(u, '{_url}') then u
        else array_to_string(list_reverse(string_split(lower(regexp_extract(u, '{_url}', 1)), '.')), ',') || ')' || regexp_extract(u, '{_url}', 2) end as urlkey
 from (select *, regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20', 'g') as u from b) b join v using (page_id)"""
+
+
+#: Ten rounds of assigning and moving, one after the other; a mean's floor is that of exact integers.
+_near = """
+a{r} as (select v, c from (select v, c, row_number() over (partition by v order by d, c) as k from (
+      select x.v, c.c, sum((x.x - c.x) * (x.x - c.x)) as d from x join c{r} c using (i) group by x.v, c.c)) where k = 1)"""
+_move = """
+m{r} as (select c, i, cast(sum(x) as bigint) as s, count(*) as n from x join a{r} using (v) group by c, i),
+c{q} as (select c.c, c.i, case when n is null then c.x else (s - ((s % n) + n) % n) // n end as x from c{r} c left join m{r} m on m.c = c.c and m.i = c.i)"""
+CLUSTERS = (
+    """
+with e as (select row_number() over () as v, vec_id, embedding::double[] as e from embeddings where len(embedding) = 64),
+k as (select v, vec_id, list_transform(e, lambda y: cast(floor(1024 * y) as bigint)) as e from e
+      where len(list_filter(e, lambda y: y is null or not isfinite(y))) = 0),
+x as materialized (select v, unnest(range(64)) as i, unnest(e) as x from k),
+f as (select v, row_number() over (order by sha256('3:' || cast(vec_id as varchar))) - 1 as c from k where vec_id is not null order by c limit 8),
+c0 as (select c, i, x from f join x using (v)),"""
+    + "".join(_near.format(r=r) + "," + _move.format(r=r, q=r + 1) + "," for r in range(10))
+    + _near.format(r=10)
+    + """,
+d as (select v, c, cast(sum((x.x - c.x) * (x.x - c.x)) as bigint) as distance from x join a10 using (v) join c10 c using (c, i) group by v, c),
+h as (select c, sha256(string_agg(cast(cast(x as bigint) as varchar), ',' order by i)) as centroid_sha256 from c10 group by c)
+select vec_id, cast(c as int) as cluster, distance, cast(sum(distance) over (partition by c) as bigint) as cluster_inertia,
+       cast(sum(distance) over () as bigint) as inertia, centroid_sha256
+from d join h using (c) join k using (v)"""
+)
+
+#: CRC-32 of a string of ASCII characters: eight shifts for each.
+_crc = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::ubigint)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0::ubigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint)"""
+
+#: A node is its path, a list of turns; every rebuilt conversation is a member of each of its prefixes.
+TRIE = f"""
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as p,
+      {{'r': coalesce(role, ''), 't': coalesce(text, '')}} as x from conversations where conv_id is not null),
+h as (select distinct c, cast({_crc.format("cast(c as varchar)")} % 6 as bigint) as h from t),
+r as (select h.c, 0 as part, p, x from h join t on t.c = h.c - h.c % 100 and p < h union all select h.c, 1, p, x from h join t on t.c = h.c and p >= h),
+l as (select h.c, coalesce(list(x order by part, p) filter (x is not null), []) as l from h left join r on r.c = h.c group by h.c),
+m as (select c, l, unnest(range(len(l) + 1)) as depth from l),
+n as (select l[:depth] as path, depth, min(c) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (depth = len(l)), '')) as ends_sha256 from m group by 1, 2),
+k as (select n.path, n.depth, n.conv_id, n.n_convs, n.ends_sha256, count(b.path) as n_children from n left join n b on b.depth = n.depth + 1 and b.path[:n.depth] = n.path group by all),
+s as (select a.path, count(*) filter (b.n_children = 0) as n_leaves, sum((b.n_convs - 1) * case when b.depth > 0 then length(b.path[b.depth].t) else 0 end) as saved
+      from k a join k b on b.path[:a.depth] = a.path group by a.path)
+select k.conv_id, k.depth, up.conv_id as parent_conv_id, k.n_convs, k.n_children, n_leaves, cast(saved as bigint) as saved_tokens, k.ends_sha256
+from k join s on s.path = k.path left join k up on up.depth = k.depth - 1 and up.path = k.path[:k.depth - 1]"""
