@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, bits_for, materialise, maybe_in, scratch_path
 
-#: State on disk, in RocksDB. Without preallocation, as each state partition would take several MB from its start.
+#: State on disk, in RocksDB. Without preallocation, as each state partition would take several MB from its start; all stores of an
+#: executor share one bounded cache, so their memory doesn't grow with the number of state partitions.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
 }
 
 
@@ -55,7 +58,9 @@ def exact_duplicates(docs: DataFrame, digest: Column | None = None, checkpoint:
     Rows get a content locator (the file that holds them, run and row) and are staged as digest, identifier and locator;
     a stream keeps the state described at ``keep_state``. With ``checkpoint``, a folder in a shared store, state and
     staged rows stay there, and a later call takes ``docs`` as further rows: they are told apart from those of all calls
-    before, whose texts are read again through the locators of the kept rows that new rows hit.
+    before, whose texts are read again through the locators of the kept rows that new rows hit: from their files, or, for rows that
+    came from no file, from copies of their texts in the checkpoint folder. The files' names pass the driver, as those of any table
+    that Spark reads; a file that is gone is an error.
 
     Every digest that was hit more than once is checked on full bytes: the texts behind it, found through a bitmap
     sized by the number of hits, are grouped by digest and whole text. If a digest turns out to hold different texts
@@ -80,12 +85,17 @@ def exact_duplicates(docs: DataFrame, digest: Column | None = None, checkpoint:
     bits = bits_for(hits.count())
     texts = d
     if checkpoint:  # kept rows of earlier runs that rows of this run hit
+        d.where("file = ''").select("doc_id", "text", F.lit(run).alias("run")).write.mode("append").parquet(f"{checkpoint}/texts")
         mark = F.concat(F.lit("#"), F.lit(run), F.lit("#"))
         elsewhere = state.where("n > 1").where(~F.col("keep.locator").contains(mark)).join(table.select("digest").distinct(), "digest", "left_semi")
-        files = [r[0] for r in elsewhere.select(F.split("keep.locator", "#")[0].alias("f")).where("f <> ''").distinct().collect()]
+        elsewhere = elsewhere.select("digest", F.col("keep.doc_id").alias("__id"), F.split("keep.locator", "#")[0].alias("__file"))
+        files = [r[0] for r in elsewhere.where("__file <> ''").select("__file").distinct().collect()]
+        loose = spark.read.schema("doc_id long, text string, run string").parquet(f"{checkpoint}/texts").where(F.col("run") != run)
+        before = loose.select("doc_id", "text", F.lit("").alias("file"))
         if files:
-            before = with_digest(own(spark.read.parquet(*files))).join(elsewhere.select("digest", F.col("keep.doc_id").alias("__id")), "digest").where("doc_id <=> __id")
-            texts = d.unionByName(before.select(*d.columns))
+            before = before.unionByName(own(spark.read.parquet(*files)))
+        found = with_digest(before).join(elsewhere, "digest").where("doc_id <=> __id")
+        texts = d.unionByName(found.select(*d.columns))
     hit_texts = maybe_in(texts.withColumn("h", F.xxhash64("digest")), "h", bitmap(hits, "h", bits), bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id"))
     checked = hit_texts.groupBy("digest", "text").agg(first.alias("first"), F.count("*").alias("group_size"))
