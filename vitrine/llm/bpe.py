@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import heapq
 import json
 import re
@@ -23,7 +24,7 @@ _L, _N, _S = r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r \x85\xa0
 LATIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 #: Distinct pieces that a Python worker remembers at most; beyond, it forgets all and goes on.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_signs() -> dict[int, str]:
@@ -33,6 +34,18 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for beyond a byte-level BPE with the public split: its ids would differ from those given here."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [] if model.get("type", "BPE") == "BPE" else ["model"]
+    odd += ["normalizer"] if spec.get("normalizer") else []
+    odd += [] if cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True) else ["pre_tokenizer"]
+    odd += [] if (spec.get("decoder") or {}).get("type") == "ByteLevel" else ["decoder"]
+    odd += ["added_tokens"] if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")) else []
+    return odd
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a byte-level BPE in the JSON form of the tokenizers library."""
 
@@ -97,8 +110,8 @@ class Vocabulary:
         if len(self.known) > REMEMBERED:
             self.forget()
         new = list({p for own in cut for p in own} - self.known.keys())
-        for i in range(0, len(new), 50_000):
-            self.add(new[i : i + 50_000], self.merged([p.encode() for p in new[i : i + 50_000]]))
+        for i in range(0, len(new), 20_000):
+            self.add(new[i : i + 20_000], self.merged([p.encode() for p in new[i : i + 20_000]]))
         number = self.known.__getitem__
         piece = np.fromiter((n for own in cut for n in map(number, own)), np.int64)
         sizes = self.begin[piece + 1] - self.begin[piece]
@@ -163,7 +176,7 @@ _loaded: dict[bytes, Vocabulary] = {}
 
 def vocabulary(raw: bytes) -> Vocabulary:
     """The vocabulary of a file's content, parsed once in a process."""
-    key = raw[:64] + len(raw).to_bytes(8, "big") + raw[-64:]
+    key = hashlib.sha256(raw).digest()
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = Vocabulary(raw)
@@ -172,7 +185,11 @@ def vocabulary(raw: bytes) -> Vocabulary:
 
 def _shared(df: DataFrame, path: str):
     with open(path, "rb") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    unlike = unsupported(json.loads(raw))
+    if unlike:
+        raise ValueError(f"this tokenizer isn't a plain byte-level BPE: {', '.join(unlike)}")
+    return df.sparkSession.sparkContext.broadcast(raw)
 
 
 def _encoder(raw, keep: tuple[str, ...]):
@@ -210,8 +227,8 @@ def _picked(docs: DataFrame, text: str, keep: tuple[str, ...]) -> tuple[DataFram
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``ids`` (array of int), the token ids of the whole ``text``.
 
-    Ids are those of the tokenizers library for the file at ``path`` (on the driver; its content is broadcast)
-    without special tokens added; a special token's string in a text becomes that token. A null or empty text has no
+    Ids are those of the tokenizers library for the file at ``path`` (on the driver; its content is broadcast), a plain byte-level
+    BPE (any other is an error, see ``unsupported``), without special tokens added; a special token's string in a text becomes that token. A null or empty text has no
     ids. Rows are independent: ties, repeated rows and other columns don't matter, an empty table gives no rows.
     Pieces that a task hasn't met are encoded together through the pair occurrence index.
     """
