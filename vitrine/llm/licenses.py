@@ -5,6 +5,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -99,6 +100,9 @@ TEMPLATES = (
 
 #: Templates of at most so many words are met in shorter runs of words than the others.
 SHORT = 40
+
+#: A notice may stretch over so many times its template's words.
+SPAN = 1.5
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -106,6 +110,11 @@ def template_words(text: str) -> list[str]:
     return sorted(set(re.findall(WORD, text.lower())))
 
 
+def longest_span(words: int) -> int:
+    """The most words over which a notice of a template of so many words may stretch."""
+    return math.ceil(SPAN * words)
+
+
 def needed(size: int, percent: int) -> int:
     """Words of a template of ``size`` distinct words that a block must hold."""
     return -(-size * percent // 100)
@@ -132,19 +141,19 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
     line or run of words that meets a template) and ``score``.
 
     A word is a run of digits, ASCII letters and non-ASCII characters, lower-cased. Base labels come from the places
-    where a phrase's words stand consecutively. A block is a line or a run of words; it meets a template if it holds at least ``percent``
-    of the template's distinct words. So that notices wrapped over lines are met, runs of words are blocks as well, each
-    starting halfway into the one before: for templates of at most ``SHORT`` words inside a paragraph, for longer ones,
-    which have paragraphs of their own, in the whole text. A run is twice as long as the longest of its templates, so that
-    one of them holds any notice in full. Their ``line`` is -1, -2 and so on; they are left out of ``blocks`` where
-    a line of the text meets the same template at least as well. ``score`` is 1 with a base label, else the largest containment that was met,
-    else 0. Null and empty texts have no words, no labels and score 0; repeated rows give repeated results; an empty
+    where a phrase's words stand consecutively. A block is a line or a run of words; it meets a template if a span in it, at most
+    ``SPAN`` times as long as the template, holds at least ``percent`` of the template's distinct words: words scattered over prose
+    meet nothing. So that notices wrapped over lines are met, runs of words are blocks as well, each starting halfway into the one
+    before: for templates of at most ``SHORT`` words inside a paragraph, for longer ones, which have paragraphs of their own, in the
+    whole text. A run is twice as long as the longest span of its templates, so that one of them holds any span in full; lines
+    longer than that are met by runs alone. Their ``line`` is -1, -2 and so on; they are left out of ``blocks`` where a line of the
+    text meets the same template at least as well. ``score`` is 1 with a base label, else the largest containment that was met, else 0. Null and empty texts have no words, no labels and score 0; repeated rows give repeated results; an empty
     table gives no rows.
 
     The exact join: each block is reduced to its words that some template has (others can't count), and blocks with
     fewer than the smallest number needed go, and texts that as a whole meet no template have no blocks at all. The remaining words are ordered by their number over all blocks, the
     rarest first. A pair that shares enough words shares one in the beginnings (prefixes) of both, whose lengths
-    follow from the sizes; positions bound what may still come. What remains is counted in full. Only the templates'
+    follow from the sizes; positions bound what may still come. What remains is counted in full, span by span. Only the templates'
     words and their numbers come to the driver: they are bounded by the templates.
     """
     sets = [template_words(t) for t, _ in templates]
@@ -154,24 +163,27 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
     ws = F.transform(F.split(low(F.coalesce(F.col("text").cast("string"), F.lit(""))), "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
     d = docs.select(*keep, F.col("text").cast("string").alias("__text"), ws.alias("__ws"))
     lengths = [len(re.findall(WORD, t.lower())) for t, _ in templates]
-    runs_of = [max([n for n in lengths if n <= SHORT], default=1), max(lengths)]
+    runs_of = [longest_span(max([n for n in lengths if n <= SHORT], default=1)), longest_span(max(lengths))]
     has = lambda w: F.array_distinct(F.filter(w, lambda x: x.isin(vocabulary)))
     holds = lambda w, own: F.size(F.filter(w, lambda x: x.isin(own))) >= needed(len(own), percent)
     enough = lambda w: reduce(lambda p, q: p | q, [holds(w, own) for own in sets])
     # a block that lacks so many words of a template as may be lacking, and one more, doesn't meet it: the longest are asked for
     asked = sorted({w for own in sets for w in sorted(own, key=lambda x: (-len(x), x))[: len(own) - needed(len(own), percent) + 1]})
 
+    met_words = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("at"))), lambda e: e["w"].isin(vocabulary))
+    block = lambda line, seq, kind: F.struct(line.alias("line"), F.array_distinct(seq["w"]).alias("words"), F.lit(kind).alias("kind"), seq.alias("seq"))
+
     def runs(w: Column, kind: int) -> Column:
         span = F.lit(runs_of[kind])
         starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), span)
-        return F.transform(starts, lambda p: F.struct(has(F.slice(w, p, 2 * span)).alias("words"), F.lit(kind).alias("kind")))
+        return F.transform(starts, lambda p: block(F.lit(-1), met_words(F.slice(w, p, 2 * span)), kind))
 
-    paragraphs = F.transform(F.split(low(F.col("__text")), PARAGRAPHS), lambda t: F.when(t.contains("\n"), F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    paragraphs = F.transform(F.split(low(F.col("__text")), PARAGRAPHS), lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
     short = F.flatten(F.transform(F.filter(paragraphs, lambda w: F.size(w) > 0), lambda w: runs(w, 0)))
-    long = F.when(F.col("__text").contains("\n"), runs(F.flatten("__ws"), 1)).otherwise(F.array().cast("array<struct<words:array<string>,kind:int>>"))
-    windows = F.transform(F.concat(short, long), lambda w, i: F.struct((-1 - i).alias("line"), w["words"].alias("words"), w["kind"].alias("kind")))
-    none = F.array().cast("array<struct<line:int,words:array<string>,kind:int>>")
-    lines = F.filter(F.transform("__ws", lambda x, i: F.struct(i.alias("line"), has(x).alias("words"), F.lit(0).alias("kind"))), lambda b: F.size(b["words"]) >= least)
+    windows = F.transform(F.concat(short, runs(F.flatten("__ws"), 1)), lambda w, i: F.struct((-1 - i).alias("line"), w["words"].alias("words"), w["kind"].alias("kind"), w["seq"].alias("seq")))
+    none = F.array().cast("array<struct<line:int,words:array<string>,kind:int,seq:array<struct<w:string,at:int>>>>")
+    lines = F.transform("__ws", lambda x, i: block(i, F.when(F.size(x) <= 2 * max(runs_of), met_words(x)).otherwise(F.array().cast("array<struct<w:string,at:int>>")), 0))
+    lines = F.filter(lines, lambda b: F.size(b["words"]) >= least)
     blocks = F.concat(lines, F.filter(windows, lambda b: enough(b["words"])))
     d = d.withColumn("__own", has(F.flatten("__ws")))
     may = low(F.col("__text")).rlike("|".join("[^a-z0-9]+".join(p.split()) for p, _ in phrases))
@@ -184,21 +196,24 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, percent: int = 9
     d = d.select("*", *[_starts(F.col("__flat"), p).alias(f"__p{k}") for k, (p, _) in enumerate(phrases)]).drop("__flat")
     table = materialise(d.withColumn("__row", F.monotonically_increasing_id()), "license-blocks")
 
-    blocks = table.select("__row", F.explode("__blocks").alias("b")).select("__row", "b.line", "b.words", "b.kind")
+    blocks = table.select("__row", F.explode("__blocks").alias("b")).select("__row", "b.line", "b.words", "b.kind", "b.seq")
     counts = {r["w"]: r["n"] for r in blocks.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     spark = docs.sparkSession
     ranked = [sorted(order[w] for w in s) for s in sets]
-    t = [(k, label, r, needed(len(r), percent), int(n > SHORT)) for k, ((_, label), r, n) in enumerate(zip(templates, ranked, lengths))]
-    prefixes = spark.createDataFrame([(word, i, len(r), n, k, label, r, kind) for k, label, r, n, kind in t for i, word in enumerate(r) if i + n <= len(r)], "word int, i int, t_size int, need int, template int, label string, t_words array<int>, t_kind int")
+    t = [(k, label, r, needed(len(r), percent), int(n > SHORT), longest_span(n)) for k, ((_, label), r, n) in enumerate(zip(templates, ranked, lengths))]
+    prefixes = spark.createDataFrame([(word, i, len(r), n, k, label, r, kind, span) for k, label, r, n, kind, span in t for i, word in enumerate(r) if i + n <= len(r)], "word int, i int, t_size int, need int, template int, label string, t_words array<int>, t_kind int, t_span int")
     place = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
-    r = blocks.select("__row", "line", "kind", F.array_sort(F.transform("words", lambda w: place[w])).alias("words"))
-    entry = r.select("__row", "line", "kind", "words", F.size("words").alias("size"), F.posexplode(F.slice("words", F.lit(1), F.greatest(F.size("words") - least + 1, F.lit(0)))).alias("j", "word"))
+    r = blocks.select("__row", "line", "kind", F.array_sort(F.transform("words", lambda w: place[w])).alias("words"), F.transform("seq", lambda e: F.struct(place[e["w"]].alias("w"), e["at"].alias("at"))).alias("seq"))
+    inside = lambda s: F.filter("seq", lambda e: (e["at"] >= s["at"]) & (e["at"] < s["at"] + F.col("t_span")))
+    best = F.array_max(F.transform("seq", lambda s: F.size(F.array_intersect("t_words", F.transform(inside(s), lambda e: e["w"])))))
+    entry = r.select("__row", "line", "kind", "words", "seq", F.size("words").alias("size"), F.posexplode(F.slice("words", F.lit(1), F.greatest(F.size("words") - least + 1, F.lit(0)))).alias("j", "word"))
     met = (
         entry.join(F.broadcast(prefixes), "word")
         .where("(line >= 0 or kind = t_kind) and size >= need and j + need <= size and 1 + least(t_size - i - 1, size - j - 1) >= need")
         .dropDuplicates(["__row", "line", "template"])
-        .withColumn("shared", F.size(F.array_intersect("words", "t_words")))
+        .where(F.size(F.array_intersect("words", "t_words")) >= F.col("need"))
+        .withColumn("shared", best)
         .where("shared >= need")
         .withColumn("by_line", F.max(F.when(F.col("line") >= 0, F.col("shared"))).over(W.partitionBy("__row", "template")))
         .where("line >= 0 or by_line is null or shared > by_line")
@@ -230,18 +245,20 @@ def oracle(phrases=PHRASES, templates=TEMPLATES, percent: int = 90) -> str:
         f"select r, i - 1 as pos, '{label}' as label from words where " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
         for p, label in phrases
     )
-    tpl = ", ".join(f"({k}, '{label}', {quoted(template_words(t))}, {needed(len(template_words(t)), percent)})" for k, (t, label) in enumerate(templates))
+    tpl = ", ".join(f"({k}, '{label}', {quoted(template_words(t))}, {needed(len(template_words(t)), percent)}, {longest_span(len(re.findall(WORD, t.lower())))}, {len(re.findall(WORD, t.lower())) <= SHORT})" for k, (t, label) in enumerate(templates))
     return f"""
 with d as (select row_number() over () as r, doc_id, {low} as t from documents),
-w as (select r, doc_id, regexp_extract_all(t, '{WORD}') as w from d),
+w as (select r, doc_id, t, regexp_extract_all(t, '{WORD}') as w from d),
 words as (select r, w, unnest(range(1, len(w) + 1)) as i from w),
 base as ({starts}),
 b as (select r, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list(distinct label) as labels from base group by r),
-tpl(k, label, words, need) as (values {tpl}),
-lines as (select r, regexp_extract_all(unnest(string_split(t, chr(10))), '{WORD}') as words from d),
-met as (select r, label, len(list_intersect(list_distinct(lines.words), tpl.words)) / len(tpl.words) as c
-        from lines join tpl on len(list_intersect(list_distinct(lines.words), tpl.words)) >= need),
-m as (select r, list(distinct label) as labels, max(c) as c from met group by r)
+tpl(k, label, words, need, span, short) as (values {tpl}),
+may as (select r, t, w, tpl.* from w join tpl on len(list_intersect(list_distinct(w), tpl.words)) >= need),
+part as (select r, k, label, words, need, span, w from may where not short
+         union all select r, k, label, words, need, span, regexp_extract_all(unnest(regexp_split_to_array(t, '{PARAGRAPHS}')), '{WORD}') from may where short),
+place as (select *, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(words, w[i]))) as i from part where len(list_intersect(list_distinct(w), words)) >= need),
+met as (select r, label, len(list_intersect(list_distinct(w[i:i + span - 1]), words)) / len(words) as c, len(list_intersect(list_distinct(w[i:i + span - 1]), words)) >= need as ok from place),
+m as (select r, list(distinct label) as labels, max(c) as c from met where ok group by r)
 select doc_id, len(w.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
        array_to_string(list_sort(coalesce(b.labels, [])), ',') as base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') as labels,
