@@ -39,17 +39,17 @@ from s left join text on text.t = s.t left join low on low.c = text.c"""
 _signs = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v >> {}) % 32, 1)"
 _url = "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)(?::[0-9]*)?([^#]*)"
 ARCHIVES = f"""
-with p as (select page_id, url, coalesce(html, '') as html, encode(coalesce(html, '')) as body from pages where page_id is not null),
+with p as (select page_id, url, coalesce(html, '') as html, encode(coalesce(html, '')) as body, row_number() over () as r from pages),
 g as (select html, max(page_id) as first from p group by html),
-b as (select p.page_id, octet_length(body)::bigint as payload_bytes, sha1(body) as hex, g.first, url from p join g using (html)),
-v as (select page_id, string_agg(s, '' order by k) as digest from (
-      select page_id, k, {" || ".join(_signs.format(n) for n in (15, 10, 5, 0))} as s from (
-      select page_id, k, ('0x' || substr(hex, 1 + 5 * k, 5))::bigint as v from (select page_id, hex, unnest(range(8)) as k from b))) group by page_id)
-select page_id, payload_bytes, digest as payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
-       case when first <> page_id then first end as refers_to, strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured,
+b as (select p.r, p.page_id, octet_length(body)::bigint as payload_bytes, sha1(body) as hex, g.first, url from p join g using (html)),
+v as (select r, string_agg(s, '' order by k) as digest from (
+      select r, k, {" || ".join(_signs.format(n) for n in (15, 10, 5, 0))} as s from (
+      select r, k, ('0x' || substr(hex, 1 + 5 * k, 5))::bigint as v from (select r, hex, unnest(range(8)) as k from b))) group by r)
+select page_id, payload_bytes, digest as payload_digest, case when first is not distinct from page_id or first is null then 'response' else 'revisit' end as record_type,
+       case when first is distinct from page_id then first end as refers_to, strftime(make_timestamp(coalesce(1704067200 + page_id, 0) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as captured,
        case when u is null then '' when not regexp_matches(u, '{_url}') then u
        else array_to_string(list_reverse(string_split(lower(regexp_extract(u, '{_url}', 1)), '.')), ',') || ')' || regexp_extract(u, '{_url}', 2) end as urlkey
-from (select *, regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20', 'g') as u from b) b join v using (page_id)"""
+from (select *, regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20', 'g') as u from b) b join v using (r)"""
 
 
 #: Ten rounds of assigning and moving, one after the other; a mean's floor is that of exact integers.

@@ -51,31 +51,34 @@ def write(pages: DataFrame, path: str, captured: Column, least_bytes: int = 0, f
     The payload is the html in UTF-8, a null html an empty payload. Of the records whose payloads are equal and have at
     least ``least_bytes`` bytes, the one with the largest page_id is a response and the others revisit it; smaller
     payloads are all responses. ``captured`` is the capture time (a timestamp; null: the epoch). A row without page_id
-    gets no record, as nothing could name it; repeated rows give repeated records; an empty table gives no records.
+    gets a record whose ID is the row's own (``urn:x-row``), and is a revisit of an equal payload that has a page_id, else a response;
+    repeated rows give repeated records; an empty table gives no records.
     Control characters in a URL are percent-encoded, a null URL gives no target.
 
     Digests are grouped (pre-aggregated), and the payloads meet what was decided for them in one join, their only
-    shuffle. A file holds so many records as have about ``file_bytes`` of payload at their mean size.
+    shuffle. A file holds so many records as have about ``file_bytes`` of payload at their mean size, and never more than 1.5 GB of
+    the largest, as a file is read back whole.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    d = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), captured.alias("captured"))
+    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), captured.alias("captured"))
     sha1 = F.unhex(F.sha1(F.col("html").cast("binary")))
     digests = materialise(d.select("page_id", sha1.alias("sha"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("same"), F.octet_length("html").cast("long").alias("n")), "warc-digests")
     groups = digests.where(F.col("n") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("members")).where("members > 1").select("same", "first")
     plan = digests.distinct().join(groups, "same", "left").select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), F.col("n").alias("__n"), F.coalesce("first", "page_id").alias("first"))
-    total, count = digests.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    most = max(1, int(file_bytes * count // max(1, total))) if count else 1
+    total, count, longest = digests.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    most = max(1, min(int(file_bytes * count // max(1, total)), (3 << 29) // max(1, longest))) if count else 1
     clean_url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     name = lambda c: F.concat(F.lit("<urn:x-page:"), c.cast("string"), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
-    revisit = F.col("first") != F.col("page_id")
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    own = F.coalesce(name(F.col("page_id")), F.concat(F.lit("<urn:x-row:"), F.monotonically_increasing_id().cast("string"), F.lit(">")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("__n").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", name(F.col("page_id"))),
+        line("WARC-Record-ID", own),
         line("WARC-Date", F.date_format(F.coalesce("captured", F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.when(F.col("url").isNull(), F.lit("")).otherwise(line("WARC-Target-URI", clean_url)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.hex("__sha")))),
@@ -86,7 +89,7 @@ def write(pages: DataFrame, path: str, captured: Column, least_bytes: int = 0, f
         F.col("block"),
         F.lit(END),
     )
-    dealt = d.withColumn("sha", sha1).join(plan, (F.col("page_id") == F.col("__id")) & (F.col("sha") == F.col("__sha")))
+    dealt = d.withColumn("sha", sha1).join(plan, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")))
     members = dealt.withColumn("block", block).select(record.cast("binary").alias("value")).mapInArrow(_members, "value binary")
     members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", _LAST).option("compression", "none").option("maxRecordsPerFile", most).text(path)
     drop_scratch(spark, digests)
@@ -146,7 +149,7 @@ def read_runs(spark, path: str) -> DataFrame:
 
     Payloads of responses are digested again; one that differs from its header is an error.
     """
-    page = lambda urn: int(urn.rpartition(":")[2].rstrip(">"))
+    page = lambda urn: int(urn.rpartition(":")[2].rstrip(">")) if urn.startswith("<urn:x-page:") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +225,8 @@ def merge_runs(runs: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
             return
         table = pa.Table.from_batches(held).combine_chunks()
         files = table.column("file").to_pylist()
-        keys = list(zip(table.column("urlkey").to_pylist(), table.column("captured").to_pylist(), table.column("page_id").to_pylist()))
+        number = [(p is not None, p or 0) for p in table.column("page_id").to_pylist()]  # none first, as Spark sorts
+        keys = list(zip(table.column("urlkey").to_pylist(), table.column("captured").to_pylist(), number))
         begins = [i for i in range(len(files)) if i == 0 or files[i] != files[i - 1]]
         ends = [*begins[1:], len(files)]
         at, order = [*begins], []
