@@ -88,22 +88,6 @@ def test_stems_are_porters():
         assert ST.stem(word) == stem
 
 
-def test_text_index(spark):
-    docs = spark.createDataFrame([(1, "Licenses for the café"), (2, "licensed, licensed"), (3, "the CAFE"), (4, None), (5, "")], "id long, text string")
-    plain, stems = Q.postings(docs), Q.postings(docs, stem=True)
-    ids = lambda df: sorted(r["id"] for r in df.collect())
-    assert ids(Q.keyword_search(plain, ["cafe"])) == [1, 3] and ids(Q.keyword_search(plain, ["license"])) == []
-    assert ids(Q.keyword_search(stems, [ST.stem("license")])) == [1, 2]
-    assert ids(Q.keyword_search(plain, ["the", "cafe"])) == [1, 3] and ids(Q.keyword_search(plain, ["the", "licensed"], every=False)) == [1, 2, 3]
-    assert ids(Q.keyword_search(plain, [])) == []
-    # three of five documents: idf is floored, so the score is tiny but not negative
-    n, df, f, size, mean = 5, 1, 2, 2, 8 / 5
-    idf = math.log((n - df + 0.5) / (df + 0.5))
-    assert math.isclose(Q.keyword_search(plain, ["licensed"]).first()["score"], idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean)))
-    new = Q.updated_postings(plain, spark.createDataFrame([(3, "no more")], "id long, text string"), spark.createDataFrame([(1,)], "id long"))
-    assert ids(Q.keyword_search(new, ["cafe"])) == [] and ids(new.where("term is null")) == [2, 3, 4, 5]
-
-
 def test_similar_pairs_in_blocks(spark):
     import numpy as np
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -94,6 +97,20 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+_ascii, _any, _marks = re.compile("[a-z0-9]+").findall, regex.compile(r"[\p{L}\p{N}]+").findall, regex.compile(r"\p{Mn}+")
+_cached_stem = lru_cache(200_000)(stem)
+
+
+def terms_of(text: str | None, stems: bool = False) -> list[str]:
+    """The lower-case runs of letters and digits of one text in order, without marks (canonical decomposition, then nonspacing marks go);
+    ``stems``: their English stems. For tasks that index whole documents."""
+    if not text:
+        return []
+    low = text.lower()
+    own = _ascii(low) if low.isascii() else _any(_marks.sub("", unicodedata.normalize("NFD", low)))
+    return [*map(_cached_stem, own)] if stems else own
+
+
 def clean_query(text: Column) -> Column:
     """A search text without the signs of the query language, white space as single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r'[":*^(){}\[\]\\]', " "), r"\s+", " "))

@@ -1,18 +1,15 @@
-"""Search: exact vector search, text index and BM25, rank fusion, keyword re-ranking; people: centroids, matches, clusters."""
+"""Search: exact vector search, rank fusion, keyword re-ranking; people: centroids, matches, clusters."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import stems as ST
 from ..functions import vectors as V
-from .store import written
+from . import balls as B
+from .store import dropped, written
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int, least: float | None = None) -> DataFrame:
@@ -35,11 +32,11 @@ def vector_of(vectors: DataFrame, id_: int) -> list[float]:
     return list(vectors.where(F.col("id") == id_).select("embedding").first()[0])
 
 
-def similar_images(items: DataFrame, vectors: DataFrame, path: str, least: float, most: int = 99) -> DataFrame:
+def similar_images(items: DataFrame, vectors: DataFrame, path: str, least: float, most: int = 99, cells: B.Cells | None = None) -> DataFrame:
     """``id, score``: the item at a path with score 1, and its at most ``most`` neighbours of similarity ``least`` or more.
 
-    ``least`` must be above 0 and at most 1. ``items(id, source_path)`` are the ones to search, ``vectors(id, embedding)`` theirs;
-    a source without vector gives no rows.
+    ``least`` must be above 0 and at most 1. ``items(id, source_path)`` are the ones to search, ``vectors(id, embedding)`` theirs, and
+    ``cells`` the same vectors in cells, if there are such; a source without vector gives no rows.
     """
     if not 0 < least <= 1:
         raise ValueError("the similarity must be above 0 and at most 1")
@@ -47,47 +44,12 @@ def similar_images(items: DataFrame, vectors: DataFrame, path: str, least: float
     source = have.where(F.col("source_path") == path).select("id", "embedding").first()
     if source is None:
         return have.select("id", F.lit(1.0).alias("score")).limit(0)
-    near = nearest(have.where(F.col("id") != source["id"]).select("id", "embedding"), list(source["embedding"]), most, least)
+    others = have.where(F.col("id") != source["id"])
+    near = nearest(others.select("id", "embedding"), list(source["embedding"]), most, least) if cells is None else B.search(cells, list(source["embedding"]), most, least, allowed=others.select("id"))[0]
     own = have.where(F.col("id") == source["id"]).select("id", F.lit(1.0).alias("score"))
     return own.unionByName(near.select("id", F.col("similarity").alias("score")))
 
 
-def postings(docs: DataFrame, stem: bool = False) -> DataFrame:
-    """The text index of ``docs(id, text)``: ``term, id, f, length`` for every term of every document, and a row with a null
-    term for each document, so that those without terms count too. With ``stem``, terms are English stems; the different
-    terms are stemmed, not the running text."""
-    d = docs.select("id", ST.terms(F.col("text")).alias("t")).select("id", F.size("t").alias("length"), "t")
-    found = d.select("id", "length", F.explode("t").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("f"))
-    if stem:
-        stems = found.select("term").distinct().withColumn("stem", ST.stemmed("term"))
-        found = found.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "length").agg(F.sum("f").alias("f"))
-    every = d.select(F.lit(None).cast("string").alias("term"), "id", "length", F.lit(0).cast("long").alias("f"))
-    return found.select("term", "id", "length", "f").unionByName(every)
-
-
-def updated_postings(index: DataFrame, changed: DataFrame, gone: DataFrame, stem: bool = False) -> DataFrame:
-    """The index without the documents ``gone(id)``, and with those of ``changed(id, text)`` read anew."""
-    away = gone.select("id").unionByName(changed.select("id")).distinct()
-    return index.join(away, "id", "left_anti").select(*index.columns).unionByName(postings(changed, stem))
-
-
-def keyword_search(index: DataFrame, words: list[str], every: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over an index of ``postings``: ``id, score`` for documents with all of the words (``every`` off: with any of them).
-
-    Only the words' postings are read; their document counts and the corpus' number and mean length are one small row each.
-    No words find nothing.
-    """
-    wanted = sorted(set(words))
-    hit = index.where(F.col("term").isin(wanted)) if wanted else index.where(F.lit(False))
-    stats = index.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    score = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    small = df.join(stats, F.lit(True))  # a row per word with the one row of the corpus
-    scored = hit.join(F.broadcast(small), "term").groupBy("id").agg(F.sum(score).alias("score"), F.count("*").alias("n_terms"))
-    return (scored.where(F.col("n_terms") == len(wanted)) if every else scored).select("id", "score")
-
-
 def ranked(df: DataFrame, score: str, limit: int) -> DataFrame:
     top = df.orderBy(F.desc(score), "id").limit(limit)
     return top.select("id", F.row_number().over(W.orderBy(F.desc(score), "id")).alias("rank"))
@@ -158,73 +120,41 @@ def best_per(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     return top.select(key, F.col(f"m.{score}").alias(score), (-F.col("m.less")).alias(tie), *[F.col(f"m.{c}").alias(c) for c in rest])
 
 
-def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """``g, ids, units``: unit vectors (zero vectors stay) dealt by a hash into blocks of about ``rows``, and their number.
-    Vectors that are null or hold a null take no part."""
-    v = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select(F.col("id").cast("long").alias("id"), V.unit(F.col("embedding")).alias("u"))
-    n = max(1, -(-v.count() // rows))
-    packed = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("g")).agg(F.collect_list(F.struct("id", "u")).alias("rows"))
-    return packed.select("g", F.col("rows.id").alias("ids"), F.col("rows.u").alias("units")), n
-
-
-def _products(least: float, upper: bool):
-    """Pairs of two blocks' rows whose product reaches the bound, one matrix product for each pair of blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda name: batch.column(name)[r].values  # noqa: E731, B023
-                ids_a, ids_b = get("ids_a").to_numpy(), get("ids_b").to_numpy()
-                sides = [get(u) for u in ("units_a", "units_b")]
-                flat = [x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 0)) for x in sides]
-                if flat[0].shape[1] != flat[1].shape[1]:
-                    continue
-                for i in range(0, len(ids_a), 1024):
-                    s = flat[0][i : i + 1024] @ flat[1].T
-                    x, y = np.nonzero(s >= least)
-                    a, b, value = ids_a[i:][x], ids_b[y], s[x, y]
-                    if upper:  # both sides are the same rows: each pair once, the smaller id first
-                        same = batch.column("ga")[r].as_py() == batch.column("gb")[r].as_py()
-                        keep = a < b if same else a != b
-                        a, b, value = np.minimum(a, b)[keep], np.maximum(a, b)[keep], value[keep]
-                    for k in range(0, len(a), 50_000):
-                        yield pa.record_batch([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000]), pa.array(value[k : k + 50_000])], ["a", "b", "similarity"])
-
-    return run
-
-
 def similar_across(left: DataFrame, right: DataFrame, least: float, rows: int = 2048) -> DataFrame:
     """``a, b, similarity`` of all rows of ``left(id, embedding)`` and ``right(id, embedding)`` whose cosine is at least ``least``. Both
-    are dealt into blocks, and every pair of blocks is one row of a distributed join and one matrix product; all vectors have
-    one length."""
-    a, _ = _blocks(left, rows)
-    b, n = _blocks(right, rows)
-    pairs = a.select(F.col("g").alias("ga"), F.col("ids").alias("ids_a"), F.col("units").alias("units_a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("gb"))
-    both = pairs.join(b.select(F.col("g").alias("gb"), F.col("ids").alias("ids_b"), F.col("units").alias("units_b")), "gb")
-    return both.mapInArrow(_products(least, False), "a long, b long, similarity double")
+    are dealt to cells, and only blocks whose bounds allow it meet (see ``balls.joined``)."""
+    return B.joined(B.cells_of(left, rows), B.cells_of(right, rows), least, rows)[0]
 
 
 def similar_pairs(vectors: DataFrame, least: float, rows: int = 2048) -> DataFrame:
     """``a, b, similarity`` of all pairs a < b with cosine at least ``least``, see ``similar_across``."""
-    v, n = _blocks(vectors, rows)
-    span = F.sequence(F.lit(0), F.lit(n - 1))
-    left = v.select(F.col("g").alias("ga"), F.col("ids").alias("ids_a"), F.col("units").alias("units_a"), F.explode(F.filter(span, lambda h: h >= F.col("g"))).alias("gb"))
-    both = left.join(v.select(F.col("g").alias("gb"), F.col("ids").alias("ids_b"), F.col("units").alias("units_b")), "gb")
-    return both.mapInArrow(_products(least, True), "a long, b long, similarity double")
+    cells = B.cells_of(vectors, rows)
+    return B.joined(cells, cells, least, rows, upper=True)[0]
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """``id, component`` (the smallest id reachable) of ``edges(a, b)``: minimum labels with pointer jumping.
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``id, component`` (the smallest id reachable) of ``edges(a, b)``.
 
-    Each round is written to the shared folder; it ends when no label changes.
+    Edges are redrawn until only stars are left (Kiveris and others 2014): in turn, each node's larger neighbours, and then the
+    smaller ones with itself, are tied to its smallest. Rounds grow with the logarithm of the paths' length; each is written to
+    the shared folder, and the one before is deleted. Loops are dropped.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("id"), "l"), "labels")
+    edge = lambda x, y: F.struct(x.alias("u"), y.alias("v"))
+    lone = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = label.join(near, label["id"] == near["a"]).select("id", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = written(step.join(label.select(F.col("id").alias("l"), F.col("l").alias("ll")), "l", "left").select("id", "old", F.least("l", F.coalesce("ll", "l")).alias("l")), "labels")
-        label = jump.select("id", "l")
-        if jump.where("l <> old").isEmpty():
-            return label.withColumnRenamed("l", "component")
-    raise RuntimeError("components did not settle")
+        ends = e.groupBy("u").agg(F.count("*").alias("out"))
+        loose = ends.where("out > 1").limit(1).unionByName(ends.join(e.select(F.col("v").alias("u")).distinct(), "u").limit(1))
+        if loose.isEmpty():
+            break
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = up.groupBy("u").agg(F.min("v").alias("m"))
+        tied = up.join(down, "u").select(F.explode(F.array(edge(F.col("u"), F.col("m")), edge(F.col("v"), F.col("m")))).alias("p")).select("p.*")
+        e, old = written(tied.where("u <> v").distinct(), "edges"), e
+        dropped(old)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    stars = e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return stars.unionByName(lone.join(stars, "id", "left_anti"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import scalars as S
-from ..functions import stems as ST
 from ..functions import vectors as V
+from ..operators import balls as B
 from ..operators import catalogue as C
 from ..operators import geometry as G
 from ..operators import search as Q
-from ..operators.store import once
+from ..operators.store import fresh_path, once
+from ..operators.textindex import TextIndex
 from ..streaming import logs
 from .registry import VIEWS, query, table, view
 
@@ -39,23 +40,30 @@ VIEWS |= {
 # ------------------------------------------------------------------ vectors, faces, people
 
 
+def _vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def cells(spark, d) -> B.Cells:
+    """The vectors in cells, built once in an application."""
+    return once(table(spark, d, "embeddings"), f"cells {d}", lambda: B.cells_of(_vectors(spark, d)))
+
+
 @query("v4_nearest_vectors", "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as similarity from embeddings order by list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) desc, vec_id limit 25")
 def v4(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return Q.nearest(e, Q.vector_of(e, 0), 25).select("id", F.round("similarity", 6).alias("similarity"))
+    return B.search(cells(spark, d), Q.vector_of(_vectors(spark, d), 0), 25)[0].select("id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("v1_search_by_vector", "select id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 1)), 6) as similarity from items join embeddings on vec_id = id where deleted_at is null and lower(country) = 'en' and people between 1 and 4 and taken >= '2012' order by list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 1)) desc, id limit 30", ("items",))
 def v1(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     items = C.active(view(spark, d, "items"), "L").where((F.lower("country") == "en") & F.col("people").between(1, 4) & (F.col("taken") >= "2012"))
-    return Q.nearest(items.select("id").join(e, "id"), Q.vector_of(e, 1), 30).select("id", F.round("similarity", 6).alias("similarity"))
+    return B.search(cells(spark, d), Q.vector_of(_vectors(spark, d), 1), 30, allowed=items.select("id"))[0].select("id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("v5_similar_faces", "select id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 2)), 6) as similarity from faces where tag_id is null and list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 2)) >= 0.2", ("faces",))
 def v5(spark, d):
-    f = view(spark, d, "faces")
-    return Q.nearest(f.where("tag_id is null").select("id", "embedding"), Q.vector_of(f, 2), 0, 0.2).select("id", F.round("similarity", 6).alias("similarity"))
+    untagged = view(spark, d, "faces").where("tag_id is null").select("id")
+    return B.search(cells(spark, d), Q.vector_of(_vectors(spark, d), 2), 0, 0.2, allowed=untagged)[0].select("id", F.round("similarity", 6).alias("similarity"))
 
 
 CENTROIDS = """e as (select tag_id, unnest(embedding::double[]) as x, unnest(range(len(embedding))) as pos from faces where tag_id is not null),
@@ -97,7 +105,7 @@ def a16(spark, d):
 
 @query("j18_similar_pairs", "select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35")
 def j18(spark, d):
-    return Q.similar_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.35).select("a", "b")
+    return B.joined(cells(spark, d), cells(spark, d), 0.35, upper=True)[0].select("a", "b")
 
 
 @query("w1_representatives", "select cluster_id, id, k from (select cluster_id, id, row_number() over (partition by cluster_id order by confidence desc nulls last, id) as k from faces) where k <= 64", ("faces",))
@@ -108,7 +116,9 @@ def w1(spark, d):
 
 # ------------------------------------------------------------------ text search and fusion
 
-TERMS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{ST.MARKED}', '{ST.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+#: DuckDB: the terms of a text, see ``stems.terms_of``.
+_terms = lambda c: f"list_filter(regexp_split_to_array(strip_accents(lower(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+TERMS = _terms("text")
 BM25 = f"""d as (select doc_id as id, {TERMS} as t from documents),
 st as (select count(*) as n, avg(len(t)) as al from d),
 tf as (select id, len(t) as l, x as term, count(*) as f from (select id, t, unnest(t) as x from d) where x in ('the', 'license', 'version') group by all),
@@ -117,19 +127,83 @@ kw as (select id, count(*) as n_terms, sum(greatest(1e-6, ln((n - df + 0.5) / (d
 WORDS = ["the", "license", "version"]
 
 
-def _index(spark, d, stem: bool = False):
+def _index(spark, d) -> TextIndex:
     """The text index of the documents, built once in an application."""
-    return once(spark, f"postings {d} {stem}", lambda: Q.postings(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), stem).repartition(8, "term").sortWithinPartitions("term"))
+
+    def make() -> TextIndex:
+        index = TextIndex(spark, fresh_path(spark, "text"), ("text",))
+        index.upsert(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+        return index
+
+    return once(table(spark, d, "documents"), f"text {d}", make)
 
 
 @query("v9_keyword_search", f"{BM25} select id, round(score, 6) as score from kw")
 def v9(spark, d):
-    return Q.keyword_search(_index(spark, d), WORDS, every=False).select("id", F.round("score", 6).alias("score"))
+    return _index(spark, d).search(WORDS, 0)[0].select("id", F.round("score", 6).alias("score"))
 
 
 @query("v9_all_keywords", f"{BM25} select id, round(score, 6) as score from kw where n_terms = 3")
 def v9_all(spark, d):
-    return Q.keyword_search(_index(spark, d), WORDS).select("id", F.round("score", 6).alias("score"))
+    return _index(spark, d).search(WORDS, 0, every=True)[0].select("id", F.round("score", 6).alias("score"))
+
+
+#: The five fields of an item's caption, from its columns.
+VIEWS["captions"] = (
+    "select id, library_id, source_path, city, country, people, taken, deleted_at, substr(text, 1, 80) as title, text as description, city || ', ' || country as location, coalesce(category, '') as category, "
+    "case when star_rating is null then '' when star_rating = -1 then 'file_rating_rejected' when star_rating = 0 then 'file_rating_unrated' else 'file_rating_' || cast(star_rating as string) end as rating from items"
+)
+FIELDS = ("title", "description", "location", "category", "rating")
+
+
+def _bm25(source: str, words: list[str]) -> str:
+    """DuckDB: ``kw(id, score, n_terms)``, BM25 over the five fields of a table of captions."""
+    whole = "list_concat(" * 4 + _terms("title") + "".join(f", {_terms(c)})" for c in FIELDS[1:])
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"""dt as (select id, {whole} as t from {source}), st as (select count(*) as n, avg(len(t)) as al from dt),
+tf as (select id, len(t) as l, x as term, count(*) as f from (select id, t, unnest(t) as x from dt) where x in ({listed}) group by all),
+df as (select term, count(*) as df from tf group by term),
+kw as (select id, count(*) as n_terms, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / al))), 12) as score from tf join df using (term), st group by id)"""
+
+
+def _captions(spark, d) -> TextIndex:
+    """The index of all captions, built once in an application."""
+
+    def make() -> TextIndex:
+        index = TextIndex(spark, fresh_path(spark, "captions"), FIELDS)
+        index.upsert(view(spark, d, "captions"))
+        return index
+
+    return once(table(spark, d, "documents"), f"captions {d}", make)
+
+
+@query("v9_keyword_page", f"{_bm25('captions', ['license', 'version', 'nature', '4', 'the'])}, ok as (select c.id, c.source_path, c.city, c.country, c.people from captions c where c.library_id = 'L' and c.deleted_at is null and starts_with(c.source_path, '/lib/src1/') and c.taken between '2012' and '2022-12' and c.country like '%e%' and (c.id in (select item_id from faces where tag_id = 2) or c.id in (select item_id from faces where tag_id is null and cluster_id = 3) or c.people >= 2)) select ok.id, source_path, city, country, people, round(score, 6) as score from ok join kw on kw.id = ok.id order by kw.score desc, ok.id limit 100", ("items", "captions", "faces"))
+def v9_page(spark, d):
+    """Keyword search as the catalogue asks it: five fields, filters for library, folder, dates, place and people, a limit."""
+    c, f = view(spark, d, "captions"), view(spark, d, "faces")
+    c = C.active(c, "L").where(P.in_folder(F.col("source_path"), "/lib/src1", True) & F.col("taken").between("2012", "2022-12") & F.col("country").contains("e"))
+    with_person = f.where("tag_id = 2 or (tag_id is null and cluster_id = 3)").select(F.col("item_id").alias("id")).distinct().withColumn("tagged", F.lit(True))
+    c = c.join(with_person, "id", "left").where("tagged or people >= 2")
+    found, _ = _captions(spark, d).search(["license", "version", "nature", "4", "the"], 100, allowed=c.select("id"))
+    return found.join(c.select("id", "source_path", "city", "country", "people"), "id").select("id", "source_path", "city", "country", "people", F.round("score", 6).alias("score"))
+
+
+@query("k10_index_upkeep", f"now as (select id, case when id % 5 = 0 then 'renamed version ' || title else title end as title, description, location, category, rating from captions where id % 7 <> 0 or id % 5 = 0), {_bm25('now', ['license', 'version', 'renamed'])} select id, round(score, 6) as score from kw", ("items", "captions"))
+def k10(spark, d):
+    """An index after a first load, changed and new captions, deletions and a merge: what a rebuild of the last state gives."""
+
+    def make() -> TextIndex:
+        c = view(spark, d, "captions").select("id", *FIELDS)
+        index = TextIndex(spark, fresh_path(spark, "upkeep"), FIELDS)
+        index.upsert(c.where("id % 3 <> 0"))
+        index.upsert(c.where("id % 3 = 0"))
+        index.delete(c.where("id % 7 = 0").select("id"))
+        index.upsert(c.where("id % 5 = 0").withColumn("title", F.concat(F.lit("renamed version "), "title")))
+        index.merge()
+        return index
+
+    index = once(table(spark, d, "documents"), f"upkeep {d}", make)
+    return index.search(["license", "version", "renamed"], 0)[0].select("id", F.round("score", 6).alias("score"))
 
 
 HYBRID = f"""{BM25}, vs as (select vec_id as id, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 5)) as s from embeddings),
@@ -138,9 +212,8 @@ f as (select id, sum(1.0::double / (60 + rank)) as score from (select * from a w
 
 
 def _fused(spark, d) -> DataFrame:
-    kw = Q.keyword_search(_index(spark, d), WORDS, every=False).withColumn("score", F.round("score", 9))
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    vs = Q.nearest(e, Q.vector_of(e, 5), 0).withColumn("score", F.round("similarity", 9))
+    kw = _index(spark, d).search(WORDS, 150)[0].withColumn("score", F.round("score", 9))  # more than are ranked, as ranks go by rounded scores
+    vs = B.search(cells(spark, d), Q.vector_of(_vectors(spark, d), 5), 150)[0].withColumn("score", F.round("similarity", 9))
     return Q.fuse([Q.ranked(kw, "score", 100), Q.ranked(vs, "score", 100)], limit=1_000_000)
 
 

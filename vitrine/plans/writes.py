@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import scalars as S
 from ..functions import vectors as V
+from ..operators import balls as B
 from ..operators import catalogue as C
 from ..operators import coverage as COV
 from ..operators import duplicates as DUP
@@ -15,6 +16,7 @@ from ..operators import ingest as I
 from ..operators import people as PPL
 from ..operators import search as Q
 from ..sources import files as SRC
+from .queries import cells
 from .registry import VIEWS, query, table, view
 
 # ------------------------------------------------------------------ scans and analyses
@@ -344,7 +346,7 @@ def _images(spark, d):
 def v3(spark, d):
     items = view(spark, d, "media").where("deleted_at is null")
     path = items.where("id = 12").select("source_path").first()[0]
-    return Q.similar_images(items, _images(spark, d), path, 0.1).select("id", F.round("score", 6).alias("score"))
+    return Q.similar_images(items, _images(spark, d), path, 0.1, cells=cells(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
 @query("v12_hybrid_search", f"v as (select item_id as id, list_cosine_similarity(embedding::double[], {_q}) as s from vectors where kind = 'image'), t as (select item_id as id, list_cosine_similarity(embedding::double[], {_q}) as s from vectors where kind = 'text'), v2 as (select *, row_number() over (order by round(s, 9) desc, id) as k from v), t2 as (select *, row_number() over (order by round(s, 9) desc, id) as k from t), f as (select id, sum(1.0::double / (60 + k)) as score from (select id, k from v2 where k <= 100 union all select id, k from t2 where k <= 100) group by id order by score desc, id limit 60) select f.id, round(score, 9) as score, round(v2.s, 6) as image_similarity, round(t2.s, 6) as text_similarity from f left join v2 on v2.id = f.id and v2.k <= 100 left join t2 on t2.id = f.id and t2.k <= 100", ("vectors",))
@@ -357,7 +359,7 @@ def v12(spark, d):
 
 @query("a15_face_clusters", "recursive e as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35), r(id, c) as (select distinct a, a from e union select e.b, r.c from r join e on e.a = r.id), k as (select id, min(c) as c from r group by id) select c as cluster_id, count(*) as members, arg_max(k.id, (0.5 + (k.id % 50) / 100.0, -k.id)) as representative from k group by c having count(*) >= 4")
 def a15(spark, d):
-    pairs = Q.similar_pairs(_images(spark, d), 0.35)
+    pairs = B.joined(cells(spark, d), cells(spark, d), 0.35, upper=True)[0]
     return I.clusters_kept(Q.components(pairs), view(spark, d, "faces"))
 
 
