@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,12 +13,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .store import dropped, written
 
 
 def _box(prefix: str = ""):
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+#: Images with more boxes than this are settled by rounds over grid cells, the others within a task.
+SMALL = 1000
+
+
+def _split(boxes: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """The boxes of images with at most ``small`` boxes, and those of the others."""
+    large = written(boxes.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > small).select("image"), "large-images")
+    return boxes.join(large, "image", "left_anti").select(*boxes.columns), boxes.join(large, "image", "left_semi").select(*boxes.columns)
+
+
+def cells(boxes: DataFrame, threshold: float, pixel: int = 0) -> DataFrame:
+    """The grid cells in which a box can meet any that overlaps it by the threshold (IoU): the columns of ``boxes`` and ``g, cx, cy, own``.
+
+    The longest sides of two such boxes differ by at most 1 / threshold, so a box is put into the grid of its own size class (cells
+    at least as long as it, at most four of them) and, as a guest, into those of the next larger classes that it may meet. Two
+    boxes meet in the grid of the larger one's class, of which the larger is an own member.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    more = math.ceil(math.log(1 / threshold, 4) - 1e-12) if threshold < 1 else 0
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(0.0)) + pixel
+    level = F.floor(F.log2(F.greatest(side, F.lit(2.0**-40))) / 2).cast("int")
+    b = boxes.withColumn("__level", level).withColumn("g", F.explode(F.sequence(F.col("__level"), F.col("__level") + more)))
+    width = F.pow(F.lit(4.0), F.col("g") + 1)
+    at = lambda c: F.floor(c / width).cast("long")
+    b = b.withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.greatest("x1", F.col("x2") + pixel)))))
+    b = b.withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.greatest("y1", F.col("y2") + pixel)))))
+    return b.withColumn("own", F.col("g") == F.col("__level")).drop("__level")
+
+
 def _taken_by_group(rows: DataFrame, key: str, order: list, take: Callable[[pd.DataFrame, int, int], list[int]]) -> DataFrame:
     """The rows that ``take(frame, from, to)`` picks from each run of equal keys, rows in the given order.
 
@@ -46,10 +78,59 @@ def _taken_by_group(rows: DataFrame, key: str, order: list, take: Callable[[pd.D
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, rows.schema)
 
 
-def suppress(boxes: DataFrame, threshold: float) -> DataFrame:
-    """Boxes ``(image, id, x1, y1, x2, y2, score)`` that stay: best score first, none may overlap a kept one by more than
-    the threshold (IoU with a pixel added to each side). Order dependent, so it runs in Arrow batches, image by image.
+def _overlap(a: str, b: str) -> Column:
+    """IoU of two boxes with a pixel added to each side."""
+    c = lambda side, k: F.col(f"{side}.{k}")
+    w, h = (F.greatest(F.lit(0.0), F.least(c(a, f"{k}2"), c(b, f"{k}2")) - F.greatest(c(a, f"{k}1"), c(b, f"{k}1")) + 1) for k in "xy")
+    size = lambda s: (c(s, "x2") - c(s, "x1") + 1) * (c(s, "y2") - c(s, "y1") + 1)
+    return w * h / (size(a) + size(b) - w * h)
+
+
+def suppress_by_rounds(boxes: DataFrame, threshold: float, most_rounds: int = 200) -> DataFrame:
+    """``suppress`` for images of any number of boxes: no task holds an image, and no pairs of boxes are formed but those with a box just
+    taken.
+
+    In each round, the best live box of every cell is found (a minimum, summed up in the tasks first). A box that is the best in all
+    its cells beats all its live neighbours: it stays, and what it overlaps too much goes. Guests of a cell are held only
+    against its own members. The best live box of an image always stays, so the rounds end.
     """
+    key = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("less"), F.col("id").alias("id"))
+    place = ["image", "g", "cx", "cy"]
+    live = cells(boxes.select("image", "id", *"x1 y1 x2 y2 score".split()), threshold, 1).withColumn("key", key)
+    live = written(live.join(live.where("own").select(*place).distinct(), place, "left_semi").unionByName(live.where("own")).distinct(), "boxes-live")
+    kept = []
+    for _ in range(most_rounds):
+        if live.isEmpty():
+            break
+        best = live.groupBy(*place).agg(F.min(F.when(F.col("own"), F.col("key"))).alias("own_best"), F.min(F.when(~F.col("own"), F.col("key"))).alias("guest_best"))
+        beats = (F.col("key") <= F.coalesce("own_best", "key")) & (~F.col("own") | (F.col("key") <= F.coalesce("guest_best", "key")))
+        first = live.join(best, place).groupBy("image", "id").agg(F.bool_and(beats).alias("first")).where("first").select("image", "id")
+        first = written(first, "boxes-first")
+        kept.append(first)
+        top = live.join(first, ["image", "id"], "left_semi").alias("a")
+        rest = live.join(first, ["image", "id"], "left_anti").alias("b")
+        meet = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in place]
+        gone = top.join(rest, meet).where((F.col("a.own") | F.col("b.own")) & (_overlap("a", "b") > threshold)).select("b.image", "b.id").distinct()
+        live, old = written(rest.join(gone, ["image", "id"], "left_anti").select(*live.columns), "boxes-live"), live
+        dropped(old)
+    else:
+        raise RuntimeError(f"boxes did not settle in {most_rounds} rounds")
+    if not kept:
+        return boxes.limit(0)
+    return boxes.join(reduce(DataFrame.unionByName, kept), ["image", "id"], "left_semi").select(*boxes.columns)
+
+
+def suppress(boxes: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
+    """Boxes ``(image, id, x1, y1, x2, y2, score)`` that stay: best score first (ties to the smaller id, none last), none may overlap a kept
+    one by more than the threshold (IoU with a pixel added to each side). Images with at most ``small`` boxes are settled in Arrow
+    batches, image by image, the others by rounds.
+    """
+    few, many = _split(boxes, small)
+    done = _suppress_in_tasks(few, threshold)
+    return done if many.isEmpty() else done.unionByName(suppress_by_rounds(many, threshold))
+
+
+def _suppress_in_tasks(boxes: DataFrame, threshold: float) -> DataFrame:
 
     def keep(frame: pd.DataFrame, a: int, b: int) -> list[int]:
         x1, y1, x2, y2 = (frame[c].to_numpy()[a:b] for c in ("x1", "y1", "x2", "y2"))
@@ -66,10 +147,46 @@ def suppress(boxes: DataFrame, threshold: float) -> DataFrame:
     return _taken_by_group(boxes, "image", [F.desc("score"), F.asc("id")], keep)
 
 
-def greedy_match(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
-    """``image, old_id, new_id, iou``: one to one, the largest IoU first, at least the threshold."""
-    pairs = old.select("image", F.col("id").alias("old_id"), _box().alias("a")).join(new.select("image", F.col("id").alias("new_id"), _box().alias("b")), "image")
-    pairs = pairs.select("image", "old_id", "new_id", S.iou(F.col("a"), F.col("b")).alias("iou")).where(F.col("iou") >= threshold)
+def match_by_rounds(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``greedy_match`` over ``pairs(image, old_id, new_id, iou)`` of any number in an image: in each round, pairs that are the best of both
+    their boxes are taken, and the pairs of these boxes go."""
+    order = F.struct((-F.col("iou")).alias("less"), "old_id", "new_id")
+    live, taken = written(pairs.withColumn("key", order), "pairs-live"), []
+    for _ in range(most_rounds):
+        if live.isEmpty():
+            break
+        best = lambda c: live.groupBy("image", c).agg(F.min("key").alias(f"best_{c}"))  # noqa: E731, B023
+        now = live.join(best("old_id"), ["image", "old_id"]).join(best("new_id"), ["image", "new_id"]).where("key = best_old_id and key = best_new_id")
+        now = written(now.select("image", "old_id", "new_id", "iou"), "pairs-taken")
+        taken.append(now)
+        rest = live.join(now.select("image", "old_id"), ["image", "old_id"], "left_anti").join(now.select("image", "new_id"), ["image", "new_id"], "left_anti")
+        live, before = written(rest.select(*live.columns), "pairs-live"), live
+        dropped(before)
+    else:
+        raise RuntimeError(f"pairs did not settle in {most_rounds} rounds")
+    return reduce(DataFrame.unionByName, taken) if taken else pairs.limit(0)
+
+
+def greedy_match(old: DataFrame, new: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
+    """``image, old_id, new_id, iou``: one to one, the largest IoU first (ties to the smaller ids), at least the threshold, which is above 0.
+    Images with at most ``small`` old and new boxes together are settled in tasks, the others by rounds over pairs that meet in
+    a grid cell."""
+    columns = ["image", "id", "x1", "y1", "x2", "y2"]
+    both = old.select(*columns, F.lit(True).alias("is_old")).unionByName(new.select(*columns, F.lit(False).alias("is_old")))
+    few, many = _split(both, small)
+    side = lambda df, is_old, as_: df.where(F.col("is_old") == is_old).select("image", F.col("id").alias(f"{as_}_id"), _box().alias(as_))
+    near = lambda p: p.select("image", "old_id", "new_id", S.iou(F.col("old"), F.col("new")).alias("iou")).where(F.col("iou") >= threshold)
+    done = _match_in_tasks(near(side(few, True, "old").join(side(few, False, "new"), "image")))
+    if many.isEmpty():
+        return done
+    c = cells(many, threshold)
+    place = ["image", "g", "cx", "cy"]
+    there = lambda is_old, as_: c.where(F.col("is_old") == is_old).select(*place, F.col("id").alias(f"{as_}_id"), _box().alias(as_), F.col("own").alias(f"{as_}_own"))
+    met = there(True, "old").join(there(False, "new"), place).where("old_own or new_own")
+    return done.unionByName(match_by_rounds(near(met.dropDuplicates(["image", "old_id", "new_id"]))))
+
+
+def _match_in_tasks(pairs: DataFrame) -> DataFrame:
 
     def take(frame: pd.DataFrame, a: int, b: int) -> list[int]:
         old_ids, new_ids = frame["old_id"].to_numpy(), frame["new_id"].to_numpy()
@@ -126,11 +243,12 @@ def face_vote(landmarks: Column, score: Column, least_ratio: float = 1.3) -> Col
 def orientation(votes: DataFrame) -> DataFrame:
     """``image, orientation, angle, confidence, faces, unanimous`` of ``votes(image, orientation, confidence)``.
 
-    The orientation with the largest sum of confidences wins, ties to the first by name; its confidence is the mean of
-    its votes, 0.1 more (at most 1) if several faces agree without exception.
+    The orientation with the largest sum of confidences wins, ties to the one that was seen first (the smallest ``id``, if votes have
+    one) and then by name; its confidence is the mean of its votes, 0.1 more (at most 1) if several faces agree without exception.
     """
-    per = votes.groupBy("image", "orientation").agg(F.sum("confidence").alias("sum"), F.count("*").alias("n"))
-    best = per.groupBy("image").agg(F.min(F.struct((-F.round("sum", 9)).alias("less"), "orientation", "sum", "n")).alias("b"), F.sum("n").alias("faces"))
+    seen = F.min("id") if "id" in votes.columns else F.lit(0)
+    per = votes.groupBy("image", "orientation").agg(F.sum("confidence").alias("sum"), F.count("*").alias("n"), seen.alias("seen"))
+    best = per.groupBy("image").agg(F.min(F.struct((-F.round("sum", 9)).alias("less"), "seen", "orientation", "sum", "n")).alias("b"), F.sum("n").alias("faces"))
     angle = F.create_map(*[F.lit(x) for pair in ORIENTATIONS.items() for x in pair])
     unanimous = F.col("b.n") == F.col("faces")
     boost = F.when(unanimous & (F.col("faces") > 1), 0.1).otherwise(0.0)

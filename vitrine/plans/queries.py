@@ -30,8 +30,8 @@ VIEWS |= {
     "faces": ("select vec_id as id, vec_id % 200 as item_id, case when vec_id % 2 = 0 then label end as tag_id, label as cluster_id, 0.5 + (vec_id % 50) / 100.0 as confidence, embedding from embeddings"),
     "members": ("select l_orderkey as album_id, l_partkey as item_id, case when l_linenumber % 3 = 0 then null else l_linenumber end as position from lineitem"),
     "files": ("select doc_id as id, '/lib/' || source || '/' || lang || '/' || cast(doc_id % 50 as string) || '.JPG' as path, n_chars as size, doc_id % 3 as mtime, md5(text) as strong_hash from documents"),
-    "disk": ("select '/lib/' || source || '/' || case when doc_id % 9 = 0 then 'new' else lang end || '/' || cast(doc_id as string) || '.jpg' as path, n_chars + case when doc_id % 7 = 0 then 1 else 0 end as size, doc_id % 3 as mtime from documents where doc_id % 10 <> 0"),
-    "known": ("select '/lib/' || source || '/' || lang || '/' || cast(doc_id as string) || '.jpg' as path, n_chars as size, doc_id % 3 as mtime, case when doc_id % 11 = 0 then '2025-12-01' end as deleted_at from documents where doc_id % 10 <> 1"),
+    "disk": ("select '/lib/' || source || '/' || case when doc_id % 9 = 0 then 'new' else lang end || '/' || case when doc_id % 10 = 0 then 'fresh_' else '' end || cast(doc_id as string) || '.jpg' as path, n_chars + case when doc_id % 7 = 0 then 1 else 0 end as size, doc_id % 3 as mtime from documents"),
+    "known": ("select '/lib/' || source || '/' || lang || '/' || case when doc_id % 10 = 1 then 'gone_' else '' end || cast(doc_id as string) || '.jpg' as path, n_chars as size, doc_id % 3 as mtime, case when doc_id % 11 = 0 then '2025-12-01' end as deleted_at from documents"),
     "boxes": ("select l_orderkey as image, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount) as id, cast(l_partkey % 40 as double) as x1, cast(l_suppkey % 40 as double) as y1, cast(l_partkey % 40 + 10 + l_linenumber as double) as x2, cast(l_suppkey % 40 + 20 as double) as y2, cast(l_discount as double) as score from lineitem"),
     "bills": ("select o_orderkey as id, c_name as issuer, cast(o_orderdate as string) as day, cast(o_totalprice as double) as total, case when o_orderkey % 4 = 0 then null when o_orderkey % 3 = 0 then 'CHF' else 'EUR' end as currency, 24.0 as vat_percent, round(cast(o_totalprice as double) * 24 / 124, 2) + (o_orderkey % 5) / 20.0 as vat from orders join customer on o_custkey = c_custkey"),
 }

@@ -445,10 +445,10 @@ def g4(spark, d):
     return G.greedy_match(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 0.1).select("image", "old_id", "new_id", F.round("iou", 6).alias("iou"))
 
 
-VIEWS["votes"] = "select image, case id % 3 when 0 then 'upright' when 1 then 'rotated_180' else 'rotated_90_cw' end as orientation, (round((score + 1) * 100) / 200) as confidence from boxes where image % 3 <> 0 or id % 3 = 0"
+VIEWS["votes"] = "select image, id, case id % 3 when 0 then 'upright' when 1 then 'rotated_180' else 'rotated_90_cw' end as orientation, (round((score + 1) * 100) / 200) as confidence from boxes"
 
 
-@query("a33_orientation_votes", "s as (select image, orientation, sum(confidence) as w, count(*) as n from votes group by all), b as (select image, arg_min(orientation, (-round(w, 9), orientation)) as orientation, sum(n)::bigint as faces from s group by image) select b.image, b.orientation, case b.orientation when 'upright' then 0 when 'rotated_90_cw' then 270 else 180 end as angle, round(least(1.0, s.w / s.n + case when s.n = b.faces and b.faces > 1 then 0.1 else 0 end), 6) as confidence, faces, s.n = faces as unanimous from b join s on s.image = b.image and s.orientation = b.orientation", ("votes",))
+@query("a33_orientation_votes", "s as (select image, orientation, sum(confidence) as w, count(*) as n, min(id) as seen from votes group by all), b as (select image, arg_min(orientation, (-round(w, 9), seen)) as orientation, sum(n)::bigint as faces from s group by image) select b.image, b.orientation, case b.orientation when 'upright' then 0 when 'rotated_90_cw' then 270 else 180 end as angle, round(least(1.0, s.w / s.n + case when s.n = b.faces and b.faces > 1 then 0.1 else 0 end), 6) as confidence, faces, s.n = faces as unanimous from b join s on s.image = b.image and s.orientation = b.orientation", ("votes",))
 def a33(spark, d):
     return G.orientation(view(spark, d, "votes").withColumn("confidence", F.col("confidence").cast("double"))).select("image", "orientation", "angle", F.round("confidence", 6).alias("confidence"), "faces", "unanimous")
 

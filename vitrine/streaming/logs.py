@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,14 +49,23 @@ def job_states(events: DataFrame) -> DataFrame:
 
 def pushed(stream: DataFrame, push, cancelled, checkpoint: str) -> int:
     """Hands the rows of each batch of a report's stream to ``push`` (a function of a DataFrame) until all present input is read or
-    ``cancelled()`` is true; returns the number of batches pushed."""
-    done = []
+    ``cancelled()`` is true; returns the number of batches pushed.
+
+    A batch that meets the cancellation ends the query before it is committed, so a later call with the same checkpoint goes on with
+    just that batch."""
+    done, stopped = [], []
 
     def batch(df: DataFrame, number: int) -> None:
-        if not cancelled():
-            push(df)
-            done.append(number)
+        if cancelled():
+            stopped.append(number)
+            raise RuntimeError("cancelled")
+        push(df)
+        done.append(number)
 
     q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    except StreamingQueryException:
+        if not stopped:
+            raise
     return len(done)
