@@ -24,7 +24,7 @@ _L, _N, _S = r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼-¾", r"\t-\r \x85\xa0
 LATIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 #: Distinct pieces that a Python worker remembers at most; beyond, it forgets all and goes on.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def byte_signs() -> dict[int, str]:
@@ -198,7 +198,7 @@ def _encoder(raw, keep: tuple[str, ...]):
         for batch in batches:
             texts = batch.column(0)
             _, off = text_buffers(texts)
-            for i, j in slices(off, 2 << 20):
+            for i, j in slices(off, 1 << 20):
                 values, ends = v.encode(texts.slice(i, j - i).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
                 yield pa.record_batch([*(batch.column(1 + k).slice(i, j - i) for k in range(len(keep))), ids], [*keep, "ids"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bilinear, bpe, centroids, exact_dedup, licenses, minhash, mixing, sharding, substring, toxicity, tries, twins, warc
+from .common import materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents") if docs is None else docs
     coded = bpe.round_trip(docs, tokenizer_path())
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return materialise(coded, "bpe", batch_rows=500)  # written here, as long texts, ids and decoded texts fill a task's Arrow batches
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
