@@ -157,6 +157,21 @@ def _found(spark, d):
     return DUP.pairs(c, DUP.scanned(c, FOLDER, True))
 
 
+def _members(spark, d):
+    c = view(spark, d, "copies")
+    return DUP.members(c, DUP.scanned(c, FOLDER, True))
+
+
+@query("a23_duplicate_files", _scan.replace("'/lib/src1'", "'/lib/src1/'") + " select id, path, basis, count(*) as duplicates from p group by id, path, basis", ("copies",))
+def a23(spark, d):
+    return DUP.duplicate_files(_members(spark, d)).select("id", "path", "basis", "duplicates")
+
+
+@query("z29_files_left", _scan.replace("'/lib/src1'", "'/lib/src1/'") + " select id, count(*) as duplicates from p where id % 2 <> 0 and other_id % 2 <> 0 group by id", ("copies",))
+def z29_left(spark, d):
+    return DUP.left_after_deletion(_members(spark, d), view(spark, d, "copies").where("id % 2 = 0")).select("id", "duplicates")
+
+
 @query("c6_duplicate_scan", _scan.replace("'/lib/src1'", "'/lib/src1/'") + " select id, basis, count(*) as duplicates, string_agg(cast(other_id as string), ',' order by other_path, other_id) as ids from p group by id, basis", ("copies",))
 def c6(spark, d):
     rows = DUP.listed(_found(spark, d))
@@ -170,22 +185,22 @@ def c6_skips(spark, d):
 
 @query("a24_folder_summaries", _scan.replace("'/lib/src1'", "'/lib/src1/'") + ", e as (select other_path as path, max(other_size) as size from p group by 1) select regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, count(*) as paths, cast(sum(size) as bigint) as bytes, count(*) filter (starts_with(path, '/lib/src1/')) as inside, count(*) filter (not starts_with(path, '/lib/src1/')) as outside from e group by 1", ("copies",))
 def a24f(spark, d):
-    return DUP.folder_summaries(_found(spark, d), FOLDER, True)
+    return DUP.folder_summaries(_members(spark, d), FOLDER, True)
 
 
 @query("a25_inside_outside", _scan.replace("'/lib/src1'", "'/lib/src1/'") + ", e as (select lower(other_path) as path, max(other_size) as size, starts_with(lower(other_path), '/lib/src1/') as i from p group by 1, 3) select (select count(distinct id) from p where starts_with(other_path, '/lib/src1/')) as files_inside, (select count(distinct id) from p where not starts_with(other_path, '/lib/src1/')) as files_outside, cast(coalesce((select sum(size) from e where i), 0) as bigint) as bytes_inside, cast(coalesce((select sum(size) from e where not i), 0) as bigint) as bytes_outside", ("copies",))
 def a25(spark, d):
-    return DUP.inside_outside(_found(spark, d), FOLDER)
+    return DUP.inside_outside(_members(spark, d), FOLDER)
 
 
 @query("a26_collapsed_pairs", _scan.replace("'/lib/src1'", "'/lib/src1/'") + ", a as (select id, count(*) as n, min(path) as path, min(other_id) as partner from p group by id), h as (select *, lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) = '/lib/src1/en' as here from a) select a.id from h a left join h b on b.id = a.partner and b.n = 1 where not (a.n = 1 and coalesce(b.partner = a.id, false)) or case when a.here <> b.here then a.here else a.id < a.partner end", ("copies",))
 def a26(spark, d):
-    return DUP.collapsed(_found(spark, d), "/lib/src1/en")
+    return DUP.collapsed(_members(spark, d), "/lib/src1/en")
 
 
 @query("a27_marked_totals", _scan.replace("'/lib/src1'", "'/lib/src1/'") + ", e as (select other_id, min(other_path) as path, max(other_size) as size from p where other_id % 2 = 0 group by 1) select count(*) as files, count(distinct regexp_extract(path, '^(.*)/[^/]*$', 1)) as folders, cast(coalesce(sum(size), 0) as bigint) as bytes from e", ("copies",))
 def a27(spark, d):
-    return DUP.marked_totals(_found(spark, d), view(spark, d, "copies").where("id % 2 = 0"))
+    return DUP.marked_totals(_members(spark, d), view(spark, d, "copies").where("id % 2 = 0"))
 
 
 @query("z29_after_deletion", _scan.replace("'/lib/src1'", "'/lib/src1/'") + " select id, other_id from p where id % 2 <> 0 and other_id % 2 <> 0", ("copies",))
