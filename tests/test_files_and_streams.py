@@ -1,12 +1,16 @@
 """Listings through Spark's readers, and logs as streams against the same on tables."""
 
+import datetime
 import hashlib
 import os
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from vitrine.sources import files as SRC
 from vitrine.streaming import logs
+from vitrine.streaming import timers as T
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -77,3 +81,41 @@ def test_job_states(spark, tmp_path):
     d.repartition(5, F.col("seq")).write.parquet(f"file://{tmp_path}/jobs")
     stream = logs.read_log(spark, f"file://{tmp_path}/jobs", 1)
     assert {r["job_id"]: tuple(r)[1:] for r in logs.drained(logs.job_states(stream), "t_jobs", f"file://{tmp_path}/j").collect()} == want
+
+
+def test_a_cancelled_push_goes_on_where_it_stopped(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    for i in range(4):
+        spark.range(i * 5, i * 5 + 5).coalesce(1).write.mode("append").parquet(path)
+    seen, stream = [], lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(path)
+    push = lambda df: seen.extend(r["id"] for r in df.collect())
+    assert logs.pushed(stream(), push, lambda: len(seen) >= 5, f"file://{tmp_path}/c") == 1 and len(seen) == 5
+    assert logs.pushed(stream(), push, lambda: False, f"file://{tmp_path}/c") == 3 and sorted(seen) == list(range(20))
+
+
+def test_timers_equal_their_tables_also_after_a_restart(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = sorted((datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=rnd.randint(0, 60 * 24 * 60)), u) for u in range(12) for _ in range(rnd.randint(1, 14)))
+    rows += [(rows[0][0], 0), (rows[3][0], 1), (rows[-1][0] + datetime.timedelta(hours=2), 99), (rows[5][0], None)]
+    table = spark.createDataFrame([(i, t, u, rnd.choice(["deleted", "seen", "other"])) for i, (t, u) in enumerate(rows)], "event_id long, ts timestamp, user_id long, event_type string")
+    path = f"file://{tmp_path}/log"
+    table.repartitionByRange(6, "ts").sortWithinPartitions("ts").write.parquet(path)
+    files = sorted(f for f in os.listdir(tmp_path / "log") if f.endswith(".parquet"))
+    for k, f in enumerate(files):  # read in the order of their times
+        os.utime(tmp_path / "log" / f, (1_700_000_000 + k, 1_700_000_000 + k))
+    shape = lambda df: Counter((r["key"], r["what"], r["at"]) for r in df.collect())
+    what = F.col("event_type")
+    day = T.DAY
+    cases = {
+        "stones": (lambda: T.Tombstones(keep=day, grace=10 * day), lambda: T.tombstones_on_table(table, what, keep=day, grace=10 * day)),
+        "jobs": (lambda: T.Jobs(timeout=2 * day, ends=("seen",)), lambda: T.jobs_on_table(table, what, timeout=2 * day, ends=("seen",))),
+    }
+    for name, (processor, twin) in cases.items():
+        stream = lambda: T.timed(logs.read_log(spark, path, 1), processor(), what)  # noqa: E731, B023
+        out, again = (f"file://{tmp_path}/{name}{k}" for k in (1, 2))
+        T.played(stream(), out, f"{out}-c")
+        want = shape(twin())
+        assert shape(spark.read.parquet(out)) == want and len({k[1] for k in want}) >= 2
+        assert T.played(stream(), again, f"{again}-c", batches=2) >= 2
+        T.played(stream(), again, f"{again}-c")
+        assert shape(spark.read.parquet(again)) == want

@@ -15,7 +15,7 @@ from ..operators import geometry as G
 from ..operators import search as Q
 from ..operators.store import fresh_path, once
 from ..operators.textindex import TextIndex
-from ..streaming import logs
+from ..streaming import logs, timers
 from .registry import VIEWS, query, table, view
 
 VIEWS |= {
@@ -386,6 +386,31 @@ def t4(spark, d):
     return logs.hourly(table(spark, d, "events")).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "events", F.round("value", 4).alias("value"))
 
 
+def _timed(spark, d, processor, what) -> DataFrame:
+    """What the timers of a stream over the events give, from where the stream wrote it."""
+    events = table(spark, d, "events")
+    log = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")  # a file or a folder of files
+    out = fresh_path(spark, "timed")
+    timers.played(timers.timed(log, processor, what), out, f"{out}-state")
+    return spark.read.schema("key long, what string, at timestamp").parquet(out).select(F.col("key").alias("user_id"), "what", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
+
+
+#: Events below the last watermark, one hour behind the latest event, in whole milliseconds.
+_passed = "e as (select user_id, event_id, event_type, epoch_us(ts) // 1000 as ms, max(epoch_us(ts) // 1000) over () - 3600000 as horizon from events), w as (select * from e where ms < horizon)"
+_moment = "strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S.%g') as at"
+
+
+@query("t6_deletion_windows", f"{_passed}, d as (select *, case when event_type = 'error' then 'deleted' else 'seen' end as what from w where event_type in ('error', 'signup')), o as (select *, lag(what) over (partition by user_id order by ms, event_id) as before, min(case when what = 'seen' then ms end) over (partition by user_id order by ms, event_id rows between 1 following and unbounded following) as seen from d), x as (select * from o where what = 'deleted' and (before is null or before = 'seen')), a as (select user_id, 'forgotten' as what, ms + 86400000 as ms from x where (seen is null or seen > ms + 86400000) and ms + 86400000 < horizon union all select user_id, 'purged', ms + 432000000 from x where (seen is null or seen > ms + 432000000) and ms + 432000000 < horizon union all select user_id, 'restored', seen from x where seen <= ms + 432000000) select user_id, what, {_moment} from a")
+def t6(spark, d):
+    what = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "signup", "seen")
+    return _timed(spark, d, timers.Tombstones(keep=timers.DAY, grace=5 * timers.DAY), what)
+
+
+@query("t4_job_timeouts", f"{_passed}, n as (select *, lead(ms) over (partition by user_id order by ms, event_id) as next from w), a as (select user_id, event_type as what, ms from n where event_type in ('purchase', 'error') union all select user_id, 'timed out', ms + 43200000 from n where event_type not in ('purchase', 'error') and (next is null or next > ms + 43200000) and ms + 43200000 < horizon) select user_id, what, {_moment} from a")
+def t4_jobs(spark, d):
+    return _timed(spark, d, timers.Jobs(timeout=12 * timers.HOUR, ends=("purchase", "error")), F.col("event_type"))
+
+
 @query("x2_json_values", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def x2(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
