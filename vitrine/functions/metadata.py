@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -71,6 +71,16 @@ def quality(doc: Column) -> Column:
     return F.when(raw.isNotNull() & ~F.isnan(raw), F.greatest(F.lit(1.0), F.least(F.lit(10.0), raw)))
 
 
+#: What ``read_once`` can read of a document.
+READ = {"category": category, "quality": quality, "number_of_people": number_of_people, "face_method": face_method, "box_count": box_count}
+
+
+def read_once(items: DataFrame, *names: str, doc: str = "ai_metadata", into: str = "__read") -> DataFrame:
+    """``items`` with a struct of the named parts of a document. A row of one element is generated for it, as conditions on a plain column
+    would be moved below it and read the document again in each place."""
+    return items.select("*", F.explode(F.array(F.struct(*[READ[n](F.col(doc)).alias(n) for n in names]))).alias(into))
+
+
 def extracted_at(doc: Column) -> Column:
     return F.coalesce(_at(doc, "$.file_data.metadata_extracted_at"), _at(doc, "$.provenance.metadata_extracted_at"))
 

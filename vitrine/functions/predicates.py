@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metadata as M
@@ -185,15 +185,25 @@ class QuickFilter:
         out = {"event_date_start": f"{first}-01-01" if first is not None else None, "event_date_end": f"{last}-12-31" if last is not None else None, "location_query": (self.location or "").strip() or None}
         return {k: v for k, v in out.items() if v}
 
-    def column(self, doc: str = "ai_metadata") -> Column:
-        kind = M.category(F.col(doc))
+    def rows(self, items: DataFrame, doc: str = "ai_metadata") -> DataFrame:
+        """The items that pass; each document is read once."""
+        asked = (self.people, self.ai_stars, self.documents, self.category)
+        if all(x is None for x in asked):
+            return items.where(self.column(doc))
+        return M.read_once(items, *M.READ, doc=doc).where(self.column(doc, F.col("__read"))).drop("__read")
+
+    def column(self, doc: str = "ai_metadata", read: Column | None = None) -> Column:
+        """The condition on the columns of an item; ``read`` is a struct of ``metadata.read_once``, if there is one."""
+        part = lambda n: M.READ[n](F.col(doc)) if read is None else read[n]
+        kind = part("category")
         parts = []
         if self.people is not None:
-            parts += [~kind.eqNullSafe("document_id_or_passport"), _band(people_count(doc), self.people, none=people_count(doc) == 0)]
+            n = people_count(doc, read)
+            parts += [~kind.eqNullSafe("document_id_or_passport"), _band(n, self.people, none=n == 0)]
         if self.stars is not None:
             parts.append(_band(F.when(F.col("star_rating").between(1, 5), F.floor(F.col("star_rating") + 0.5)), self.stars))
         if self.ai_stars is not None:
-            parts.append(_band(F.ceil(M.quality(F.col(doc)) / 2), self.ai_stars))
+            parts.append(_band(F.ceil(part("quality") / 2), self.ai_stars))
         if self.documents is not None:
             names = [c for k, v in DOCUMENTS.items() if self.documents in ("all", k) for c in v]
             parts.append(kind.isin(names))
@@ -214,12 +224,13 @@ def _band(n: Column, rule: str, none: Column | None = None) -> Column:
     return n == int(k) if op == "eq" else n >= int(k)
 
 
-def people_count(doc: str = "ai_metadata") -> Column:
+def people_count(doc: str = "ai_metadata", read: Column | None = None) -> Column:
     """The model's number of people, else that of detected faces, else the search index's, else the number of boxes if faces
     were looked for."""
     positive = lambda c: F.when(c >= 0, c.cast("double"))
-    boxes = F.when(M.face_method(F.col(doc)).isNotNull(), M.box_count(F.col(doc)).cast("double"))
-    return F.coalesce(positive(M.number_of_people(F.col(doc))), positive(F.col("face_count")), F.floor(positive(F.col("people"))), boxes)
+    part = lambda n: M.READ[n](F.col(doc)) if read is None else read[n]
+    boxes = F.when(part("face_method").isNotNull(), part("box_count").cast("double"))
+    return F.coalesce(positive(part("number_of_people")), positive(F.col("face_count")), F.floor(positive(F.col("people"))), boxes)
 
 
 def years_meet(first: int | None, last: int | None) -> Column:

@@ -73,7 +73,8 @@ def places(items: DataFrame, grouping: str = "year-city", gps: bool = True, patt
         size = 7 if grouping == "month-area" else 4
         label, group, parent = F.coalesce(area, unknown), F.substring(at, 1, size), F.lit(None).cast("string")
         ok = area.isNotNull() & F.substring(at, 1, size).rlike("^[0-9]{4}-[01][0-9]$" if size == 7 else "^[0-9]{4}$")
-    own = items.where("deleted_at is null").where(C.from_gps(gps) & country.isNotNull() & ok & (city.isNull() | (country != city)) & ~C.left_out(M.category(F.col("ai_metadata")), patterns))
+    own = items.where("deleted_at is null").where(C.from_gps(gps) & country.isNotNull() & ok & (city.isNull() | (country != city)))
+    own = M.read_once(own, "category").where(~C.left_out(F.col("__read.category"), patterns))
     return own.groupBy(country.alias("country"), label.alias("place"), group.alias("group"), parent.alias("parent")).agg(F.count("*").alias("items"))
 
 

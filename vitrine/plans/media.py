@@ -123,14 +123,15 @@ _people = "coalesce(case when try_cast(case when json_extract_string(ai_metadata
 
 @query("p31_quick_filter", f"select id from media where {_cat} is distinct from 'document_id_or_passport' and {_people} >= 2 and star_rating between 3 and 5 and event_start is not null and cast(substr(coalesce(event_end, event_start), 1, 4) as int) >= 1995 and cast(substr(event_start, 1, 4) as int) <= 2012 and lower(concat_ws(' ', country, city)) like '%land%'", ("media",))
 def p31(spark, d):
-    return view(spark, d, "media").where(QUICK.column()).select("id")
+    return QUICK.rows(view(spark, d, "media")).select("id")
 
 
 @query("p31_quick_kinds", f"select id, coalesce({_cat} in ('invoice_or_receipt', 'document_id_or_passport', 'document_contract', 'document_other', 'presentation_slide', 'diagram', 'screenshot'), false) as document, coalesce({_cat} = 'nature', false) as nature, coalesce(ceil({_qual} / 2) >= 4, false) as ai, coalesce({_people} = 0, false) and {_cat} is distinct from 'document_id_or_passport' as nobody, star_rating is null or star_rating < 1 as unrated from media", ("media",))
 def p31_kinds(spark, d):
     each = {"document": C.QuickFilter(documents="all"), "nature": C.QuickFilter(category="nature"), "ai": C.QuickFilter(ai_stars="gte_4"), "unrated": C.QuickFilter(stars="unrated")}
-    nobody = F.coalesce(C.people_count() == 0, F.lit(False))
-    return view(spark, d, "media").select("id", *[f.column().alias(n) for n, f in each.items()], (nobody & ~M.category(F.col("ai_metadata")).eqNullSafe("document_id_or_passport")).alias("nobody"))
+    m, read = M.read_once(view(spark, d, "media"), *M.READ), F.col("__read")
+    nobody = F.coalesce(C.people_count(read=read) == 0, F.lit(False))
+    return m.select("id", *[f.column(read=read).alias(n) for n, f in each.items()], (nobody & ~read["category"].eqNullSafe("document_id_or_passport")).alias("nobody"))
 
 
 @query("p30_similarity_gate", "select a.vec_id as id, (a.embedding[1] >= 0.05 or b.embedding[2] >= 0.1) as hybrid, a.embedding[1] >= 0.05 as image_only from embeddings a join embeddings b on b.vec_id = a.vec_id")
