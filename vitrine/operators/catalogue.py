@@ -47,6 +47,18 @@ def folder_rollup(items: DataFrame, path: str = "source_path") -> DataFrame:
     return items.select(F.explode(P.ancestors(F.col(path))).alias("folder"), "byte_size").groupBy("folder").agg(F.count("*").alias("items"), F.sum("byte_size").alias("bytes"))
 
 
+def innermost_scope(folders: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The rows of ``folders(folder)`` with the innermost of the ``scopes(scope, recursive)`` that covers it, else null: the scope that is the
+    folder itself, or the nearest recursive one above it (separators and, on Windows, letters' case don't matter; blank ones
+    cover nothing). Each folder meets the scopes by its ancestors, an equi-join however many scopes there are."""
+    s = scopes.select(P.match_form(F.col("scope")).alias("__at"), "recursive", "scope").where("__at <> ''")
+    s = s.groupBy("__at").agg(F.min("scope").alias("scope"), F.max("recursive").alias("recursive"))
+    f = folders.select("folder").distinct().withColumn("__own", P.match_form(F.col("folder"))).where("__own <> ''")
+    up = f.select("folder", "__own", F.explode(P.ancestors(F.concat("__own", F.lit("/x")))).alias("__at")).where("__at <> ''")
+    met = up.join(s, "__at").where("recursive or __at = __own").groupBy("folder").agg(F.max_by("scope", F.length("__at")).alias("scope"))
+    return folders.join(met, "folder", "left")
+
+
 def direct_children(items: DataFrame, folders: DataFrame) -> DataFrame:
     """Number of items directly in each requested folder, zero where none; letters match in either case."""
     counts = items.groupBy(F.lower(P.parent(P.comparable(F.col("source_path")))).alias("key")).agg(F.count("*").alias("n"))

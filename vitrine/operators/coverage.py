@@ -149,29 +149,3 @@ def fresh_first(pending: DataFrame, failed: DataFrame, skip_failed: bool = False
     """Pending files with their ``place``: those that failed before come last, or not at all."""
     p = pending.join(failed.select("path").distinct().withColumn("__f", F.lit(True)), "path", "left").withColumn("failed_before", F.coalesce("__f", F.lit(False))).drop("__f")
     return p.where(~F.col("failed_before")) if skip_failed else p
-
-
-def nearest_city(points: DataFrame, cities: DataFrame, degrees: float = 2.0) -> DataFrame:
-    """``id, city, distance_km``: for each of ``points(id, latitude, longitude)`` the nearest of ``cities(city, latitude, longitude)``
-    by great circle, ties to the first name.
-
-    Cities are entered in the cells around them, points in their own, wide enough that any city within the cell's width is met. A
-    city that is found may be further than that width; then, and where no city is met, all cities are compared: few points, or
-    points far from any city.
-    """
-    cell = lambda lat, lon: (F.floor(lat / degrees).alias("cy"), F.floor(lon / degrees).alias("cx"))
-    width = int(-(-360 // degrees))
-    step = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    c = cities.select("city", F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
-    around = c.select("*", *cell(F.col("lat2"), F.col("lon2"))).withColumn("cy", F.explode(F.transform(step, lambda x: F.col("cy") + x))).withColumn("cx", F.explode(F.transform(step, lambda x: F.pmod(F.col("cx") + x, F.lit(width)))))
-    p = points.where("latitude is not null and longitude is not null").select("id", "latitude", "longitude", *cell(F.col("latitude"), F.col("longitude"))).withColumn("cx", F.pmod("cx", F.lit(width)))
-    a = F.pow(F.sin(F.radians(F.col("lat2") - F.col("latitude")) / 2), 2) + F.cos(F.radians("latitude")) * F.cos(F.radians("lat2")) * F.pow(F.sin(F.radians(F.col("lon2") - F.col("longitude")) / 2), 2)
-    km = F.round(2 * 6371.0088 * F.asin(F.sqrt(F.least(F.lit(1.0), a))), 6)
-    best = lambda df: df.groupBy("id").agg(F.min(F.struct(km.alias("distance_km"), "city")).alias("m")).select("id", "m.city", "m.distance_km")
-    near = best(p.join(around, ["cy", "cx"]))
-    # within a cell's width north to south, and its narrowed width east to west, no nearer city can have been missed
-    sure = near.join(p.select("id", "latitude"), "id").where(F.col("distance_km") <= degrees * 111.0 * F.greatest(F.lit(0.0), F.cos(F.radians(F.abs(F.col("latitude")) + degrees)))).select("id", "city", "distance_km")
-    rest = p.join(sure.select("id"), "id", "left_anti")
-    blocks = F.sequence(F.lit(0), F.lit(15))
-    far = best(rest.withColumn("b", F.explode(blocks)).join(c.withColumn("b", F.pmod(F.xxhash64("city", "lat2", "lon2"), F.lit(16)).cast("int")), "b"))
-    return sure.unionByName(far)

@@ -10,10 +10,13 @@ from ..functions import paths as P
 from ..functions import predicates as C
 from ..functions import scalars as S
 from ..functions import stems as ST
+from ..operators import catalogue as CAT
 from ..operators import coverage as COV
 from ..operators import ingest as I
+from ..operators import places as PLC
+from ..operators.store import fresh_path, once
 from ..sources import files as SRC
-from .registry import VIEWS, query, view
+from .registry import VIEWS, query, table, view
 
 #: Names with the shapes of dates that are told apart.
 NAMES = (
@@ -380,15 +383,30 @@ def r15(spark, d):
     return view(spark, d, "names").select("id", label.alias("label"), COV.folder_state(i % 5 == 0, scanned).alias("state"), plan.alias("plan"))
 
 
-CITIES = (("Aosta", 45.7, 7.3), ("Bergen", 60.4, 5.3), ("Cadiz", 36.5, -6.3), ("Dover", 51.1, 1.3), ("Essen", 51.5, 7.0), ("Faro", 37.0, -7.9), ("Graz", 47.1, 15.4), ("Honolulu", 21.3, -157.9), ("Suva", -18.1, 178.4))
-VIEWS["cities"] = " union all ".join(f"select '{c}' as city, {a} as lat2, {o} as lon2" for c, a, o in CITIES)
-VIEWS["points"] = "select id, cast(id % 120 - 50 as double) + 0.25 as latitude, cast((id * 7) % 350 - 170 as double) + 0.5 as longitude from names"
+VIEWS["cities"] = (
+    "select c_custkey as id, c_name as city, 'N' || cast(n_nationkey as string) as code, cast(n_regionkey as string) as admin, n_name as area, "
+    "cast(cast(c_acctbal * 100 as bigint) % 9000 as double) / 100 as lat2, cast(c_custkey * 7919 % 36000 as double) / 100 - 180 as lon2 from customer join nation on n_nationkey = c_nationkey"
+)
+VIEWS["points"] = "select o_orderkey as id, cast(cast(o_totalprice * 100 as bigint) % 18000 as double) / 100 - 90 as latitude, cast((o_custkey * 104729 + o_orderkey) % 36000 as double) / 100 - 180 as longitude from orders"
 
 
-@query("j22_nearest_city", "select id, arg_min(city, (km, city)) as city, min(km) as distance_km from (select id, city, round(2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(lat2 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(lat2)) * power(sin(radians(lon2 - longitude) / 2), 2)))), 6) as km from points, cities) group by id", ("points", "cities"))
+@query("j22_nearest_city", "select points_id as id, arg_min(city, (km, city)) as city, arg_min(code, (km, city)) as country_code, arg_min(area, (km, city)) as area, min(km) as distance_km from (select points.id as points_id, city, code, area, round(2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(lat2 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(lat2)) * power(sin(radians(lon2 - longitude) / 2), 2)))), 6) as km from points, cities) group by points_id", ("points", "cities"))
 def j22(spark, d):
-    cities = view(spark, d, "cities").select("city", F.col("lat2").cast("double").alias("latitude"), F.col("lon2").cast("double").alias("longitude"))
-    return COV.nearest_city(view(spark, d, "points"), cities)
+    """Orders' places and the nearest customers', which are written and read as GeoNames dumps are."""
+
+    def dumped() -> list[str]:
+        paths = [fresh_path(spark, n) for n in ("cities", "admin1", "admin2")]
+        none = F.lit("")
+        c = view(spark, d, "cities")
+        columns = [F.col("city").alias("name"), none, none, F.col("lat2").alias("lat"), F.col("lon2").alias("lon"), none, none, F.col("code"), none, F.col("admin"), none]
+        c.select("id", *[x.alias(f"c{k}") for k, x in enumerate(columns)]).write.option("sep", "\t").csv(paths[0])
+        table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey", F.lit("."), F.col("n_regionkey")), "n_name").write.option("sep", "\t").csv(paths[1])
+        spark.createDataFrame([("none", "none")], "a string, b string").write.option("sep", "\t").csv(paths[2])
+        return paths
+
+    cities = SRC.geo_names(spark, *once(table(spark, d, "customer"), f"geo {d}", dumped))
+    found = PLC.nearest_city(view(spark, d, "points"), cities, keep=("country_code", "area"))
+    return found.select("id", "city", "country_code", "area", "distance_km")
 
 
 @query("x6_clean_queries", "select id, trim(regexp_replace(regexp_replace('a:\"b\" (' || name || ')*  ^c', '[\":*^(){}\\[\\]\\\\]', ' ', 'g'), '\\s+', ' ', 'g')) as query from names", ("names",))
@@ -404,10 +422,14 @@ def x20(spark, d):
     return view(spark, d, "names").select("id", found["source"].alias("source"))
 
 
-@query("p37_covered_folders", "select id, f = '/lib/a' or starts_with(f, '/lib/a/') or f = '/lib/b' as covered from (select id, '/lib/' || ['a', 'a/x', 'b', 'b/y', 'ab'][1 + id % 5] as f from names)", ("names",))
+VIEWS["sites"] = "select page_id as id, url, regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[?#].*$', '') as folder from pages"
+VIEWS["scopes"] = "select distinct folder as scope, id % 2 = 0 as recursive from sites where id % 5 = 0 union select distinct regexp_replace(folder, '/[0-9]+[^/]*/?$', '') as scope, true as recursive from sites where id % 4 = 1"
+
+
+@query("p37_covered_folders", "s as (select rtrim(scope, '/') as s, min(scope) as scope, bool_or(recursive) as recursive from scopes group by 1), m as (select sites.id, arg_max(s.scope, length(s.s)) as scope from sites join s on rtrim(folder, '/') = s.s or (recursive and starts_with(folder, s.s || '/')) group by sites.id) select sites.id, folder, m.scope from sites left join m on m.id = sites.id", ("sites", "scopes"))
 def p37(spark, d):
-    folder = F.concat(F.lit("/lib/"), F.element_at(F.array(*[F.lit(x) for x in ("a", "a/x", "b", "b/y", "ab")]), (F.col("id") % 5 + 1).cast("int")))
-    return view(spark, d, "names").select("id", C.folder_covered([("/lib/a/", True), ("/lib//b", False)], folder).alias("covered"))
+    """Folders of pages and the innermost scope of a job that covers each; hosts and every fifth page's own folder are scopes."""
+    return CAT.innermost_scope(view(spark, d, "sites").select("id", "folder"), view(spark, d, "scopes")).select("id", "folder", "scope")
 
 
 @query("p36_amount_warnings", "select id, case when abs(total * 24 / 124 - vat) <= greatest(0.02, abs(total) * 1e-4) or abs(total * 24 / 100 - vat) <= greatest(0.02, abs(total) * 1e-4) or (total - vat > greatest(0.02, abs(total) * 1e-4) and abs(100 * vat / (total - vat) - 24) <= 0.35) or abs(total * 24 / 100 - vat) / greatest(abs(total * 24 / 100), abs(vat), 1e-9) <= 0.1 or abs(total * 24 / 124 - vat) / greatest(abs(total * 24 / 124), abs(vat), 1e-9) <= 0.1 then false else true end as mismatch from (select id, total, vat * (1 + (id % 4) / 10.0) as vat from bills)", ("bills",))

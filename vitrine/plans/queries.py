@@ -11,6 +11,7 @@ from ..functions import scalars as S
 from ..functions import vectors as V
 from ..operators import balls as B
 from ..operators import catalogue as C
+from ..operators import digests as DIG
 from ..operators import geometry as G
 from ..operators import search as Q
 from ..operators.store import fresh_path, once
@@ -324,6 +325,20 @@ def c1(spark, d):
     return C.snapshot_diff(view(spark, d, "disk"), view(spark, d, "known"))
 
 
+_up = "unnest(list_concat([''], list_transform(range(2, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[:n], '/')))) as folder"
+
+
+@query("c1_changes", "select * from (select path, case when k.path is null then 'new' when a.path is null then 'deleted' when a.size <> k.size or a.mtime <> k.mtime then 'modified' else 'same' end as state, a.size as size_a, k.size as size_b from disk a full join known k using (path)) where state <> 'same'", ("disk", "known"))
+def c1_changes(spark, d):
+    disk, known = view(spark, d, "disk"), view(spark, d, "known")
+    return DIG.changes(disk, known, DIG.folder_digests(disk), DIG.folder_digests(known))
+
+
+@query("c1_folders_visited", f"a as (select folder, string_agg(path || ' ' || size || ' ' || mtime, ',' order by path) as g from (select *, {_up} from disk) group by 1), b as (select folder, string_agg(path || ' ' || size || ' ' || mtime, ',' order by path) as g from (select *, {_up} from known) group by 1), x as (select folder, a.g is distinct from b.g as differs from a full join b using (folder)) select folder from x where folder = '' or case when contains(folder, '/') then regexp_extract(folder, '^(.*)/[^/]*$', 1) else '' end in (select folder from x where differs)", ("disk", "known"))
+def c1_visited(spark, d):
+    return DIG.visited(DIG.folder_digests(view(spark, d, "disk")), DIG.folder_digests(view(spark, d, "known")))
+
+
 @query("c2_moves", "o as (select path, size, lower(regexp_extract(path, '([^/]*)$', 1)) as name from known where path not in (select path from disk)), n as (select path, size, lower(regexp_extract(path, '([^/]*)$', 1)) as name from disk where path not in (select path from known)), o2 as (select *, row_number() over (partition by name, size order by path) as k from o), n2 as (select *, row_number() over (partition by name, size order by path) as k from n) select o2.path as old_path, n2.path as new_path, o2.size as size from o2 join n2 using (name, size, k)", ("disk", "known"))
 def c2(spark, d):
     disk, known = view(spark, d, "disk"), view(spark, d, "known")
