@@ -385,9 +385,9 @@ def r15(spark, d):
 
 VIEWS["cities"] = (
     "select c_custkey as id, c_name as city, 'N' || cast(n_nationkey as string) as code, cast(n_regionkey as string) as admin, n_name as area, "
-    "cast(cast(c_acctbal * 100 as bigint) % 9000 as double) / 100 as lat2, cast(c_custkey * 7919 % 36000 as double) / 100 - 180 as lon2 from customer join nation on n_nationkey = c_nationkey"
+    "cast(cast(round(c_acctbal * 100) as bigint) % 9000 as double) / 100 as lat2, cast(c_custkey * 7919 % 36000 as double) / 100 - 180 as lon2 from customer join nation on n_nationkey = c_nationkey"
 )
-VIEWS["points"] = "select o_orderkey as id, cast(cast(o_totalprice * 100 as bigint) % 18000 as double) / 100 - 90 as latitude, cast((o_custkey * 104729 + o_orderkey) % 36000 as double) / 100 - 180 as longitude from orders"
+VIEWS["points"] = "select o_orderkey as id, cast(cast(round(o_totalprice * 100) as bigint) % 18000 as double) / 100 - 90 as latitude, cast((o_custkey * 104729 + o_orderkey) % 36000 as double) / 100 - 180 as longitude from orders"
 
 
 @query("j22_nearest_city", "select points_id as id, arg_min(city, (km, city)) as city, arg_min(code, (km, city)) as country_code, arg_min(area, (km, city)) as area, min(km) as distance_km from (select points.id as points_id, city, code, area, round(2 * 6371.0088 * asin(sqrt(least(1.0, power(sin(radians(lat2 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(lat2)) * power(sin(radians(lon2 - longitude) / 2), 2)))), 6) as km from points, cities) group by points_id", ("points", "cities"))
