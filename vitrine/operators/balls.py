@@ -103,6 +103,17 @@ def cells_of(vectors: DataFrame, rows: int = 4096, most_cells: int = 1024, sampl
     return Cells(table, dims, cell, size, low, high, centres)
 
 
+def as_arrays(dims: int):
+    """``id, embedding`` of rows ``(id, unit)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = _matrix(batch.column(1), dims)
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * dims, pa.int32()), pa.array(u.ravel()))], ["id", "embedding"])
+
+    return run
+
+
 def _angle(cos: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cos, -1.0, 1.0))
 

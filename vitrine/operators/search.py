@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import balls as B
 from .store import dropped, written
+from .textindex import TextIndex
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int, least: float | None = None) -> DataFrame:
@@ -64,12 +65,12 @@ def fuse(lists: list[DataFrame], k: int = 60, limit: int = 50) -> DataFrame:
 
 
 def keyword_rerank(ranked_: DataFrame, vectors: DataFrame, keywords: list[list[float]], threshold: float, texts: DataFrame | None = None, text_threshold: float = 0.0, mode: str = "hybrid") -> DataFrame:
-    """``id, score, hits, coverage`` of ranked ``(id, score)``, to be ordered by hits and then by score.
+    """``id, score, hits, coverage, hit_scores`` of ranked ``(id, score)``, to be ordered by hits and then by score.
 
     A keyword (its vector) hits an item if the similarity to the item's vector reaches the threshold, by image (``vectors``) or
     by text (``texts``); a threshold of 0 switches that side off, and so does a ``mode`` of description-only or vlm-only. A hit
-    is credited with the larger similarity of the sides that hit, and coverage is the credit over the number of keywords. The
-    keywords are those of one query and become literals.
+    is credited with the larger similarity of the sides that hit (``hit_scores``, in the keywords' order), and coverage is the credit
+    over the number of keywords. The keywords are those of one query and become literals.
     """
     units = [(np.array(k, float) / (np.linalg.norm(k) or 1.0)).tolist() for k in keywords]
     with_text = texts is not None and text_threshold > 0 and mode != "vlm-only"
@@ -83,7 +84,46 @@ def keyword_rerank(ranked_: DataFrame, vectors: DataFrame, keywords: list[list[f
 
     credits = F.array(*[F.greatest(credit("__image", u, threshold, with_image), credit("__text", u, text_threshold, with_text)) for u in units]) if units else F.array().cast("array<double>")
     r = r.withColumn("__c", F.filter(credits, lambda c: c.isNotNull()))
-    return r.select("id", "score", F.size("__c").cast("long").alias("hits"), (F.aggregate("__c", F.lit(0.0), lambda a, c: a + c) / max(1, len(units))).alias("coverage"))
+    return r.select("id", "score", F.size("__c").cast("long").alias("hits"), (F.aggregate("__c", F.lit(0.0), lambda a, c: a + c) / max(1, len(units))).alias("coverage"), F.col("__c").alias("hit_scores"))
+
+
+def hybrid_search(
+    images: B.Cells,
+    texts: B.Cells,
+    query: list[float],
+    keywords: list[list[float]] | None = None,
+    index: TextIndex | None = None,
+    words: list[str] | None = None,
+    allowed: DataFrame | None = None,
+    limit: int = 100,
+    candidates: int = 100,
+    mode: str = "hybrid",
+    image_threshold: float = 0.0,
+    text_threshold: float = 0.0,
+) -> DataFrame:
+    """A whole search: ``id, score, image_similarity, text_similarity, keyword_score, hits, coverage, hit_scores``, most keyword hits first,
+    then by fused score, ties to the smaller id.
+
+    The query's vector finds at least ``candidates`` items by image and as many by text among ``allowed(id)``; their ranks are fused
+    (``mode`` may leave one list out, similarities are attached all the same), and the best ``limit`` stay. ``keywords``, vectors of what
+    an analysis of the query named, reorder them (see ``keyword_rerank``; without any, or with both thresholds 0, nothing is
+    reordered and hits are 0). ``words`` are looked up in the text index, whose scores are attached and change no order. The order
+    is part of the result only as far as it is sorted; rows are at most ``limit``.
+    """
+    most = max(1, limit, candidates)
+    by_image, by_text = (B.search(c, query, most, allowed=allowed)[0].withColumn("similarity", F.round("similarity", 9)) for c in (images, texts))
+    lists = {"hybrid": [by_image, by_text], "vlm-only": [by_image], "description-only": [by_text]}[mode]
+    fused = fuse([ranked(x, "similarity", most) for x in lists], limit=max(1, limit))
+    asked = keywords if keywords and (image_threshold > 0 or text_threshold > 0) else []
+    wanted = fused.select("id")
+    vectors = lambda c: c.table.select("id", F.col("unit")).join(wanted, "id", "left_semi").mapInArrow(B.as_arrays(c.dims), "id long, embedding array<double>")
+    r = keyword_rerank(fused, vectors(images), asked, image_threshold, vectors(texts), text_threshold, mode)
+    attach = lambda x, as_: x.select("id", F.col("similarity").alias(as_))
+    r = r.join(attach(by_image, "image_similarity"), "id", "left").join(attach(by_text, "text_similarity"), "id", "left")
+    by_word = index.search(list(words), most, allowed=allowed)[0] if index is not None and words else None
+    r = r.join(by_word.select("id", F.col("score").alias("keyword_score")), "id", "left") if by_word is not None else r.withColumn("keyword_score", F.lit(None).cast("double"))
+    columns = ["id", "score", "image_similarity", "text_similarity", "keyword_score", "hits", "coverage", "hit_scores"]
+    return r.select(*columns).orderBy(F.desc("hits"), F.desc("score"), "id")
 
 
 def hybrid(images: DataFrame, texts: DataFrame, query: list[float], limit: int = 100, candidates: int = 100, mode: str = "hybrid") -> DataFrame:

@@ -167,7 +167,7 @@ df as (select term, count(*) as df from tf group by term),
 kw as (select id, count(*) as n_terms, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / al))), 12) as score from tf join df using (term), st group by id)"""
 
 
-def _captions(spark, d) -> TextIndex:
+def captions_index(spark, d) -> TextIndex:
     """The index of all captions, built once in an application."""
 
     def make() -> TextIndex:
@@ -185,7 +185,7 @@ def v9_page(spark, d):
     c = C.active(c, "L").where(P.in_folder(F.col("source_path"), "/lib/src1", True) & F.col("taken").between("2012", "2022-12") & F.col("country").contains("e"))
     with_person = f.where("tag_id = 2 or (tag_id is null and cluster_id = 3)").select(F.col("item_id").alias("id")).distinct().withColumn("tagged", F.lit(True))
     c = c.join(with_person, "id", "left").where("tagged or people >= 2")
-    found, _ = _captions(spark, d).search(["license", "version", "nature", "4", "the"], 100, allowed=c.select("id"))
+    found, _ = captions_index(spark, d).search(["license", "version", "nature", "4", "the"], 100, allowed=c.select("id"))
     return found.join(c.select("id", "source_path", "city", "country", "people"), "id").select("id", "source_path", "city", "country", "people", F.round("score", 6).alias("score"))
 
 

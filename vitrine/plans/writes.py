@@ -15,8 +15,9 @@ from ..operators import geometry as G
 from ..operators import ingest as I
 from ..operators import people as PPL
 from ..operators import search as Q
+from ..operators.store import once
 from ..sources import files as SRC
-from .queries import cells
+from .queries import _bm25, captions_index, cells
 from .registry import VIEWS, query, table, view
 
 # ------------------------------------------------------------------ scans and analyses
@@ -372,6 +373,26 @@ def v12(spark, d):
     return found.select("id", F.round("score", 9).alias("score"), F.round("image_similarity", 6).alias("image_similarity"), F.round("text_similarity", 6).alias("text_similarity"))
 
 
+def _side(spark, d, kind: str) -> B.Cells:
+    """The vectors of one kind in cells, built once in an application."""
+    v = view(spark, d, "vectors").where(F.col("kind") == kind).select(F.col("item_id").alias("id"), "embedding")
+    return once(table(spark, d, "embeddings"), f"cells {kind} {d}", lambda: B.cells_of(v))
+
+
+_kws = "(select embedding::double[] as e, row_number() over (order by vec_id) as n from embeddings where vec_id in (7, 8, 9))"
+
+
+@query("v12_search_chain", f"ok as (select id from captions where library_id = 'L' and deleted_at is null and taken >= '2012'), v as (select item_id as id, round(list_cosine_similarity(embedding::double[], {_q}), 9) as s from vectors where kind = 'image' and item_id in (select id from ok)), t as (select item_id as id, round(list_cosine_similarity(embedding::double[], {_q}), 9) as s from vectors where kind = 'text' and item_id in (select id from ok)), v2 as (select *, row_number() over (order by s desc, id) as k from v), t2 as (select *, row_number() over (order by s desc, id) as k from t), f as (select id, sum(1.0::double / (60 + k)) as score from (select id, k from v2 where k <= 100 union all select id, k from t2 where k <= 100) group by id order by score desc, id limit 60), c as (select f.id, k.n, greatest(case when list_cosine_similarity(a.embedding::double[], k.e) >= 0.12 then list_cosine_similarity(a.embedding::double[], k.e) end, case when list_cosine_similarity(b.embedding::double[], k.e) >= 0.15 then list_cosine_similarity(b.embedding::double[], k.e) end) as credit from f cross join {_kws} k left join vectors a on a.item_id = f.id and a.kind = 'image' left join vectors b on b.item_id = f.id and b.kind = 'text'), h as (select id, count(credit) as hits, sum(coalesce(credit, 0)) / 3 as coverage, string_agg(cast(cast(round(credit * 10000) as bigint) as varchar), ',' order by n) as hit_scores from c group by id), {_bm25('captions', ['license', 'the', 'nature'])}, kw2 as (select id, score from kw where id in (select id from ok) order by score desc, id limit 100) select f.id, round(f.score, 9) as score, round(v2.s, 6) as image_similarity, round(t2.s, 6) as text_similarity, round(kw2.score, 6) as keyword_score, hits, round(coverage, 6) as coverage, coalesce(hit_scores, '') as hit_scores from f join h on h.id = f.id left join v2 on v2.id = f.id and v2.k <= 100 left join t2 on t2.id = f.id and t2.k <= 100 left join kw2 on kw2.id = f.id", ("vectors", "items", "captions"))
+def v12_chain(spark, d):
+    e = _images(spark, d)
+    allowed = C.active(view(spark, d, "captions"), "L").where("taken >= '2012'").select("id")
+    keywords = [list(r[0]) for r in e.where("id in (7, 8, 9)").orderBy("id").select("embedding").collect()]
+    found = Q.hybrid_search(_side(spark, d, "image"), _side(spark, d, "text"), Q.vector_of(e, 5), keywords, captions_index(spark, d), ["license", "the", "nature"], allowed, limit=60, image_threshold=0.12, text_threshold=0.15)
+    scores = F.array_join(F.transform("hit_scores", lambda s: F.round(s * 10000).cast("long").cast("string")), ",")
+    rounded = [F.round(c, n).alias(c) for c, n in (("score", 9), ("image_similarity", 6), ("text_similarity", 6), ("keyword_score", 6), ("coverage", 6))]
+    return found.select("id", *rounded, "hits", scores.alias("hit_scores"))
+
+
 @query("a15_face_clusters", "recursive e as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35), r(id, c) as (select distinct a, a from e union select e.b, r.c from r join e on e.a = r.id), k as (select id, min(c) as c from r group by id) select c as cluster_id, count(*) as members, arg_max(k.id, (0.5 + (k.id % 50) / 100.0, -k.id)) as representative from k group by c having count(*) >= 4")
 def a15(spark, d):
     pairs = B.joined(cells(spark, d), cells(spark, d), 0.35, upper=True)[0]
