@@ -74,11 +74,14 @@ class LogBilinear:
         for a in range(0, len(units), 2048):
             s = self.predicted(ctx[a : a + 2048]) @ self.weights["q"].T
             s += self.weights["b"]
-            top = s.max(axis=1)
-            own = s[np.arange(len(s)), units[a : a + 2048]]
-            s -= top[:, None]
-            np.exp(s, out=s)
-            out[a : a + 2048] = own - top - np.log(s.sum(axis=1, dtype=np.float64))
+            own = s[np.arange(len(s)), units[a : a + 2048]].astype(np.float64)
+            with np.errstate(over="ignore"):
+                total = np.exp(s).sum(axis=1)
+            top = np.zeros(len(s))
+            if not (np.isfinite(total).all() and (total > 1e-30).all()):  # beyond single precision: relative to the largest
+                top = s.max(axis=1).astype(np.float64)
+                total = np.exp(s - top[:, None]).sum(axis=1)
+            out[a : a + 2048] = own - top - np.log(total.astype(np.float64))
         return out
 
     def step(self, units: np.ndarray, ctx: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, sums: dict[str, np.ndarray], rate: float) -> None:
