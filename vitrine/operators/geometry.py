@@ -261,6 +261,38 @@ def validated_turn(angle: Column, orientation_after: Column) -> Column:
     return F.struct(F.when(flipped, (angle + 180) % 360).otherwise(angle).alias("angle"), F.when(flipped, "face-corrected").otherwise("vlm").alias("source"))
 
 
+def rotation_of_known_faces(found: DataFrame, least: float = 0.4) -> DataFrame:
+    """``image, angle, source`` of the images whose faces settle it: of ``orientation``'s rows those of enough confidence whose faces all
+    agree. The others are left to a model."""
+    return found.where((F.col("confidence") >= least) & F.col("unanimous")).select("image", "angle", F.lit("face-existing").alias("source"))
+
+
+def verified_rotation(suggested: DataFrame, rotated: DataFrame, flipped: DataFrame) -> DataFrame:
+    """``image, angle, source`` for each of a model's ``suggested(image, angle)`` turns, checked with the faces found after it.
+
+    ``rotated`` and ``flipped`` are ``orientation``'s rows for the image turned as suggested and by half a turn more. Faces on the turned
+    image decide: the turn stays, or is half a turn more if they stand on their heads. Without any, upright faces on the flipped image
+    make it that turn, if it is one (a suggestion of 180 has none). Else nothing is decided: the angle is null, the source ``vlm-fallback``.
+    """
+    side = lambda df, as_: df.select("image", F.col("orientation").alias(as_))
+    s = suggested.select("image", F.col("angle").alias("turn")).join(side(rotated, "after"), "image", "left").join(side(flipped, "over"), "image", "left")
+    checked, half = validated_turn(F.col("turn"), F.col("after")), F.pmod(F.col("turn") + 180, F.lit(360))
+    upright = F.col("after").isNull() & (F.col("over") == "upright") & (half != 0)
+    angle = F.when(F.col("after").isNotNull(), checked["angle"]).when(upright, half)
+    source = F.when(F.col("after").isNotNull(), F.when(checked["source"] == "vlm", "face-rotated-check").otherwise("face-flipped-check")).when(upright, "face-flipped-check").otherwise("vlm-fallback")
+    return s.select("image", angle.alias("angle"), source.alias("source"))
+
+
+def turned_face(box: Column, points: Column, width: Column, height: Column, angle: Column) -> Column:
+    """struct(box, points): a face's box (x1, y1, x2, y2) and points, in pixels counted from 0, in its image turned clockwise by 90, 180 or
+    270; null points stay null."""
+    x = lambda p: F.when(angle == 90, height - 1 - p[1]).when(angle == 180, width - 1 - p[0]).otherwise(p[1])
+    y = lambda p: F.when(angle == 90, p[0]).when(angle == 180, height - 1 - p[1]).otherwise(width - 1 - p[0])
+    a, b = F.array(box["x1"], box["y1"]), F.array(box["x2"], box["y2"])
+    turned_ = F.struct(F.least(x(a), x(b)).alias("x1"), F.least(y(a), y(b)).alias("y1"), F.greatest(x(a), x(b)).alias("x2"), F.greatest(y(a), y(b)).alias("y2"))
+    return F.struct(turned_.alias("box"), F.transform(points, lambda p: F.array(x(p), y(p))).alias("points"))
+
+
 def composed_turn(first: Column, second: Column) -> Column:
     """Two turns clockwise as one, 0 to 270."""
     return F.pmod(first + second, F.lit(360))

@@ -145,6 +145,14 @@ def centroids(faces: DataFrame) -> DataFrame:
     return c.select("tag_id", "n", V.unit(F.col("mean")).alias("centroid"))
 
 
+def recomputed_centroids(stored: DataFrame, faces: DataFrame, tags: DataFrame) -> DataFrame:
+    """``stored(tag_id, n, centroid)`` after the centroids of ``tags(tag_id)`` are computed anew from ``faces``: written over or added where a tag has
+    faces, deleted where it has none; those of other tags stay."""
+    named = tags.select("tag_id").distinct()
+    fresh = centroids(faces.join(named, "tag_id", "left_semi"))
+    return stored.join(named, "tag_id", "left_anti").select("tag_id", "n", "centroid").unionByName(fresh)
+
+
 def matches(faces: DataFrame, people: DataFrame, least: float) -> DataFrame:
     """``id, tag_id, similarity``: untagged faces and the persons whose centroid is similar enough, by blocks of matrices."""
     f = faces.where("tag_id is null").select("id", "embedding")

@@ -410,6 +410,16 @@ def _timed(spark, d, processor, what) -> DataFrame:
     return spark.read.schema("key long, what string, at timestamp").parquet(out).select(F.col("key").alias("user_id"), "what", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"))
 
 
+@query("t3_appended_log", "select distinct event_id as operation_id, event_type, 'pending' as state from events")
+def t3(spark, d):
+    """The events, each twice in the stream, as an append-only log."""
+    e = table(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*").select(F.col("event_id").alias("operation_id"), "ts", "event_type")
+    out = fresh_path(spark, "log")
+    logs.append_log(stream.unionByName(stream), out, f"{out}-state")
+    return spark.read.schema("operation_id long, event_type string, state string").parquet(out)
+
+
 #: Events below the last watermark, one hour behind the latest event, in whole milliseconds.
 _passed = "e as (select user_id, event_id, event_type, epoch_us(ts) // 1000 as ms, max(epoch_us(ts) // 1000) over () - 3600000 as horizon from events), w as (select * from e where ms < horizon)"
 _moment = "strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S.%g') as at"

@@ -489,6 +489,51 @@ def a33(spark, d):
     return G.orientation(view(spark, d, "votes").withColumn("confidence", F.col("confidence").cast("double"))).select("image", "orientation", "angle", F.round("confidence", 6).alias("confidence"), "faces", "unanimous")
 
 
+_dx, _dy = "(x2 - (x1 + y1) / 2)", "(y1 - x2 * 0.4)"
+_votes = f"vv as (select image, id, case when abs({_dy}) >= abs({_dx}) then case when {_dy} > 0 then 'upright' else 'rotated_180' end when {_dx} > 0 then 'rotated_270_cw' else 'rotated_90_cw' end as orientation, least(1.0, greatest(abs({_dx}), abs({_dy})) / greatest(least(abs({_dx}), abs({_dy})), 1e-6) / 5) * least(1.0, score + 0.5) as confidence from boxes where abs({_dx}) + abs({_dy}) > 0.001 and greatest(abs({_dx}), abs({_dy})) / greatest(least(abs({_dx}), abs({_dy})), 1e-6) >= 1.3)"
+
+
+def _oriented(name: str, where: str) -> str:
+    """DuckDB: ``geometry.orientation`` of some of the votes."""
+    return f"{name}s as (select image, orientation, sum(confidence) as w, count(*) as n, min(id) as seen from vv where {where} group by all), {name}b as (select image, arg_min(orientation, (-round(w, 9), seen, orientation)) as orientation, sum(n) as faces from {name}s group by image), {name} as (select b.image, b.orientation, least(1.0, s.w / s.n + case when s.n = b.faces and b.faces > 1 then 0.1 else 0 end) as confidence, s.n = faces as unanimous from {name}b b join {name}s s on s.image = b.image and s.orientation = b.orientation)"
+
+
+def _face_votes(spark, d):
+    """Votes of faces whose points follow from their boxes."""
+    b = view(spark, d, "boxes")
+    points = F.array(F.array("x1", F.lit(0.0)), F.array("y1", F.col("x2") * 0.8), F.array("x2", "y1"), F.array("x1", "y1"), F.array("x1", "y1"))
+    v = b.where((F.abs(F.col("x2") - (F.col("x1") + F.col("y1")) / 2) + F.abs(F.col("y1") - F.col("x2") * 0.4)) > 0.001).select("image", "id", G.face_vote(points, F.col("score") + 0.5).alias("v"))
+    return v.where("v is not null").select("image", "id", "v.orientation", "v.confidence")
+
+
+@query("z22_known_rotations", f"{_votes}, {_oriented('o', 'true')} select image, case orientation when 'upright' then 0 when 'rotated_90_cw' then 270 when 'rotated_180' then 180 else 90 end as angle, 'face-existing' as source from o where confidence >= 0.4 and unanimous", ("boxes",))
+def z22(spark, d):
+    return G.rotation_of_known_faces(G.orientation(_face_votes(spark, d)))
+
+
+@query("z22_verified_rotations", f"{_votes}, {_oriented('r', 'id % 2 = 0')}, {_oriented('f', 'id % 2 = 1')}, s as (select distinct image, (image % 3 + 1) * 90 as turn from boxes) select s.image, case when r.orientation = 'rotated_180' then (turn + 180) % 360 when r.orientation is not null then turn when f.orientation = 'upright' and turn <> 180 then (turn + 180) % 360 end as angle, case when r.orientation = 'rotated_180' then 'face-flipped-check' when r.orientation is not null then 'face-rotated-check' when f.orientation = 'upright' and turn <> 180 then 'face-flipped-check' else 'vlm-fallback' end as source from s left join r on r.image = s.image left join f on f.image = s.image", ("boxes",))
+def z22_verified(spark, d):
+    votes, images = _face_votes(spark, d), view(spark, d, "boxes").select("image").distinct()
+    suggested = images.select("image", ((F.col("image") % 3 + 1) * 90).alias("angle"))
+    return G.verified_rotation(suggested, G.orientation(votes.where("id % 2 = 0")), G.orientation(votes.where("id % 2 = 1")))
+
+
+@query("z39_turned_faces", "select image, id, case a when 90 then 80 - 1 - y2 when 180 then 100 - 1 - x2 else y1 end as x1, case a when 90 then x1 when 180 then 80 - 1 - y2 else 100 - 1 - x2 end as y1, case a when 90 then 80 - 1 - y1 when 180 then 100 - 1 - x1 else y2 end as x2, case a when 90 then x2 when 180 then 80 - 1 - y1 else 100 - 1 - x1 end as y2, case a when 90 then 80 - 1 - y1 when 180 then 100 - 1 - x2 else y1 end as px, case a when 90 then x2 when 180 then 80 - 1 - y1 else 100 - 1 - x2 end as py from (select *, (id % 3 + 1) * 90 as a from boxes)", ("boxes",))
+def z39(spark, d):
+    b = view(spark, d, "boxes")
+    t = G.turned_face(G._box(), F.array(F.array("x2", "y1")), F.lit(100), F.lit(80), (F.col("id") % 3 + 1) * 90)
+    return b.select("image", "id", t.alias("t")).select("image", "id", "t.box.*", F.col("t.points")[0][0].alias("px"), F.col("t.points")[0][1].alias("py"))
+
+
+@query("k11_recomputed_centroids", "f as (select id, cluster_id % 2 = 0 as changed, case when cluster_id = 2 or (cluster_id % 2 = 0 and id % 7 = 0) then null else tag_id end as now, tag_id, embedding::double[] as v from faces where tag_id is not null), e as (select case when changed then now else tag_id end as tag_id, unnest(v) as x, unnest(range(len(v))) as pos from f), m as (select tag_id, pos, avg(x) as x, count(*) as n from e where tag_id is not null group by all), c as (select tag_id, max(n) as n, list(x order by pos) as v from m group by tag_id) select tag_id, n, round(v[1] / sqrt(list_inner_product(v, v)), 6) as first, round(v[64] / sqrt(list_inner_product(v, v)), 6) as last from c", ("faces",))
+def k11(spark, d):
+    """Centroids after the faces of one person lost their tag, and those of others a few: even tags are computed anew."""
+    f = view(spark, d, "faces")
+    now = f.withColumn("tag_id", F.when((F.col("cluster_id") != 2) & ~((F.col("cluster_id") % 2 == 0) & (F.col("id") % 7 == 0)), F.col("tag_id")))
+    out = Q.recomputed_centroids(Q.centroids(f), now, f.where("tag_id % 2 = 0").select("tag_id"))
+    return out.select("tag_id", "n", F.round(F.col("centroid")[0], 6).alias("first"), F.round(F.col("centroid")[63], 6).alias("last"))
+
+
 @query("g7_face_votes", "select image, id, case when greatest(abs(dx), abs(dy)) / greatest(least(abs(dx), abs(dy)), 1e-6) >= 1.3 then case when abs(dy) >= abs(dx) then case when dy > 0 then 'upright' else 'rotated_180' end when dx > 0 then 'rotated_270_cw' else 'rotated_90_cw' end end as orientation, case when greatest(abs(dx), abs(dy)) / greatest(least(abs(dx), abs(dy)), 1e-6) >= 1.3 then round(least(1.0, greatest(abs(dx), abs(dy)) / greatest(least(abs(dx), abs(dy)), 1e-6) / 5) * least(1.0, score), 9) end as confidence from (select image, id, score + 0.5 as score, x2 - (x1 + y1) / 2 as dx, y1 - x2 * 0.4 as dy from boxes) where abs(dx) + abs(dy) > 0.001", ("boxes",))
 def g7(spark, d):
     b = view(spark, d, "boxes")

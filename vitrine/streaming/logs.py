@@ -32,6 +32,15 @@ def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete
     return stream.sparkSession.table(name)
 
 
+def append_log(operations: DataFrame, path: str, checkpoint: str, key: str = "operation_id", late: str = "1 day") -> None:
+    """Append all present input of a stream of operations ``(operation_id, ts, ...)`` to the log at ``path``, each pending. An operation that
+    comes again within ``late`` isn't appended again; what is in the log is never rewritten. A later call with the same checkpoint
+    goes on after the last appended operation."""
+    fresh = once(operations, key, late).withColumn("state", F.lit("pending")).drop("at")
+    q = fresh.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """``user_id, began, ended, events``: a user's events without a longer gap; the same on a stream and on a table."""
     t = events.withColumn("at", F.col("ts").cast("timestamp"))
