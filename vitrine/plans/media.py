@@ -53,7 +53,13 @@ VIEWS["media"] = (
     "case when doc_id % 4 = 0 then null else '2026-02-0' || cast(1 + doc_id % 9 as string) end as photo_done_at, case when doc_id % 6 = 0 then '2026-02-05' end as photo_failed_at, case when doc_id % 3 = 0 then null else '2026-02-0' || cast(1 + doc_id % 8 as string) end as face_done_at, case when doc_id % 5 = 0 then '2026-02-04' end as face_failed_at, "
     f"case when doc_id % 17 = 0 then null when doc_id % 5 = 2 then {_v1} else {_v2} end as ai_metadata from documents"
 )
-VIEWS["names"] = "select doc_id as id, case doc_id % " + str(len(NAMES)) + " " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(NAMES)) + " end as name, source, n_chars from documents"
+_listed = "case doc_id % " + str(len(NAMES)) + " " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(NAMES)) + " end"
+#: File names: beginnings of texts, names with numbers and dates from the documents' columns, and the listed shapes.
+VIEWS["names"] = (
+    "select doc_id as id, case when doc_id % 4 = 1 and lang = 'en' then translate(substr(text, 1, 60), chr(9) || chr(10) || chr(13), '   ') || '.jpg' when doc_id % 4 = 2 then 'IMG_' || cast(20000101 + n_chars as string) || '_' || cast(doc_id as string) || '.JPG' "
+    "when doc_id % 4 = 3 then cast(1900 + n_chars % 150 as string) || '-' || lpad(cast(1 + n_chars % 14 as string), 2, '0') || '-' || lpad(cast(1 + doc_id % 33 as string), 2, '0') || ' ' || source "
+    f"else {_listed} end as name, source, n_chars from documents"
+)
 VIEWS["tags"] = "select doc_id as id, case doc_id % 8 when 0 then '2009' when 1 then '1850-13' when 2 then ' 2011-04 ' when 3 then '2010-02-30' when 4 then '2010-02-28' when 5 then '2014:05:06 07:08:09' when 6 then 'soon' else '1999-12' end as raw, case when doc_id % 3 = 0 then -1 when doc_id % 3 = 1 then doc_id % 9 else null end as xmp, case when doc_id % 4 = 0 then doc_id % 120 end as exif, doc_id % 101 as percent from documents"
 
 _title = "case when json_extract_string(ai_metadata, '$.schema_version') = '2.0' then json_extract_string(ai_metadata, '$.image_analysis.title') else json_extract_string(ai_metadata, '$.title') end"
