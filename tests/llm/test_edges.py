@@ -225,3 +225,19 @@ def test_whole_licenses_are_met(spark):
         assert label in out[i]["labels"] and out[i]["score"] > 0.9
     assert out[len(texts)]["labels"] == [] and out[len(texts) + 1]["base_labels"] == ["mit"]
     assert out[len(texts) + 1]["first_word"] == 2
+
+
+def test_codes_find_neighbours_in_the_given_embeddings(spark):
+    """At most a twentieth of the 2,000 vectors is reranked for a query."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for r in ann.nearest(e, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    rows = e.select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    s = x[ids % 20 == 0] @ x.T
+    hit = 0
+    for q, line in zip(ids[ids % 20 == 0], s):
+        line[ids == q] = -np.inf
+        hit += len(got[q] & set(ids[np.argsort(-line)[:20]].tolist()))
+    assert hit / (20 * len(got)) >= 0.9 and len(got) == 100

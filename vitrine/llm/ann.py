@@ -74,10 +74,10 @@ def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    books: int = 16,
+    books: int = 24,
     words: int = 256,
     beam: int = 4,
-    rerank: int = 400,
+    rerank: int | None = None,
     sample: int = 4096,
     block: int = 8192,
     query_block: int = 256,
@@ -91,8 +91,10 @@ def nearest(
 
     Codebooks are fitted on at most ``sample`` vectors, those of the least hashes of their ids (the documented bound of
     what comes to the driver, and no task sorts more); every row is indexed. Equal vectors share one entry with their k + 1 smallest ids, which is all that
-    any query can return of them. Entries are packed into blocks; every block of queries meets every block of entries
-    once, scores it by lookup tables of inner products with all codewords, and reranks the best ``rerank`` exactly.
+    any query can return of them. Codes, norms and entry numbers are packed into blocks; every block of queries meets every block
+    of codes once and scores it by lookup tables of inner products with all codewords. Vectors don't take part in that: only the best
+    entries of each query over all blocks, ``rerank`` (by default three times the root of their number) or a twentieth of all (but 100 at least) if that is less, are joined with
+    their vectors and reranked exactly.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("query"))
@@ -105,8 +107,10 @@ def nearest(
     v = v.where(F.size("embedding") == dims)
     place = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
     few = v.select("vec_id", "embedding").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
-    entries = materialise(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-entries")
+    entries = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    entries = materialise(entries.withColumn("entry", F.monotonically_increasing_id()), "ann-entries")  # numbers are settled once written
     count = entries.count()
+    best = max(100, min(rerank or round(3 * count**0.5), count // 20))
     at = F.pmod(F.xxhash64(F.col("ids")[0], F.lit(29)), F.lit(1 << 30))
     below = (1 << 30) if count <= sample else int((sample + 4 * sample**0.5) / count * (1 << 30)) + 1
     some = entries.where(at < below).select("embedding", F.col("ids")[0].alias("first"), at.alias("at")).orderBy("at", "first").limit(sample)
@@ -118,59 +122,71 @@ def nearest(
         for batch in batches:
             for a in range(0, batch.num_rows, block):
                 part = batch.slice(a, block)
-                x = _matrix(part.column(0), dims)
-                codes, scale = encode(x, shared.value, beam)
-                ids = part.column(1)
-                row = {"codes": codes.tobytes(), "scales": scale.tobytes(), "vectors": x.tobytes(), "ids": ids.flatten().to_numpy().astype(np.int64).tobytes(), "sizes": np.diff(ids.offsets.to_numpy()).astype(np.int32).tobytes()}
+                codes, scale = encode(_matrix(part.column(0), dims), shared.value, beam)
+                row = {"codes": np.ascontiguousarray(codes.T).tobytes(), "scales": scale.tobytes(), "entries": part.column(1).to_numpy().tobytes()}
                 yield pa.RecordBatch.from_pylist([row])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, query_block):
                 part = batch.slice(a, query_block)
-                yield pa.RecordBatch.from_pylist([{"q_ids": part.column(0).to_numpy().tobytes(), "q_vectors": _matrix(part.column(1), dims).tobytes()}])
+                yield pa.RecordBatch.from_pylist([{"q_ids": part.column(0).to_numpy().tobytes(), "q_vectors": _matrix(part.column(1), dims).astype(np.float32).tobytes()}])
 
     tasks = int(max(1, -(-count // block)))
-    indexed = materialise(entries.repartition(tasks).mapInArrow(index, "codes binary, scales binary, vectors binary, ids binary, sizes binary").withColumn("id", F.monotonically_increasing_id()), "ann-index")
-    order = materialise(indexed.select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("block")), "ann-blocks")  # a row for each block
-    blocks = order.count()
-    indexed = indexed.join(F.broadcast(order), "id")
+    indexed = entries.select("embedding", "entry").repartition(tasks).mapInArrow(index, "codes binary, scales binary, entries binary")
+    deal = max(min(tasks, 64), round(tasks**0.5))  # codes are dealt to so many groups, and a block of queries goes to each group
+    indexed = materialise(indexed.withColumn("deal", F.pmod(F.xxhash64("entries"), F.lit(deal)).cast("int")), "ann-index")
     asked = v.where("query").select("vec_id", "embedding").distinct()
     queries = materialise(asked.repartition(max(1, tasks // 4)).mapInArrow(pack, "q_ids binary, q_vectors binary"), "ann-queries")
 
+    def top(score: np.ndarray, n: int) -> np.ndarray:
+        return np.argpartition(-score, n)[:n] if len(score) > n else np.arange(len(score))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books_ = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_py(), kind)  # noqa: E731, B023
-                q_ids, q = get("q_ids", np.int64), get("q_vectors", np.float64).reshape(-1, dims)
-                codes = np.ascontiguousarray(get("codes", np.uint8).reshape(-1, len(books_)).T)
-                x, sizes = get("vectors", np.float64).reshape(-1, dims), get("sizes", np.int32)
-                ids, begin = get("ids", np.int64), np.concatenate([[0], np.cumsum(sizes)])
-                tables = np.einsum("qd,mwd->qmw", q.astype(np.float32), books_, optimize=True)
-                scale = get("scales", np.float32)
-                out_q, out_v, out_s = [], [], []
+                q_ids, q = get("q_ids", np.int64), get("q_vectors", np.float32).reshape(-1, dims)
+                codes, scale, own = get("codes", np.uint8).reshape(len(books_), -1), get("scales", np.float32), get("entries", np.int64)
+                tables = np.einsum("qd,mwd->qmw", q, books_, optimize=True)
+                out = []
                 for i in range(len(q_ids)):
                     s = tables[i, 0][codes[0]]
                     for m in range(1, len(books_)):
                         s += tables[i, m][codes[m]]
                     s *= scale
-                    short = np.argpartition(-s, rerank)[:rerank] if len(s) > rerank else np.arange(len(s))
-                    exact = x[short] @ q[i]
-                    if len(exact) > k + 1:
-                        good = exact >= np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]
-                        short, exact = short[good], exact[good]
-                    own = np.concatenate([ids[begin[e] : begin[e + 1]] for e in short])
-                    val = np.repeat(exact, sizes[short])
-                    other = own != q_ids[i]
-                    own, val = own[other], val[other]
-                    top = np.lexsort((own, -val))[:k]
-                    out_q.append(np.full(len(top), q_ids[i]))
-                    out_v.append(own[top])
-                    out_s.append(val[top])
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
-
-    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(indexed, "block")
-    found = pairs.select("q_ids", "q_vectors", "codes", "scales", "vectors", "ids", "sizes").mapInArrow(search, "query_id long, vec_id long, score double")
+                    near = top(s, best)
+                    out.append((int(q_ids[i]), own[near].tobytes(), s[near].tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["query_id", "entries", "approx"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of each query, whose rows come one after the other; no more than two lists of it are held."""
+        query, own, score = None, np.zeros(0, np.int64), np.zeros(0, np.float32)
+        done = lambda: pa.record_batch([pa.array(np.full(len(own), query, np.int64)), pa.array(own)], ["query_id", "entry"])
+        for batch in batches:
+            for q, e, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if q != query:
+                    if query is not None:
+                        yield done()
+                    query, own, score = q, own[:0], score[:0]
+                own, score = np.concatenate([own, np.frombuffer(e, np.int64)]), np.concatenate([score, np.frombuffer(s, np.float32)])
+                keep = top(score, best)
+                own, score = own[keep], score[keep]
+        if query is not None:
+            yield done()
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.einsum("nd,nd->n", _matrix(batch.column(2), dims), _matrix(batch.column(3), dims))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s)], ["query_id", "ids", "score"])
+
+    pairs = queries.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))).join(indexed, "deal")
+    lists = pairs.select("q_ids", "q_vectors", "codes", "scales", "entries").mapInArrow(search, "query_id long, entries binary, approx binary")
+    chosen = lists.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, entry long")
+    chosen = materialise(chosen, "ann-candidates")
+    near = chosen.join(entries, "entry").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
+    found = near.select("query_id", "ids", "embedding", "asked").mapInArrow(exact, "query_id long, ids array<long>, score double")
+    found = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
