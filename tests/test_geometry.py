@@ -16,7 +16,7 @@ def boxes(spark, seed, n, span, sides=(1, 30)):
     for i in range(n):
         x, y, w, h = rnd.uniform(-span, span), rnd.uniform(-span, span), rnd.uniform(*sides), rnd.uniform(*sides)
         out.append((i % 3, i, x, y, x + w, y + h, None if i % 50 == 7 else rnd.randint(0, 20) / 20))
-    out += [(0, n + i, 5.0, 5.0, 15.0, 15.0, 0.5) for i in range(40)] + [(1, n + 100, 3.0, 3.0, 3.0, 3.0, 0.9), (1, n + 101, 9.0, 9.0, 2.0, 2.0, 0.9)]  # copies, a point, a box inside out
+    out += [(0, n + i, 5.0, 5.0, 15.0, 15.0, 0.5) for i in range(15)] + [(1, n + 100, 3.0, 3.0, 3.0, 3.0, 0.9), (1, n + 101, 9.0, 9.0, 2.0, 2.0, 0.9)]  # copies, a point, a box inside out
     return spark.createDataFrame(out, BOXES)
 
 
@@ -26,23 +26,23 @@ def rows(df):
 
 @pytest.mark.parametrize("threshold,sides", [(0.3, (1, 30)), (0.05, (0.5, 200)), (0.9, (8, 10))])
 def test_suppression_by_rounds(spark, threshold, sides):
-    b = boxes(spark, 1, 200, 60, sides)
+    b = boxes(spark, 1, 130, 45, sides)
     want = rows(G.suppress(b, threshold, small=10**6))
-    assert rows(G.suppress_by_rounds(b, threshold)) == want and rows(G.suppress(b, threshold, small=220)) == want
+    assert rows(G.suppress_by_rounds(b, threshold)) == want and rows(G.suppress(b, threshold, small=45)) == want
     assert G.suppress_by_rounds(b.limit(0), threshold).count() == 0
 
 
 @pytest.mark.parametrize("threshold,sides", [(0.3, (5, 30)), (0.05, (0.5, 100))])
 def test_matching_by_rounds(spark, threshold, sides):
-    old, new = boxes(spark, 2, 150, 40, sides), boxes(spark, 3, 150, 40, sides)
+    old, new = boxes(spark, 2, 90, 30, sides), boxes(spark, 3, 90, 30, sides)
     pairs = lambda small: sorted((r["image"], r["old_id"], r["new_id"], round(r["iou"], 9)) for r in G.greedy_match(old, new, threshold, small).collect())
     assert pairs(10**6) == pairs(0) and pairs(0)
 
 
 def test_suppression_of_a_very_large_image(spark):
     rnd = np.random.RandomState(4)
-    n = 100_000
-    x, y, score = rnd.randint(0, 4000, n), rnd.randint(0, 4000, n), rnd.randint(0, 1000, n)
+    n = 40_000
+    x, y, score = rnd.randint(0, 2500, n), rnd.randint(0, 2500, n), rnd.randint(0, 1000, n)
     frame = spark.range(n).toPandas()
     frame["image"], frame["x1"], frame["y1"] = 1, x.astype(float), y.astype(float)
     frame["x2"], frame["y2"], frame["score"] = frame["x1"] + 40, frame["y1"] + 30, score / 1000

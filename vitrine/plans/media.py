@@ -58,7 +58,7 @@ _listed = "case doc_id % " + str(len(NAMES)) + " " + " ".join(f"when {k} then '{
 VIEWS["names"] = (
     "select doc_id as id, case when doc_id % 4 = 1 and lang = 'en' then translate(substr(text, 1, 60), chr(9) || chr(10) || chr(13), '   ') || '.jpg' when doc_id % 4 = 2 then 'IMG_' || cast(20000101 + n_chars as string) || '_' || cast(doc_id as string) || '.JPG' "
     "when doc_id % 4 = 3 then cast(1900 + n_chars % 150 as string) || '-' || lpad(cast(1 + n_chars % 14 as string), 2, '0') || '-' || lpad(cast(1 + doc_id % 33 as string), 2, '0') || ' ' || source "
-    f"else {_listed} end as name, source, n_chars from documents"
+    f"else {_listed} end as name, source, lang, n_chars from documents"
 )
 VIEWS["tags"] = "select doc_id as id, case doc_id % 8 when 0 then '2009' when 1 then '1850-13' when 2 then ' 2011-04 ' when 3 then '2010-02-30' when 4 then '2010-02-28' when 5 then '2014:05:06 07:08:09' when 6 then 'soon' else '1999-12' end as raw, case when doc_id % 3 = 0 then -1 when doc_id % 3 = 1 then doc_id % 9 else null end as xmp, case when doc_id % 4 = 0 then doc_id % 120 end as exif, doc_id % 101 as percent from documents"
 
@@ -227,11 +227,11 @@ def x34(spark, d):
     return a.select("id", F.size("a").alias("answers"), F.try_variant_get(F.try_element_at("a", F.lit(1)), "$.index", "int").alias("first_index"), M.date_precision(start, F.lit(None).cast("string")).alias("precision"), M.one_place(text).alias("one_place"), place["city"].alias("city"))
 
 
-QUERY_ANSWER = "case id % 5 when 0 then '{\"original_language\":\"de\",\"english_query\":\"red car\",\"keywords\":[\" red \",\"car\",\"\",\"a\",\"b\",\"c\",\"d\"]}' when 1 then '{\"englishQuery\":\"dog\",\"translated\":true,\"key_concepts\":[\"dog\"]}' when 2 then 'no' when 3 then '{\"english_query\":\"Same as input\"}' else '{\"keywords\":[1]}' end"
-VIEWS["query_answers"] = f"select id, {QUERY_ANSWER} as answer from names"
+QUERY_ANSWER = "case id % 5 when 0 then '{\"original_language\":\"' || lang || '\",\"english_query\":\"red ' || source || '\",\"keywords\":[\" ' || source || ' \",\"car\",\"\",\"a\",\"b\",\"c\",\"d\"]}' when 1 then '{\"englishQuery\":\"dog ' || cast(n_chars as string) || '\",\"translated\":true,\"key_concepts\":[\"' || lang || '\"]}' when 2 then 'no' when 3 then '{\"english_query\":\"Same as input\"}' else '{\"keywords\":[1]}' end"
+VIEWS["query_answers"] = f"select id, lang, source, n_chars, {QUERY_ANSWER} as answer from names"
 
 
-@query("x36_query_analyses", "select id, case id % 5 when 0 then 'de' when 1 then 'en' when 4 then 'en' end as language, case id % 5 when 0 then 1 when 1 then 1 when 4 then 0 end as translated, case id % 5 when 0 then 'red car' when 1 then 'dog' when 4 then 'raw' end as english, case id % 5 when 0 then 'red,car,a,b,c' when 1 then 'dog' when 4 then '' end as keywords from query_answers", ("query_answers",))
+@query("x36_query_analyses", "select id, case id % 5 when 0 then lang when 1 then 'en' when 4 then 'en' end as language, case id % 5 when 0 then case when lang = 'en' then 0 else 1 end when 1 then 1 when 4 then 0 end as translated, case id % 5 when 0 then 'red ' || source when 1 then 'dog ' || cast(n_chars as string) when 4 then 'raw' end as english, case id % 5 when 0 then source || ',car,a,b,c' when 1 then lang when 4 then '' end as keywords from query_answers", ("names", "query_answers"))
 def x36(spark, d):
     a = view(spark, d, "query_answers").select("id", M.query_analysis(F.col("answer"), F.lit("raw")).alias("q"))
     return a.select("id", "q.language", F.col("q.translated").cast("int").alias("translated"), "q.english", F.array_join("q.keywords", ",").alias("keywords"))
@@ -379,14 +379,20 @@ def a2_analyses(spark, d):
     return COV.analyses(view(spark, d, "media").where("deleted_at is null"), view(spark, d, "vectors"), view(spark, d, "faces"), "m1", 0.4)
 
 
-@query("r15_folder_labels", "select id, case when t = 0 then 'empty' when f = 'done' and s = 'done' and p <> 'done' then 'photo_analysis_waiting' when f = 'done' and s = 'done' then 'all_done' when 'partial' in (p, f, s) then 'partial' when 'not_done' in (p, f, s) then 'not_done' else 'all_done' end as label, case when id % 5 = 0 then 'in_progress' when id % 3 = 0 then 'analyzed' else 'not_scanned' end as state, case when id % 7 = 0 or (id % 3 = 0 and id % 2 <> 0 and id % 4 <> 0) then 'skip' when id % 3 <> 0 then 'full' else 'incremental' end as plan from (select id, id % 7 as t, ['done', 'partial', 'not_done'][1 + id % 3] as p, ['done', 'partial'][1 + id % 2] as f, ['done', 'not_done'][1 + (id // 2) % 2] as s from names)", ("names",))
+#: What is done in each folder, by the day its files were made and their width.
+VIEWS["done_in"] = (
+    "select substr(source_path, 1, length(source_path) - length(filename)) || file_created_at || '/' || cast(width as string) as folder, count(*) as total, count(photo_done_at) as photo, count(face_done_at) as face, count(star_rating) as semantic, "
+    "count(latitude) as located, max(case when width % 2 = 0 then photo_done_at end) as scanned, sum(case when mtime = 2 then 1 else 0 end) as fresh from media group by substr(source_path, 1, length(source_path) - length(filename)) || file_created_at || '/' || cast(width as string)"
+)
+_part = "case when {0} >= total then 'done' when {0} = 0 then 'not_done' else 'partial' end"
+
+
+@query("r15_folder_labels", f"select folder, case when f = 'done' and s = 'done' and p <> 'done' then 'photo_analysis_waiting' when f = 'done' and s = 'done' then 'all_done' when 'partial' in (p, f, s) then 'partial' when 'not_done' in (p, f, s) then 'not_done' else 'all_done' end as label, case when fresh > 1 then 'in_progress' when scanned is not null then 'analyzed' else 'not_scanned' end as state, case when scanned is not null and fresh = 0 and located <> 0 then 'skip' when scanned is null then 'full' else 'incremental' end as plan from (select *, {_part.format('photo')} as p, {_part.format('face')} as f, {_part.format('semantic')} as s from done_in)", ("media", "done_in"))
 def r15(spark, d):
-    i = F.col("id")
-    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
-    label = COV.rollup_label(pick(("done", "partial", "not_done"), i % 3), pick(("done", "partial"), i % 2), pick(("done", "not_done"), F.floor(i / 2) % 2), i % 7)
-    scanned = F.when(i % 3 == 0, "2026")
-    plan = COV.geo_scan_plan(i % 7, i % 4, scanned, (i % 2 == 0).cast("int"))
-    return view(spark, d, "names").select("id", label.alias("label"), COV.folder_state(i % 5 == 0, scanned).alias("state"), plan.alias("plan"))
+    each = lambda c: S.coverage_label(F.col(c), F.lit(0), F.col("total"))
+    label = COV.rollup_label(each("photo"), each("face"), each("semantic"), F.col("total"))
+    plan = COV.geo_scan_plan(F.col("total"), F.col("located"), F.col("scanned"), F.col("fresh"))
+    return view(spark, d, "done_in").select("folder", label.alias("label"), COV.folder_state(F.col("fresh") > 1, F.col("scanned")).alias("state"), plan.alias("plan"))
 
 
 VIEWS["cities"] = (

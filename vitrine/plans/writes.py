@@ -428,11 +428,13 @@ def p38(spark, d):
     return COV.fresh_first(m, m.where("id % 4 = 0")).orderBy("failed_before", "id").select("path", "failed_before")
 
 
-@query("z4_last_scans", "select folder, case when id % 2 = 0 then '2026' end as done_at from (select id, '/LIB//' || cast(id as string) || '/' as folder from names)", ("names",))
+@query("z4_last_scans", "p as (select id, folder, '2026-01-' || lpad(cast(1 + length(url) % 28 as string), 2, '0') as done_at from sites), s as (select lower(rtrim(folder, '/')) as k, max(done_at) as done_at from p where id % 2 = 0 group by 1) select '/' || upper(folder) || '/' as folder, s.done_at from p left join s on s.k = lower(rtrim(p.folder, '/'))", ("sites",))
 def z4(spark, d):
-    n = view(spark, d, "names")
-    states = n.where("id % 2 = 0").select(F.concat(F.lit("/lib/"), F.col("id").cast("string")).alias("folder"), F.lit("2026").alias("done_at"))
-    return COV.last_scans(n.select(F.concat(F.lit("/LIB//"), F.col("id").cast("string"), F.lit("/")).alias("folder")), states)
+    """Folders of pages, asked for in other letters and separators, and the last scan of those that have one."""
+    sites = view(spark, d, "sites")
+    day = F.concat(F.lit("2026-01-"), F.lpad((1 + F.length("url") % 28).cast("string"), 2, "0"))
+    asked = sites.select(F.concat(F.lit("/"), F.upper("folder"), F.lit("/")).alias("folder"))
+    return COV.last_scans(asked, sites.where("id % 2 = 0").select("folder", day.alias("done_at")))
 
 
 @query("a34_bundle_states", "select user_id as bundle_id, case when max(cast(event_type = 'view' as int)) = 1 then 'running' when max(cast(event_type = 'click' as int)) = 1 then case when count(distinct event_type) > 1 then 'running' else 'queued' end when max(cast(event_type = 'purchase' as int)) = 1 then 'failed' else 'done' end as state from events where event_id % 50 = 0 group by 1")
@@ -443,9 +445,9 @@ def a34(spark, d):
     return COV.bundle_states(e.select(F.col("user_id").alias("bundle_id"), state.alias("state")))
 
 
-@query("r17_file_urls", "select id, 'file:///lib/a%20b/' || cast(id as string) || '.jpg' as url, 'a b' as relative from names", ("names",))
+@query("r17_file_urls", "select id, 'file:///lib/' || source || '%20b/' || lang || '/' || cast(n_chars as string) || '%25' || cast(id as string) || '.jpg' as url, source || ' b/' || lang as relative from names", ("names",))
 def r17(spark, d):
-    path = F.concat(F.lit("/lib/a b/"), F.col("id").cast("string"), F.lit(".jpg"))
+    path = F.concat(F.lit("/lib/"), "source", F.lit(" b/"), "lang", F.lit("/"), F.col("n_chars").cast("string"), F.lit("%"), F.col("id").cast("string"), F.lit(".jpg"))
     return view(spark, d, "names").select("id", P.file_url(path).alias("url"), P.relative_folder(path, "/lib").alias("relative"))
 
 
@@ -591,14 +593,15 @@ def g15(spark, d):
     return b.select("image", "id", F.round(points[0][0], 6).alias("left_eye_x"), F.round(points[4][1], 6).alias("mouth_y"), "place")
 
 
-@query("g8_turns", "select id, case when id % 3 = 0 then ((id % 3 + 1) * 90 + 180) % 360 else (id % 3 + 1) * 90 end as valid, case when id % 3 = 0 then 'face-corrected' else 'vlm' end as source, ((id % 4) * 90 + 270) % 360 as composed, case when id % 2 = 0 then 180 else 90 end as first, greatest(1, cast(floor((1000 + id % 700) * least(1.0, 512.0 / (1000 + id % 700)) + 0.5) as int)) as width, case when (id % 10) / 10.0 >= 0.5 then 'female' else 'male' end as gender from names", ("names",))
+@query("g8_turns", "select image, id, case when y1 % 3 = 0 then (turn + 180) % 360 else turn end as valid, case when y1 % 3 = 0 then 'face-corrected' else 'vlm' end as source, cast((cast(x2 as int) % 4) * 90 + 270 as int) % 360 as composed, case when x1 % 2 = 1 and score >= 0.04 then 90 else 180 end as first, greatest(1, cast(floor(x2 * 20 * least(1.0, 512.0 / greatest(x2 * 20, y2 * 10)) + 0.5) as int)) as width, case when score * 10 >= 0.5 then 'female' else 'male' end as gender from (select *, (cast(x1 as int) % 3 + 1) * 90 as turn from boxes)", ("boxes",))
 def g8(spark, d):
-    i = F.col("id")
-    v = G.validated_turn((i % 3 + 1) * 90, F.when(i % 3 == 0, "rotated_180").otherwise("upright"))
+    """Turns, sizes and readings of models, from the places and scores of boxes."""
+    x1, x2, y1, y2, score = (F.col(c) for c in ("x1", "x2", "y1", "y2", "score"))
+    v = G.validated_turn((x1.cast("int") % 3 + 1) * 90, F.when(y1 % 3 == 0, "rotated_180").otherwise("upright"))
     s = lambda a, c: F.struct(F.lit(a).alias("angle"), c.cast("double").alias("confidence"))
-    first = G.primary_turn(F.array(s(90, F.when(i % 2 == 1, 0.5)), s(180, F.lit(0.4)), s(45, F.lit(0.9))))
-    small = G.downscaled((1000 + i % 700).cast("int"), F.lit(700), 512)
-    return view(spark, d, "names").select("id", v["angle"].alias("valid"), v["source"].alias("source"), G.composed_turn((i % 4) * 90, F.lit(270)).alias("composed"), first.alias("first"), small["width"].alias("width"), G.age_gender(F.lit(30.0), (i % 10) / 10.0)["gender"].alias("gender"))
+    first = G.primary_turn(F.array(s(90, F.when(x1 % 2 == 1, score)), s(180, F.lit(0.04)), s(45, F.lit(0.9))))
+    small = G.downscaled(x2 * 20, y2 * 10, 512)
+    return view(spark, d, "boxes").select("image", "id", v["angle"].alias("valid"), v["source"].alias("source"), G.composed_turn((x2.cast("int") % 4) * 90, F.lit(270)).alias("composed"), first.alias("first"), small["width"].alias("width"), G.age_gender(y2, score * 10)["gender"].alias("gender"))
 
 
 @query("k5_redetected_faces", "select image, count(*) filter (state = 'updated') as updated, count(*) filter (state = 'new') as \"new\", count(*) filter (state = 'kept') as kept, count(*) filter (state = 'deleted') as deleted from (select b.image, case when b.id % 2 = 0 then case when m.image is not null then 'updated' when b.id % 4 = 0 then 'kept' else 'deleted' end else 'new' end as state from boxes b left join (select image, old_id as id from g4m) m on m.image = b.image and m.id = b.id where b.id % 2 = 0 or not exists (select 1 from g4m g where g.image = b.image and g.new_id = b.id)) group by image".replace("select image, count", f"recursive p as (select a.image, a.id as old_id, b.id as new_id, {_inter} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_inter}) as iou from boxes a join boxes b on a.image = b.image and a.id % 2 = 0 and b.id % 2 = 1), o as (select *, row_number() over (partition by image order by iou desc, old_id, new_id) as k from p where iou >= 0.1), r(image, k, olds, news, took) as (select image, 0::bigint, []::bigint[], []::bigint[], false from o group by image union all select r.image, r.k + 1, case when list_contains(r.olds, o.old_id) or list_contains(r.news, o.new_id) then r.olds else list_append(r.olds, o.old_id) end, case when list_contains(r.olds, o.old_id) or list_contains(r.news, o.new_id) then r.news else list_append(r.news, o.new_id) end, not (list_contains(r.olds, o.old_id) or list_contains(r.news, o.new_id)) from r join o on o.image = r.image and o.k = r.k + 1), g4m as (select o.image, o.old_id, o.new_id from r join o on o.image = r.image and o.k = r.k where r.took) select image, count", 1), ("boxes",))
