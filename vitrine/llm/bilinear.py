@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +112,7 @@ class LogBilinear:
             sums[k] += grad * grad
             self.weights[k] += (rate * grad / np.sqrt(sums[k])).astype(np.float32)
 
-    def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, seed: int, batch: int = 1024, noise: int = 32, rate: float = 0.05) -> int:
+    def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, seed: int, batch: int = 1024, noise: int = 16, rate: float = 0.05) -> int:
         """Fit to runs of (units, first) in shuffled batches; returns the number of tokens."""
         rng, share = np.random.RandomState(seed), (counts + 1.0) / (counts + 1.0).sum()
         log_noise, cumulated = np.log(share).astype(np.float32), np.cumsum(share)
@@ -181,7 +182,7 @@ def _runs(batches: Iterator[pa.RecordBatch], table: _Table) -> Iterator[tuple[np
         texts = batch.column(0)
         for i, j in slices(text_buffers(texts)[1]):
             cut = [[*words_of(t), END] for t in texts.slice(i, j - i).to_pylist()]
-            units = np.fromiter((u for own in cut for u in map(table.__getitem__, own)), np.int64)
+            units = np.fromiter(map(table.__getitem__, chain.from_iterable(cut)), np.int64)
             first = np.zeros(len(units), bool)
             first[np.cumsum([0, *map(len, cut[:-1])])] = True
             yield units, first
@@ -316,7 +317,7 @@ def score(docs: DataFrame, training: Column, **options) -> DataFrame:
             texts = batch.column(0)
             for i, j in slices(text_buffers(texts)[1]):
                 cut = [[*words_of(t), END] for t in texts.slice(i, j - i).to_pylist()]
-                at = np.fromiter((k for own in cut for k in (number.get(w, -1) for w in own)), np.int64)
+                at = np.fromiter(map(number.get, chain.from_iterable(cut), repeat(-1)), np.int64)
                 size = np.fromiter(map(len, cut), np.int64, len(cut))
                 begin = np.concatenate([[0], np.cumsum(size)])
                 own_units, missed = unit[at], np.flatnonzero(at < 0)
