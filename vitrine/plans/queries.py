@@ -422,10 +422,11 @@ def t3(spark, d):
 
 #: Events below the last watermark, one hour behind the latest event, in whole milliseconds.
 _passed = "e as (select user_id, event_id, event_type, epoch_us(ts) // 1000 as ms, max(epoch_us(ts) // 1000) over () - 3600000 as horizon from events), w as (select * from e where ms < horizon)"
+_some = "from events where event_type in ('error', 'signup'))"  # a watermark follows the events that take part
 _moment = "strftime(make_timestamp(ms * 1000), '%Y-%m-%d %H:%M:%S.%g') as at"
 
 
-@query("t6_deletion_windows", f"{_passed}, d as (select *, case when event_type = 'error' then 'deleted' else 'seen' end as what from w where event_type in ('error', 'signup')), o as (select *, lag(what) over (partition by user_id order by ms, event_id) as before, min(case when what = 'seen' then ms end) over (partition by user_id order by ms, event_id rows between 1 following and unbounded following) as seen from d), x as (select * from o where what = 'deleted' and (before is null or before = 'seen')), a as (select user_id, 'forgotten' as what, ms + 86400000 as ms from x where (seen is null or seen > ms + 86400000) and ms + 86400000 < horizon union all select user_id, 'purged', ms + 432000000 from x where (seen is null or seen > ms + 432000000) and ms + 432000000 < horizon union all select user_id, 'restored', seen from x where seen <= ms + 432000000) select user_id, what, {_moment} from a")
+@query("t6_deletion_windows", f"{_passed.replace('from events)', _some)}, d as (select *, case when event_type = 'error' then 'deleted' else 'seen' end as what from w where event_type in ('error', 'signup')), o as (select *, lag(what) over (partition by user_id order by ms, event_id) as before, min(case when what = 'seen' then ms end) over (partition by user_id order by ms, event_id rows between 1 following and unbounded following) as seen from d), x as (select * from o where what = 'deleted' and (before is null or before = 'seen')), a as (select user_id, 'forgotten' as what, ms + 86400000 as ms from x where (seen is null or seen > ms + 86400000) and ms + 86400000 < horizon union all select user_id, 'purged', ms + 432000000 from x where (seen is null or seen > ms + 432000000) and ms + 432000000 < horizon union all select user_id, 'restored', seen from x where seen <= ms + 432000000) select user_id, what, {_moment} from a")
 def t6(spark, d):
     what = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "signup", "seen")
     return _timed(spark, d, timers.Tombstones(keep=timers.DAY, grace=5 * timers.DAY), what)

@@ -124,7 +124,7 @@ def _events(events: DataFrame, what: Column, key: str, late: str) -> DataFrame:
 
 def timed(events: DataFrame, processor: _InOrder, what: Column, key: str = "user_id", late: str = "1 hour") -> DataFrame:
     """``key, what, at``: what the timers of a stream of ``(key, ts, event_id)`` say, for all times that the watermark (``late`` behind the
-    latest event) has passed. Events without key, time or ``what`` take no part. Needs the settings ``STORE``."""
+    latest event that takes part) has passed. Events without key, time or ``what`` take no part. Needs the settings ``STORE``."""
     e = _events(events, what, key, late)
     out = e.groupBy("key").transformWithStateInPandas(processor, "key long, what string, ms long", "Append", "EventTime")
     return out.select("key", "what", F.timestamp_millis("ms").alias("at"))
