@@ -35,11 +35,10 @@ class _InOrder(StatefulProcessor):
         self.kept = handle.getValueState("kept", "since long, stage int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            new = [(int(a), int(n), str(w)) for a, n, w in zip(frame["ms"], frame["number"], frame["what"])]
+        new = [(int(a), int(n), str(w)) for frame in rows for a, n, w in zip(frame["ms"], frame["number"], frame["what"])]
+        if new:
             self.waiting.appendList(new)
-            for at in {a for a, _, _ in new}:
-                self.handle.registerTimer(at)
+            self.handle.registerTimer(min(a for a, _, _ in new))  # the first of them; the next is set when it is due
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -52,9 +51,11 @@ class _InOrder(StatefulProcessor):
             state = self.passed(state, at - 1, out)
             state = self.met(state, at, what, out)
         state = self.passed(state, now, out)
+        rest = [e for e in events if e[0] > now]
         if due:
-            rest = [e for e in events if e[0] > now]
             self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(min(a for a, _, _ in rest))
         if state is None:
             self.kept.clear()
         else:
