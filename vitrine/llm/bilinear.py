@@ -213,7 +213,7 @@ def group_of(word: Column, singles: int, groups: int) -> Column:
     return (F.crc32(F.substring(word, 1, 2)) % groups + 1 + singles).cast("int")
 
 
-def units_of(counts: DataFrame, singles: int = 191, groups: int = 64, discount: float = 0.6) -> Units:
+def units_of(counts: DataFrame, singles: int = 127, groups: int = 32, discount: float = 0.6) -> Units:
     """Units from ``word_counts``. Singles are the most frequent words (of at most ``LONGEST`` bytes); the words at hand are all that
     occur as often as some bound, chosen from a histogram of counts so that there are at most ``KNOWN``. No more than these and
     the units' totals comes to the driver."""
@@ -243,7 +243,7 @@ def units_of(counts: DataFrame, singles: int = 191, groups: int = 64, discount:
     return Units([w for w, _ in top], groups, discount, n, kinds, words, np.array([n[0], *mine.values()], np.int64), int(total), int(distinct))
 
 
-def fit(texts: DataFrame, units: Units, part: Column | None = None, rounds: int = 4, size: int = 16, context: int = 3, rate: float = 0.05) -> LogBilinear:
+def fit(texts: DataFrame, units: Units, part: Column | None = None, rounds: int = 4, size: int = 12, context: int = 3, rate: float = 0.05) -> LogBilinear:
     """The model of ``texts(text)``. Each round every task goes on from the shared weights over its own texts of that round, and the
     results are averaged by tokens; steps shrink by half from round to round. The rounds together read every text once (``part``, a whole number, deals them out). Weights are a
     few thousand numbers; averages are formed in at most 64 tasks before they come to the driver."""
