@@ -98,6 +98,9 @@ class TextIndex:
                 yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], ["id", "length", "terms"])
 
         picked = docs.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in self.fields]).where("id is not null")
+        cores = self.spark.sparkContext.defaultParallelism
+        if picked.rdd.getNumPartitions() < cores:  # a table of few files is dealt to all tasks
+            picked = picked.repartition(cores)
         return picked.mapInArrow(run, f"id long, length long, terms {TERM}")
 
     def _post(self, docs: DataFrame, seg: int) -> None:
@@ -111,7 +114,7 @@ class TextIndex:
         d = d.join(F.broadcast(parts), "range").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
         t = d.select("id", "length", "range", "piece", F.explode("terms").alias("t")).select("id", "length", "range", "piece", "t.term", "t.f")
         p = t.groupBy("term", "range", "piece").agg(F.max("f").alias("most"), F.min("length").alias("least"), F.count("*").alias("n"), F.collect_list(F.struct("id", "f", "length")).alias("docs"))
-        p.repartitionByRange("term", "range").sortWithinPartitions("term", "range", "piece").write.parquet(f"{self.path}/postings/seg={seg}")
+        p.sortWithinPartitions("term", "range", "piece").write.parquet(f"{self.path}/postings/seg={seg}")
 
     def _bury(self, state: dict, seg: int, ids: DataFrame, new: DataFrame | None) -> None:
         """Tombstones and statistics of a write: what of ``ids`` was there goes, ``new`` comes."""
