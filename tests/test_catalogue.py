@@ -228,3 +228,9 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_counters_of_cameras_are_no_years(spark):
+    names = {"IMG_2001": None, "dsc_1999": None, "PANO-1850 pier": None, "pier_2001": "2001", "IMG_1 2001": "2001", "BIMG_2001": "2001", "IMG_20200306": "2020-03-06", "2001": "2001"}
+    d = spark.createDataFrame([(n,) for n in names], "name string")
+    assert {r[0]: r[1] for r in d.select("name", D.date_in(F.col("name"))["start"]).collect()} == names
