@@ -234,3 +234,10 @@ def test_counters_of_cameras_are_no_years(spark):
     names = {"IMG_2001": None, "dsc_1999": None, "PANO-1850 pier": None, "pier_2001": "2001", "IMG_1 2001": "2001", "BIMG_2001": "2001", "IMG_20200306": "2020-03-06", "2001": "2001"}
     d = spark.createDataFrame([(n,) for n in names], "name string")
     assert {r[0]: r[1] for r in d.select("name", D.date_in(F.col("name"))["start"]).collect()} == names
+
+
+def test_a_path_is_read_once_for_its_date(spark):
+    d = spark.createDataFrame([("C:\\a\\1994-09 lake\\sub\\IMG_20200306.JPG", None), ("/x/misc (2002)/y.jpg", "2009"), (None, None), ("C:\\", "1999")], "path string, taken string")
+    e = d.select(D.event_date(F.col("taken"), F.lit("year"), D.date_in_path(F.col("path"))["date"], F.lit(False), F.lit("2020-01-01")).alias("e"))
+    assert [(r[0]["start"], r[0]["source"]) for r in e.collect()] == [("2020-03-06", "path_script"), ("2002", "path_script"), ("2020-01-01", "file_mtime"), ("1999", "xmp")]
+    assert sum(e._jdf.queryExecution().optimizedPlan().toString().count(f"{f}(") for f in ("regexp_extract", "RLIKE")) < 400  # no part of a path is read once for each use
