@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from vitrine.operators import catalogue as C
 from vitrine.operators import digests as DIG
@@ -56,3 +57,17 @@ def test_innermost_scopes(spark):
     scopes = [("/lib/", True), ("/lib/a/", True), ("/lib/a/x", False), ("/lib//b", False), ("c:/pics", True), ("", True), ("  ", True), (None, True)] + [(f"/many/{i}", True) for i in range(3000)]
     out = C.innermost_scope(spark.createDataFrame([(i, f) for i, f in enumerate(folders)], "id int, folder string"), spark.createDataFrame(scopes, "scope string, recursive boolean"))
     assert {r["id"]: r["scope"] for r in out.collect()} == {0: "/lib/a/", 1: "/lib/a/", 2: "/lib/a/x", 3: "/lib//b", 4: "/lib/", 5: "/lib/", 6: None, 7: None, 8: "c:/pics", 9: None}
+
+
+def test_no_row_is_made_for_a_pair_of_point_and_place(spark):
+    """Many places to a leaf and many points to a place: only those that may be the nearest leave a block."""
+    rnd = random.Random(5)
+    cities = [(f"c{i % 900}", rnd.uniform(-80, 80), rnd.uniform(-180, 180), "a") for i in range(3000)] + [(f"s{i}", 5.0, 5.0, "a") for i in range(2000)]
+    points = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(400)] + [(1000 + i, 5.0, 5.0) for i in range(50)]
+    df, places = spark.createDataFrame(points, "id long, latitude double, longitude double"), spark.createDataFrame(cities, PLACES)
+    out = PLC.nearest_city(df, places, ("area",), leaf=2000)
+    got = {r["id"]: (r["distance_km"], r["city"]) for r in out.collect()}
+    want = {i: min((km(a, b, x, y), c) for c, x, y, _ in cities) for i, a, b in points}
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 2e-6 for i in want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not re.search(r"Aggregate \[id#[^\n]*\n[^\n]*(Project[^\n]*\n[^\n]*)?Join", plan)

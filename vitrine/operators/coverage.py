@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import predicates as C
 from ..functions import scalars as S
 from ..sources import files as SRC
+from .places import nearest_city  # noqa: F401
 
 
 def _count(condition: Column, name: str) -> Column:
