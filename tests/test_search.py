@@ -186,3 +186,19 @@ def test_an_index_follows_its_files(spark, tmp_path):
     assert (get(), get()) == (1, 1)
     spark.range(5).write.mode("overwrite").parquet(at)
     assert (get(), get()) == (2, 2)
+
+
+def test_regions_are_inverted_where_they_lie(spark, tmp_path):
+    """Documents travel once, with their terms as they are: no row for each term of a document is shuffled; regions hold few postings."""
+    from vitrine.operators import textindex as T
+
+    docs = [(i, " ".join(f"w{(i * k) % 97}" for k in range(i % 40)), None) for i in range(300)] + [(1000, None, None), (1001, "", "w1 w1 w1")]
+    index = T.TextIndex(spark, f"file://{tmp_path}/x", ("a", "b"), region=50)
+    index.upsert(spark.createDataFrame(docs, "id long, a string, b string"))
+    p = spark.read.parquet(f"{tmp_path}/x/postings")
+    got = {(r["term"], d["id"], d["f"], d["length"]) for r in p.collect() for d in r["docs"]}
+    words = {i: f"{a or ''} {b or ''}".split() for i, a, b in docs}
+    assert got == {(w, i, float(ws.count(w)), len(ws)) for i, ws in words.items() for w in ws}
+    assert all((r["most"], r["least"], r["n"]) == (max(d["f"] for d in r["docs"]), min(d["length"] for d in r["docs"]), len(r["docs"])) for r in p.collect())
+    assert len({(r["range"], r["piece"]) for r in p.collect()}) > 3
+    assert T._inverted and T.ROWS <= 1000
