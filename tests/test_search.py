@@ -202,3 +202,20 @@ def test_regions_are_inverted_where_they_lie(spark, tmp_path):
     assert all((r["most"], r["least"], r["n"]) == (max(d["f"] for d in r["docs"]), min(d["length"] for d in r["docs"]), len(r["docs"])) for r in p.collect())
     assert len({(r["range"], r["piece"]) for r in p.collect()}) > 3
     assert T._inverted and T.ROWS <= 1000
+
+
+def test_forests_keep_the_components_of_all_pairs(spark):
+    from vitrine.operators import balls as B
+    from vitrine.operators import search as Q
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.25 * r.normal(size=16)).tolist()) for i in range(600)] + [(1000 + i, r.normal(size=16).tolist()) for i in range(40)] + [(2000, [0.0] * 16), (2001, None)]
+    cells = B.cells_of(spark.createDataFrame(rows, "id long, embedding array<double>"), 100)
+    all_, some = (B.joined(cells, cells, 0.8, upper=True, linked=linked)[0] for linked in (False, True))
+    assert sorted(map(tuple, Q.components(some).collect())) == sorted(map(tuple, Q.components(all_.select("a", "b")).collect()))
+    assert some.count() < all_.count() / 4
+    for n in (0, 1, 50):
+        a, b = r.integers(0, 40, n), r.integers(0, 40, n)
+        x, y = B.forest(a, b)
+        assert len(x) == len(set(y.tolist())) and (x < y).all()

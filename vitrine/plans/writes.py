@@ -395,7 +395,7 @@ def v12_chain(spark, d):
 
 @query("a15_face_clusters", "recursive e as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35), r(id, c) as (select distinct a, a from e union select e.b, r.c from r join e on e.a = r.id), k as (select id, min(c) as c from r group by id) select c as cluster_id, count(*) as members, arg_max(k.id, (0.5 + (k.id % 50) / 100.0, -k.id)) as representative from k group by c having count(*) >= 4")
 def a15(spark, d):
-    pairs = B.joined(cells(spark, d), cells(spark, d), 0.35, upper=True)[0]
+    pairs = B.joined(cells(spark, d), cells(spark, d), 0.35, upper=True, linked=True)[0]
     return I.clusters_kept(Q.components(pairs), view(spark, d, "faces"))
 
 
