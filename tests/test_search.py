@@ -219,3 +219,16 @@ def test_forests_keep_the_components_of_all_pairs(spark):
         a, b = r.integers(0, 40, n), r.integers(0, 40, n)
         x, y = B.forest(a, b)
         assert len(x) == len(set(y.tolist())) and (x < y).all()
+
+
+def test_blocks_travel_once_for_each_tile(spark):
+    from vitrine.operators import balls as B
+
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(500)]
+    x = np.array([v for _, v in rows])
+    s = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    cells = B.cells_of(spark.createDataFrame(rows, "id long, embedding array<double>"), 60)
+    out, report = B.joined(cells, cells, 0.7, 20, upper=True)
+    assert {(p["a"], p["b"]) for p in out.collect()} == {(i, j) for i in range(500) for j in range(i + 1, 500) if s[i, j] >= 0.7}
+    assert out.select("a", "b").distinct().count() == out.count() and report["block_pairs_joined"] > 4 * B.TILE
