@@ -241,3 +241,28 @@ def test_codes_find_neighbours_in_the_given_embeddings(spark):
         line[ids == q] = -np.inf
         hit += len(got[q] & set(ids[np.argsort(-line)[:20]].tolist()))
     assert hit / (20 * len(got)) >= 0.9 and len(got) == 100
+
+
+def test_common_lines_between_other_neighbours_do_not_become_single_windows(spark, monkeypatch):
+    """Variants of a common line are halved: the rows made for them stay below their windows, and the spans are exact."""
+    rnd = random.Random(11)
+    line = [f"l{i}" for i in range(48)]
+    words = [[*(f"a{d}_{i}" for i in range(rnd.randint(0, 40))), *line[rnd.randint(0, 6) :], *(f"z{rnd.randint(0, 3) if i < 3 else d}_{i}" for i in range(rnd.randint(0, 40)))] for d in range(400)]
+    made, materialise = [], substring.materialise
+
+    def counted(df, name, *rest):
+        out = materialise(df, name, *rest)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(substring, "materialise", counted)
+    monkeypatch.setattr(substring, "HEAVY", 50, raising=False)
+    out = {r["doc_id"]: r for r in substring.remove_repeats(documents(spark, enumerate(" ".join(w) for w in words)), most_variants=8).collect()}
+    seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    for d, w in enumerate(words):
+        gone = {k for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}
+        assert out[d]["n_removed"] == len(gone)
+        assert out[d]["kept_text"] == " ".join(x for i, x in enumerate(w) if i not in gone)
+    passages = sum(n for name, n in made if name == "sub-passages")
+    print(made)
+    assert 100 < passages and all(n <= 3 * passages for name, n in made if name not in ("sub-places", "sub-again"))

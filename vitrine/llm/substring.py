@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from .common import drop_scratch, frugal, materialise, ngram_hashes, slices, tex
 #: A place is named by what its row's result depends on: the identifier (0 for null) and a hash of the text.
 KEY = ["k", "h"]
 PLACES = "k long, h long, start int, windows int, anchor long, content long"
+#: Keys with more rows than this meet their partners by broadcast: there are at most rows / HEAVY of them.
+HEAVY = 1 << 16
 
 
 class SuffixAutomaton:
@@ -151,7 +155,8 @@ def _words(window: int):
 
 
 _PASSAGE = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("windows", pa.int32()), ("words", pa.binary())])
-_SPANS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))])
+_ONE = "anchor long, content long, n long, spans array<struct<from:int,to:int>>"
+_SPANS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))])
 
 
 def _matched(window: int, shard_words: int):
@@ -163,7 +168,7 @@ def _matched(window: int, shard_words: int):
             automaton.add(r[3], r[2])
         automaton.count()
         out = []
-        for anchor, content, _, words in rows:
+        for anchor, content, n, words in rows:
             spans: list[dict] = []
             for s in automaton.repeated(words, window):
                 if spans and spans[-1]["to"] >= s:
@@ -171,7 +176,7 @@ def _matched(window: int, shard_words: int):
                 else:
                     spans.append({"from": s, "to": s + window})
             if spans:
-                out.append({"anchor": anchor, "content": content, "spans": spans})
+                out.append({"anchor": anchor, "content": content, "n": n, "spans": spans})
         return pa.RecordBatch.from_pylist(out, _SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +195,79 @@ def _matched(window: int, shard_words: int):
     return run
 
 
+_HALF = pa.schema([(c, pa.int64()) for c in ("root", "root_content", "root_n")] + [(c, pa.int32()) for c in ("at", "place", "lo", "hi")] + [("anchor", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("windows", pa.int32()), ("words", pa.binary())])
+HALVES = "root long, root_content long, root_n long, at int, place int, lo int, hi int, anchor long, content long, n long, windows int, words binary"
+
+
+def _halved(window: int, gram: int):
+    """Splits passages in two by where the anchor stands in a window (``lo`` to ``hi``, in words). The new anchor is that of the
+    words that all windows of the half share, so equal windows meet again; a half of one place has that window as anchor.
+    """
+
+    def digest(words: bytes) -> int:
+        return int.from_bytes(hashlib.md5(words).digest()[:8], "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                words, place = r["words"].split(), r["place"]
+                if place < 0:  # a whole passage: the first run of words that has the anchor's hash
+                    raw = np.frombuffer(r["words"], np.uint8)
+                    place = int(np.flatnonzero(ngram_hashes(word_hashes(raw, np.array([0, len(raw)]))[0], gram).view(np.int64) == r["anchor"])[0])
+                middle = (r["lo"] + r["hi"]) // 2
+                for lo, hi in ((r["lo"], middle), (middle + 1, r["hi"])):
+                    first, last = max(0, place - hi), min(r["windows"] - 1, place - lo)
+                    if lo <= hi and first <= last:
+                        own = b" ".join(words[first : last + window])
+                        core = b" ".join(words[place - lo : place - hi + window])
+                        rows.append({**r, "at": r["at"] + first, "place": place - first, "lo": lo, "hi": hi, "anchor": digest(b"%d %d " % (lo, hi) + core), "content": digest(own), "windows": last - first + 1, "words": own})
+                if len(rows) >= 2000:
+                    yield pa.RecordBatch.from_pylist(rows, _HALF)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _HALF)
+
+    return run
+
+
+def _meet(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each key, ``size`` of ``rows`` have it): no task gets all rows of a heavy key."""
+    heavy = table.where(F.col(size) > HEAVY)
+    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(table.where(F.col(size) <= HEAVY), on)
+    return light.unionByName(rows.join(F.broadcast(heavy), on))
+
+
+def _spans_of_wide(wide: DataFrame, window: int, gram: int, shard_words: int, most_variants: int, scratch: list[DataFrame]) -> list[DataFrame]:
+    """``anchor, content, n, span`` of repeated windows in passages whose anchors have too many variants for one shard.
+
+    Passages are halved until a half's anchor has one content (repeated, if it stands more than once), few (an automaton decides)
+    or stands once (dropped). Halving ends at single windows, so there are at most five rounds for 28 windows; what
+    a common line's neighbours make unlike is dropped on the way and never becomes single windows.
+    """
+    found = []
+    as_root = [F.col("anchor").alias("root"), F.col("content").alias("root_content"), F.col("n").alias("root_n"), F.lit(0).alias("at"), F.lit(-1).alias("place"), F.lit(0).alias("lo"), F.lit(window - gram).alias("hi")]
+    rest = wide.select(*as_root, "anchor", "content", "n", "windows", "words")
+    of_root = [F.col("root").alias("anchor"), F.col("root_content").alias("content"), F.col("root_n").alias("n")]
+    span = lambda a, b: F.struct(a.cast("int").alias("from"), b.cast("int").alias("to")).alias("span")
+    while not rest.isEmpty():
+        half = materialise(rest.mapInArrow(frugal(_halved(window, gram)), HALVES), "sub-halves")
+        kinds = half.groupBy("anchor", "content").agg(F.sum("n").alias("of"), F.count("*").alias("rows"))
+        groups = materialise(kinds.groupBy("anchor").agg(F.sum("of").alias("of"), F.sum("rows").alias("rows"), F.count("*").alias("kinds")).where("of > 1"), "sub-groups")
+        met = materialise(_meet(half, groups, ["anchor"], "rows"), "sub-met")
+        scratch += [half, groups, met]
+        found.append(met.where("kinds = 1").select(*of_root, span(F.col("at"), F.col("at") + F.col("windows") + window - 1)))
+        few = met.where((F.col("kinds") > 1) & (F.col("kinds") <= most_variants))
+        texts = few.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+        dealt = texts.repartition("anchor").sortWithinPartitions("anchor", "content")
+        hits = materialise(dealt.mapInArrow(frugal(_matched(window, shard_words)), _ONE), "sub-hits")
+        scratch.append(hits)
+        own = _meet(few.drop("n"), hits, ["anchor", "content"], "n").select("root", "root_content", "root_n", "at", F.explode("spans").alias("s"))
+        found.append(own.select(*of_root, span(F.col("at") + F.col("s.from"), F.col("at") + F.col("s.to"))))
+        rest = met.where(F.col("kinds") > most_variants).select(*half.columns)
+    return found
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, spans = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -231,40 +309,40 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8, shard_words
        reference shards of about ``shard_words`` words; each task builds a suffix automaton for a shard and streams the
        shard's passages through it for matching statistics. A window whose state occurs more than once is repeated.
     3. An anchor with more than ``most_variants`` different passages (a common line between ever other neighbours) is
-       dealt out further: its passages are split into single windows, each its own anchor, and go through step 1 again.
+       dealt out further: its passages are halved by the anchor's place in their windows until few are left under an
+       anchor (see ``_spans_of_wide``).
 
-    Passages count as equal if anchor and content, two 64-bit hashes, both are; single windows by md5.
+    Passages count as equal if anchor and content, two 64-bit hashes, both are.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(text).alias("h"))
     texts = d.where("text is not null").select(*KEY, "text")
     places = materialise(texts.mapInArrow(frugal(_anchored(window, gram)), PLACES), "sub-places")
-    seen = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    again = materialise(places.join(seen.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "anchor"), "sub-again")
+    seen = places.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") == F.max("content")).alias("same")).where("n > 1")
+    seen = materialise(seen, "sub-seen")
+    again = materialise(_meet(places, seen, ["anchor"], "n").drop("n"), "sub-again")
+    drop_scratch(spark, seen)
     drop_scratch(spark, places)
     spans = again.where("same").select(*KEY, F.col("start").alias("from"), (F.col("start") + F.col("windows") + window - 1).alias("to"))
 
     mixed = again.where("not same")
     kinds = materialise(mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start", "windows")).alias("p")), "sub-kinds")
-    wide = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).select("anchor", (F.col("kinds") > most_variants).alias("wide"))
+    wide = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most_variants).select("anchor", F.lit(True).alias("wide"))
     asked = kinds.groupBy("p.k", "p.h").agg(F.collect_list(F.struct("anchor", "content", "n", "p.start", "p.windows")).alias("passages"))
     worded = texts.join(asked, KEY).select("text", "passages").mapInArrow(_words(window), "anchor long, content long, n long, windows int, words binary")
-    passages = materialise(worded.dropDuplicates(["anchor", "content"]).join(wide, "anchor"), "sub-passages")
+    passages = materialise(worded.dropDuplicates(["anchor", "content"]).join(wide, "anchor", "left"), "sub-passages")
     drop_scratch(spark, kinds)
-    ordered = passages.where("not wide").select("anchor", "content", "n", "words").repartition("anchor").sortWithinPartitions("anchor", "content")
-    one = "anchor long, content long, spans array<struct<from:int,to:int>>"
-    found = ordered.mapInArrow(frugal(_matched(window, shard_words)), one)
-
-    split = passages.where("wide").select("anchor", "content", "n", F.split(F.col("words").cast("string"), " ").alias("w"), "windows")
-    single = split.select("anchor", "content", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.unhex(F.md5(F.array_join(F.slice("w", i, window), " ").cast("binary"))))).alias("at", "key"))
-    single = materialise(single, "sub-single")
-    twice = single.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
-    repeated = single.join(twice, "key").groupBy("anchor", "content").agg(F.collect_list(F.struct(F.col("at").alias("from"), (F.col("at") + window).alias("to"))).alias("spans"))
-    found = materialise(found.unionByName(repeated.select("anchor", "content", F.col("spans").cast("array<struct<from:int,to:int>>").alias("spans"))), "sub-found")
-    drop_scratch(spark, passages)
-    drop_scratch(spark, single)
-    parts = mixed.join(found, ["anchor", "content"]).select(*KEY, "start", F.explode("spans").alias("s")).select(*KEY, (F.col("start") + F.col("s.from")).alias("from"), (F.col("start") + F.col("s.to")).alias("to"))
+    ordered = passages.where("wide is null").select("anchor", "content", "n", "words").repartition("anchor").sortWithinPartitions("anchor", "content")
+    found, scratch = ordered.mapInArrow(frugal(_matched(window, shard_words)), _ONE), [passages]
+    halved = _spans_of_wide(passages.where("wide"), window, gram, shard_words, most_variants, scratch)
+    if halved:
+        split = reduce(DataFrame.unionByName, halved).groupBy("anchor", "content", "n").agg(F.collect_list("span").alias("spans"))
+        found = found.unionByName(split.select("anchor", "content", "n", F.col("spans").cast("array<struct<from:int,to:int>>").alias("spans")))
+    found = materialise(found, "sub-found")
+    for t in scratch:
+        drop_scratch(spark, t)
+    parts = _meet(mixed, found, ["anchor", "content"], "n").select(*KEY, "start", F.explode("spans").alias("s")).select(*KEY, (F.col("start") + F.col("s.from")).alias("from"), (F.col("start") + F.col("s.to")).alias("to"))
     by_doc = spans.unionByName(parts).groupBy(*KEY).agg(F.collect_set(F.struct(F.col("from").cast("int").alias("from"), F.col("to").cast("int").alias("to"))).alias("spans"))
     out = "doc_id long, n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept_text string"
     return d.join(by_doc, KEY, "left").select("doc_id", "text", "spans").mapInArrow(_removed, out)
