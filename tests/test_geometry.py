@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from vitrine.operators import geometry as G
 
@@ -56,3 +58,18 @@ def test_suppression_of_a_very_large_image(spark):
             kept.append(int(i))
             grid.setdefault(cell, []).append(i)
     assert got == set(kept)
+
+
+def _plan(df, kind="optimizedPlan"):
+    return str(getattr(df._jdf.queryExecution(), kind)().toString())
+
+
+def test_face_votes_need_no_function_per_row(spark):
+    """Points in columns are read as they are; missing, short and null points have no vote."""
+    d = spark.createDataFrame([(1, 10.0, 2.0), (2, None, 2.0), (3, -10.0, 2.0)], "id int, x double, y double")
+    p = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)), F.array("x", "y"), F.array("x"), F.array("x"))
+    df = d.select("id", G.face_vote(p, F.lit(0.5)).alias("v")).select("id", "v.orientation", "v.confidence")
+    assert "lambda" not in _plan(df)
+    assert sorted(map(tuple, df.collect())) == [(1, "rotated_270_cw", 0.5), (2, None, None), (3, "rotated_90_cw", 0.5)]
+    short = [F.slice(p, 1, 4), F.array(*[F.array("x")] * 5), F.lit(None).cast("array<array<double>>")]
+    assert d.where("id = 1").select(*[G.face_vote(s, F.lit(0.5)).isNull() for s in short]).first() == (True, True, True)

@@ -227,17 +227,13 @@ def face_vote(landmarks: Column, score: Column, least_ratio: float = 1.3) -> Col
     The nose lies below the middle of the eyes in an upright face. Confidence grows with how clearly one axis dominates
     (full at 5 times) and with the detection's score.
     """
-    at = lambda p, c: F.try_element_at(F.try_element_at(landmarks, F.lit(p)), F.lit(c))
-    shift = F.struct((at(3, 1) - (at(1, 1) + at(2, 1)) / 2).alias("x"), (at(3, 2) - (at(1, 2) + at(2, 2)) / 2).alias("y"))
-
-    def vote(s: Column) -> Column:
-        most, least = F.greatest(F.abs(s["x"]), F.abs(s["y"])), F.least(F.abs(s["x"]), F.abs(s["y"]))
-        ratio = most / F.greatest(least, F.lit(1e-6))
-        named = F.when(F.abs(s["y"]) >= F.abs(s["x"]), F.when(s["y"] > 0, "upright").otherwise("rotated_180")).otherwise(F.when(s["x"] > 0, "rotated_270_cw").otherwise("rotated_90_cw"))
-        return F.when((most >= 1e-6) & (ratio >= least_ratio), F.struct(named.alias("orientation"), (F.least(F.lit(1.0), ratio / 5) * F.least(F.lit(1.0), score)).alias("confidence")))
-
-    whole = (F.size(landmarks) >= 5) & shift["x"].isNotNull() & shift["y"].isNotNull()
-    return F.try_element_at(F.transform(F.when(whole, F.array(shift)), vote), F.lit(1))
+    at = lambda p, c: F.get(F.get(landmarks, F.lit(p)), F.lit(c))
+    x, y = at(2, 0) - (at(0, 0) + at(1, 0)) / 2, at(2, 1) - (at(0, 1) + at(1, 1)) / 2
+    most, least = F.greatest(F.abs(x), F.abs(y)), F.least(F.abs(x), F.abs(y))
+    ratio = most / F.greatest(least, F.lit(1e-6))
+    named = F.when(F.abs(y) >= F.abs(x), F.when(y > 0, "upright").otherwise("rotated_180")).otherwise(F.when(x > 0, "rotated_270_cw").otherwise("rotated_90_cw"))
+    whole = (F.size(landmarks) >= 5) & x.isNotNull() & y.isNotNull()
+    return F.when(whole & (most >= 1e-6) & (ratio >= least_ratio), F.struct(named.alias("orientation"), (F.least(F.lit(1.0), ratio / 5) * F.least(F.lit(1.0), score)).alias("confidence")))
 
 
 def orientation(votes: DataFrame) -> DataFrame:
