@@ -73,3 +73,34 @@ def test_face_votes_need_no_function_per_row(spark):
     assert sorted(map(tuple, df.collect())) == [(1, "rotated_270_cw", 0.5), (2, None, None), (3, "rotated_90_cw", 0.5)]
     short = [F.slice(p, 1, 4), F.array(*[F.array("x")] * 5), F.lit(None).cast("array<array<double>>")]
     assert d.where("id = 1").select(*[G.face_vote(s, F.lit(0.5)).isNull() for s in short]).first() == (True, True, True)
+
+
+def test_images_of_few_boxes_are_settled_together(spark):
+    """Without a large image boxes aren't read again to set some aside, and groups of a batch are settled in one call."""
+    b = boxes(spark, 5, 200, 40).withColumn("image", F.col("id").cast("int") % 40)
+    assert "Join" not in _plan(G.suppress(b, 0.3))
+    calls = spark.sparkContext.accumulator(0)
+
+    def first(frame, group):
+        calls.add(1)
+        return np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+
+    got = G._taken_by_group(b, "image", ["id"], first).collect()
+    assert len(got) == len({r["image"] for r in got}) == b.select("image").distinct().count()
+    assert calls.value <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_sides_that_lie_by_image_meet_as_they_lie(spark):
+    """Boxes numbered within their images are dealt by image once: their two sides share that shuffle, the pairs have the other."""
+    n = F.row_number().over(W.partitionBy("image").orderBy("x1", "y1", "id"))
+    b = boxes(spark, 6, 200, 40).withColumn("id", n)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        m = G.greedy_match(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 0.2)
+        plan = _plan(m, "executedPlan")
+        assert plan.count("Exchange hashpartitioning(image") <= 3
+        by_rounds = G.greedy_match(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 0.2, small=0)
+        key = lambda df: sorted((r["image"], r["old_id"], r["new_id"]) for r in df.collect())
+        assert key(m) == key(by_rounds) != []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

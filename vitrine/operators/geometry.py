@@ -24,10 +24,18 @@ def _box(prefix: str = ""):
 SMALL = 1000
 
 
-def _split(boxes: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """The boxes of images with at most ``small`` boxes, and those of the others."""
-    large = written(boxes.groupBy("image").agg(F.count("*").alias("n")).where(F.col("n") > small).select("image"), "large-images")
-    return boxes.join(large, "image", "left_anti").select(*boxes.columns), boxes.join(large, "image", "left_semi").select(*boxes.columns)
+def _large(small: int, *sides: DataFrame) -> DataFrame:
+    """The images with more than ``small`` boxes on all sides together, written: counts alone are dealt by image."""
+    counts = reduce(DataFrame.unionByName, [s.groupBy("image").agg(F.count("*").alias("n")) for s in sides])
+    return written(counts.groupBy("image").agg(F.sum("n").alias("n")).where(F.col("n") > small).select("image"), "large-images")
+
+
+def _few(boxes: DataFrame, large: DataFrame) -> DataFrame:
+    return boxes.join(large, "image", "left_anti").select(*boxes.columns)
+
+
+def _many(boxes: DataFrame, large: DataFrame) -> DataFrame:
+    return boxes.join(large, "image", "left_semi").select(*boxes.columns)
 
 
 def cells(boxes: DataFrame, threshold: float, pixel: int = 0) -> DataFrame:
@@ -50,11 +58,19 @@ def cells(boxes: DataFrame, threshold: float, pixel: int = 0) -> DataFrame:
     return b.withColumn("own", F.col("g") == F.col("__level")).drop("__level")
 
 
-def _taken_by_group(rows: DataFrame, key: str, order: list, take: Callable[[pd.DataFrame, int, int], list[int]]) -> DataFrame:
-    """The rows that ``take(frame, from, to)`` picks from each run of equal keys, rows in the given order.
+def _begins(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    out = np.ones(len(keys), bool)
+    out[1:] = keys[1:] != keys[:-1]
+    return out
+
+
+def _taken_by_group(rows: DataFrame, key: str, order: list, take: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows (their places, in any order) that ``take(frame, group)`` picks from runs of equal keys, rows in the given order;
+    ``group`` numbers the runs.
 
-    Groups are dealt by key and met in sorted order, so a task holds one batch and the group that it is in, and no
-    frame is made for each group.
+    Groups are dealt by key and met in sorted order, so a task holds one batch and the group that it is in. All groups of a
+    batch are settled together, and no frame or array is made for each.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,8 +78,7 @@ def _taken_by_group(rows: DataFrame, key: str, order: list, take: Callable[[pd.D
 
         def done(frame: pd.DataFrame) -> pd.DataFrame:
             keys = frame[key].to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-            return frame.iloc[[i for x, y in zip(cuts[:-1], cuts[1:]) for i in take(frame, x, y)]]
+            return frame.iloc[np.sort(take(frame, np.cumsum(_begins(keys)) - 1))]
 
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
@@ -125,24 +140,26 @@ def suppress(boxes: DataFrame, threshold: float, small: int = SMALL) -> DataFram
     one by more than the threshold (IoU with a pixel added to each side). Images with at most ``small`` boxes are settled in Arrow
     batches, image by image, the others by rounds.
     """
-    few, many = _split(boxes, small)
-    done = _suppress_in_tasks(few, threshold)
-    return done if many.isEmpty() else done.unionByName(suppress_by_rounds(many, threshold))
+    large = _large(small, boxes)
+    if large.isEmpty():  # the boxes aren't read once more to find that none are left
+        return _suppress_in_tasks(boxes, threshold)
+    return _suppress_in_tasks(_few(boxes, large), threshold).unionByName(suppress_by_rounds(_many(boxes, large), threshold))
 
 
 def _suppress_in_tasks(boxes: DataFrame, threshold: float) -> DataFrame:
 
-    def keep(frame: pd.DataFrame, a: int, b: int) -> list[int]:
-        x1, y1, x2, y2 = (frame[c].to_numpy()[a:b] for c in ("x1", "y1", "x2", "y2"))
+    def keep(frame: pd.DataFrame, image: np.ndarray) -> np.ndarray:
+        x1, y1, x2, y2 = (frame[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
         size = (x2 - x1 + 1) * (y2 - y1 + 1)
-        alive, out = np.arange(b - a), []
-        while len(alive):
-            top, rest = alive[0], alive[1:]
-            out.append(a + int(top))
+        alive, out = np.arange(len(frame)), []
+        while len(alive):  # the best live box of each image stays, what it overlaps too much goes
+            best = _begins(image[alive])
+            top, rest = alive[best][np.cumsum(best) - 1][~best], alive[~best]
+            out.append(alive[best])
             w = np.maximum(0, np.minimum(x2[rest], x2[top]) - np.maximum(x1[rest], x1[top]) + 1)
             h = np.maximum(0, np.minimum(y2[rest], y2[top]) - np.maximum(y1[rest], y1[top]) + 1)
             alive = rest[~(w * h / (size[top] + size[rest] - w * h) > threshold)]
-        return out
+        return np.concatenate(out)
 
     return _taken_by_group(boxes, "image", [F.desc("score"), F.asc("id")], keep)
 
@@ -172,13 +189,15 @@ def greedy_match(old: DataFrame, new: DataFrame, threshold: float, small: int =
     Images with at most ``small`` old and new boxes together are settled in tasks, the others by rounds over pairs that meet in
     a grid cell."""
     columns = ["image", "id", "x1", "y1", "x2", "y2"]
-    both = old.select(*columns, F.lit(True).alias("is_old")).unionByName(new.select(*columns, F.lit(False).alias("is_old")))
-    few, many = _split(both, small)
-    side = lambda df, is_old, as_: df.where(F.col("is_old") == is_old).select("image", F.col("id").alias(f"{as_}_id"), _box().alias(as_))
+    old, new = old.select(*columns), new.select(*columns)
+    large = _large(small, old, new)
+    none = large.isEmpty()
+    side = lambda df, as_: (df if none else _few(df, large)).select("image", F.col("id").alias(f"{as_}_id"), _box().alias(as_))
     near = lambda p: p.select("image", "old_id", "new_id", S.iou(F.col("old"), F.col("new")).alias("iou")).where(F.col("iou") >= threshold)
-    done = _match_in_tasks(near(side(few, True, "old").join(side(few, False, "new"), "image")))
-    if many.isEmpty():
+    done = _match_in_tasks(near(side(old, "old").join(side(new, "new"), "image")))  # sides that lie by image meet as they lie
+    if none:
         return done
+    many = _many(old, large).withColumn("is_old", F.lit(True)).unionByName(_many(new, large).withColumn("is_old", F.lit(False)))
     c = cells(many, threshold)
     place = ["image", "g", "cx", "cy"]
     there = lambda is_old, as_: c.where(F.col("is_old") == is_old).select(*place, F.col("id").alias(f"{as_}_id"), _box().alias(as_), F.col("own").alias(f"{as_}_own"))
@@ -188,15 +207,15 @@ def greedy_match(old: DataFrame, new: DataFrame, threshold: float, small: int =
 
 def _match_in_tasks(pairs: DataFrame) -> DataFrame:
 
-    def take(frame: pd.DataFrame, a: int, b: int) -> list[int]:
+    def take(frame: pd.DataFrame, image: np.ndarray) -> np.ndarray:
         old_ids, new_ids = frame["old_id"].to_numpy(), frame["new_id"].to_numpy()
-        used_old, used_new, out = set(), set(), []
-        for i in range(a, b):
-            if old_ids[i] not in used_old and new_ids[i] not in used_new:
-                used_old.add(old_ids[i])
-                used_new.add(new_ids[i])
-                out.append(i)
-        return out
+        alive, out = np.arange(len(frame)), []
+        while len(alive):  # the best live pair of each image is taken, and the pairs of its boxes go
+            best = _begins(image[alive])
+            top, rest = alive[best][np.cumsum(best) - 1][~best], alive[~best]
+            out.append(alive[best])
+            alive = rest[(old_ids[rest] != old_ids[top]) & (new_ids[rest] != new_ids[top])]
+        return np.concatenate(out)
 
     return _taken_by_group(pairs, "image", [F.desc("iou"), F.asc("old_id"), F.asc("new_id")], take)
 
