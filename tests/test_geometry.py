@@ -104,3 +104,14 @@ def test_sides_that_lie_by_image_meet_as_they_lie(spark):
         assert key(m) == key(by_rounds) != []
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_boxes_are_shuffled_by_their_columns(spark):
+    """What follows from a box's columns is computed after the shuffle that numbers boxes."""
+    from vitrine.plans.registry import VIEWS, view
+
+    d = "/root/testdata/sf0.001"
+    lean, said = view(spark, d, "boxes"), spark.sql(VIEWS["boxes"].replace("from lineitem", "from {l}"), l=spark.read.parquet(f"{d}/lineitem.parquet"))
+    assert lean.schema.simpleString() == said.schema.simpleString()
+    assert lean.exceptAll(said).isEmpty() and said.exceptAll(lean).isEmpty()
+    assert "% 40" in _plan(lean).split("Window")[0] and "% 40" not in _plan(lean).split("Window")[1]
