@@ -241,3 +241,12 @@ def test_a_path_is_read_once_for_its_date(spark):
     e = d.select(D.event_date(F.col("taken"), F.lit("year"), D.date_in_path(F.col("path"))["date"], F.lit(False), F.lit("2020-01-01")).alias("e"))
     assert [(r[0]["start"], r[0]["source"]) for r in e.collect()] == [("2020-03-06", "path_script"), ("2002", "path_script"), ("2020-01-01", "file_mtime"), ("1999", "xmp")]
     assert sum(e._jdf.queryExecution().optimizedPlan().toString().count(f"{f}(") for f in ("regexp_extract", "RLIKE")) < 400  # no part of a path is read once for each use
+
+
+def test_albums_of_odd_members_are_dealt_once(spark):
+    """Repeated members, unknown and deleted items, null items and places; members are shuffled by album once, unaggregated."""
+    members = spark.createDataFrame([(1, 10, 5), (1, 10, 2), (1, 11, 3), (1, None, 1), (1, 99, 0), (2, None, 1), (3, 12, None), (3, 11, None), (4, 13, 1)], "album_id long, item_id long, position int")
+    items = spark.createDataFrame([(10, "2020", None), (11, "2022", None), (12, None, None), (13, "2023", "2026"), (None, "2030", None)], "id long, taken string, deleted_at string")
+    df = C.albums(members, items)
+    assert sorted(map(tuple, df.collect())) == [(1, 3, "2022", 10), (2, 0, None, None), (3, 2, "2022", 11), (4, 1, None, None)]
+    assert str(df._jdf.queryExecution().executedPlan().toString()).count("hashpartitioning(album_id") == 1

@@ -71,11 +71,13 @@ def place_tree(items: DataFrame, levels: list[str]) -> DataFrame:
 
 def albums(members: DataFrame, items: DataFrame) -> DataFrame:
     """Albums with the number of members, the newest date and the cover: the best placed active member."""
-    live = members.join(items.select("id", "taken", "deleted_at"), members["item_id"] == F.col("id"), "left")
-    order = F.struct(F.coalesce("position", F.lit(2147483647)).alias("p"), F.col("id"))
-    return live.groupBy("album_id").agg(
-        F.countDistinct("item_id").alias("items"), F.max(F.when(F.col("deleted_at").isNull(), F.col("taken"))).alias("newest"), F.min_by("id", F.when(F.col("deleted_at").isNull() & F.col("id").isNotNull(), order)).alias("cover")
-    )
+    own = members.select("album_id", "item_id", F.coalesce("position", F.lit(2147483647)).alias("place"))
+    before = F.lag("item_id").over(W.partitionBy("album_id").orderBy("item_id", "place"))  # the one sort: an item's rows of an album lie side by side
+    own = own.withColumn("new", F.col("item_id").isNotNull() & ~F.col("item_id").eqNullSafe(before))
+    active = items.where("deleted_at is null").groupBy("id").agg(F.max("taken").alias("taken"))
+    live = own.join(active, F.col("item_id") == F.col("id"), "left")
+    cover = F.min(F.when(F.col("id").isNotNull(), F.struct("place", "id")))["id"]
+    return live.groupBy("album_id").agg(F.count_if("new").alias("items"), F.max("taken").alias("newest"), cover.alias("cover"))
 
 
 def duplicates(files: DataFrame, key: str = "strong_hash") -> DataFrame:
