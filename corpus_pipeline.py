@@ -15,7 +15,8 @@ from vitrine.llm.queries import op4_bpe
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the classifier learns from the labelled ones among ``docs``."""
     model = toxicity.learnt_from(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns), name="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
+    clean = toxicity.score(docs, model, keep=tuple(docs.columns), name="__toxicity").where("__toxicity < 0.5").select(*docs.columns)
+    return materialise(clean, "clean", batch_rows=500)  # written here, as whole documents fill a task's Arrow batches
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

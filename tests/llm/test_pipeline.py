@@ -133,3 +133,28 @@ def test_empty_documents(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{where}/{name}.parquet").where("doc_id < 0").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_toxicity_holds_few_documents_at_once(spark, folder, monkeypatch):
+    """Whole documents come in small Arrow batches, their text once."""
+    where, _ = folder
+    from vitrine.llm import toxicity
+
+    class Counting:
+        def scores(self, data, offsets):
+            return [float(len(offsets) - 1 > 500)] * (len(offsets) - 1)
+
+    docs = spark.range(1200).selectExpr("id as doc_id", "cast(id as string) as text", "'en' as lang").coalesce(1)
+    plan = toxicity.score(docs, Counting(), keep=("doc_id", "text", "lang"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__text" not in plan
+    monkeypatch.setattr(toxicity, "learnt_from", lambda docs, labels: Counting())
+    assert sorted(map(tuple, corpus_pipeline.drop_toxic(spark, docs, where).collect())) == sorted((i, str(i), "en") for i in range(1200))
+
+
+def test_workers_forget_what_other_operators_keep():
+    from vitrine.llm import bpe, common
+
+    with open(tokenizer_path(), "rb") as f:
+        bpe.vocabulary(f.read())
+    assert list(common.frugal(iter, "bpe")([])) == [] and len(bpe._loaded) == 1
+    assert list(common.frugal(iter)([])) == [] and not bpe._loaded

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, slices, text_buffers
+from .common import frugal, kept, slices, text_buffers
 
 #: The public byte-level BPE split (contractions, letters, numbers, other signs, white space).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -172,6 +172,7 @@ class Vocabulary:
 
 
 _loaded: dict[bytes, Vocabulary] = {}
+kept["bpe"] = _loaded.clear  # a vocabulary and what it remembers take over 100 MB
 
 
 def vocabulary(raw: bytes) -> Vocabulary:
@@ -249,4 +250,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
     raw = _shared(docs, path)
     picked, schema = _picked(docs, text, keep)
     coded, back = _encoder(raw, keep), _decoder(raw, [*keep, "ids"], "ids")
-    return picked.mapInArrow(frugal(lambda batches: back(coded(batches))), f"{schema}, decoded string")
+    return picked.mapInArrow(frugal(lambda batches: back(coded(batches)), "bpe"), f"{schema}, decoded string")

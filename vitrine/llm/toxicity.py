@@ -182,15 +182,17 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", keep: tuple[st
 
     Null and empty texts get the score of a text without features. Rows are independent; an empty table gives no rows.
     """
-    picked = docs.select(F.col(text).cast("string").alias("__text"), *keep)
+    own = text in keep and docs.schema[text].dataType.typeName() == "string"  # a text that is kept travels once
+    picked = docs.select(*keep) if own else docs.select(F.col(text).cast("string").alias("__text"), *keep)
+    at, first = (keep.index(text), 0) if own else (0, 1)
     schema = ", ".join([*(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = text_buffers(batch.column(0))
+            data, off = text_buffers(batch.column(at))
             for i, j in slices(off):
                 s = model.scores(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.record_batch([*(batch.column(1 + k).slice(i, j - i) for k in range(len(keep))), pa.array(s)], [*keep, name])
+                yield pa.record_batch([*(batch.column(first + k).slice(i, j - i) for k in range(len(keep))), pa.array(s)], [*keep, name])
 
     return picked.mapInArrow(frugal(run), schema)
 
