@@ -232,3 +232,30 @@ def test_blocks_travel_once_for_each_tile(spark):
     out, report = B.joined(cells, cells, 0.7, 20, upper=True)
     assert {(p["a"], p["b"]) for p in out.collect()} == {(i, j) for i in range(500) for j in range(i + 1, 500) if s[i, j] >= 0.7}
     assert out.select("a", "b").distinct().count() == out.count() and report["block_pairs_joined"] > 4 * B.TILE
+
+
+def test_a_write_moves_terms_only_of_what_goes(spark, tmp_path):
+    """Terms are stored flat; what a write replaces is found by ids, and its own terms are counted in its postings."""
+    from vitrine.operators import textindex as T
+
+    index = T.TextIndex(spark, f"file://{tmp_path}/x", ("a",))
+    index.upsert(spark.createDataFrame([(1, "b a a"), (2, ""), (3, None), (4, "b c")], "id long, a string"))
+    docs = spark.read.parquet(f"{tmp_path}/x/docs")
+    assert not [f.name for f in docs.schema if f.dataType.typeName() in ("array", "struct")]
+    assert {(r["id"], r["length"], r["n"], r["words"], tuple(np.frombuffer(r["f"]))) for r in docs.collect()} == {(1, 3, 2, "b a", (1.0, 2.0)), (2, 0, 0, "", ()), (3, 0, 0, "", ()), (4, 2, 2, "b c", (1.0, 1.0))}
+    index.delete(spark.createDataFrame([(99,)], "id long"))
+    index.upsert(spark.createDataFrame([(4, "c"), (2, "")], "id long, a string"))
+    stats = lambda: {r["term"]: (r["df"], r["length"]) for r in index._stats(index._state()).groupBy("term").sum("df", "length").toDF("term", "df", "length").collect() if r["df"]}
+    want = {None: (4, 4), "a": (1, 0), "b": (1, 0), "c": (1, 0)}
+    assert stats() == want and {r["df"] for r in spark.read.parquet(f"{tmp_path}/x/stats/seg=3").where("term = 'b'").collect()} == {-1}
+    assert not (tmp_path / "x/stats/seg=2").exists()
+    index.merge(factor=100)
+    assert stats() == want
+
+
+def test_ranges_of_lengths_by_halving(spark):
+    from vitrine.operators import textindex as T
+
+    for borders in ([], [3], [0, 4], [1, 2, 3], list(range(0, 40, 3)), list(range(0, 2046, 2))):
+        d = spark.range(-1, 60).unionByName(spark.range(2000, 2060)).withColumn("below", T._below(borders, F.col("id")))
+        assert all(r["below"] == sum(b < r["id"] for b in borders) for r in d.collect()) and d.schema["below"].dataType.typeName() == "integer"
