@@ -227,6 +227,26 @@ def test_whole_licenses_are_met(spark):
     assert out[len(texts) + 1]["first_word"] == 2
 
 
+def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch):
+    """They met each group of codes as broadcast copies, which came to the driver; and small blocks, groups and tiles give the same rows."""
+    plans, write = [], ann.materialise
+
+    def seen(df, *a, **named):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, **named)
+
+    monkeypatch.setattr(ann, "materialise", seen)
+    x = np.random.RandomState(8).randn(1500, 16).round(1)
+    x[700:760] = x[20]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(40, x[3].tolist())], "vec_id long, embedding array<double>")
+    out = ann.nearest(d, F.col("vec_id") % 20 == 0, k=5, block=64)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 5 and not [p for p in plans if "Broadcast" in p]
+    small = ann.nearest(d, F.col("vec_id") % 20 == 0, k=5, block=64, query_block=8, group=4, tile=(30, 200))
+    rows = sorted(map(tuple, small.collect()))
+    assert rows == sorted(map(tuple, out.collect())) and len(rows) == 375
+
+
 def test_codes_find_neighbours_in_the_given_embeddings(spark):
     """At most a twentieth of the 2,000 vectors is reranked for a query."""
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")

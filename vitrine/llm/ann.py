@@ -70,6 +70,19 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions)
 
 
+def _scores(tables: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """What lookup tables (queries, books, words) give for every code (books, n): (queries, n), in single precision.
+
+    The tables of all these queries lie side by side, so a code's words are looked up once for all of them.
+    """
+    beside = np.ascontiguousarray(tables.transpose(1, 2, 0))
+    total, one = beside[0].take(codes[0], axis=0), np.empty((codes.shape[1], len(tables)), np.float32)
+    for table, words in zip(beside[1:], codes[1:]):
+        total += table.take(words, axis=0, out=one, mode="clip")
+    total *= scale[:, None]
+    return np.ascontiguousarray(total.T)
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -80,7 +93,9 @@ def nearest(
     rerank: int | None = None,
     sample: int = 4096,
     block: int = 8192,
-    query_block: int = 256,
+    query_block: int = 512,
+    group: int = 128,
+    tile: tuple[int, int] = (4096, 32768),
 ) -> DataFrame:
     """The ``k`` nearest rows by inner product for each query row of ``vectors(vec_id, embedding)``.
 
@@ -92,9 +107,11 @@ def nearest(
     Codebooks are fitted on at most ``sample`` vectors, those of the least hashes of their ids (the documented bound of
     what comes to the driver, and no task sorts more); every row is indexed. Equal vectors share one entry with their k + 1 smallest ids, which is all that
     any query can return of them. Codes, norms and entry numbers are packed into blocks; every block of queries meets every block
-    of codes once and scores it by lookup tables of inner products with all codewords. Vectors don't take part in that: only the best
+    of codes once, in tasks of one block of queries and at most about ``group`` blocks of codes, and scores it by lookup tables of inner products with all
+    codewords; a task hands on the best of each query, not of each block. No side of that join is broadcast. Vectors don't take part in that: only the best
     entries of each query over all blocks, ``rerank`` (by default three times the root of their number) or a twentieth of all (but 100 at least) if that is less, are joined with
-    their vectors and reranked exactly.
+    their vectors and reranked exactly. For that, queries and entries are dealt to tiles of about ``tile``: an entry's vector travels
+    once for each group of queries, not for each query that it is a candidate of.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("query"))
@@ -128,65 +145,107 @@ def nearest(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, query_block):
-                part = batch.slice(a, query_block)
-                yield pa.RecordBatch.from_pylist([{"q_ids": part.column(0).to_numpy().tobytes(), "q_vectors": _matrix(part.column(1), dims).astype(np.float32).tobytes()}])
+            size = -(-batch.num_rows // max(1, -(-batch.num_rows // query_block)))  # blocks of like size
+            for a in range(0, batch.num_rows, size or 1):
+                part = batch.slice(a, size)
+                yield pa.RecordBatch.from_pylist([{"q_ids": part.column(0).to_numpy().tobytes(), "q_vectors": _matrix(part.column(1), dims).tobytes()}])
 
     tasks = int(max(1, -(-count // block)))
     indexed = entries.select("embedding", "entry").repartition(tasks).mapInArrow(index, "codes binary, scales binary, entries binary")
-    deal = max(min(tasks, 64), round(tasks**0.5))  # codes are dealt to so many groups, and a block of queries goes to each group
-    indexed = materialise(indexed.withColumn("deal", F.pmod(F.xxhash64("entries"), F.lit(deal)).cast("int")), "ann-index")
+    indexed = materialise(indexed, "ann-index")
     asked = v.where("query").select("vec_id", "embedding").distinct()
     queries = materialise(asked.repartition(max(1, tasks // 4)).mapInArrow(pack, "q_ids binary, q_vectors binary"), "ann-queries")
 
     def top(score: np.ndarray, n: int) -> np.ndarray:
         return np.argpartition(-score, n)[:n] if len(score) > n else np.arange(len(score))
 
+    n_blocks, n_queries = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("q_ids") / 8), F.lit(0)).cast("long")).first()
+    query_tiles, entry_tiles = max(1, -(-n_queries // tile[0])), max(1, -(-count // tile[1]))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books_ = shared.value
+        """The best of each query over the blocks of codes that follow one another for its block of queries."""
+        books_, held = shared.value, None
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(q), 64):
+                rows = []
+                for i in range(a, min(a + 64, len(q))):
+                    keep = top(score[i], best)
+                    rows.append((int(q_ids[i]), q[i].tobytes(), own[i][keep].tobytes(), score[i][keep].tobytes()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["query_id", "asked", "entries", "approx"])
+
         for batch in batches:
             for r in range(batch.num_rows):
                 get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_py(), kind)  # noqa: E731, B023
-                q_ids, q = get("q_ids", np.int64), get("q_vectors", np.float32).reshape(-1, dims)
-                codes, scale, own = get("codes", np.uint8).reshape(len(books_), -1), get("scales", np.float32), get("entries", np.int64)
-                tables = np.einsum("qd,mwd->qmw", q, books_, optimize=True)
-                out = []
-                for i in range(len(q_ids)):
-                    s = tables[i, 0][codes[0]]
-                    for m in range(1, len(books_)):
-                        s += tables[i, m][codes[m]]
-                    s *= scale
-                    near = top(s, best)
-                    out.append((int(q_ids[i]), own[near].tobytes(), s[near].tobytes()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["query_id", "entries", "approx"])
+                now = [batch.column(c)[r].as_py() for c in ("q_ids", "q_vectors")]
+                if now != held:
+                    if held is not None:
+                        yield from lists()
+                    held, q_ids, q = now, np.frombuffer(now[0], np.int64), np.frombuffer(now[1], np.float64).reshape(-1, dims)
+                    tables = np.einsum("qd,mwd->qmw", q.astype(np.float32), books_, optimize=True)
+                    own, score, floor = [np.zeros(0, np.int64)] * len(q), [np.zeros(0, np.float32)] * len(q), np.full(len(q), np.nan, np.float32)
+                codes, scale, entry = get("codes", np.uint8).reshape(len(books_), -1).astype(np.intp), get("scales", np.float32), get("entries", np.int64)
+                for a in range(0, len(q), 32):
+                    for i, s in enumerate(_scores(tables[a : a + 32], codes, scale), a):
+                        near = np.flatnonzero(~(s <= floor[i]))  # what can't be among the best is not looked at again; no floor yet: all
+                        own[i], score[i] = np.concatenate([own[i], entry[near]]), np.concatenate([score[i], s[near]])
+                        if len(score[i]) > 2 * best:
+                            keep = top(score[i], best)
+                            own[i], score[i] = own[i][keep], score[i][keep]
+                            floor[i] = score[i].min()
+        if held is not None:
+            yield from lists()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best of each query, whose rows come one after the other; no more than two lists of it are held."""
-        query, own, score = None, np.zeros(0, np.int64), np.zeros(0, np.float32)
-        done = lambda: pa.record_batch([pa.array(np.full(len(own), query, np.int64)), pa.array(own)], ["query_id", "entry"])
+        """The best of each query, whose rows come one after the other, by tile; no more than two lists of it are held."""
+        query, asked_, own, score = None, b"", np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+        def done() -> pa.RecordBatch:
+            at = own % entry_tiles
+            order = np.argsort(at, kind="stable")
+            tiles, first = np.unique(at[order], return_index=True)
+            parts = [x.tobytes() for x in np.split(own[order], first[1:])]
+            return pa.record_batch([pa.array(np.full(len(tiles), query, np.int64)), pa.array([asked_] * len(tiles), pa.binary()), pa.array(tiles), pa.array(parts, pa.binary())], ["query_id", "asked", "entry_tile", "entries"])
+
         for batch in batches:
-            for q, e, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if q != query:
+            for n, x, e, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if (n, x) != (query, asked_):
                     if query is not None:
                         yield done()
-                    query, own, score = q, own[:0], score[:0]
+                    query, asked_, own, score = n, x, own[:0], score[:0]
                 own, score = np.concatenate([own, np.frombuffer(e, np.int64)]), np.concatenate([score, np.frombuffer(s, np.float32)])
                 keep = top(score, best)
                 own, score = own[keep], score[keep]
         if query is not None:
             yield done()
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = np.einsum("nd,nd->n", _matrix(batch.column(2), dims), _matrix(batch.column(3), dims))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(s)], ["query_id", "ids", "score"])
-
-    pairs = queries.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deal - 1)))).join(indexed, "deal")
-    lists = pairs.select("q_ids", "q_vectors", "codes", "scales", "entries").mapInArrow(search, "query_id long, entries binary, approx binary")
-    chosen = lists.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, entry long")
-    chosen = materialise(chosen, "ann-candidates")
-    near = chosen.join(entries, "entry").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
-    found = near.select("query_id", "ids", "embedding", "asked").mapInArrow(exact, "query_id long, ids array<long>, score double")
+    def exact(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each query's candidates in a tile, but those that k + 1 others of the tile surpass: one of these may be the query itself."""
+        entry = right["entry"].to_numpy()
+        order = np.argsort(entry)
+        entry, x = entry[order], _matrix(right["embedding"].combine_chunks(), dims)
+        rows, score = [], []
+        for q, e in zip(left["asked"].to_pylist(), left["entries"].to_pylist()):
+            at = order[np.searchsorted(entry, np.frombuffer(e, np.int64))]
+            s = np.einsum("nd,d->n", x[at], np.frombuffer(q, np.float64))
+            if len(s) > k + 1:
+                keep = ~(s < np.partition(s, len(s) - k - 1)[len(s) - k - 1])
+                at, s = at[keep], s[keep]
+            rows.append(at)
+            score.append(s)
+        ids = np.repeat(left["query_id"].to_numpy(), np.array([len(s) for s in score], np.int64))
+        at = np.concatenate([np.zeros(0, np.int64), *rows])
+        return pa.table({"query_id": pa.array(ids, pa.int64()), "ids": right["ids"].combine_chunks().take(pa.array(at)), "score": pa.array(np.concatenate([np.zeros(0), *score]))})
+
+    dealt = queries.repartition(max(1, min(n_blocks, 1024)))
+    pairs = dealt.hint("shuffle_replicate_nl").crossJoin(indexed.repartition(-(-tasks // group)))
+    lists = pairs.select("q_ids", "q_vectors", "codes", "scales", "entries").mapInArrow(search, "query_id long, asked binary, entries binary, approx binary")
+    chosen = lists.repartition("query_id").sortWithinPartitions("query_id", "asked").mapInArrow(merge, "query_id long, asked binary, entry_tile long, entries binary")
+    chosen = materialise(chosen, "ann-candidates", batch_rows=16)  # a row of ``pairs`` holds two blocks
+    chosen = chosen.withColumn("query_tile", F.pmod(F.xxhash64("query_id"), F.lit(query_tiles)))
+    placed = entries.withColumn("entry_tile", F.col("entry") % entry_tiles).withColumn("query_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_tiles - 1).cast("long"))))
+    near = chosen.groupBy("query_tile", "entry_tile").cogroup(placed.groupBy("query_tile", "entry_tile"))
+    found = near.applyInArrow(exact, "query_id long, ids array<long>, score double")
     found = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
